@@ -19,6 +19,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.similarity_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), percent=75, size=5)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.bpe import token_counts
 
@@ -31,5 +37,5 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), sha_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES: dict[str, Query] = {"op5_token_counts": op5_token_counts, "op6_bpe_roundtrip": op6_bpe_roundtrip}
+QUERIES: dict[str, Query] = {"op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_bpe_roundtrip": op6_bpe_roundtrip}
 ORACLE_SQL: dict[str, str] = {}
