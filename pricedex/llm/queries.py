@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.language_id import identify
+    from pricedex.llm.sampling import crc_part
+
+    found = identify(table(spark, sf_dir, "documents"), crc_part("doc_id", 3) != 1)
+    return found.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.similarity_join import jaccard_components
 
@@ -37,5 +46,13 @@ def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), sha_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
-QUERIES: dict[str, Query] = {"op4_jaccard_join": op4_jaccard_join, "op5_token_counts": op5_token_counts, "op6_bpe_roundtrip": op6_bpe_roundtrip}
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.quality_mil import score_quality
+    from pricedex.llm.sampling import crc_part
+
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_part("doc_id", 3) != 1)
+    return scored.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op9_quality_mil)}
 ORACLE_SQL: dict[str, str] = {}
