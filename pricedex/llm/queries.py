@@ -54,5 +54,13 @@ def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op9_quality_mil)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.sampling import crc_part
+    from pricedex.llm.toxicity import score_toxicity
+
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_part("doc_id", 4) != 2)
+    return scored.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op9_quality_mil, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
