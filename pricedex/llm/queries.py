@@ -20,6 +20,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.url_filter import Rule, judge
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.language_id import identify
     from pricedex.llm.sampling import crc_part
@@ -62,5 +69,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_language_id, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op9_quality_mil, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op9_quality_mil, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
