@@ -35,6 +35,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.decontamination import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=75, size=5)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.similarity_join import jaccard_components
 
@@ -75,5 +81,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules, op9_quality_mil, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules, op9_quality_mil, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
