@@ -65,6 +65,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.quality_mil import score_quality
     from pricedex.llm.sampling import crc_part
@@ -81,5 +87,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules, op9_quality_mil, op10_toxicity)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules, op8_pii, op9_quality_mil, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
