@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricedex.llm.sql import ORACLE_SQL  # noqa: F401
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -88,4 +90,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules, op8_pii, op9_quality_mil, op10_toxicity)}
-ORACLE_SQL: dict[str, str] = {}
