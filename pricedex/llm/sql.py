@@ -41,8 +41,8 @@ bs AS (SELECT item_id, len(w) AS n, i AS pos, array_to_string(w[i:i + 4], ' ') A
 windows AS (SELECT DISTINCT doc_id, n, greatest(least(p - pos, words - n), 0) AS start FROM ds JOIN bs USING (s) WHERE words >= n),
 ws AS (SELECT doc_id, n, start, array_to_string(w[start + i:start + i + 4], ' ') AS s, count(*) AS c FROM windows JOIN d USING (doc_id), unnest(range(1, n - 3)) AS t(i) GROUP BY ALL),
 bc AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
-pairs AS (SELECT doc_id, item_id, n, start, sum(least(ws.c, bc.c)) AS both FROM ws JOIN bc USING (n, s) GROUP BY ALL),
-best AS (SELECT *, CAST(floor(100 * both / (2 * (n - 4) - both)) AS BIGINT) AS similarity FROM pairs WHERE 100 * both >= 75 * (2 * (n - 4) - both))
+pairs AS (SELECT doc_id, item_id, n, start, sum(least(ws.c, bc.c)) AS common_n FROM ws JOIN bc USING (n, s) GROUP BY ALL),
+best AS (SELECT *, CAST(floor(100 * common_n / (2 * (n - 4) - common_n)) AS BIGINT) AS similarity FROM pairs WHERE 100 * common_n >= 75 * (2 * (n - 4) - common_n))
 SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM best) WHERE rn = 1"""
 
 _JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
