@@ -146,7 +146,7 @@ def test_streams_agree_with_batches(spark, tmp_path):
 def test_queries_agree_with_their_sql(spark):
     import duckdb
 
-    from pricedex.plans import audit_queries, index_queries, market_queries
+    from pricedex.plans import audit_queries, contract_queries, index_queries, market_queries
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
@@ -154,7 +154,7 @@ def test_queries_agree_with_their_sql(spark):
     for name in "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     text = lambda v: "~" if v is None else f"{v:.5f}".replace("-0.00000", "0.00000") if isinstance(v, float) else str(v)
-    for module in (index_queries, market_queries, audit_queries):
+    for module in (index_queries, market_queries, audit_queries, contract_queries):
         for name, sql in module.ORACLE_SQL.items():
             found, expected = module.QUERIES[name](spark, sf), con.sql(sql)
             columns = sorted(found.columns)
