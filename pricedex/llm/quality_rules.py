@@ -84,32 +84,41 @@ def _vector() -> dict[str, Column]:
     return {"log_words": F.log1p("n_words"), "log_length": F.log(F.col("word_chars") / F.col("n_words")), "symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "marks": share("n_marks", "word_chars"), "capitals": share("n_capitals", "word_chars")}
 
 
-def _precision(moments: DataFrame) -> DataFrame:
-    """grp, centre m_i and the inverse p_i_j of the covariance s_i_j, by Cholesky factors in columns."""
-    names = list(VECTOR)
-    df = moments
-    for i, a in enumerate(names):
-        row = {}
-        for j in range(i):
-            b = names[j]
-            row[f"l_{a}_{b}"] = (F.col(f"s_{b}_{a}") - sum((F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}") for k in names[:j]), F.lit(0.0))) / F.col(f"l_{b}_{b}")
-            df = df.withColumns(row)
-            row = {}
-        df = df.withColumn(f"l_{a}_{a}", F.sqrt(F.greatest(F.col(f"s_{a}_{a}") + VECTOR[a] ** 2 - sum((F.col(f"l_{a}_{k}") ** 2 for k in names[:i]), F.lit(0.0)), F.lit(VECTOR[a] ** 2 / 10))))
-    for i, a in enumerate(names):
-        df = df.withColumn(f"v_{a}_{a}", 1.0 / F.col(f"l_{a}_{a}"))
-        for j in range(i - 1, -1, -1):
-            b = names[j]
-            df = df.withColumn(f"v_{a}_{b}", -sum((F.col(f"l_{a}_{k}") * F.col(f"v_{k}_{b}") for k in names[j:i]), F.lit(0.0)) / F.col(f"l_{a}_{a}"))
-    inverse = [sum((F.col(f"v_{k}_{a}") * F.col(f"v_{k}_{b}") for k in names[max(i, j) :]), F.lit(0.0)).alias(f"p_{a}_{b}") for i, a in enumerate(names) for j, b in enumerate(names) if j <= i]
-    return df.select("grp", *(f"m_{a}" for a in names), *inverse)
+def _cells() -> Column:
+    return F.sequence(F.lit(0), F.lit(len(VECTOR) ** 2 - 1))
+
+
+def _inverse(matrix: Column) -> Column:
+    """Inverse of a positive definite matrix (a flat array), by Gauss-Jordan steps in place."""
+    p = len(VECTOR)
+
+    def step(m: Column, k: Column) -> Column:
+        pivot = F.get(m, k * (p + 1))
+
+        def cell(t: Column) -> Column:
+            i, j = F.floor(t / p).cast("int"), (t % p).cast("int")
+            left, top = F.get(m, i * p + k), F.get(m, k * p + j)
+            return F.when((i == k) & (j == k), 1.0 / pivot).when(i == k, top / pivot).when(j == k, -left / pivot).otherwise(F.get(m, t) - left * top / pivot)
+
+        return F.transform(_cells(), cell)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), matrix.cast("array<double>"), step)
+
+
+def _estimate(moments: DataFrame) -> DataFrame:
+    """grp, centre and precision from grp, centre and covariance (flat arrays); the floors are added to the variances."""
+    p = len(VECTOR)
+    floors = [f * f for f in VECTOR.values()]
+    ridge = F.array(*(F.lit(floors[t // p] if t % (p + 1) == 0 else 0.0) for t in range(p * p)))
+    return stored(moments.select("grp", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision")))
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of a row with its group's centre and precision."""
-    names = list(VECTOR)
-    off = {a: F.col(a) - F.col(f"m_{a}") for a in names}
-    return F.greatest(sum((F.col(f"p_{a}_{b}") * off[a] * off[b] * (1 if a == b else 2) for i, a in enumerate(names) for b in names[: i + 1]), F.lit(0.0)), F.lit(0.0))
+    """Squared Mahalanobis distance of a row's vector v with its group's centre and precision."""
+    p = len(VECTOR)
+    term = lambda off: lambda a, t: a + F.get("precision", t) * F.get(off, F.floor(t / p).cast("int")) * F.get(off, (t % p).cast("int"))
+    off = F.zip_with("v", "centre", lambda x, m: x - m)
+    return F.greatest(let(off, lambda o: F.aggregate(_cells(), F.lit(0.0), term(o))), F.lit(0.0))
 
 
 def _core_bins(rows: DataFrame) -> DataFrame:
@@ -123,21 +132,22 @@ def _core_bins(rows: DataFrame) -> DataFrame:
 
 
 def outlier_scores(rows: DataFrame) -> DataFrame:
-    """rows (grp and the columns of VECTOR) with `far`: the scaled squared distance from the group's robust centre."""
-    names = list(VECTOR)
+    """rows (id, grp, v) with `far`: the scaled squared distance from the group's robust centre."""
+    p = len(VECTOR)
+    at = [F.get("v", i) for i in range(p)]
     rows = stored(rows)
-    quarter = rows.groupBy("grp").agg(*(F.percentile_approx(a, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(a) for a in names))
-    first = quarter.select("grp", *(F.get(F.col(a), 1).alias(f"m_{a}") for a in names), *((((F.get(F.col(a), 2) - F.get(F.col(a), 0)) / 1.349) ** 2).alias(f"s_{a}_{a}") for a in names), *(F.lit(0.0).alias(f"s_{b}_{a}") for i, a in enumerate(names) for b in names[:i]))
-    estimate = stored(_precision(first))
-    binned = lambda: rows.join(estimate, "grp").withColumn("d", _distance()).withColumn("bin", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int"))
+    quarter = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for x in at)).alias("q"))
+    spread = lambda i: F.pow((F.get(F.get("q", i), 2) - F.get(F.get("q", i), 0)) / 1.349, 2)
+    estimate = _estimate(quarter.select("grp", F.transform("q", lambda x: F.get(x, 1)).alias("centre"), F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance")))
+    binned = lambda: rows.join(estimate, "grp").withColumn("d", _distance()).select("id", "grp", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
     for _ in range(STEPS):
         measured = binned()
         core = measured.join(_core_bins(measured), "grp").where("bin <= core")
-        moments = core.groupBy("grp").agg(*(F.avg(a).alias(f"m_{a}") for a in names), *(F.covar_pop(b, a).alias(f"s_{b}_{a}") for i, a in enumerate(names) for b in names[: i + 1]))
-        estimate = stored(_precision(moments))
+        moments = core.groupBy("grp").agg(F.array(*map(F.avg, at)).alias("centre"), F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance"))
+        estimate = _estimate(moments)
     measured = binned()
-    edges = stored(_core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(1.0)).alias("edge")))
-    return measured.join(edges, "grp").withColumn("far", F.col("d") * CHI_CORE / F.greatest(F.col("edge"), F.lit(CHI_CORE / 3))).drop("bin", "edge", *estimate.columns[1:])
+    edges = _core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(CHI_CORE / 3)).alias("edge"))
+    return measured.join(edges, "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -151,7 +161,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = able.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_source"))
     langs = sizes.groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
     groups = stored(sizes.join(langs, "lang").select("lang", "source", F.when(F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all").alias("grp")))
-    vectors = able.join(groups, ["lang", "source"]).select("id", "grp", *(c.alias(k) for k, c in _vector().items()))
+    vectors = able.join(groups, ["lang", "source"]).select("id", "grp", F.array(*_vector().values()).alias("v"))
     far = outlier_scores(vectors).groupBy("id").agg(F.max("far").alias("far"))
     joined = base.join(far, "id", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("far") > CUTOFF, F.lit(False))
