@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SALTS = 64
+
 
 def crc_part(id_col: str, parts: int):
     """crc32 of the id as text, modulo parts."""
@@ -15,8 +17,11 @@ def stratified(labelled: DataFrame, label: str, per_label: int, labels_most: int
     """id and label of at most per_label rows of each label, at most per_label * labels_most rows in all.
 
     The rows with the least hashes of their ids are taken, so the choice does not depend on the
-    partitioning; each task keeps only its own least rows before the shuffle.
+    partitioning.
     """
-    by_hash = Window.partitionBy(label).orderBy(F.xxhash64(id_col), id_col)
-    ranked = labelled.select(id_col, label).where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= per_label)
+    order = (F.xxhash64(id_col), F.col(id_col))
+    rows = labelled.select(id_col, label).where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).withColumn("salt", F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), F.lit(SALTS)))
+    # The rows of a label are ranked in SALTS parts first, so that no task gathers more than the parts' best.
+    part = rows.withColumn("rank", F.row_number().over(Window.partitionBy(label, "salt").orderBy(*order))).where(F.col("rank") <= per_label)
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy(label).orderBy(*order))).where(F.col("rank") <= per_label)
     return ranked.orderBy("rank", label, id_col).limit(per_label * labels_most).select(id_col, label)
