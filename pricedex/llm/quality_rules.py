@@ -26,6 +26,9 @@ WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 LEAST = 200
 STEPS = 4
+#: Estimates of so many groups at most (under 20 MB) are sent to all executors, so that a group with many rows is not
+#: gathered in one task; more are joined by a shuffle, where adaptive execution splits large groups.
+BROADCAST_GROUPS = 20_000
 CORE = 0.75
 CUTOFF = 120.0
 #: Least standard deviation of each transformed statistic: differences below are no reason to reject.
@@ -136,18 +139,20 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     p = len(VECTOR)
     at = [F.get("v", i) for i in range(p)]
     rows = stored(rows)
+    few = rows.select("grp").distinct().count() <= BROADCAST_GROUPS
+    sent = F.broadcast if few else (lambda table: table)
     quarter = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for x in at)).alias("q"))
     spread = lambda i: F.pow((F.get(F.get("q", i), 2) - F.get(F.get("q", i), 0)) / 1.349, 2)
     estimate = _estimate(quarter.select("grp", F.transform("q", lambda x: F.get(x, 1)).alias("centre"), F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance")))
-    binned = lambda: rows.join(estimate, "grp").withColumn("d", _distance()).select("id", "grp", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
+    binned = lambda: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select("id", "grp", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
     for _ in range(STEPS):
         measured = binned()
-        core = measured.join(_core_bins(measured), "grp").where("bin <= core")
+        core = measured.join(sent(_core_bins(measured)), "grp").where("bin <= core")
         moments = core.groupBy("grp").agg(F.array(*map(F.avg, at)).alias("centre"), F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance"))
         estimate = _estimate(moments)
     measured = binned()
     edges = _core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(CHI_CORE / 3)).alias("edge"))
-    return measured.join(edges, "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
+    return measured.join(sent(edges), "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -161,7 +166,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sizes = able.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_source"))
     langs = sizes.groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
     groups = stored(sizes.join(langs, "lang").select("lang", "source", F.when(F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all").alias("grp")))
-    vectors = able.join(groups, ["lang", "source"]).select("id", "grp", F.array(*_vector().values()).alias("v"))
+    vectors = able.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]).select("id", "grp", F.array(*_vector().values()).alias("v"))
     far = outlier_scores(vectors).groupBy("id").agg(F.max("far").alias("far"))
     joined = base.join(far, "id", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("far") > CUTOFF, F.lit(False))
