@@ -11,9 +11,11 @@ shingle among the first n - ceil(t * n) + 1 of each.  Each list is a subtree; it
 R-tree bound and verified on the whole sets.
 
 Copies and large groups: documents with equal sets form one class.  A first round links each class of a
-list to the list's smallest class (a star, not all pairs).  A second round looks only at pairs of classes
-of one list that the first has not brought into one component, in blocks of bounded size.  Every link
-between different components is found, so components are exact.
+list to the list's most central class (a star, not all pairs).  Further rounds look only at pairs of classes
+of one list that are not yet in one component, in blocks of bounded size, and propose each class's best
+partners by the bound: FIRST of them, then GROWTH times as many in each round, until no block has had to hold
+any back.  So every link between different components is found and components are exact, but a large group of
+copies is never written out as pairs.
 
 Cases: null or empty texts and texts without words have an empty set and no links; texts shorter than a
 shingle have their whole word sequence as one; repeated rows are copies; long texts are hashed in
@@ -33,69 +35,93 @@ from pricedex.llm.shared import components, stored
 from pricedex.llm.textkernel import mix, shingle_sets, slices
 
 ORDER_GROUPS = 1 << 16
-POINT_LEAST, POINT_MOST = 16, 2048
-LEAF = 16
+POINT_LEAST, POINT_MOST = 16, 1 << 14
+COARSE = 256
+FULL = 255
+LEAF = 32
+NODE_GROUPS = 64
 BLOCK = 1000
+FIRST, GROWTH = 2, 4
+#: As many ids at most are sent to all executors to select texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group; about a quarter as many groups as shingles, a power of two."""
-    groups = min(max(POINT_LEAST, 1 << max(0, (len(shingles) // 4).bit_length() - 1)), POINT_MOST)
-    return np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), 65535).astype(np.uint16)
+    """Counts of a set's shingles by hash group, at least two groups for a shingle, a power of two; counts end at FULL."""
+    groups = min(max(POINT_LEAST, 1 << (2 * len(shingles)).bit_length()), POINT_MOST)
+    return np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), FULL).astype(np.uint8)
 
 
 def folded(p: np.ndarray, groups: int) -> np.ndarray:
-    """The point of the same set with fewer groups."""
-    return p.astype(np.int64).reshape(-1, groups).sum(axis=0)
+    """The point of the same set with fewer groups; all coordinates are out of reach if a count is at its type's end."""
+    out = p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+    return out + (1 << 20) if p.max(initial=0) == np.iinfo(p.dtype).max else out
+
+
+def coarse(p: np.ndarray) -> np.ndarray:
+    """The point with COARSE groups at most, in 16 bits."""
+    return np.minimum(folded(p, min(len(p), COARSE)), 65535).astype(np.uint16)
 
 
 def may_link(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
     """Whether the summed coordinate minima allow 100 * overlap >= percent * union."""
     groups = min(len(p), len(q))
-    if (p == 65535).any() or (q == 65535).any():
-        return True
     return (100 + percent) * int(np.minimum(folded(p, groups), folded(q, groups)).sum()) >= percent * (n + m)
 
 
 class CountVectorTree:
-    """R-tree over count vectors, packed by size and then by the first coordinates (sort-tile-recursive)."""
+    """R-tree over count vectors, packed by component (the largest first), size and first coordinates.
+
+    Nodes keep their upper corner, sizes and component, so two nodes of one component are never compared.
+    """
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((points[:, 0], sizes // np.maximum(1, sizes.max() // 8)))
-        self.order, self.points, self.sizes = order, points[order], sizes[order]
-        upper, least, most = self.points, self.sizes, self.sizes
+    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray):
+        groups = min(NODE_GROUPS, min(map(len, points)))
+        rough = np.stack([folded(p, groups) for p in points])
+        _, label, count = np.unique(component, return_inverse=True, return_counts=True)
+        self.order = np.lexsort((rough[:, 0], sizes, label, -count[label]))
+        self.points, self.sizes, self.component = [points[i] for i in self.order], sizes[self.order], component[self.order]
+        upper, least, most, low, high = rough[self.order], self.sizes, self.sizes, self.component, self.component
         self.levels = []
         while True:
-            cuts = np.arange(0, len(upper), LEAF)
-            upper, least, most = np.maximum.reduceat(upper, cuts, axis=0), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
-            self.levels.append((upper, least, most))
+            self.levels.append((upper, least, most, low, high))
             if len(upper) == 1:
                 break
-
-    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs i, j of different points whose bound allows a link."""
-        yield from self._descend(len(self.levels) - 1, 0, 0, percent)
-
-    def _descend(self, level: int, i: int, j: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if level == 0:
+            cuts = np.arange(0, len(upper), LEAF)
+            upper, least, most = np.maximum.reduceat(upper, cuts, axis=0), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
+            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Indices i, j of points of different components whose bound allows a link, and the bound's share of the union."""
+        stack = [(len(self.levels) - 1, 0, 0)]
+        while stack:
+            level, i, j = stack.pop()
+            if not level:
+                continue
             a, b = slice(i * LEAF, i * LEAF + LEAF), slice(j * LEAF, j * LEAF + LEAF)
-            fits = _fits(self.points[a], self.sizes[a], self.sizes[a], self.points[b], self.sizes[b], self.sizes[b], percent)
+            upper, least, most, low, high = self.levels[level - 1]
+            fits = (100 * most[a][:, None] >= percent * least[b][None, :]) & (100 * most[b][None, :] >= percent * least[a][:, None])
+            fits &= (low[a][:, None] != high[b][None, :]) | (high[a][:, None] != low[b][None, :])
+            if not fits.any():
+                continue
+            bound = np.minimum(upper[a][:, None, :], upper[b][None, :, :]).sum(axis=2)
+            fits &= (100 + percent) * bound >= percent * (least[a][:, None] + least[b][None, :])
+            if level > 1:
+                stack.extend((level - 1, int(x) + i * LEAF, int(y) + j * LEAF) for x, y in np.argwhere(np.triu(fits) if i == j else fits))
+                continue
             x, y = np.nonzero(np.triu(fits, 1) if i == j else fits)
-            if len(x):
-                yield self.order[x + i * LEAF], self.order[y + j * LEAF]
-            return
-        upper, least, most = self.levels[level - 1]
-        a, b = slice(i * LEAF, i * LEAF + LEAF), slice(j * LEAF, j * LEAF + LEAF)
-        fits = _fits(upper[a], least[a], most[a], upper[b], least[b], most[b], percent)
-        for x, y in np.argwhere(np.triu(fits) if i == j else fits):
-            yield from self._descend(level - 1, int(x) + i * LEAF, int(y) + j * LEAF, percent)
-
-
-def _fits(p, p_least, p_most, q, q_least, q_most, percent):
-    """Whether two nodes (or points) can hold a linked pair: sizes within the ratio, and the overlap bound."""
-    sizes = (100 * p_most[:, None] >= percent * q_least[None, :]) & (100 * q_most[None, :] >= percent * p_least[:, None])
-    bound = np.minimum(p[:, None, :], q[None, :, :]).sum(axis=2)
-    return sizes & ((100 + percent) * bound >= percent * (p_least[:, None] + q_least[None, :]))
+            if not len(x):
+                continue
+            x, y = x + i * LEAF, y + j * LEAF
+            used = np.union1d(x, y)
+            groups = min(len(self.points[k]) for k in used)
+            fine = np.stack([folded(self.points[k], groups) for k in used])
+            bound = np.minimum(fine[np.searchsorted(used, x)], fine[np.searchsorted(used, y)]).sum(axis=1)
+            both = self.sizes[x] + self.sizes[y]
+            kept = (100 + percent) * bound >= percent * both
+            if kept.any():
+                x, y = x[kept], y[kept]
+                yield self.order[x], self.order[y], bound[kept] / both[kept]
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -110,15 +136,16 @@ def _set_key(shingles: np.ndarray) -> bytes:
 
 
 def document_points(texts: DataFrame, size: int) -> DataFrame:
-    """id, n, set key and point of each document with a word; one map pass."""
+    """id, n, set key and points of each document; one map pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
-                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([point(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "key", "point"])
+                points = [point(s) for s in sets]
+                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([coarse(p).tobytes() for p in points], pa.binary()), pa.array([p.tobytes() for p in points], pa.binary())], names=["id", "n", "key", "coarse", "fine"])
 
-    return texts.mapInArrow(run, "id bigint, n bigint, key binary, point binary")
+    return texts.mapInArrow(run, "id bigint, n bigint, key binary, coarse binary, fine binary")
 
 
 def group_frequencies(texts: DataFrame, size: int) -> np.ndarray:
@@ -188,53 +215,72 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBat
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of one list and different components that the R-tree's bound allows.
+def tree_pairs(lists: DataFrame, components: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, held): pairs of one list and different components that the R-tree's bound allows.
 
-    rows: (h, id, component, n, point).  Lists beyond BLOCK rows are cut by size into blocks, and each
-    pair of blocks is one task's group, so no list is held whole.
+    lists: (h, id).  Each class of a block proposes its `most` best partners; a row with held tells that a block
+    had more.  Lists beyond BLOCK rows are cut by size into blocks, and each pair of blocks is one group, so no
+    list is held whole.  Points join the rows last.
     """
-    by_size = Window.partitionBy("h").orderBy("n", "id")
-    cut = rows.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK).cast("int"))
-    last = cut.groupBy("h").agg(F.max("block").alias("last"))
-    cut = cut.join(last, "h").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-    cut = cut.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "point", "block").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    in_list = Window.partitionBy("h")
+    labelled = lists.join(components, "id", "left").join(points.select("id", "n"), "id").select("h", "id", F.coalesce("component", "id").alias("component"), "n")
+    facts = labelled.select("*", F.min("component").over(in_list).alias("lo"), F.max("component").over(in_list).alias("hi"), F.count(F.lit(1)).over(in_list).alias("k"), F.row_number().over(in_list.orderBy("n", "id")).alias("rank"))
+    block_of = lambda rank: F.floor((rank - 1) / BLOCK).cast("int")
+    cut = facts.where("lo <> hi and k > 2").withColumn("block", block_of(F.col("rank"))).withColumn("other", F.explode(F.sequence(F.lit(0), block_of(F.col("k")))))
+    cut = cut.join(points.select("id", "coarse"), "id")
+    cut = cut.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "coarse", "block").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, 3):
             ids, component, n, block = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 7))
             if len(np.unique(component)) < 2:
                 continue
-            raw = [np.frombuffer(p, np.uint16) for p in group.column(6).to_pylist()]
-            groups = min(64, min(map(len, raw)))
-            points = np.array([folded(p, groups) for p in raw])
-            points[[bool((p == 65535).any()) for p in raw]] += 1 << 40
-            across = group.column(1)[0] != group.column(2)[0]
-            for x, y in CountVectorTree(points, n.astype(np.int64)).pairs(percent):
-                kept = (component[x] != component[y]) & (~across | (block[x] != block[y]) if across else True)
-                if kept.any():
-                    x, y = ids[x[kept]], ids[y[kept]]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            across = group.column(1)[0].as_py() != group.column(2)[0].as_py()
+            tree = CountVectorTree([np.frombuffer(p, np.uint16) for p in group.column(6).to_pylist()], n.astype(np.int64), component)
+            found = list(tree.pairs(percent))
+            if not found:
+                continue
+            x, y, bound = (np.concatenate(c) for c in zip(*found))
+            kept = (component[x] != component[y]) & ((block[x] != block[y]) | (not across))
+            x, y, bound = x[kept], y[kept], bound[kept]
+            # The rank of each pair among those of either class, the best bound first.
+            one, two, pair = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(np.arange(len(x)), 2)
+            order = np.lexsort((ids[two], -np.tile(bound, 2), one))
+            starts = np.flatnonzero(np.append(True, one[order][1:] != one[order][:-1])) if len(order) else np.zeros(0, np.int64)
+            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+            best = np.unique(pair[order[rank < most]])
+            a, b = ids[x[best]], ids[y[best]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(best), len(best) < len(x)))], names=["a", "b", "held"])
 
-    return cut.mapInArrow(run, "a bigint, b bigint").distinct()
+    return cut.mapInArrow(run, "a bigint, b bigint, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
 
 
 def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole points allow a link."""
-    side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a")
+    """The pairs whose points allow a link: sizes first, then coarse points, then fine ones for what is left."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, n_a, n_b, p_a, p_b = (c.to_pylist() for c in batch.columns)
-            kept = [may_link(np.frombuffer(p, np.uint16), np.frombuffer(q, np.uint16), n, m, percent) for p, q, n, m in zip(p_a, p_b, n_a, n_b)]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+    def step(pairs: DataFrame, column: str, kind: type) -> DataFrame:
+        side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(column).alias(f"p_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, _, n_a, n_b, p_a, p_b = (c.to_pylist() for c in batch.columns)
+                kept = [may_link(np.frombuffer(p, kind), np.frombuffer(q, kind), n, m, percent) for p, q, n, m in zip(p_a, p_b, n_a, n_b)]
+                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+        return stored(both.mapInArrow(run, "a bigint, b bigint"))
 
-    return sized.select("a", "b", "n_a", "n_b", "p_a", "p_b").mapInArrow(run, "a bigint, b bigint")
+    size = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
+    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a").select("a", "b")
+    return step(step(stored(sized), "coarse", np.uint16), "fine", np.uint8)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs whose whole sets have 100 * overlap >= percent * union.  Each text meets its partners' pair by pair."""
+    pairs = stored(pairs)
+    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    if needed.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(needed), "id", "left_semi")
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
 
@@ -266,20 +312,28 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     in_list = Window.partitionBy("h")
     shared = prefix_lists(texts.where("id is not null"), size, percent).withColumn("k", F.count(F.lit(1)).over(in_list)).where("k > 1").select("h", "id")
     lists = shared.join(member.select("id", "cls"), "id").select("h", F.col("cls").alias("id")).distinct()
-    lists = lists.withColumn("k", F.count(F.lit(1)).over(in_list)).where("k > 1").select("h", "id")
-    # Lists with the same members are one list.
-    marks = lists.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x"), F.min("id").alias("leader"))
+    # Lists with the same members are one list; a class is the more central the more classes its lists have.
+    lists = stored(lists.withColumn("k", F.count(F.lit(1)).over(in_list)).where("k > 1"))
+    central = lists.groupBy("id").agg(F.sum("k").alias("weight"))
+    lists = lists.join(central, "id")
+    marks = lists.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
     kept = marks.groupBy("k", "s", "x", "leader").agg(F.min("h").alias("h")).select("h", "leader")
-    lists = stored(lists.join(kept, "h"))
-
-    star = lists.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(verified(bounded(star, points, percent), texts, size, percent))
-    found = components(links)
-
-    labelled = lists.join(found, "id", "left").select("h", "id", F.coalesce("component", "id").alias("component"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi and k > 2").select("h")
-    rest = labelled.join(mixed, "h").join(points.select("id", "n", "point"), "id")
-    more = tree_pairs(rest, percent).join(star, ["a", "b"], "left_anti")
-    more = stored(verified(bounded(more, points, percent), texts, size, percent))
-    joined = components(links.unionByName(more))
+    lists = stored(lists.select("h", "id").join(kept, "h"))
+
+    pair = (F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
+    tried = stored(lists.where("id <> leader").select(*pair).distinct())
+    links = stored(verified(bounded(tried, points, percent), texts, size, percent))
+    joined = stored(components(links))
+    most = FIRST
+    while True:
+        proposed = stored(tree_pairs(lists, joined, points, percent, most))
+        fresh = stored(proposed.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        more = stored(verified(bounded(fresh, points, percent), texts, size, percent))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = stored(components(links))
+        if not proposed.where("held").limit(1).count():
+            break
+        tried = tried.unionByName(fresh)
+        most *= GROWTH
     return member.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component_id"))
