@@ -1,7 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A document leaks a benchmark item if one of its windows of as many words as the item has a weighted shingle
-similarity (sum of minima over sum of maxima of the shingles' counts) of at least percent / 100 to it.
+similarity (sum of minima over sum of maxima of the shingles' counts) of at least percent / 100 to it.  A document
+of fewer words than the item is one window, so that items cut short are found too.
 
 1. Windows.  A window can only be similar to an item if they share a shingle.  Documents' shingles that the
    benchmark has are found by one hash join; each gives the window that is aligned with the item there.  Windows
@@ -91,22 +92,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     # Where documents have them, and the windows that are aligned with an item there.
     of_text = texts.select("id", F.size("w").alias("words"), F.explode(F.array(*(whole(F.col("w"), g) for g in sizes))).alias("s")) if short else texts.select("id", F.size("w").alias("words"), whole(F.col("w"), size).alias("s"))
     of_text = of_text.select("id", "words", F.col("s.g").alias("g"), F.posexplode("s.hs").alias("p", "h"))
-    met = of_text.join(aligned, ["g", "h"]).where(F.col("words") >= F.col("n"))
+    met = of_text.join(aligned, ["g", "h"])
     start = F.greatest(F.least(F.col("p") - F.col("at"), F.col("words") - F.col("n")), F.lit(0))
     windows = stored(met.select("id", "n", start.cast("int").alias("start")).distinct())
     cut = texts.join(windows.groupBy("id").agg(F.collect_set(F.struct("n", "start")).alias("cuts")), "id")
     cut = cut.select("id", "w", F.explode("cuts").alias("c")).select("id", F.col("c.n").alias("n"), F.col("c.start").alias("start"), F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("w"))
     cut = stored(cut.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
-    distinct = cut.groupBy("key", "n").agg(F.first("w").alias("w"))
-    hashes = F.when(F.col("n") >= size, shingles(F.col("w"), size)).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
-    pieces = stored(distinct.select("key", "n", F.explode(hashes).alias("h")))
+    distinct = cut.groupBy("key").agg(F.first("w").alias("w"))
+    hashes = F.when(F.size("w") >= size, shingles(F.col("w"), size)).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
+    pieces = stored(distinct.select("key", F.explode(hashes).alias("h")))
     of_item = items.select("item", "n", F.explode(hashes).alias("h"))
 
     # Fingerprints within RADIUS of each other, by blocks.
     near = F.array(*(F.lit(v) for v in _near_values()))
     marks = _simhash(of_item, ["item", "n"])
     spread = marks.select("item", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v")).select("item", "n", F.col("f").alias("item_f"), "block", F.explode(near).alias("d"), "v").withColumn("v", F.col("v").bitwiseXOR(F.col("d"))).drop("d")
-    prints = stored(_simhash(pieces, ["key", "n"]))
+    prints = stored(_simhash(pieces, ["key"]).join(cut.select("key", "n").distinct(), "key"))
     blocked = prints.select("key", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v"))
     candidates = blocked.join(spread, ["n", "block", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS).select("key", "item").distinct()
 
@@ -118,6 +119,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     item_totals = of_item.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     exact = both.join(totals, "key").join(item_totals, "item").withColumn("union", F.col("n_key") + F.col("n_item") - F.col("both")).where(100 * F.col("both") >= percent * F.col("union"))
     exact = stored(exact.select("key", "item", F.floor(100 * F.col("both") / F.col("union")).cast("bigint").alias("similarity")))
-    found = cut.select("id", "key", "start", F.col("n").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
+    found = cut.select("id", "key", "start", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("start"), "n_words")).alias("b"))
     return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), (-F.col("b.start")).cast("bigint").alias("start"), F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.similarity").alias("similarity"))

@@ -249,6 +249,18 @@ def test_decontamination(spark, docs, empty):
     assert leaks(empty, benchmark).count() == 0 and leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    from pricedex.llm.decontamination import leaks
+
+    item, other = ([f"{c}{i}" for i in range(50)] for c in "ab")
+    texts = [item[:48], item[2:], item[:20] + ["new"] + item[21:49], item[:30], item[:4], other[:45], item[:48]]
+    benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[:49]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in leaks(docs, benchmark).collect()}
+    expected = {(0, 1): (0, 48, 95), (0, 3): (0, 48, 97), (1, 1): (0, 48, 95), (1, 3): (0, 48, 93), (2, 1): (0, 49, 78), (2, 3): (0, 49, 80), (5, 2): (0, 45, 89)}
+    assert got == expected | {(6, 1): expected[0, 1], (6, 3): expected[0, 3]}
+
+
 def test_url_filter(spark):
     from pricedex.llm.url_filter import Rule, judge
 
