@@ -261,6 +261,18 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     assert got == expected | {(6, 1): expected[0, 1], (6, 3): expected[0, 3]}
 
 
+def test_decontamination_tries_windows_between_aligned_ones(spark):
+    from pricedex.llm.decontamination import leaks
+
+    item = [f"a{i}" for i in range(100)]
+    passage = item[4:50] + [f"new{i}" for i in range(8)] + item[50:96]
+    filler = [f"f{i}" for i in range(60)]
+    texts = [filler + passage + filler, passage + filler, filler + passage, filler + item[:40] + filler]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = leaks(docs, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string"))
+    assert {(r.doc_id, r.start, r.n_words, r.similarity) for r in found.collect()} == {(0, 60, 100, 77), (1, 0, 100, 77), (2, 60, 100, 77)}
+
+
 def test_url_filter(spark):
     from pricedex.llm.url_filter import Rule, judge
 
