@@ -7,7 +7,8 @@ repeat.  Distances are scaled so that their CORE quantile is the chi-square one,
 rejected.  All of it is DataFrame aggregation: a group, however large, is only ever summed (map-side combined)
 or counted in a bounded histogram of distances.
 
-Groups with fewer than LEAST rows use all rows of the language, and languages with fewer use all rows.
+Rows of sources with fewer than LEAST rows in a language are judged by an estimate over all rows of the language, those
+of languages with fewer by one over all rows; large sources' rows take part in these wider estimates too.
 
 Cases: null, empty and blank texts have 0 words, fail the base rules and take no part in the estimates; null
 languages and sources form their own groups; repeated rows and ties are judged alike; empty tables give empty
@@ -135,7 +136,7 @@ def _core_bins(rows: DataFrame) -> DataFrame:
 
 
 def outlier_scores(rows: DataFrame) -> DataFrame:
-    """rows (id, grp, v) with `far`: the scaled squared distance from the group's robust centre."""
+    """id and `far` of rows (id, grp, own, v) where own holds: the scaled squared distance from the group's robust centre."""
     p = len(VECTOR)
     at = [F.get("v", i) for i in range(p)]
     rows = stored(rows)
@@ -144,7 +145,7 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     quarter = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for x in at)).alias("q"))
     spread = lambda i: F.pow((F.get(F.get("q", i), 2) - F.get(F.get("q", i), 0)) / 1.349, 2)
     estimate = _estimate(quarter.select("grp", F.transform("q", lambda x: F.get(x, 1)).alias("centre"), F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance")))
-    binned = lambda: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select("id", "grp", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
+    binned = lambda: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select("id", "grp", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
     for _ in range(STEPS):
         measured = binned()
         core = measured.join(sent(_core_bins(measured)), "grp").where("bin <= core")
@@ -152,7 +153,7 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
         estimate = _estimate(moments)
     measured = binned()
     edges = _core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(CHI_CORE / 3)).alias("edge"))
-    return measured.join(sent(edges), "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
+    return measured.where("own").join(sent(edges), "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -165,8 +166,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     able = base.where(~F.col("base_failed"))
     sizes = able.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_source"))
     langs = sizes.groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
-    groups = stored(sizes.join(langs, "lang").select("lang", "source", F.when(F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all").alias("grp")))
-    vectors = able.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]).select("id", "grp", F.array(*_vector().values()).alias("v"))
+    level = F.when(F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all")
+    levels = stored(sizes.join(langs, "lang").select("lang", "source", level.alias("grp")))
+    # Each row takes part in the estimates of all groups that hold it and that some row is judged by.
+    wide = levels.where("grp not like 's:%'").groupBy("lang").agg(F.max(F.col("grp").like("l:%")).alias("wide"))
+    small = bool(levels.where("grp = 'all'").limit(1).count())
+    holders = F.array_compact(F.array(F.col("grp"), F.when(F.col("wide"), F.concat(F.lit("l:"), "lang")), F.lit("all" if small else None).cast("string")))
+    groups = stored(levels.join(wide, "lang", "left").select("lang", "source", F.col("grp").alias("finest"), F.array_distinct(holders).alias("grps")))
+    vectors = able.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]).select("id", "finest", F.explode("grps").alias("grp"), F.array(*_vector().values()).alias("v"))
+    vectors = vectors.select("id", "grp", (F.col("grp") == F.col("finest")).alias("own"), "v")
     far = outlier_scores(vectors).groupBy("id").agg(F.max("far").alias("far"))
     joined = base.join(far, "id", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("far") > CUTOFF, F.lit(False))

@@ -192,6 +192,18 @@ def test_robust_outliers_are_found(spark):
     assert all(r.kept == (r.doc_id < 1000) for r in got)
 
 
+def test_rare_sources_are_judged_by_their_language(spark):
+    from pricedex.llm.quality_rules import judge
+
+    rng = random.Random(6)
+    good = lambda: prose(rng, rng.randint(60, 200)).capitalize() + "."
+    junk = lambda: " | ".join(prose(rng, 80).split())
+    rows = [(i, good(), "en", "large") for i in range(400)] + [(1000 + i, junk(), "en", "rare") for i in range(5)] + [(2000, junk(), "en", "single"), (500, good(), "en", "other")]
+    rows += [(600, good(), "de", "few"), (2001, junk(), "de", "few")]
+    got = judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(got) == len(rows) and all(r.kept == (r.doc_id < 1000) for r in got)
+
+
 def test_pii(spark, rows, docs, empty):
     from pricedex.llm import pii
 
