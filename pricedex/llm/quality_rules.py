@@ -1,10 +1,12 @@
 """Quality rules: base rules on words and repetition, then robust multivariate outliers per language and source.
 
 Every document becomes a vector of transformed statistics.  For each group of language and source the minimum
-covariance determinant estimate is found by concentration steps: from the coordinates' medians and quartiles,
-take the CORE share of rows with the least Mahalanobis distance, re-estimate centre and covariance on them, and
-repeat.  Distances are scaled so that their CORE quantile is the chi-square one, and rows beyond CUTOFF are
-rejected.  All of it is DataFrame aggregation: a group, however large, is only ever summed (map-side combined)
+covariance determinant estimate is found by concentration steps: take the CORE share of rows with the least
+Mahalanobis distance, re-estimate centre and covariance on them, and repeat until the determinant stops falling.
+Steps start from the coordinates' medians and quartiles, their shortest halves, and medians with the shortest
+halves' widths; the estimate of least determinant is used.  Half of the rows are the core, so that up to nearly half
+of a group may be junk.  Distances are scaled so that their CORE quantile is the chi-square one, and rows beyond
+CUTOFF are rejected.  All of it is DataFrame aggregation: a group, however large, is only ever summed (map-side combined)
 or counted in a bounded histogram of distances.
 
 Rows of sources with fewer than LEAST rows in a language are judged by an estimate over all rows of the language, those
@@ -26,16 +28,17 @@ from pricedex.llm.shared import stored
 WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
 LEAST = 200
-STEPS = 4
+#: A step goes on only from a logarithm of the determinant that fell by so much at least.
+FALL = 0.01
 #: Estimates of so many groups at most (under 20 MB) are sent to all executors, so that a group with many rows is not
 #: gathered in one task; more are joined by a shuffle, where adaptive execution splits large groups.
 BROADCAST_GROUPS = 20_000
-CORE = 0.75
+CORE = 0.5
 CUTOFF = 120.0
 #: Least standard deviation of each transformed statistic: differences below are no reason to reject.
 VECTOR = {"log_words": 0.5, "log_length": 0.08, "symbols": 0.05, "repeats": 0.15, "lines": 0.15, "marks": 0.06, "capitals": 0.06}
 #: Fixed value: the CORE quantile of the chi-square distribution with as many degrees of freedom as VECTOR.
-CHI_CORE = 9.0371
+CHI_CORE = 6.3458
 
 
 def repeated_words(found: Column) -> Column:
@@ -93,7 +96,7 @@ def _cells() -> Column:
 
 
 def _inverse(matrix: Column) -> Column:
-    """Inverse of a positive definite matrix (a flat array), by Gauss-Jordan steps in place."""
+    """Inverse of a positive definite matrix (a flat array), by Gauss-Jordan steps in place; the determinant's logarithm follows it."""
     p = len(VECTOR)
 
     def step(m: Column, k: Column) -> Column:
@@ -102,19 +105,20 @@ def _inverse(matrix: Column) -> Column:
         def cell(t: Column) -> Column:
             i, j = F.floor(t / p).cast("int"), (t % p).cast("int")
             left, top = F.get(m, i * p + k), F.get(m, k * p + j)
-            return F.when((i == k) & (j == k), 1.0 / pivot).when(i == k, top / pivot).when(j == k, -left / pivot).otherwise(F.get(m, t) - left * top / pivot)
+            return F.when(t == p * p, F.get(m, p * p) + F.log(pivot)).when((i == k) & (j == k), 1.0 / pivot).when(i == k, top / pivot).when(j == k, -left / pivot).otherwise(F.get(m, t) - left * top / pivot)
 
-        return F.transform(_cells(), cell)
+        return F.transform(F.sequence(F.lit(0), F.lit(p * p)), cell)
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), matrix.cast("array<double>"), step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), F.concat(matrix.cast("array<double>"), F.array(F.lit(0.0))), step)
 
 
 def _estimate(moments: DataFrame) -> DataFrame:
-    """grp, centre and precision from grp, centre and covariance (flat arrays); the floors are added to the variances."""
+    """grp, start, centre, precision and logdet from grp, start, centre and covariance (flat arrays); the floors are added to the variances."""
     p = len(VECTOR)
     floors = [f * f for f in VECTOR.values()]
     ridge = F.array(*(F.lit(floors[t // p] if t % (p + 1) == 0 else 0.0) for t in range(p * p)))
-    return stored(moments.select("grp", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision")))
+    solved = moments.select("grp", "start", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision"))
+    return stored(solved.withColumn("logdet", F.get("precision", p * p)))
 
 
 def _distance() -> Column:
@@ -126,13 +130,29 @@ def _distance() -> Column:
 
 
 def _core_bins(rows: DataFrame) -> DataFrame:
-    """grp, the distance bin up to which the CORE share of its rows lies, and that distance."""
+    """grp, start and the distance bin up to which the CORE share of the rows lies."""
     from pyspark.sql import Window
 
-    counts = rows.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("grp").orderBy("bin")
-    summed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("grp")))
-    return summed.where(F.col("upto") >= CORE * F.col("all")).groupBy("grp").agg(F.min("bin").alias("core"))
+    counts = rows.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("grp", "start").orderBy("bin")
+    summed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start")))
+    return summed.where(F.col("upto") >= CORE * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias("core"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """grp, start, centre and covariance (diagonal) of each group's starts, from quantiles of each coordinate."""
+    p = len(VECTOR)
+    q = [F.percentile_approx(F.get("v", i), F.array(*(F.lit(k / 20) for k in range(21))), 1000).alias(f"q{i}") for i in range(p)]
+    halves = lambda i: F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct((F.get(f"q{i}", k + 10) - F.get(f"q{i}", k)).alias("width"), ((F.get(f"q{i}", k + 10) + F.get(f"q{i}", k)) / 2).alias("middle")))
+    found = rows.groupBy("grp").agg(*q)
+    found = found.select("grp", *(F.struct(F.get(f"q{i}", 10).alias("median"), (F.get(f"q{i}", 15) - F.get(f"q{i}", 5)).alias("width"), F.array_min(halves(i)).alias("half")).alias(f"c{i}") for i in range(p)))
+
+    def start(k: int, centre: str, width: str) -> Column:
+        spread = lambda i: F.pow(F.col(f"c{i}.{width}") / 1.349, 2)
+        return F.struct(F.lit(k).alias("start"), F.array(*(F.col(f"c{i}.{centre}") for i in range(p))).alias("centre"), F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance"))
+
+    tried = F.array(start(0, "median", "width"), start(1, "half.middle", "half.width"), start(2, "median", "half.width"))
+    return found.select("grp", F.explode(tried).alias("s")).select("grp", "s.*")
 
 
 def outlier_scores(rows: DataFrame) -> DataFrame:
@@ -142,16 +162,20 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     rows = stored(rows)
     few = rows.select("grp").distinct().count() <= BROADCAST_GROUPS
     sent = F.broadcast if few else (lambda table: table)
-    quarter = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000) for x in at)).alias("q"))
-    spread = lambda i: F.pow((F.get(F.get("q", i), 2) - F.get(F.get("q", i), 0)) / 1.349, 2)
-    estimate = _estimate(quarter.select("grp", F.transform("q", lambda x: F.get(x, 1)).alias("centre"), F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance")))
-    binned = lambda: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select("id", "grp", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
-    for _ in range(STEPS):
-        measured = binned()
-        core = measured.join(sent(_core_bins(measured)), "grp").where("bin <= core")
-        moments = core.groupBy("grp").agg(F.array(*map(F.avg, at)).alias("centre"), F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance"))
-        estimate = _estimate(moments)
-    measured = binned()
+    binned = lambda estimate: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select("id", "grp", "start", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
+    active = _estimate(_starts(rows)).withColumn("logdet", F.lit(float("inf")))
+    settled = None
+    while not active.isEmpty():
+        measured = binned(active)
+        core = measured.join(sent(_core_bins(measured)), ["grp", "start"]).where("bin <= core")
+        moments = core.groupBy("grp", "start").agg(F.array(*map(F.avg, at)).alias("centre"), F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance"))
+        found = _estimate(moments)
+        settled = found if settled is None else settled.unionByName(found)
+        active = stored(found.join(active.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).where(F.col("logdet") < F.col("was") - FALL).drop("was"))
+    if settled is None:
+        return rows.select("id", F.lit(None).cast("double").alias("far"))
+    best = settled.groupBy("grp").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    measured = binned(stored(best))
     edges = _core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(CHI_CORE / 3)).alias("edge"))
     return measured.where("own").join(sent(edges), "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
 

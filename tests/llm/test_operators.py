@@ -204,6 +204,16 @@ def test_rare_sources_are_judged_by_their_language(spark):
     assert len(got) == len(rows) and all(r.kept == (r.doc_id < 1000) for r in got)
 
 
+def test_hot_source_with_much_junk(spark):
+    from pricedex.llm.quality_rules import judge
+
+    rng = random.Random(7)
+    rows = [(i, prose(rng, rng.randint(60, 200)).capitalize() + ".", "en", "hot") for i in range(360)]
+    rows += [(1000 + i, " | ".join(prose(rng, 80).split()), "en", "hot") for i in range(240)]
+    got = judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert len(got) == 600 and all(r.kept == (r.doc_id < 1000) for r in got)
+
+
 def test_pii(spark, rows, docs, empty):
     from pricedex.llm import pii
 
