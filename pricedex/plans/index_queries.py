@@ -238,7 +238,7 @@ grid AS (SELECT d.publication_date, cell_id, level, last_matched_date FROM held
 
 
 def plain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chained(spark, sf_dir).where("level < 250").select(F.col("stratum").alias("cell_id"), "collection_date", "level", F.lit("PUBLISHED").alias("status"), F.col("collection_date").alias("last_matched_date"))
+    return chained(spark, sf_dir).select(F.col("stratum").alias("cell_id"), "collection_date", "level", F.lit("PUBLISHED").alias("status"), F.col("collection_date").alias("last_matched_date"))
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:

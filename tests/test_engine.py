@@ -99,6 +99,16 @@ def test_grid_repeats_states_and_never_multiplies(spark):
     assert got[DAY + timedelta(days=21)].status == "SUPPRESSED"
 
 
+def test_grid_holds_high_levels(spark):
+    from pricedex.plans import index_queries
+
+    sf = "/root/testdata/sf0.01"
+    states = lambda df, cell: {(r[cell], r.collection_date, r.level) for r in df.collect()}
+    expected = states(index_queries.chained(spark, sf), "stratum")
+    assert max(level for _, _, level in expected) > 250
+    assert states(index_queries.plain_states(spark, sf), "cell_id") == expected
+
+
 def test_period_change_skips_empty_periods(spark):
     rows = [("s", date(2026, 1, 5), 100.0), ("s", date(2026, 2, 5), None), ("s", date(2026, 3, 5), 110.0)]
     got = series.period_series(spark.createDataFrame(rows, "series string, collection_date date, level double"), "month").orderBy("period").collect()
