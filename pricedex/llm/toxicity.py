@@ -45,16 +45,22 @@ _CODE[97:123] = np.arange(26)
 _CODE[128:] = 26
 
 #: Tokens that may have passed through the channel: signs inside or beside letters, letters three times in a
-#: row, or single letters with separators between them.
+#: row, or single letters and look-alike signs with separators between them.  A last mark alone makes no token suspect.
+#: Matches without any letter are none (found).
 SUSPECT = regex.compile(
     rb"(?<![A-Za-z\x80-\xff0-9])(?:"
-    rb"[A-Za-z](?:[ ._\-*~^/]{1,2}[A-Za-z0-9@$!]){2,}(?![A-Za-z\x80-\xff0-9])"
-    rb"|(?=[0-9@$!|+(*#]*+[A-Za-z])(?=[A-Za-z]*+[0-9@$!|+(*#])[A-Za-z0-9@$!|+(*#]{3,40}+(?![._%-]?[A-Za-z0-9@\x80-\xff])"
+    rb"[A-Za-z0-9@$!|+(*#](?:[ ._\-*~^/]{1,2}[A-Za-z0-9@$!|+(*#](?![A-Za-z\x80-\xff0-9])){2,}+"
+    rb"|(?=[0-9@$!|+(*#]*+[A-Za-z])(?=[A-Za-z]*+[0-9@$!|+(*#])(?![A-Za-z]++[@$!|+(*#](?![A-Za-z0-9@$!|+(*#]))[A-Za-z0-9@$!|+(*#]{3,}+(?![._%-]?[A-Za-z0-9@\x80-\xff])"
     rb"|(?=[a-zA-Z]*?([a-zA-Z])\1\1)[A-Za-z]{3,}(?![A-Za-z\x80-\xff0-9])"
     rb")"
 )
 
 
+def found(text: bytes) -> list[bytes]:
+    """Suspect tokens of a text."""
+    return [m for m in (x.group() for x in SUSPECT.finditer(text)) if regex.search(rb"[A-Za-z]", m)]
+
+
 def letter_counts(texts: DataFrame) -> np.ndarray:
     """Trigram counts of all documents' letters (a table of fixed size; each task sends one)."""
 
@@ -155,26 +161,35 @@ def _core(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return starts, ends - mark
 
 
-_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER, _SIGN, _SYMBOL, _JOINED = (np.zeros(256, bool) for _ in range(4))
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN[[ord(c) for c in "".join(LOOKALIKES) + SEPARATORS.replace(" ", "")]] = True
+_SYMBOL[[ord(c) for c in "0123456789@$!|+(*#"]] = True
+_SYMBOL |= _LETTER
+_JOINED[48:58] = _JOINED[128:] = True
+_JOINED |= _LETTER
 
 
 def _suspects(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last byte of runs of words that SUSPECT can match in, and each row's range in them.
 
     A word is in one if it has both letters and signs (its last mark aside), a letter three times in a
-    row, or is a single letter.
+    row, or a letter or look-alike sign with no letter or digit beside it.
     """
     if not len(starts):
         return starts, ends, np.zeros(len(bounds), np.int64)
     letters = _LETTER[data]
     triple = np.zeros(len(data), bool)
     triple[:-2] = letters[:-2] & (data[:-2] == data[1:-1]) & (data[1:-1] == data[2:])
+    joined = _JOINED[data]
+    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    before[1:], after[:-1] = joined[:-1], joined[1:]
+    before[starts] = after[ends - 1] = False
+    lone = _SYMBOL[data] & ~before & ~after
     within = lambda mask, stop: np.diff(np.concatenate([[0], np.cumsum(mask)])[np.stack([starts, stop])], axis=0)[0]
     _, core = _core(data, starts, ends)
     n = within(letters, ends)
-    odd = (n > 0) & (within(_SIGN[data], core) > 0) | (within(triple, ends) > 0) | (n == 1) & (core - starts == 1)
+    odd = (n > 0) & (within(_SIGN[data], core) > 0) | (within(triple, ends) > 0) | (within(lone, ends) > 0)
     odd_at = np.flatnonzero(odd)
     row = np.searchsorted(bounds, odd_at, side="right")
     first = np.ones(len(odd_at), bool)
@@ -192,7 +207,7 @@ def places(data: np.ndarray, offsets: np.ndarray, restore: Restorer) -> Iterator
     raw = low.tobytes()
     for k in range(len(offsets) - 1):
         mine = own[bounds[k] : bounds[k + 1]].ravel()
-        restored = [w for r in range(runs[k], runs[k + 1]) for w in (restore(m.group()) for m in SUSPECT.finditer(raw[begin[r] : end[r]])) if len(w) > 2]
+        restored = [w for r in range(runs[k], runs[k + 1]) for w in (restore(m) for m in found(raw[begin[r] : end[r]])) if len(w) > 2]
         if restored:
             cuts = np.cumsum([0, *map(len, restored)])
             mine = np.concatenate([mine, _places(np.frombuffer(b"".join(restored), np.uint8), cuts[:-1], cuts[1:]).ravel()])

@@ -354,6 +354,23 @@ def test_restoration():
         assert restore(shown.encode()) == word
 
 
+def test_suspects_hold_all_matches():
+    import numpy as np
+
+    from pricedex.llm import toxicity
+    from pricedex.llm.textkernel import words
+
+    long = b"s" + b"o" * 60 + b"1"
+    shown = {b"you s t u p 1 d man": [b"s t u p 1 d"], b"f * c k": [b"f * c k"], b"such 1 d 1 0 t s": [b"1 d 1 0 t s"], b"an " + long + b" end": [long], b"1 2 3 4": [], b"hey! you": []}
+    rng = random.Random(8)
+    texts = [*shown, *("".join(rng.choice("abss1$*. .-!(\n") for _ in range(60)).encode() for _ in range(400)), b"*" * 3000 + b"ab"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    begin, end, runs = toxicity._suspects(data, *words(data, offsets))
+    raw = data.tobytes()
+    for k, text in enumerate(texts):
+        assert [m for r in range(runs[k], runs[k + 1]) for m in toxicity.found(raw[begin[r] : end[r]])] == toxicity.found(text) == shown.get(text, toxicity.found(text)), text
+
+
 def test_pipeline_stages_keep_columns(spark, tmp_path, docs):
     import corpus_pipeline
 
