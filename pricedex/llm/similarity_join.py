@@ -4,148 +4,198 @@ A document's distinct shingles are hashed into groups; the group counts are its
 two sets is at most the sum of their points' coordinate minima, and in an R-tree the same sum over two
 nodes' upper corners bounds every pair below them.
 
-Points of unrelated texts of one length lie close together, so one tree over all documents would visit
-nearly all pairs.  The top of the index is therefore a partition into lists that loses no pair: order all
-shingles by (frequency of their hash group over the corpus, hash); two sets with similarity >= t share a
-shingle among the first n - ceil(t * n) + 1 of each.  Each list is a subtree; its pairs are found by the
-R-tree bound and verified on the whole sets.
-
-Copies and large groups: documents with equal sets form one class.  A first round links each class of a
-list to the list's most central class (a star, not all pairs).  Further rounds look only at pairs of classes
-of one list that are not yet in one component, in blocks of bounded size, and propose each class's best
-partners by the bound: FIRST of them, then GROWTH times as many in each round, until no block has had to hold
-any back.  So every link between different components is found and components are exact, but a large group of
-copies is never written out as pairs.
+1. Classes.  Documents with equal sets are one class; everything below works on classes.
+2. Families, the top of the index.  Points of unrelated texts of one length lie close together, so one tree
+   over all classes would visit nearly all pairs.  Order all shingles by (frequency of their hash group over
+   the corpus, hash): two sets with similarity >= t share one of the first n - ceil(t * n) + 1 shingles of
+   each.  The classes that share such a shingle form a list; lists with the same least class are one family,
+   so a group of copies is a few families instead of one list for each shingle.  Every linked pair has a family.
+3. Trees.  Each family is one R-tree over points of POINT_GROUPS coordinates.  It does not write pairs out: it
+   keeps the members that have any possible partner.
+4. Verification.  The texts of those members meet once in each family.  A second tree with finer points proposes
+   pairs, the best bounds first, whole sets decide, and a pair whose two sides are already connected is passed
+   over.  What leaves a task is a spanning forest of the links, never more rows than members.
+5. Families beyond BLOCK members are cut into blocks, with the family's least class in each.  What the blocks
+   leave in different components is compared block against block: only blocks of fitting sizes, and never two
+   blocks of the family's main component.
+
+So components are exact, and rows grow with the documents, not with the pairs of a group.
 
 Cases: null or empty texts and texts without words have an empty set and no links; texts shorter than a
-shingle have their whole word sequence as one; repeated rows are copies; long texts are hashed in
-segments; empty tables give empty results; other columns are ignored, so their names may clash.
+shingle have their whole word sequence as one; repeated rows are copies, and rows of one id with different
+texts are one document, so their components are joined; rows with a null id have a null component; ties of
+similarity exactly at the threshold are links; long texts are hashed in segments; empty tables give empty
+results; other columns are ignored, so their names may clash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricedex.llm.shared import components, stored
 from pricedex.llm.textkernel import mix, shingle_sets, slices
 
 ORDER_GROUPS = 1 << 16
-POINT_LEAST, POINT_MOST = 16, 1 << 14
-COARSE = 256
+POINT_GROUPS = 256
+FINE_MOST = 1 << 14
 FULL = 255
 LEAF = 32
 NODE_GROUPS = 64
-BLOCK = 1000
-FIRST, GROWTH = 2, 4
+#: Members of a block, and shingles of its members on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Parts into which the rows of one set or one family are split where they are counted.
+SALTS = 64
 #: As many ids at most are sent to all executors to select texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Bytes of text whose sets are made at once.
+TEXT_BYTES = 4 << 20
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
-    """Counts of a set's shingles by hash group, at least two groups for a shingle, a power of two; counts end at FULL."""
-    groups = min(max(POINT_LEAST, 1 << (2 * len(shingles)).bit_length()), POINT_MOST)
-    return np.minimum(np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups), FULL).astype(np.uint8)
+def point(shingles: np.ndarray, groups: int) -> np.ndarray:
+    """Counts of a set's shingles by hash group; a count of FULL may be more."""
+    place = (shingles >> np.uint64(20)).astype(np.int64) & (groups - 1)
+    return np.minimum(np.bincount(place, minlength=groups), FULL).astype(np.uint8)
 
 
-def folded(p: np.ndarray, groups: int) -> np.ndarray:
-    """The point of the same set with fewer groups; all coordinates are out of reach if a count is at its type's end."""
-    out = p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
-    return out + (1 << 20) if p.max(initial=0) == np.iinfo(p.dtype).max else out
+def fine_groups(most: int) -> int:
+    """At least two groups for a shingle of the largest set, a power of two."""
+    return min(max(NODE_GROUPS, 1 << (2 * most - 1).bit_length()), FINE_MOST)
 
 
-def coarse(p: np.ndarray) -> np.ndarray:
-    """The point with COARSE groups at most, in 16 bits."""
-    return np.minimum(folded(p, min(len(p), COARSE)), 65535).astype(np.uint16)
-
-
-def may_link(p: np.ndarray, q: np.ndarray, n: int, m: int, percent: int) -> bool:
-    """Whether the summed coordinate minima allow 100 * overlap >= percent * union."""
-    groups = min(len(p), len(q))
-    return (100 + percent) * int(np.minimum(folded(p, groups), folded(q, groups)).sum()) >= percent * (n + m)
+def overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    return int(np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)) if len(x) else 0
 
 
 class CountVectorTree:
-    """R-tree over count vectors, packed by component (the largest first), size and first coordinates.
-
-    Nodes keep their upper corner, sizes and component, so two nodes of one component are never compared.
-    """
-
-    def __init__(self, points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray):
-        groups = min(NODE_GROUPS, min(map(len, points)))
-        rough = np.stack([folded(p, groups) for p in points])
-        _, label, count = np.unique(component, return_inverse=True, return_counts=True)
-        self.order = np.lexsort((rough[:, 0], sizes, label, -count[label]))
-        self.points, self.sizes, self.component = [points[i] for i in self.order], sizes[self.order], component[self.order]
-        upper, least, most, low, high = rough[self.order], self.sizes, self.sizes, self.component, self.component
-        self.levels = []
-        while True:
-            self.levels.append((upper, least, most, low, high))
-            if len(upper) == 1:
-                break
-            cuts = np.arange(0, len(upper), LEAF)
-            upper, least, most = np.maximum.reduceat(upper, cuts, axis=0), np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
-            low, high = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
-
-    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Indices i, j of points of different components whose bound allows a link, and the bound's share of the union."""
+    """R-tree over the rows of a matrix of counts, packed by size and first coordinates; nodes keep their upper corner."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+        rough = points.reshape(len(points), NODE_GROUPS, -1).sum(axis=2, dtype=np.int32)
+        self.order = np.lexsort((rough[:, 1], rough[:, 0], sizes))
+        self.points, self.sizes = points[self.order], sizes[self.order]
+        self.full = self.points.max(axis=1) == FULL
+        corner, least, most = rough[self.order], self.sizes, self.sizes
+        corner[self.full] += 1 << 20
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while not self.levels or len(corner) > 1:
+            cuts = np.arange(0, len(corner), LEAF)
+            corner = np.maximum.reduceat(corner, cuts, axis=0)
+            least, most = np.minimum.reduceat(least, cuts), np.maximum.reduceat(most, cuts)
+            self.levels.append((corner, least, most))
+
+    def pairs(self, percent: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Runs of rows x, y whose bound allows a link, the best bound first.
+
+        wanted(x, y) tells for two sets of rows which of their pairs are still of interest.
+        """
         stack = [(len(self.levels) - 1, 0, 0)]
         while stack:
             level, i, j = stack.pop()
-            if not level:
-                continue
             a, b = slice(i * LEAF, i * LEAF + LEAF), slice(j * LEAF, j * LEAF + LEAF)
-            upper, least, most, low, high = self.levels[level - 1]
-            fits = (100 * most[a][:, None] >= percent * least[b][None, :]) & (100 * most[b][None, :] >= percent * least[a][:, None])
-            fits &= (low[a][:, None] != high[b][None, :]) | (high[a][:, None] != low[b][None, :])
-            if not fits.any():
-                continue
-            bound = np.minimum(upper[a][:, None, :], upper[b][None, :, :]).sum(axis=2)
-            fits &= (100 + percent) * bound >= percent * (least[a][:, None] + least[b][None, :])
-            if level > 1:
-                stack.extend((level - 1, int(x) + i * LEAF, int(y) + j * LEAF) for x, y in np.argwhere(np.triu(fits) if i == j else fits))
+            if level:
+                corner, least, most = self.levels[level - 1]
+                fits = (100 * most[a][:, None] >= percent * least[b]) & (100 * most[b] >= percent * least[a][:, None])
+                if fits.any():
+                    bound = np.minimum(corner[a][:, None, :], corner[b]).sum(axis=2)
+                    fits &= (100 + percent) * bound >= percent * (least[a][:, None] + least[b])
+                    below = np.argwhere(np.triu(fits) if i == j else fits)
+                    stack.extend((level - 1, int(x) + a.start, int(y) + b.start) for x, y in below)
                 continue
+            n, m = self.sizes[a], self.sizes[b]
+            fits = (100 * n[:, None] >= percent * m) & (100 * m >= percent * n[:, None])
+            fits &= wanted(self.order[a], self.order[b])
             x, y = np.nonzero(np.triu(fits, 1) if i == j else fits)
             if not len(x):
                 continue
-            x, y = x + i * LEAF, y + j * LEAF
-            used = np.union1d(x, y)
-            groups = min(len(self.points[k]) for k in used)
-            fine = np.stack([folded(self.points[k], groups) for k in used])
-            bound = np.minimum(fine[np.searchsorted(used, x)], fine[np.searchsorted(used, y)]).sum(axis=1)
+            x, y = x + a.start, y + b.start
+            bound = np.minimum(self.points[x], self.points[y]).sum(axis=1, dtype=np.int64)
+            bound = np.where(self.full[x] | self.full[y], np.minimum(self.sizes[x], self.sizes[y]), bound)
             both = self.sizes[x] + self.sizes[y]
-            kept = (100 + percent) * bound >= percent * both
-            if kept.any():
-                x, y = x[kept], y[kept]
-                yield self.order[x], self.order[y], bound[kept] / both[kept]
+            kept = np.flatnonzero((100 + percent) * bound >= percent * both)
+            if len(kept):
+                kept = kept[np.argsort(-bound[kept] / both[kept], kind="stable")]
+                yield self.order[x[kept]], self.order[y[kept]]
+
+
+def possible(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have a partner of another component, and of the other side if there are two, that the bound allows."""
+    found = np.zeros(len(sizes), bool)
+    across = side.min() != side.max()
+
+    def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        open_pairs = (component[x][:, None] != component[y]) & ~(found[x][:, None] & found[y])
+        return open_pairs & (side[x][:, None] != side[y]) if across else open_pairs
+
+    for x, y in CountVectorTree(points, sizes).pairs(percent, wanted):
+        found[x] = found[y] = True
+    return found
+
+
+def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that connect whatever the links of these sets connect, beyond what the components already do."""
+    label = np.unique(component, return_inverse=True)[1]
+    across = side.min() != side.max()
+    links: list[tuple[int, int]] = []
+
+    def decide(x: int, y: int) -> None:
+        both = overlap(sets[x], sets[y])
+        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+            links.append((x, y))
+            label[label == label[y]] = label[x]
+
+    if len(sets) == 2:
+        if label[0] != label[1]:
+            decide(0, 1)
+        return links
+    sizes = np.array([len(s) for s in sets])
+    groups = fine_groups(int(sizes.max()))
+
+    def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        open_pairs = label[x][:, None] != label[y]
+        return open_pairs & (side[x][:, None] != side[y]) if across else open_pairs
+
+    for xs, ys in CountVectorTree(np.stack([point(s, groups) for s in sets]), sizes).pairs(percent, wanted):
+        for x, y in zip(xs.tolist(), ys.tolist()):
+            if label[x] != label[y]:
+                decide(x, y)
+    return links
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _set_key(shingles: np.ndarray) -> bytes:
-    """128-bit key of a set."""
-    a = mix(shingles + np.uint64(0x1234567)).sum(dtype=np.uint64)
-    b = mix(shingles ^ np.uint64(0x5DEECE66D5DEECE6)).sum(dtype=np.uint64)
-    return np.array([a, b, len(shingles)], np.uint64).tobytes()
+def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of each set's key."""
+    a = np.array([mix(s + np.uint64(0x1234567)).sum(dtype=np.uint64) + np.uint64(len(s)) for s in sets], np.uint64)
+    b = np.array([mix(s ^ np.uint64(0x5DEECE66D5DEECE6)).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return a.view(np.int64), b.view(np.int64)
 
 
 def document_points(texts: DataFrame, size: int) -> DataFrame:
-    """id, n, set key and points of each document; one map pass."""
+    """id, set size, set key and point of each document; one map pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
-                points = [point(s) for s in sets]
-                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array([coarse(p).tobytes() for p in points], pa.binary()), pa.array([p.tobytes() for p in points], pa.binary())], names=["id", "n", "key", "coarse", "fine"])
+                a, b = _set_keys(sets)
+                points = pa.array([point(s, POINT_GROUPS).tobytes() for s in sets], pa.binary())
+                columns = [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), points]
+                yield pa.record_batch(columns, names=["id", "n", "a", "b", "point"])
 
-    return texts.mapInArrow(run, "id bigint, n bigint, key binary, coarse binary, fine binary")
+    return texts.mapInArrow(run, "id bigint, n bigint, a bigint, b bigint, point binary")
 
 
 def group_frequencies(texts: DataFrame, size: int) -> np.ndarray:
@@ -155,8 +205,9 @@ def group_frequencies(texts: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(ORDER_GROUPS, np.int64)
         for batch in batches:
             for _, data, offsets in slices(batch, "text"):
-                for s in shingle_sets(data, offsets, size):
-                    np.add.at(total, (s & np.uint64(ORDER_GROUPS - 1)).astype(np.int64), 1)
+                found = list(shingle_sets(data, offsets, size))
+                groups = (np.concatenate(found) & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)
+                total += np.bincount(groups, minlength=ORDER_GROUPS)
         kept = np.flatnonzero(total)
         yield pa.record_batch([pa.array(kept), pa.array(total[kept])], names=["g", "n"])
 
@@ -167,173 +218,196 @@ def group_frequencies(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def prefix_lists(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(h, id): the rarest n - ceil(percent * n / 100) + 1 shingles of one document of each set in a task.
+    """(h, a): the rarest n - ceil(percent * n / 100) + 1 shingles of each set in a task, with the set's key.
 
-    Sets of one or two shingles can only be linked to equal ones and have no rows.
+    Sets that are too small to be linked to any but equal ones have no rows.
     """
     frequency = texts.sparkSession.sparkContext.broadcast(group_frequencies(texts, size).astype(np.uint64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text"):
-                hashes, lengths = [], []
-                for s in shingle_sets(data, offsets, size):
-                    n = len(s)
-                    key = _set_key(s)
-                    if n <= 2 or key in seen:
-                        lengths.append(0)
+            for _, data, offsets in slices(batch, "text"):
+                sets = [s for s in shingle_sets(data, offsets, size) if 100 * len(s) >= percent * (len(s) + 1)]
+                hashes, keys, lengths = [], [], []
+                for s, key, other in zip(sets, *_set_keys(sets)):
+                    if (key, other) in seen:
                         continue
-                    seen.add(key)
-                    p = n + (-percent * n // 100) + 1
+                    seen.add((key, other))
+                    p = len(s) + (-percent * len(s) // 100) + 1
                     order = np.lexsort((s, counts[(s & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)]))
                     hashes.append(s[order[:p]])
+                    keys.append(key)
                     lengths.append(p)
                 if hashes:
-                    ids = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), lengths)
-                    yield pa.record_batch([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(ids)], names=["h", "id"])
+                    columns = [pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), lengths))]
+                    yield pa.record_batch(columns, names=["h", "a"])
 
-    return texts.mapInArrow(run, "h bigint, id bigint")
+    return texts.mapInArrow(run, "h bigint, a bigint")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive rows with equal first `keys` columns, one batch each; rows come sorted by them."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches of whole groups and the groups' bounds in them; rows come sorted by the first `keys` columns."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0] if held else batch
+        columns = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
         breaks = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
-        bounds = [0, *breaks.tolist(), batch.num_rows]
-        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            part = batch.slice(a, b - a)
-            if held and (k or any(held[-1].column(i)[0] != part.column(i)[0] for i in range(keys))):
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-            held.append(part)
+        if len(breaks):
+            yield rows.slice(0, breaks[-1]), np.append(0, breaks)
+            rows = rows.slice(breaks[-1])
+        held = [rows]
     if held:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        yield held[0], np.array([0, held[0].num_rows])
 
 
-def tree_pairs(lists: DataFrame, components: DataFrame, points: DataFrame, percent: int, most: int) -> DataFrame:
-    """(a, b, held): pairs of one list and different components that the R-tree's bound allows.
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A binary column of equal lengths as a matrix."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
 
-    lists: (h, id).  Each class of a block proposes its `most` best partners; a row with held tells that a block
-    had more.  Lists beyond BLOCK rows are cut by size into blocks, and each pair of blocks is one group, so no
-    list is held whole.  Points join the rows last.
-    """
-    in_list = Window.partitionBy("h")
-    labelled = lists.join(components, "id", "left").join(points.select("id", "n"), "id").select("h", "id", F.coalesce("component", "id").alias("component"), "n")
-    facts = labelled.select("*", F.min("component").over(in_list).alias("lo"), F.max("component").over(in_list).alias("hi"), F.count(F.lit(1)).over(in_list).alias("k"), F.row_number().over(in_list.orderBy("n", "id")).alias("rank"))
-    block_of = lambda rank: F.floor((rank - 1) / BLOCK).cast("int")
-    cut = facts.where("lo <> hi and k > 2").withColumn("block", block_of(F.col("rank"))).withColumn("other", F.explode(F.sequence(F.lit(0), block_of(F.col("k")))))
-    cut = cut.join(points.select("id", "coarse"), "id")
-    cut = cut.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component", "n", "coarse", "block").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+
+GROUP = ("fam", "i", "j")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+
+def with_partners(rows: DataFrame, percent: int) -> DataFrame:
+    """Of (fam, i, j, id, a, n, component, side, point), the rows that may have a link in their group, without points."""
+    columns = [*GROUP, "id", "a", "component", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 3):
-            ids, component, n, block = (group.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 7))
-            if len(np.unique(component)) < 2:
-                continue
-            across = group.column(1)[0].as_py() != group.column(2)[0].as_py()
-            tree = CountVectorTree([np.frombuffer(p, np.uint16) for p in group.column(6).to_pylist()], n.astype(np.int64), component)
-            found = list(tree.pairs(percent))
-            if not found:
-                continue
-            x, y, bound = (np.concatenate(c) for c in zip(*found))
-            kept = (component[x] != component[y]) & ((block[x] != block[y]) | (not across))
-            x, y, bound = x[kept], y[kept], bound[kept]
-            # The rank of each pair among those of either class, the best bound first.
-            one, two, pair = np.concatenate([x, y]), np.concatenate([y, x]), np.tile(np.arange(len(x)), 2)
-            order = np.lexsort((ids[two], -np.tile(bound, 2), one))
-            starts = np.flatnonzero(np.append(True, one[order][1:] != one[order][:-1])) if len(order) else np.zeros(0, np.int64)
-            rank = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-            best = np.unique(pair[order[rank < most]])
-            a, b = ids[x[best]], ids[y[best]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(best), len(best) < len(x)))], names=["a", "b", "held"])
+        for batch, bounds in _whole_groups(batches, len(GROUP)):
+            component, side, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "side", "n"))
+            points = _matrix(batch.column("point"), POINT_GROUPS)
+            kept = np.zeros(batch.num_rows, bool)
+            for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                sizes = n[x:y]
+                if y - x == 2 and 100 * min(sizes) < percent * max(sizes):
+                    continue
+                if y - x > 1:
+                    kept[x:y] = possible(points[x:y], sizes, component[x:y], side[x:y], percent)
+            yield batch.select(columns).filter(pa.array(kept))
+
+    schema = "fam bigint, i bigint, j bigint, id bigint, a bigint, component bigint, side int"
+    return _grouped(rows.select(*GROUP, "id", "a", "n", "component", "side", "point")).mapInArrow(run, schema)
+
+
+def verified(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the links of each group of (fam, i, j, id, a, component, side), by whole sets."""
+    rows = stored(rows)
+    needed = rows.select("id").distinct()
+    if needed.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(needed), "id", "left_semi")
+    told = rows.join(texts, "id").select(*GROUP, "id", "a", "component", "side", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, bounds in _whole_groups(batches, len(GROUP)):
+            ids, keys, component, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "a", "component", "side"))
+            ends = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)))
+            links: list[tuple[int, int]] = []
+            at = 0
+            while at + 1 < len(bounds):
+                stop = max(at + 1, int(np.searchsorted(ends[bounds], ends[bounds[at]] + TEXT_BYTES, side="right")) - 1)
+                first = int(bounds[at])
+                part = batch.slice(first, int(bounds[stop]) - first)
+                sets = [s for _, data, offsets in slices(part, "text") for s in shingle_sets(data, offsets, size)]
+                right = _set_keys(sets)[0] == keys[first : first + len(sets)]
+                for x, y in zip(bounds[at:stop].tolist(), bounds[at + 1 : stop + 1].tolist()):
+                    own = np.flatnonzero(right[x - first : y - first]) + x
+                    if len(own) > 1:
+                        found = spanning_links([sets[k - first] for k in own], component[own], side[own], percent)
+                        links.extend((int(ids[own[u]]), int(ids[own[v]])) for u, v in found)
+                at = stop
+            if links:
+                u, v = zip(*links)
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return cut.mapInArrow(run, "a bigint, b bigint, held boolean").groupBy("a", "b").agg(F.max("held").alias("held"))
+    return _grouped(told).mapInArrow(run, "u bigint, v bigint")
 
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose points allow a link: sizes first, then coarse points, then fine ones for what is left."""
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int")
 
-    def step(pairs: DataFrame, column: str, kind: type) -> DataFrame:
-        side = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col(column).alias(f"p_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, _, n_a, n_b, p_a, p_b = (c.to_pylist() for c in batch.columns)
-                kept = [may_link(np.frombuffer(p, kind), np.frombuffer(q, kind), n, m, percent) for p, q, n, m in zip(p_a, p_b, n_a, n_b)]
-                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+def class_members(points: DataFrame) -> DataFrame:
+    """points with cls, the least id of equal sets.  Rows of one set are split by a salt, so none of them gather in one task."""
+    salted = points.withColumn("salt", _salt("id"))
+    parts = salted.where("n > 0").groupBy("a", "b", "salt").agg(F.min("id").alias("part"))
+    least = parts.groupBy("a", "b").agg(F.min("part").alias("cls"))
+    parts = parts.join(least, ["a", "b"]).select("a", "b", "salt", "cls")
+    return salted.join(parts, ["a", "b", "salt"], "left").select("id", "n", "a", F.coalesce("cls", "id").alias("cls"), "point")
 
-        return stored(both.mapInArrow(run, "a bigint, b bigint"))
 
-    size = lambda c: points.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    sized = pairs.join(size("a"), "a").join(size("b"), "b").where(f"100 * n_a >= {percent} * n_b and 100 * n_b >= {percent} * n_a").select("a", "b")
-    return step(step(stored(sized), "coarse", np.uint16), "fine", np.uint8)
+def families(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(fam, a, id, n, point): the classes of all lists with the same least key; fam is that key."""
+    shared = lists.groupBy("h").agg(F.min("a").alias("fam"), F.max("a").alias("last")).where("fam <> last").select("h", "fam")
+    rows = lists.join(shared, "h").select("fam", "a").distinct()
+    return rows.join(classes, "a").select("fam", "a", F.col("cls").alias("id"), "n", "point")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets have 100 * overlap >= percent * union.  Each text meets its partners' pair by pair."""
-    pairs = stored(pairs)
-    needed = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    if needed.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(needed), "id", "left_semi")
-    side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
+def _blocks(count: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(count / BLOCK, shingles / BLOCK_SHINGLES, F.lit(1.0))).cast("bigint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, offsets in slices(batch, "t_a"):
-                left = shingle_sets(data, offsets, size)
-                right = (s for _, d, o in slices(part, "t_b") for s in shingle_sets(d, o, size))
-                kept = []
-                for x, y in zip(left, right):
-                    both = len(x) + len(y) - len(np.union1d(x, y))
-                    kept.append(100 * both >= percent * (len(x) + len(y) - both))
-                yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+def _part(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), blocks.cast("bigint"))
 
 
-def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of each row: the smallest id reachable by links of similarity >= percent / 100.
+def across_blocks(rows: DataFrame, percent: int) -> DataFrame:
+    """Groups (fam, i, j) of pairs of blocks of (fam, a, id, n, point, component) that can hold a link between components.
 
-    Ids must be distinct.  Rows with a null id are dropped from the result's links but kept with a null component.
+    Blocks are parts of size bands; sets of two bands that are not neighbours differ too much in size.
     """
+    counts = rows.groupBy("fam", "component").count()
+    main = counts.groupBy("fam").agg(F.max(F.struct("count", "component")).alias("m"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    rows = rows.join(main.select("fam", F.col("m.component").alias("main")), "fam")
+    width = math.log(100 / percent) * (1 + 1e-9)
+    rows = rows.withColumn("inner", F.col("component") == F.col("main")).withColumn("band", F.floor(F.log(F.col("n")) / width).cast("int"))
+    cuts = rows.groupBy("fam", "inner", "band").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("parts"))
+    rows = rows.join(cuts, ["fam", "inner", "band"]).withColumn("part", _part(F.col("parts")))
+    blocks = cuts.select("fam", "inner", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    number = F.col("part") * (1 << 20) + F.col("band") * 2 + F.col("inner").cast("int")
+    blocks = blocks.withColumn("block", number)
+    named = lambda p: blocks.select("fam", *(F.col(c).alias(f"{p}{c}") for c in ("inner", "band", "part", "block")))
+    pairs = named("x_").join(named("y_"), "fam").where("abs(x_band - y_band) <= 1 and not (x_inner and y_inner)")
+    pairs = pairs.where("x_block <= y_block").select("*", F.col("x_block").alias("i"), F.col("y_block").alias("j"))
+    of = lambda p, side: pairs.select(*GROUP, *(F.col(f"{p}{c}").alias(c) for c in ("inner", "band", "part")), F.lit(side).alias("side"))
+    ends = of("x_", 0).unionByName(of("y_", 1).where("i <> j"))
+    return rows.join(ends, ["fam", "inner", "band", "part"]).select(*GROUP, "id", "a", "n", "component", "side", "point")
+
+
+def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of each row: the smallest id reachable by links of similarity >= percent / 100."""
     texts = _texts(docs, id_col, text_col)
+    known = texts.where("id is not null")
     points = stored(document_points(texts, size))
-    worded = points.where("n > 0 and id is not null")
-    classes = worded.groupBy("key").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("copies"))
-    member = stored(points.select("id", "n", "key").join(classes, "key", "left").select("id", "n", F.when(F.col("n") > 0, F.col("cls")).otherwise(F.col("id")).alias("cls")))
-
-    in_list = Window.partitionBy("h")
-    shared = prefix_lists(texts.where("id is not null"), size, percent).withColumn("k", F.count(F.lit(1)).over(in_list)).where("k > 1").select("h", "id")
-    lists = shared.join(member.select("id", "cls"), "id").select("h", F.col("cls").alias("id")).distinct()
-    # Lists with the same members are one list; a class is the more central the more classes its lists have.
-    lists = stored(lists.withColumn("k", F.count(F.lit(1)).over(in_list)).where("k > 1"))
-    central = lists.groupBy("id").agg(F.sum("k").alias("weight"))
-    lists = lists.join(central, "id")
-    marks = lists.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(7), "id")).alias("x"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("leader"))
-    kept = marks.groupBy("k", "s", "x", "leader").agg(F.min("h").alias("h")).select("h", "leader")
-    lists = stored(lists.select("h", "id").join(kept, "h"))
-
-    pair = (F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
-    tried = stored(lists.where("id <> leader").select(*pair).distinct())
-    links = stored(verified(bounded(tried, points, percent), texts, size, percent))
-    joined = stored(components(links))
-    most = FIRST
-    while True:
-        proposed = stored(tree_pairs(lists, joined, points, percent, most))
-        fresh = stored(proposed.select("a", "b").join(tried, ["a", "b"], "left_anti"))
-        more = stored(verified(bounded(fresh, points, percent), texts, size, percent))
+    member = stored(class_members(points.where("id is not null")))
+    classes = member.where("n > 0 and id = cls").select("cls", "a", "n", "point").distinct()
+    members = stored(families(stored(prefix_lists(known, size, percent)), classes))
+
+    counted = members.groupBy("fam").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    large = stored(counted.select("fam", _blocks(F.col("k"), F.col("s")).alias("parts")).where("parts > 1"))
+    cut = members.join(large, "fam", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
+    blocks = F.when(F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(_part(F.col("parts"))))
+    cut = cut.withColumn("i", F.explode(blocks)).select("*", F.col("i").alias("j"), F.col("id").alias("component"), F.lit(0).alias("side"))
+    links = stored(verified(with_partners(cut, percent), known, size, percent))
+
+    # Rows of one id with different texts are one document.
+    repeated = member.groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v")
+    repeated = stored(repeated.select("id", "u").unionByName(repeated.select("id", F.col("v").alias("u"))).where("id <> u"))
+    links = links.unionByName(repeated.select(F.col("id").alias("u"), F.col("u").alias("v")))
+    joined = stored(components(links, "u", "v"))
+    if not large.isEmpty():
+        rest = members.join(large.select("fam"), "fam", "left_semi").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        more = stored(verified(with_partners(across_blocks(stored(rest), percent), percent), known, size, percent))
         if not more.isEmpty():
-            links = links.unionByName(more)
-            joined = stored(components(links))
-        if not proposed.where("held").limit(1).count():
-            break
-        tried = tried.unionByName(fresh)
-        most *= GROWTH
-    return member.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "cls").alias("component_id"))
+            joined = stored(components(links.unionByName(more), "u", "v"))
+
+    found = member.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
+    found = found.unionByName(points.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("component")))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -72,18 +72,8 @@ def test_jaccard_components(spark, rows, docs, empty):
     assert jaccard_components(empty).count() == 0
 
 
-def test_large_group_without_a_centre(spark):
-    """Many near copies of a missing original: links between copies only, more than the first proposals hold."""
-    from pricedex.llm import similarity_join
-
-    rng = random.Random(5)
-    words = prose(rng, 80).split()
-    texts = []
-    for _ in range(150):
-        changed = list(words)
-        for _ in range(rng.randint(1, 3)):
-            changed[rng.randrange(80)] = f"v{rng.randrange(10_000)}"
-        texts.append(" ".join(changed))
+def _components(texts):
+    """Least index reachable by links of similarity 0.75 or more, by comparing all pairs."""
     sets = [shingles(t) for t in texts]
     root = list(range(len(sets)))
 
@@ -94,32 +84,64 @@ def test_large_group_without_a_centre(spark):
 
     for a in range(len(sets)):
         for b in range(a):
-            both = len(sets[a] & sets[b])
-            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = find(a), find(b)
+            x, y = find(a), find(b)
+            if x != y and 100 * (both := len(sets[a] & sets[b])) >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 root[max(x, y)] = min(x, y)
+    return [find(k) for k in range(len(sets))]
+
+
+def _near_copies(rng, n, words, most):
+    for _ in range(n):
+        changed = list(words)
+        for _ in range(rng.randint(1, most)):
+            changed[rng.randrange(len(words))] = f"v{rng.randrange(100_000)}"
+        yield " ".join(changed)
+
+
+@pytest.mark.parametrize(("n", "block"), [(1000, 512), (400, 16)])
+def test_large_group_without_a_centre(spark, monkeypatch, n, block):
+    """Many near copies of a missing original: links between copies only, in more blocks than one."""
+    from pricedex.llm import similarity_join
+
+    monkeypatch.setattr(similarity_join, "BLOCK", block)
+    rng = random.Random(n)
+    texts = list(_near_copies(rng, n, prose(rng, 80).split(), 3 if n == 1000 else 5))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in similarity_join.jaccard_components(docs).collect()}
-    assert got == {k: find(k) for k in range(len(sets))}
+    assert got == dict(enumerate(_components(texts)))
+
+
+def test_repeated_ids_are_one_document(spark):
+    from pricedex.llm.similarity_join import jaccard_components
+
+    rng = random.Random(9)
+    one, two, three = (prose(rng, 30) for _ in range(3))
+    rows = [(1, one), (5, one), (5, two), (7, two), (7, two), (8, three), (None, one), (9, None)]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(-1, None), (1, 1), (5, 1), (5, 1), (7, 1), (7, 1), (8, 8), (9, 9)]
 
 
 def test_tree_loses_no_pair():
     import numpy as np
 
-    from pricedex.llm.similarity_join import CountVectorTree, coarse, may_link, point
+    from pricedex.llm.similarity_join import POINT_GROUPS, CountVectorTree, fine_groups, overlap, point
 
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 62, 400).astype(np.uint64)
     sets = [np.unique(rng.choice(pool, rng.integers(150, 350), replace=False)) for _ in range(90)]
-    points, sizes = [coarse(point(s)) for s in sets], np.array([len(s) for s in sets])
-    component = np.arange(90) // 2
-    found = {(min(i, j), max(i, j)) for x, y, _ in CountVectorTree(points, sizes, component).pairs(75) for i, j in zip(x.tolist(), y.tolist())}
-    for i in range(90):
-        for j in range(i + 1, 90):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if component[i] != component[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-                assert (i, j) in found
-                assert may_link(point(sets[i]), point(sets[j]), len(sets[i]), len(sets[j]), 75)
+    sets += [np.unique(rng.integers(0, 1 << 62, 70_000).astype(np.uint64))] * 2  # counts at their type's end
+    sizes, component = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
+    component[-1] = -1
+    for groups in (POINT_GROUPS, fine_groups(350)):
+        tree = CountVectorTree(np.stack([point(s, groups) for s in sets]), sizes)
+        runs = tree.pairs(75, lambda x, y: component[x][:, None] != component[y])
+        found = {(min(i, j), max(i, j)) for x, y in runs for i, j in zip(x.tolist(), y.tolist())}
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                both = overlap(sets[i], sets[j])
+                assert both == len(np.intersect1d(sets[i], sets[j]))
+                if component[i] != component[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    assert (i, j) in found
 
 
 def test_tokens(spark, rows, docs, empty):
