@@ -2,24 +2,26 @@
 
 A document leaks a benchmark item if one of its windows of as many words as the item has a weighted shingle
 similarity (sum of minima over sum of maxima of the shingles' counts) of at least percent / 100 to it.  A document
-of fewer words than the item is one window, so that items cut short are found too.
-
-1. Windows.  Documents' shingles that the benchmark has are found by one hash join.  A window that starts between
-   two of them shares no more than the one that starts at the next, so the starts at shared shingles (or the
-   document's last window) hold a best window of every item.  Those with too few shared shingles to reach
-   percent are left out by an exact bound.  Where one is left, the windows that are aligned with an item at a shared
-   shingle are tried too: of equally similar windows, aligned ones come first, then earlier ones.  Windows with
-   the same words are one.
+of fewer words than the item is one window, so that items cut short are found too.  Of several windows with the
+greatest similarity, the last one counts.
+
+1. Windows.  Documents' shingles that the benchmark has are found by one hash join.  Moving a window's start to
+   the next shingle of the item loses nothing, so the last best window starts at a shared shingle or is the
+   document's last one; only these are made.  A window with too few shared shingles to reach percent with any item
+   of its length is left out by an exact bound, so no window that could leak is lost.  Windows with the same words
+   are one.
 2. Fingerprints.  64-bit SimHash over the shingles of each window and item, weighted by their counts.
 3. Blocks.  Fingerprints are cut into BLOCKS blocks.  Two within RADIUS bits differ by at most
    RADIUS // BLOCKS bits in some block, so a join on (words, block, value) with every item's block values within
    that many bits finds all windows within RADIUS, whatever the data.  At the least similarity the expected
-   distance is 11 bits with a deviation of 3; RADIUS is four deviations beyond.
+   distance is 11 bits with a deviation of 3; RADIUS is four deviations beyond.  So wide a radius lets blocks pass
+   many pairs of one length; what keeps the join small is that step 1 leaves hardly any window that is no leak.
 4. Verification on the shingles themselves.
 
 Cases: null, empty and blank texts leak nothing and blank items are leaked by nothing; texts and items shorter
 than a shingle have their whole sequence as one, so items of few words are leaked by windows of the same
-words; repeated documents and items each get their rows; A-Z are compared in lower case; empty tables give empty
+words; a document id that repeats is one document with several texts, repeated items each get their rows, rows
+with a null id have none; A-Z are compared in lower case; ties go to the last window; empty tables give empty
 results; long documents are read whole; other columns are ignored.
 """
 
@@ -87,29 +89,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     sizes = [size, *short]
     of_item = items.select("item", "n", F.explode(F.array(*(whole(F.col("w"), g) for g in sizes))).alias("s")).where((F.col("s.g") == size) & (F.col("n") >= size) | (F.col("s.g") == F.col("n")) & (F.col("n") < size))
     of_item = stored(of_item.select("item", "n", "s.g", F.posexplode("s.hs").alias("at", "h")))
-    aligned = of_item.select("g", "h", "n", "at").distinct()
-    many = aligned.count()
-    if many <= BROADCAST_SHINGLES:
-        aligned = F.broadcast(aligned)
+    known = of_item.select("g", "h", "n").distinct()
+    if known.count() <= BROADCAST_SHINGLES:
+        known = F.broadcast(known)
 
-    # Where documents have them, and the windows that start there or are aligned with an item there.
-    of_text = texts.select("id", F.size("w").alias("words"), F.explode(F.array(*(whole(F.col("w"), g) for g in sizes))).alias("s")) if short else texts.select("id", F.size("w").alias("words"), whole(F.col("w"), size).alias("s"))
+    # Where documents have them, and the windows that start there or at the document's end.
+    parts = F.explode(F.array(*(whole(F.col("w"), g) for g in sizes)))
+    of_text = texts.select("id", F.size("w").alias("words"), (parts if short else whole(F.col("w"), size)).alias("s"))
     of_text = of_text.select("id", "words", F.col("s.g").alias("g"), F.posexplode("s.hs").alias("p", "h"))
-    met = of_text.join(aligned, ["g", "h"])
-    last = F.greatest(F.col("words") - F.col("n"), F.lit(0))
-    start = F.greatest(F.least(F.col("p") - F.col("at"), last), F.lit(0))
-    hits = met.groupBy("id", "words", "n").agg(F.sort_array(F.collect_set(F.col("p").cast("int"))).alias("places"), F.collect_set(start.cast("int")).alias("aligned"))
+    hits = of_text.join(known, ["g", "h"]).groupBy("id", "words", "n").agg(F.sort_array(F.collect_set(F.col("p").cast("int"))).alias("places"))
     # A window of W shingles and an item of M reach percent only with (W + M) * percent / (100 + percent) in common.
-    item_shingles = F.greatest(F.col("n") - size + 1, F.lit(1))
-    hits = hits.withColumn("last", last.cast("int")).withColumn("span", F.greatest(F.least("n", "words") - size + 1, F.lit(1)).cast("int"))
-    hits = hits.withColumn("least", F.greatest(F.ceil((F.col("span") + item_shingles) * percent / (100 + percent) - 1e-9), F.lit(1)).cast("int"))
+    last = F.greatest(F.col("words") - F.col("n"), F.lit(0)).cast("int")
+    span = F.greatest(F.least("n", "words") - size + 1, F.lit(1)).cast("int")
+    needed = F.ceil((F.col("span") + F.greatest(F.col("n") - size + 1, F.lit(1))) * percent / (100 + percent) - 1e-9)
+    hits = hits.withColumn("last", last).withColumn("span", span).withColumn("least", F.greatest(needed, F.lit(1)).cast("int"))
     full = lambda p, i: F.coalesce(F.get("places", i + F.col("least") - 1) < p + F.col("span"), F.lit(False)) & (p <= F.col("last"))
-    at_end = F.when(F.size(F.filter("places", lambda p: p >= F.col("last"))) >= F.col("least"), F.array("last")).otherwise(F.array().cast("array<int>"))
-    hits = hits.withColumn("starts", F.array_union(F.filter("places", full), at_end)).where(F.size("starts") > 0)
-    windows = hits.select("id", "n", F.explode(F.concat(F.transform("aligned", lambda x: F.struct(x.alias("start"), F.lit(True).alias("aligned"))), F.transform(F.array_except("starts", "aligned"), lambda x: F.struct(x.alias("start"), F.lit(False).alias("aligned"))))).alias("c"))
-    windows = stored(windows.select("id", "n", "c.*"))
-    cut = texts.join(windows.groupBy("id").agg(F.collect_set(F.struct("n", "start", "aligned")).alias("cuts")), "id")
-    cut = cut.select("id", "w", F.explode("cuts").alias("c")).select("id", F.col("c.n").alias("n"), F.col("c.start").alias("start"), F.col("c.aligned").alias("aligned"), F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("w"))
+    at_end = F.size(F.filter("places", lambda p: p >= F.col("last"))) >= F.col("least")
+    ending = F.when(at_end, F.array("last")).otherwise(F.array().cast("array<int>"))
+    windows = stored(hits.select("id", "n", F.explode(F.array_union(F.filter("places", full), ending)).alias("start")))
+    cut = texts.join(windows.groupBy("id").agg(F.collect_set(F.struct("n", "start")).alias("cuts")), "id")
+    cut = cut.select("id", "w", F.explode("cuts").alias("c")).where(F.col("c.start") <= F.greatest(F.size("w") - F.col("c.n"), F.lit(0)))
+    cut = cut.select("id", "c.n", "c.start", F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("w"))
     cut = stored(cut.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
     distinct = cut.groupBy("key").agg(F.first("w").alias("w"))
     hashes = F.when(F.size("w") >= size, shingles(F.col("w"), size)).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
@@ -132,6 +132,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     item_totals = of_item.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     exact = both.join(totals, "key").join(item_totals, "item").withColumn("union", F.col("n_key") + F.col("n_item") - F.col("both")).where(100 * F.col("both") >= percent * F.col("union"))
     exact = stored(exact.select("key", "item", F.floor(100 * F.col("both") / F.col("union")).cast("bigint").alias("similarity")))
-    found = cut.select("id", "key", "start", "aligned", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("start"), "n_words")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), (-F.col("b.start")).cast("bigint").alias("start"), F.col("b.n_words").cast("bigint").alias("n_words"), F.col("b.similarity").alias("similarity"))
+    found = cut.select("id", "key", "start", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", "start", "n_words")).alias("b"))
+    counts = (F.col(f"b.{c}").cast("bigint").alias(c) for c in ("start", "n_words", "similarity"))
+    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), *counts)

@@ -35,15 +35,19 @@ def _url_filter(order: int = 4) -> str:
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, host, path, rule, coalesce(ruled.ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM ruled JOIN scores USING (scored) CROSS JOIN cut"
 
 
-_DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-ds AS (SELECT doc_id, len(w) AS words, i AS p, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5),
-bs AS (SELECT item_id, len(w) AS n, i AS pos, array_to_string(w[i:i + 4], ' ') AS s FROM b, unnest(range(1, len(w) - 3)) AS t(i) WHERE len(w) >= 5),
-windows AS (SELECT DISTINCT doc_id, n, greatest(least(p - pos, words - n), 0) AS start FROM ds JOIN bs USING (s) WHERE words >= n),
-ws AS (SELECT doc_id, n, start, array_to_string(w[start + i:start + i + 4], ' ') AS s, count(*) AS c FROM windows JOIN d USING (doc_id), unnest(range(1, n - 3)) AS t(i) GROUP BY ALL),
-bc AS (SELECT item_id, n, s, count(*) AS c FROM bs GROUP BY ALL),
-pairs AS (SELECT doc_id, item_id, n, start, sum(least(ws.c, bc.c)) AS common_n FROM ws JOIN bc USING (n, s) GROUP BY ALL),
-best AS (SELECT *, CAST(floor(100 * common_n / (2 * (n - 4) - common_n)) AS BIGINT) AS similarity FROM pairs WHERE 100 * common_n >= 75 * (2 * (n - 4) - common_n))
-SELECT doc_id, item_id, CAST(start AS BIGINT) AS start, CAST(n AS BIGINT) AS n_words, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS rn FROM best) WHERE rn = 1"""
+#: Every start of every document that shares a shingle with the item (others have similarity 0), whatever it is aligned with.
+#: Texts and items below five words have their whole sequence as one shingle.
+_DECONTAMINATION = f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL), b AS (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark),
+sizes AS (SELECT item, item_id, w AS v, len(w) AS n, least(len(w), 5) AS g FROM b WHERE len(w) > 0),
+bs AS (SELECT item, n, g, array_to_string(v[i:i + g - 1], ' ') AS s, count(*) AS c FROM sizes, unnest(range(1, n - g + 2)) AS t(i) GROUP BY ALL),
+ds AS (SELECT doc_id, w, g, i AS p, array_to_string(w[i:i + g - 1], ' ') AS s FROM d, (SELECT DISTINCT g FROM sizes) AS k, unnest(range(1, len(w) - g + 2)) AS t(i) WHERE len(w) >= g),
+pairs AS (SELECT DISTINCT doc_id, w, item, n, g FROM ds JOIN bs USING (g, s)),
+starts AS (SELECT doc_id, item, n, g, least(n, len(w)) AS span, i AS start, w[i:i + least(n, len(w)) - 1] AS x FROM pairs, unnest(range(1, greatest(len(w) - n, 0) + 2)) AS t(i)),
+ws AS (SELECT doc_id, item, span, g, start, array_to_string(x[i:i + g - 1], ' ') AS s, count(*) AS c FROM starts, unnest(range(1, span - g + 2)) AS t(i) GROUP BY ALL),
+common AS (SELECT doc_id, item, span, start, ws.g, any_value(n) AS n, sum(least(ws.c, bs.c)) AS inter FROM ws JOIN bs USING (item, g, s) GROUP BY doc_id, item, span, start, ws.g),
+scored AS (SELECT *, (span - g + 1) + (n - g + 1) - inter AS union_n FROM common),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(floor(100 * inter / union_n) AS BIGINT) DESC, start DESC) AS rn FROM scored JOIN (SELECT item, item_id FROM b) USING (item) WHERE 100 * inter >= 75 * union_n)
+SELECT doc_id, item_id, CAST(start - 1 AS BIGINT) AS start, CAST(span AS BIGINT) AS n_words, CAST(floor(100 * inter / union_n) AS BIGINT) AS similarity FROM best WHERE rn = 1"""
 
 _JACCARD = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
