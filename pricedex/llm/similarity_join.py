@@ -15,9 +15,12 @@ nodes' upper corners bounds every pair below them.
 4. Verification.  The texts of those members meet once in each family.  A second tree with finer points proposes
    pairs, the best bounds first, whole sets decide, and a pair whose two sides are already connected is passed
    over.  What leaves a task is a spanning forest of the links, never more rows than members.
-5. Families beyond BLOCK members are cut into blocks, with the family's least class in each.  What the blocks
-   leave in different components is compared block against block: only blocks of fitting sizes, and never two
-   blocks of the family's main component.
+5. Two rounds of 3 and 4.  In the first, each class is in one family only, the one with the least key of its
+   families; that joins most copies.  In the second, all members of those families are compared that are not in
+   one component yet.
+6. Families beyond BLOCK members are cut into blocks, in the first round with the family's least class in each.  In the
+   second, what is in different components is compared block against block: only blocks of fitting sizes,
+   and never two blocks of the family's main component.
 
 So components are exact, and rows grow with the documents, not with the pairs of a group.
 
@@ -184,45 +187,43 @@ def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_points(texts: DataFrame, size: int) -> DataFrame:
-    """id, set size, set key and point of each document; one map pass."""
+    """id, set size, set key and point of each document; one map pass.
+
+    Each task also sends its number of shingles in each of ORDER_GROUPS hash groups: rows (a, n) without a point.
+    """
+    columns = ["id", "n", "a", "b", "point"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(ORDER_GROUPS, np.int64)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
                 a, b = _set_keys(sets)
                 points = pa.array([point(s, POINT_GROUPS).tobytes() for s in sets], pa.binary())
-                columns = [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), points]
-                yield pa.record_batch(columns, names=["id", "n", "a", "b", "point"])
+                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), points], names=columns)
+                groups = (np.concatenate(sets) & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)
+                total += np.bincount(groups, minlength=ORDER_GROUPS)
+        kept = np.flatnonzero(total)
+        none = pa.nulls(len(kept), pa.int64())
+        yield pa.record_batch([none, pa.array(total[kept]), pa.array(kept), none, pa.nulls(len(kept), pa.binary())], names=columns)
 
     return texts.mapInArrow(run, "id bigint, n bigint, a bigint, b bigint, point binary")
 
 
-def group_frequencies(texts: DataFrame, size: int) -> np.ndarray:
-    """Number of shingles of the corpus in each of ORDER_GROUPS hash groups (a table of fixed size)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ORDER_GROUPS, np.int64)
-        for batch in batches:
-            for _, data, offsets in slices(batch, "text"):
-                found = list(shingle_sets(data, offsets, size))
-                groups = (np.concatenate(found) & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)
-                total += np.bincount(groups, minlength=ORDER_GROUPS)
-        kept = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(kept), pa.array(total[kept])], names=["g", "n"])
-
-    out = np.zeros(ORDER_GROUPS, np.int64)
-    for row in texts.mapInArrow(run, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect():
-        out[row.g] = row.n
+def group_frequencies(scanned: DataFrame) -> np.ndarray:
+    """Number of shingles of the corpus in each of ORDER_GROUPS hash groups (a table of fixed size), of document_points."""
+    out = np.zeros(ORDER_GROUPS, np.uint64)
+    for row in scanned.where("point is null").groupBy("a").agg(F.sum("n").alias("n")).collect():
+        out[row.a] = row.n
     return out
 
 
-def prefix_lists(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(h, a): the rarest n - ceil(percent * n / 100) + 1 shingles of each set in a task, with the set's key.
+def prefix_lists(texts: DataFrame, counted: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(h, a): the rarest n - ceil(percent * n / 100) + 1 shingles of each set in a task, with the set's key.  counted: group_frequencies.
 
     Sets that are too small to be linked to any but equal ones have no rows.
     """
-    frequency = texts.sparkSession.sparkContext.broadcast(group_frequencies(texts, size).astype(np.uint64))
+    frequency = texts.sparkSession.sparkContext.broadcast(counted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = frequency.value, set()
@@ -346,7 +347,7 @@ def class_members(points: DataFrame) -> DataFrame:
 def families(lists: DataFrame, classes: DataFrame) -> DataFrame:
     """(fam, a, id, n, point): the classes of all lists with the same least key; fam is that key."""
     shared = lists.groupBy("h").agg(F.min("a").alias("fam"), F.max("a").alias("last")).where("fam <> last").select("h", "fam")
-    rows = lists.join(shared, "h").select("fam", "a").distinct()
+    rows = lists.join(shared.hint("shuffle_hash"), "h").select("fam", "a").distinct()
     return rows.join(classes, "a").select("fam", "a", F.col("cls").alias("id"), "n", "point")
 
 
@@ -358,6 +359,28 @@ def _part(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("id"), blocks.cast("bigint"))
 
 
+def home_groups(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups (fam, i, j) of the first round: each class in the family of the least key of its families, large ones in blocks.
+
+    A family's least class is in all of its blocks.
+    """
+    home = members.groupBy("id", "a").agg(F.min("fam").alias("home"))
+    rows = members.join(home, ["id", "a"]).where("fam = home or fam = a").join(sizes, "fam")
+    blocks = F.when(F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(_part(F.col("parts"))))
+    rows = rows.withColumn("i", F.explode(blocks)).withColumns({"j": F.col("i"), "component": F.col("id"), "side": F.lit(0)})
+    return rows.select(*GROUP, "id", "a", "n", "component", "side", "point")
+
+
+def open_groups(members: DataFrame, sizes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Groups (fam, i, j) of the second round: the families whose classes are not in one component yet."""
+    rows = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    spread = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = stored(rows.join(spread.join(sizes, "fam").select("fam", "parts"), "fam"))
+    small = rows.where("parts = 1").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)})
+    small = small.select(*GROUP, "id", "a", "n", "component", "side", "point")
+    return small.unionByName(across_blocks(rows.where("parts > 1").drop("parts"), percent))
+
+
 def across_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Groups (fam, i, j) of pairs of blocks of (fam, a, id, n, point, component) that can hold a link between components.
 
@@ -384,29 +407,22 @@ def across_blocks(rows: DataFrame, percent: int) -> DataFrame:
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of each row: the smallest id reachable by links of similarity >= percent / 100."""
     texts = _texts(docs, id_col, text_col)
-    known = texts.where("id is not null")
-    points = stored(document_points(texts, size))
+    scanned = stored(document_points(texts, size))
+    points, known = scanned.where("point is not null"), texts.where("id is not null")
     member = stored(class_members(points.where("id is not null")))
     classes = member.where("n > 0 and id = cls").select("cls", "a", "n", "point").distinct()
-    members = stored(families(stored(prefix_lists(known, size, percent)), classes))
-
-    counted = members.groupBy("fam").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
-    large = stored(counted.select("fam", _blocks(F.col("k"), F.col("s")).alias("parts")).where("parts > 1"))
-    cut = members.join(large, "fam", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("bigint")))
-    blocks = F.when(F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(_part(F.col("parts"))))
-    cut = cut.withColumn("i", F.explode(blocks)).select("*", F.col("i").alias("j"), F.col("id").alias("component"), F.lit(0).alias("side"))
-    links = stored(verified(with_partners(cut, percent), known, size, percent))
+    members = stored(families(stored(prefix_lists(known, group_frequencies(scanned), size, percent)), classes))
+    sizes = stored(members.groupBy("fam").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("parts")))
 
     # Rows of one id with different texts are one document.
     repeated = member.groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v")
-    repeated = stored(repeated.select("id", "u").unionByName(repeated.select("id", F.col("v").alias("u"))).where("id <> u"))
-    links = links.unionByName(repeated.select(F.col("id").alias("u"), F.col("u").alias("v")))
+    repeated = repeated.select("id", F.explode(F.array("u", "v")).alias("u")).where("id <> u")
+    links = verified(with_partners(home_groups(members, sizes), percent), known, size, percent)
+    links = stored(links.unionByName(repeated.select("u", F.col("id").alias("v"))))
     joined = stored(components(links, "u", "v"))
-    if not large.isEmpty():
-        rest = members.join(large.select("fam"), "fam", "left_semi").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        more = stored(verified(with_partners(across_blocks(stored(rest), percent), percent), known, size, percent))
-        if not more.isEmpty():
-            joined = stored(components(links.unionByName(more), "u", "v"))
+    more = stored(verified(with_partners(open_groups(members, sizes, joined, percent), percent), known, size, percent))
+    if not more.isEmpty():
+        joined = stored(components(links.unionByName(more), "u", "v"))
 
     found = member.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
     found = found.unionByName(points.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("component")))
