@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable
 from datetime import date, timedelta
 from typing import Any
@@ -67,25 +68,37 @@ def _advance(day: date, own: float | None, why: str | None, parent: float | None
     return state(None, "SUPPRESSED", reason=f"no relative: {why or 'unknown'}")
 
 
-def fold_states(rows: Iterable[dict[str, Any]], weights: dict[str, float], earlier: Iterable[dict[str, Any]] = (), lag: int = LAG_DAYS) -> list[dict[str, Any]]:
-    """States of one parent stratum's due cells, date by date.
+def fold_states(rows: Iterable[dict[str, Any]], weights: dict[str, float], earlier: Iterable[dict[str, Any]] = ()) -> list[dict[str, Any]]:
+    """States of one parent stratum's due cells, date by date, from each cell's latest state before.
 
     Cells that chain or carry come first; the parent's level is the weighted mean over them; cells without a usable
     level then enter at that level.  The share of a cell's states carried in the IMPUTATION_WINDOW_DAYS before
-    a link is its imputation rate.
+    a link is its imputation rate.  Each row is visited once; of a cell only the states of that window are held.
     """
     by_date: dict[date, list[dict[str, Any]]] = {}
     for row in rows:
         by_date.setdefault(row["collection_date"], []).append(row)
-    known: dict[tuple[str, date], dict[str, Any]] = {(s["cell_id"], s["collection_date"]): s for s in earlier}
+    latest: dict[str, dict[str, Any]] = {}
+    window: dict[str, deque[tuple[date, bool]]] = {}
+
+    def remember(cell: str, day: date, state: dict[str, Any]) -> None:
+        latest[cell] = state
+        window.setdefault(cell, deque()).append((day, state["status"] == "CARRIED"))
+
+    def imputation(cell: str, day: date) -> float:
+        past = window.get(cell, deque())
+        while past and past[0][0] < day - timedelta(days=IMPUTATION_WINDOW_DAYS):
+            past.popleft()
+        return sum(carried for _, carried in past) / len(past) if past else 0.0
+
+    for state in sorted(earlier, key=lambda s: s["collection_date"]):
+        remember(state["cell_id"], state["collection_date"], state)
     out = []
     for day in sorted(by_date):
         waiting, live, made = [], [], {}
         for row in sorted(by_date[day], key=lambda r: r["cell_id"]):
             cell = row["cell_id"]
-            before = known.get((cell, day - timedelta(days=lag)))
-            past = [s for (c, d), s in known.items() if c == cell and day - timedelta(days=IMPUTATION_WINDOW_DAYS) <= d < day]
-            imputed = sum(s["status"] == "CARRIED" for s in past) / len(past) if past else 0.0
+            before, imputed = latest.get(cell), imputation(row["cell_id"], day)
             age = (day - before["last_matched_date"]).days if before and before["last_matched_date"] else None
             if imputed <= MAX_IMPUTATION and (before is None or before["level"] is None or (age is not None and age > MAX_FRESHNESS_DAYS)):
                 waiting.append((row, before, imputed))
@@ -97,25 +110,35 @@ def fold_states(rows: Iterable[dict[str, Any]], weights: dict[str, float], earli
         for row, before, imputed in waiting:
             made[row["cell_id"]] = _advance(day, row["relative"], row["undefined_reason"], row["parent_relative"], before, level_of_parent, imputed)
         for cell, s in made.items():
-            known[cell, day] = s
+            remember(cell, day, s)
             out.append({"cell_id": cell, "collection_date": day, **s})
     return out
 
 
-def chain_states(links: DataFrame, weights: DataFrame) -> DataFrame:
+def chain_states(links: DataFrame, weights: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """States of all due cells: links (cell_id, parent_id, collection_date, relative, undefined_reason, parent_relative), weights (cell_id, weight).
 
     A level only depends on states of the same parent stratum, so strata are folded independently: one
-    shuffle by parent_id, groups of children times link dates.
+    shuffle by parent_id.  A group has as many rows as the stratum has carriers times weekly link dates, also where
+    the quotes are many: they are aggregated to links before.  earlier: states to go on from, of the same columns
+    as the result; then links must be later.
     """
     rows = links.join(weights, "cell_id", "left").select("cell_id", "parent_id", "collection_date", "relative", "undefined_reason", "parent_relative", "weight")
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        given = group.astype(object).where(group.notna(), None)
-        weights = {c: w for c, w in zip(given["cell_id"], given["weight"]) if w is not None}
-        made = pd.DataFrame(fold_states(given.to_dict("records"), weights))
-        made["parent_id"] = group["parent_id"].iloc[0]
-        made["freshness_days"] = made["freshness_days"].astype("Int32")
-        return made[["cell_id", "parent_id", "collection_date", "level", "status", "last_relative", "last_matched_date", "freshness_days", "suppression_reason"]]
+    if earlier is None:
+        return rows.groupBy("parent_id").applyInPandas(lambda group: _fold(group, None), STATE_SCHEMA)
+    return rows.groupBy("parent_id").cogroup(earlier.groupBy("parent_id")).applyInPandas(_fold, STATE_SCHEMA)
+
+
+def _records(frame: pd.DataFrame) -> list[dict[str, Any]]:
+    return frame.astype(object).where(frame.notna(), None).to_dict("records")
+
 
-    return rows.groupBy("parent_id").applyInPandas(fold, STATE_SCHEMA)
+def _fold(group: pd.DataFrame, earlier: pd.DataFrame | None) -> pd.DataFrame:
+    given = _records(group)
+    weights = {r["cell_id"]: r["weight"] for r in given if r["weight"] is not None}
+    columns = [c.split()[0] for c in STATE_SCHEMA.split(", ")]
+    made = pd.DataFrame(fold_states(given, weights, () if earlier is None else _records(earlier)), columns=columns)
+    made["parent_id"] = group["parent_id"].iloc[0] if len(group) else None
+    made["freshness_days"] = made["freshness_days"].astype("Int32")
+    return made

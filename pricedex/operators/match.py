@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricedex.config import LAG_DAYS, UNLISTED_RANK
+from pricedex.functions.derive import log_price
 
 
 def price_table(offers: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """One price for each date, stratum, item and source: that of the lowest observation id."""
-    return offers.groupBy("collection_date", F.col(stratum).alias("stratum"), "item_id", "source_id").agg(F.min_by("price", "observation_id").alias("price"))
+    """One price for each date, stratum, item and source.
+
+    Tier 1 (also where offers have no `tier`): the price of the lowest observation id.  Tier 2: the geometric mean
+    of the band.  Offers of tier 3 have no item and drop out.
+    """
+    price = F.min_by("price", "observation_id")
+    if "tier" in offers.columns:
+        price = F.when(F.max("tier") == 2, F.exp(F.avg(log_price(F.col("price"))))).otherwise(price)
+    return offers.where("item_id is not null").groupBy("collection_date", F.col(stratum).alias("stratum"), "item_id", "source_id").agg(price.alias("price"))
 
 
 def source_pairs(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
@@ -34,7 +42,7 @@ def matched_pairs(prices: DataFrame, precedence: Sequence[str], lag: int = LAG_D
     best = F.min_by(F.struct("source_id", "price_prior", "price"), F.struct("source_rank", "source_id"))
     chosen = with_rank(source_pairs(prices, lag), precedence).groupBy("collection_date", "stratum", "item_id").agg(best.alias("b"))
     pairs = chosen.select("collection_date", "stratum", "item_id", "b.*")
-    return pairs.withColumn("log_relative", F.ln("price") - F.ln("price_prior"))
+    return pairs.withColumn("log_relative", log_price(F.col("price")) - log_price(F.col("price_prior")))
 
 
 def without_common_source(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
@@ -55,9 +63,17 @@ def transitions(pairs: DataFrame, prices: DataFrame, lag: int = LAG_DAYS) -> Dat
 
 
 def without_transitions(pairs: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
-    """Pairs that stay: those of a changed source are left out for this one link."""
-    before = pairs.select(F.date_add("collection_date", lag).alias("collection_date"), "stratum", "item_id", F.col("source_id").alias("source_before"))
-    return pairs.join(before, ["collection_date", "stratum", "item_id"], "left").where("source_before is null or source_before = source_id").drop("source_before")
+    """Pairs that stay: those whose source differs from the one selected a lag earlier are left out for this one link.
+
+    An item's dates of one residue modulo the lag are one window, so the row before is the selection a lag earlier
+    or there is none.
+    """
+    residue = F.pmod(F.unix_date("collection_date"), F.lit(lag))
+    earlier = Window.partitionBy("stratum", "item_id", residue).orderBy("collection_date")
+    was = F.lag(F.struct("collection_date", "source_id")).over(earlier)
+    marked = pairs.withColumn("was", was)
+    moved = (F.datediff("collection_date", "was.collection_date") == lag) & (F.col("was.source_id") != F.col("source_id"))
+    return marked.where(~F.coalesce(moved, F.lit(False))).drop("was")
 
 
 def channel_spread(quotes: DataFrame) -> DataFrame:

@@ -86,7 +86,8 @@ def d1_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PRICES_SQL = EVENT_OFFERS_SQL + """, prices AS (SELECT collection_date, stratum, item_id, source_id, min_by(price, observation_id) AS price FROM offers GROUP BY ALL),
 both_sides AS (SELECT p.collection_date, p.stratum, p.item_id, p.source_id, q.price AS price_prior, p.price FROM prices p JOIN prices q ON q.stratum = p.stratum AND q.item_id = p.item_id AND q.source_id = p.source_id AND q.collection_date + 7 = p.collection_date),
-pairs AS (SELECT *, ln(price) - ln(price_prior) AS log_relative FROM (SELECT *, row_number() OVER (PARTITION BY collection_date, stratum, item_id ORDER BY CASE source_id WHEN 'S1' THEN 0 WHEN 'S0' THEN 1 ELSE 1073741824 END, source_id) AS rn FROM both_sides) WHERE rn = 1)"""
+selected AS (SELECT *, ln(price) - ln(price_prior) AS log_relative FROM (SELECT *, row_number() OVER (PARTITION BY collection_date, stratum, item_id ORDER BY CASE source_id WHEN 'S1' THEN 0 WHEN 'S0' THEN 1 ELSE 1073741824 END, source_id) AS rn FROM both_sides) WHERE rn = 1),
+pairs AS (SELECT a.* FROM selected a LEFT JOIN selected b ON b.stratum = a.stratum AND b.item_id = a.item_id AND b.collection_date + 7 = a.collection_date WHERE b.source_id IS NULL OR b.source_id = a.source_id)"""
 _GATED_SQL = _PRICES_SQL + """, centre AS (SELECT collection_date, stratum, count(*) AS n, median(log_relative) AS med FROM pairs GROUP BY ALL),
 placed AS (SELECT p.*, n, med, abs(log_relative - med) AS dev FROM pairs p JOIN centre USING (collection_date, stratum)),
 spread AS (SELECT collection_date, stratum, median(dev) AS mad FROM placed GROUP BY ALL),
@@ -100,13 +101,19 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.price_table(offers(spark, sf_dir))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with both prices, at the source selected for the link."""
     return match.matched_pairs(prices(spark, sf_dir), PRECEDENCE)
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected pairs without source transitions: those of the relatives."""
+    return match.without_transitions(selected(spark, sf_dir))
+
+
 def parent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pooled = offers(spark, sf_dir).withColumns({"stratum": F.col("parent"), "item_id": F.concat_ws("|", "carrier", "item_id")})
-    return match.matched_pairs(match.price_table(pooled), PRECEDENCE)
+    return match.without_transitions(match.matched_pairs(match.price_table(pooled), PRECEDENCE))
 
 
 @query(f"WITH {_PRICES_SQL} SELECT collection_date, stratum, item_id, source_id, round(price_prior, 6) AS price_prior, round(price, 6) AS price, round(log_relative, 6) AS log_relative FROM pairs")
@@ -123,10 +130,10 @@ def e2_no_common_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PRICES_SQL} SELECT p.collection_date, p.stratum, p.item_id, b.source_id AS source_before, p.source_id, round(p.price, 6) AS price, round(o.price, 6) AS price_old_source, round(ln(p.price) - ln(o.price), 6) AS log_gap
-FROM pairs p JOIN pairs b ON b.stratum = p.stratum AND b.item_id = p.item_id AND b.collection_date + 7 = p.collection_date LEFT JOIN prices o ON o.collection_date = p.collection_date AND o.stratum = p.stratum AND o.item_id = p.item_id AND o.source_id = b.source_id WHERE p.source_id <> b.source_id""")
+FROM selected p JOIN selected b ON b.stratum = p.stratum AND b.item_id = p.item_id AND b.collection_date + 7 = p.collection_date LEFT JOIN prices o ON o.collection_date = p.collection_date AND o.stratum = p.stratum AND o.item_id = p.item_id AND o.source_id = b.source_id WHERE p.source_id <> b.source_id""")
 def e3_source_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose source changed since the previous link."""
-    return match.transitions(pairs(spark, sf_dir), prices(spark, sf_dir)).select("collection_date", "stratum", "item_id", "source_before", "source_id", r6("price"), r6("price_old_source"), r6("log_gap"))
+    return match.transitions(selected(spark, sf_dir), prices(spark, sf_dir)).select("collection_date", "stratum", "item_id", "source_before", "source_id", r6("price"), r6("price_old_source"), r6("log_gap"))
 
 
 @query(f"WITH {_PARENT_SQL} SELECT collection_date, stratum, item_id, n, round(med, 6) AS median, round(mad, 6) AS mad, outlier FROM gated")
@@ -204,34 +211,7 @@ def h7_plain_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chained(spark, sf_dir).select("stratum", "collection_date", "segment", r6("relative"), r6("level"))
 
 
-def chain_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Due links with own and parent relatives, and equal cell weights by number of offers."""
-    own = due_relatives(spark, sf_dir).withColumnRenamed("stratum", "cell_id").withColumn("parent_id", F.substring_index("cell_id", "|", 1))
-    above = relatives.relatives(parent_pairs(spark, sf_dir)).select("collection_date", F.col("stratum").alias("parent_id"), F.col("relative").alias("parent_relative"))
-    weights = offers(spark, sf_dir).groupBy(F.col("stratum").alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return own.join(above, ["collection_date", "parent_id"], "left"), weights
-
-
-@query()
-def h1_cell_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of all due cells (carry, entry, hold, suppression)."""
-    return chain.chain_states(*chain_inputs(spark, sf_dir))
-
-
-@query()
-def h8_publication_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """National level of every day from the latest states of all cells."""
-    links, weights = chain_inputs(spark, sf_dir)
-    states = chain.chain_states(links, weights)
-    dates = offers(spark, sf_dir).select(F.col("collection_date").alias("publication_date")).distinct()
-    grid = publish.with_freshness(publish.as_of_grid(states, dates))
-    cells = grid.select(F.col("publication_date").alias("collection_date"), F.col("parent_id").alias("route"), "cell_id", "level")
-    expected = weights.groupBy(F.substring_index("cell_id", "|", 1).alias("route")).agg(F.count(F.lit(1)).alias("n"))
-    route_weights = weights.groupBy(F.substring_index("cell_id", "|", 1).alias("route")).agg(F.sum("weight").alias("weight"))
-    return publish.national_levels(publish.route_levels(cells, weights, expected), route_weights)
-
-
-_STATES_SQL = _CHAIN_SQL + """, states AS (SELECT stratum AS cell_id, collection_date, level, collection_date AS last_matched_date FROM chained WHERE level < 250),
+_STATES_SQL = _CHAIN_SQL + """, states AS (SELECT stratum AS cell_id, collection_date, level, collection_date AS last_matched_date FROM chained),
 days AS (SELECT DISTINCT collection_date AS publication_date FROM offers), lastday AS (SELECT max(publication_date) AS last FROM days),
 held AS (SELECT *, least(coalesce(CAST(lead(collection_date) OVER (PARTITION BY cell_id ORDER BY collection_date) - 1 AS DATE), last), last) AS until FROM states, lastday),
 grid AS (SELECT d.publication_date, cell_id, level, last_matched_date FROM held JOIN days d ON d.publication_date BETWEEN collection_date AND until)"""
@@ -292,13 +272,13 @@ def g10_route_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_LEVELS_SQL} SELECT collection_date, round(sum(weight * level) / sum(weight) FILTER (level IS NOT NULL), 6) AS level, count(level) AS live_routes, count(*) AS routes, round(coalesce(sum(weight) FILTER (level IS NULL), NULL) / sum(weight), 6) AS suppressed_weight, count(level) > 0 AS published FROM routes JOIN rw USING (route) GROUP BY collection_date")
 def g11_national_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """National level over live routes."""
+    """National level over live routes."""
     return publish.national_levels(routes(spark, sf_dir), route_weights(spark, sf_dir)).select("collection_date", r6("level"), "live_routes", "routes", r6("suppressed_weight"), "published")
 
 
 @query(f"WITH {_LEVELS_SQL}, s AS (SELECT collection_date, CASE WHEN level IS NULL THEN 'SUPPRESSED' ELSE 'PUBLISHED' END AS status, sum(w.weight * rw.weight) AS x FROM cells JOIN w USING (cell_id) JOIN rw USING (route) GROUP BY ALL) SELECT collection_date, status, round(x / sum(x) OVER (PARTITION BY collection_date), 6) AS share FROM s")
 def g13_status_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weight shares of cells by status."""
+    """Weight shares of cells by status."""
     levels, weights = cell_levels(spark, sf_dir)
     cells = levels.join(weights, "cell_id").join(route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route").withColumn("status", F.when(F.col("level").isNull(), "SUPPRESSED").otherwise("PUBLISHED"))
     return publish.weight_shares(cells, "status").select("collection_date", "status", r6("share"))
@@ -333,9 +313,9 @@ def f18_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.growth(yearly).select("series", r6("first_value"), r6("last_value"), "first_year", "last_year", r6("ratio"), r6("growth_pct"))
 
 
-@query(f"WITH {TRADE_QUOTES_SQL}, y AS (SELECT route AS series, year(ship_date) AS year, avg(price) AS m FROM trades GROUP BY ALL) SELECT series, CAST(year AS INT) AS year, round(m, 6) AS mean_level, round(lag(m) OVER (PARTITION BY series ORDER BY year) / 100.0, 6) AS factor FROM y")
+@query(f"WITH {TRADE_QUOTES_SQL}, y AS (SELECT route AS series, year(ship_date) AS year, avg(price) AS m FROM trades GROUP BY ALL) SELECT series, CAST(year AS INT) AS year, round(m, 6) AS mean_level, round(m / lag(m) OVER (PARTITION BY series ORDER BY year), 6) AS factor FROM y")
 def g15_annual_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean level of each year and the factor that links it to the year before."""
+    """Mean level of each reference year and the factor that links it to the year before."""
     points = trade_quotes(spark, sf_dir).select(F.col("route").alias("series"), F.col("ship_date").alias("collection_date"), F.col("price").alias("level"))
     return publish.linking_factors(points).select("series", "year", r6("mean_level"), r6("factor"))
 

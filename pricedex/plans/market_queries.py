@@ -190,12 +190,11 @@ _CELLS = "SELECT DISTINCT origin AS route, {b} AS lead_bucket, CASE WHEN baggage
 @query(f"""WITH {EVENT_QUOTES_SQL}, cells AS ({_CELLS.format(b=_BUCKET)}), w AS (SELECT *, 1.0 / 7 * CASE fare_class WHEN 'HAND_ONLY' THEN 0.5 WHEN 'STANDARD' THEN 0.3 ELSE 0.2 END * CASE channel WHEN 'AIRLINE_DIRECT' THEN 0.6 ELSE 0.4 END AS x FROM cells)
 SELECT route, lead_bucket, fare_class, channel, round(x / sum(x) OVER (PARTITION BY route), 6) AS weight FROM w""")
 def g7_within_route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell weights of each route from lead, class and channel shares."""
+    """Cell weights of each route from lead, class and channel shares."""
     cells = quotes(spark, sf_dir).select(F.col("origin").alias("route"), derive.lead_bucket().alias("lead_bucket"), derive.fare_class().alias("fare_class"), "channel").where("lead_bucket is not null").distinct()
-    lead = spark.sql("SELECT explode(array(1,3,7,15,30,45,60)) AS lead_bucket, 1.0D / 7 AS lead_share")
     fare = spark.sql("SELECT * FROM VALUES ('HAND_ONLY', 0.5D), ('STANDARD', 0.3D), ('FLEX', 0.2D) AS t(fare_class, class_share)")
     channel = spark.sql("SELECT * FROM VALUES ('AIRLINE_DIRECT', 0.6D), ('AGGREGATOR', 0.4D) AS t(channel, channel_share)")
-    return publish.within_route_weights(cells, lead, fare, channel).select("route", "lead_bucket", "fare_class", "channel", r6("weight"))
+    return publish.within_route_weights(cells, fare, channel).select("route", "lead_bucket", "fare_class", "channel", r6("weight"))
 
 
 @query("""WITH w AS (SELECT c_mktsegment AS segment, c_acctbal AS weight FROM customer) SELECT segment, CASE WHEN min(weight) < 0 THEN 'NEGATIVE' WHEN sum(weight) <= 0 THEN 'ZERO_TOTAL' END AS reason FROM w GROUP BY segment HAVING min(weight) < 0 OR sum(weight) <= 0""")
