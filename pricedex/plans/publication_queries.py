@@ -19,9 +19,11 @@ CHANNEL_SHARES = {"AIRLINE_DIRECT": 0.6, "AGGREGATOR": 0.4}
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes with a lead bucket; flights are pooled to five numbers a carrier, so that cells have items in common."""
-    q = event_quotes(table(spark, sf_dir, "events")).withColumn("flight_number", (F.col("flight_number").cast("int") % 5).cast("string"))
-    return q.withColumns({"channel": F.lit("AIRLINE_DIRECT"), "baggage_kg": F.lit(15), "change_permitted": F.lit("FEE")}).where(derive.lead_bucket().isNotNull())
+    """Quotes with five flights a carrier and lead times of 7 days, on one route some of 30: dense and sparse cells."""
+    sparse = (F.col("origin") == "R3") & (F.col("observation_id").cast("bigint") % 3 == 0)
+    lead = F.when(sparse, 30).otherwise(7)
+    q = event_quotes(table(spark, sf_dir, "events")).withColumn("travel_date", F.date_add("collection_date", lead))
+    return q.withColumns({"flight_number": (F.col("flight_number").cast("int") % 5).cast("string"), "channel": F.lit("AIRLINE_DIRECT"), "baggage_kg": F.lit(15), "change_permitted": F.lit("FEE")})
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,9 +44,9 @@ def route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declared denominators of all routes but the last."""
+    """Declared denominators of all routes but one."""
     cells = offers(spark, sf_dir).groupBy("route").agg(F.countDistinct("stratum").alias("n"))
-    return cells.where("route <> 'R3-HUB'")
+    return cells.where("route <> 'R2-HUB'")
 
 
 def states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +59,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LEADS = ",".join(map(str, LEAD_BUCKETS))
-_KEYED = EVENT_QUOTES_SQL + f""", kq AS (SELECT * REPLACE (CAST(CAST(flight_number AS INT) % 5 AS VARCHAR) AS flight_number), CAST(travel_date - collection_date AS INT) AS lead FROM quotes WHERE travel_date - collection_date IN ({_LEADS})),
+_DENSE = """, kq AS (SELECT * REPLACE (CAST(CAST(flight_number AS INT) % 5 AS VARCHAR) AS flight_number, CAST(collection_date + lead AS DATE) AS travel_date) FROM (SELECT *, CASE WHEN origin = 'R3' AND CAST(observation_id AS BIGINT) % 3 = 0 THEN 30 ELSE 7 END AS lead FROM quotes)),"""
+_KEYED = EVENT_QUOTES_SQL + _DENSE + """
 ko AS (SELECT observation_id, collection_date, origin || '-HUB' AS route, carrier, isodow(travel_date) AS wd, lead, departure_min, flight_number, source_id, payable_fare AS price,
   concat_ws('|', origin || '-HUB', carrier, CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS cell_id, concat_ws('|', origin || '-HUB', CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS parent_id FROM kq)"""
 
@@ -105,7 +108,7 @@ _STATES = "RECURSIVE " + _STATES
 _GRID = _STATES + """, held AS (SELECT *, least(coalesce(CAST(lead(collection_date) OVER (PARTITION BY cell_id ORDER BY collection_date) - 1 AS DATE), (SELECT max(d) FROM days)), (SELECT max(d) FROM days)) AS until FROM states),
 grid AS (SELECT days.d AS publication_date, cell_id, parent_id, split_part(cell_id, '|', 1) AS route, CAST(days.d - last_matched_date AS INT) AS age, level AS raw_level, status AS raw_status FROM held JOIN days ON days.d BETWEEN collection_date AND until),
 pub AS (SELECT publication_date, cell_id, route, age, CASE WHEN coalesce(age, 0) <= 13 THEN raw_level END AS level, CASE WHEN raw_level IS NOT NULL AND age > 13 THEN 'SUPPRESSED' ELSE raw_status END AS status FROM grid),
-want AS (SELECT route, count(DISTINCT cell_id) AS n FROM ko WHERE route <> 'R3-HUB' GROUP BY ALL), rwt AS (SELECT route, count(*) * 1.0 AS weight FROM ko GROUP BY ALL),
+want AS (SELECT route, count(DISTINCT cell_id) AS n FROM ko WHERE route <> 'R2-HUB' GROUP BY ALL), rwt AS (SELECT route, count(*) * 1.0 AS weight FROM ko GROUP BY ALL),
 rfacts AS (SELECT publication_date, route, count(*) AS observed, count(level) AS live, sum(weight * level) / sum(weight) FILTER (level IS NOT NULL) AS wl FROM pub JOIN kw USING (cell_id, route) GROUP BY ALL),
 rlev AS (SELECT publication_date, route, CASE WHEN live > 0 AND live * 1.0 / greatest(coalesce(n, 0), observed) >= 0.6 THEN wl END AS level FROM rfacts LEFT JOIN want USING (route)),
 nat AS (SELECT publication_date, sum(weight * level) / sum(weight) FILTER (level IS NOT NULL) AS level, count(level) AS live_routes, count(*) AS routes, coalesce(sum(weight) FILTER (level IS NULL), 0) / sum(weight) AS suppressed_weight FROM rlev JOIN rwt USING (route) GROUP BY ALL)"""
@@ -144,7 +147,8 @@ def tiered_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.where(derive.lead_bucket().isNotNull())
 
 
-_TIERED = _KEYED.replace("CAST(CAST(flight_number AS INT) % 5 AS VARCHAR) AS flight_number", "CAST(CASE length(carrier) % 3 WHEN 0 THEN CAST(flight_number AS INT) % 5 WHEN 1 THEN CAST(flight_number AS INT) % 60 ELSE CAST(observation_id AS INT) END AS VARCHAR) AS flight_number") + _TIERS + """,
+_POOLED = f""", kq AS (SELECT * REPLACE (CAST(CASE length(carrier) % 3 WHEN 0 THEN CAST(flight_number AS INT) % 5 WHEN 1 THEN CAST(flight_number AS INT) % 60 ELSE CAST(observation_id AS INT) END AS VARCHAR) AS flight_number), CAST(travel_date - collection_date AS INT) AS lead FROM quotes WHERE travel_date - collection_date IN ({_LEADS})),"""
+_TIERED = _KEYED.replace(_DENSE, _POOLED) + _TIERS + """,
 kt AS (SELECT ko.*, tier, CASE tier WHEN 1 THEN carrier || '|' || flight_number WHEN 2 THEN carrier || '|' || CAST(departure_min // 180 AS VARCHAR) END AS tiered_item FROM ko JOIN tiers USING (route, carrier) WHERE tier < 3)"""
 
 
