@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricedex.config import COLLECTOR_FAILURES, CONTRACT_BANDS, MARKET_FACTS, STOP_SIGNAL
+from pricedex.config import COLLECTOR_FAILURES, MARKET_FACTS, STOP_SIGNAL
 
 
 def with_outcome_facts(attempts: DataFrame) -> DataFrame:
@@ -31,17 +31,6 @@ def plan_coverage(plan: DataFrame, attempts: DataFrame, key: list[str]) -> DataF
     return plan.join(first, key, "left").withColumn("outcome", F.coalesce("outcome", F.lit("NOT_ATTEMPTED")))
 
 
-def earliest_per_band(cards: DataFrame, search: list[str]) -> DataFrame:
-    """The earliest card of each search and hour band by departure, flight number and position, never by price."""
-    order = Window.partitionBy(*search, "band").orderBy("departure_min", "flight_number", "position")
-    return cards.where(F.col("band").isin(*CONTRACT_BANDS)).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
-
-
-def failing_reasons(rules: dict[str, Column]) -> Column:
-    """All rules that fail, in their order."""
-    return F.array_compact(F.array(*(F.when(fails, F.lit(name)) for name, fails in rules.items())))
-
-
 def count_mismatches(claims: DataFrame, rows: DataFrame, key: str, claimed: str) -> DataFrame:
     """Keys whose claimed number of rows is not the stored one."""
     stored = rows.groupBy(key).agg(F.count(F.lit(1)).alias("stored"))

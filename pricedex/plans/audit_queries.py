@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricedex.functions import derive
 from pricedex.operators import admit, audit
-from pricedex.plans.index_queries import _LEVELS_SQL, _REASON_SQL, COLLECTION_WINDOW, cell_levels, quotes, r6
+from pricedex.plans.index_queries import _LEVELS_SQL, _REASON_SQL, COLLECTION_WINDOW, cell_levels, quotes
 from pricedex.plans.market_queries import ATTEMPTS_SQL, attempts
+from pricedex.plans.registry import Registry, r6
 from pricedex.sources.adapters import EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, table, trade_quotes
 from pricedex.sources.files import payload_fares
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
+REGISTRY = Registry()
+query = REGISTRY.query
 
 
 _ATTEMPT_RULES = {"SUCCESS_WITHOUT_QUOTES": "outcome = 'SUCCESS' AND quotes_parsed = 0", "FAILURE_WITH_QUOTES": "outcome <> 'SUCCESS' AND quotes_parsed > 0", "OFF_FRAME_LEAD": "lead_days NOT IN (1,3,7,15,30,45,60)", "TRAVEL_BEFORE_COLLECTION": "travel_date <= day"}

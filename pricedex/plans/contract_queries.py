@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricedex.operators import contract
-from pricedex.plans.index_queries import quotes, r6
+from pricedex.plans.index_queries import quotes
+from pricedex.plans.registry import Registry
 from pricedex.sources.adapters import EVENT_QUOTES_SQL, table
 from pricedex.sources.files import FARE_SHEET, judged_fare_sheet
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query("""WITH f AS (SELECT l_orderkey, CASE l_returnflag WHEN 'A' THEN 'SAVER' WHEN 'N' THEN 'FLEX' ELSE 'STUDENT' END AS family, l_extendedprice AS price, l_linestatus = 'O' AS available, l_linenumber = 7 AS concession, CASE WHEN l_returnflag = 'N' THEN 15 ELSE 0 END AS kg FROM lineitem),
-x AS (SELECT l_orderkey, count(*) FILTER (family = 'SAVER' AND NOT concession) AS c, count(*) FILTER (family = 'SAVER' AND NOT concession AND available) AS o, min(price) FILTER (family = 'SAVER' AND NOT concession AND available) AS p, min(price) FILTER (NOT (family = 'SAVER' AND NOT concession) AND available AND kg > 0) AS other, count(*) FILTER (available) AS any_open FROM f GROUP BY ALL),
-r AS (SELECT *, CASE WHEN c > 1 THEN 'FAMILY_REPEATED' WHEN c = 0 AND any_open > 0 THEN 'FAMILY_MISSING' WHEN p <= 0 THEN 'NOT_POSITIVE' WHEN other < p THEN 'CHEAPER_WITH_BAGGAGE' END AS why FROM x),
-s AS (SELECT *, CASE WHEN any_open = 0 THEN 'SOLD_OUT' WHEN why IS NOT NULL THEN 'EXCLUDED' WHEN o = 0 THEN 'SOLD_OUT' ELSE 'PRICED' END AS status FROM r)
-SELECT l_orderkey, status, CASE WHEN status = 'EXCLUDED' THEN why END AS reason, round(CASE WHEN status = 'PRICED' THEN p END, 6) AS price FROM s""")
-def c6_contract_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines as a flight's fare families; the contract fare of each."""
-    lines = table(spark, sf_dir, "lineitem")
-    fares = lines.select("l_orderkey", F.when(F.col("l_returnflag") == "A", " saver ").when(F.col("l_returnflag") == "N", "Flex").otherwise("Student").alias("family"), F.col("l_extendedprice").alias("price"), (F.col("l_linestatus") == "O").alias("available"), (F.col("l_linenumber") == 7).alias("concession"), F.when(F.col("l_returnflag") == "N", 15).otherwise(0).alias("checked_kg"))
-    return contract.contract_fares(fares, ["l_orderkey"], "SAVER").select("l_orderkey", "status", "reason", r6("price"))
+REGISTRY = Registry()
+query = REGISTRY.query
 
 
 @query("""SELECT s_suppkey AS source_id, s_acctbal >= 0 AND s_nationkey % 2 = 0 AS allowed, concat_ws(',', CASE WHEN s_acctbal < 0 THEN 'terms' END, CASE WHEN s_nationkey % 2 <> 0 THEN 'robots' END) AS failing FROM supplier""")
