@@ -22,6 +22,7 @@ CONTRACT_BANDS = (2, 3, 4, 5, 6)
 LEAD_BUCKETS = (1, 3, 7, 15, 30, 45, 60)
 RECONCILE_TOLERANCE = 1.00
 UNLISTED_RANK = 1 << 30
+OUTCOMES = ("SUCCESS", "NO_FLIGHT", "STRUCTURAL_MISSING", "TECHNICAL_FAILURE", "SOURCE_UNAVAILABLE", "PARSER_FAILURE", "CAPTCHA_OR_ANTIBOT_STOP", "PERMISSION_BLOCKED")
 COLLECTOR_FAILURES = ("SOURCE_UNAVAILABLE", "PARSER_FAILURE", "CAPTCHA_OR_ANTIBOT_STOP", "PERMISSION_BLOCKED")
 MARKET_FACTS = ("NO_FLIGHT", "STRUCTURAL_MISSING", "TECHNICAL_FAILURE")
 STOP_SIGNAL = "CAPTCHA_OR_ANTIBOT_STOP"

@@ -9,19 +9,11 @@ from pricedex.operators import contract
 from pricedex.plans.index_queries import quotes
 from pricedex.plans.registry import Registry
 from pricedex.sources.adapters import EVENT_QUOTES_SQL, table
-from pricedex.sources.files import FARE_SHEET, judged_fare_sheet
 
 REGISTRY = Registry()
 query = REGISTRY.query
 
 
-@query("""SELECT s_suppkey AS source_id, s_acctbal >= 0 AND s_nationkey % 2 = 0 AS allowed, concat_ws(',', CASE WHEN s_acctbal < 0 THEN 'terms' END, CASE WHEN s_nationkey % 2 <> 0 THEN 'robots' END) AS failing FROM supplier""")
-def c12_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources allowed by the fields of their register, and what fails."""
-    register = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_id"), F.when(F.col("s_acctbal") >= 0, "REVIEWED").otherwise("OPEN").alias("terms"), F.when(F.col("s_nationkey") % 2 == 0, "ALLOWED").alias("robots"))
-    return contract.permitted(register, {"terms": "REVIEWED", "robots": "ALLOWED"})
-
-
 @query(f"""WITH {EVENT_QUOTES_SQL}, r AS (SELECT *, strftime(collection_date, '%Y-%m-%d') || source_id AS run_id FROM quotes) SELECT observation_id, CASE WHEN day(collection_date) % 2 = 0 THEN 'PRIMARY' ELSE 'SECONDARY' END AS grade FROM r WHERE source_id <> 'S2' AND day(collection_date) % 3 <> 0""")
 def c4_index_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of runs inside the index boundary, graded by their run's evidence."""
@@ -38,31 +30,3 @@ def a14_loader_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contract.loader_sheet(shots).select(F.col("flight_no").alias("event_id"), "travel_date", (F.hour("attempt_time") * 60 + F.minute("attempt_time")).alias("attempt_minute"), F.round("price", 2).alias("price"), F.round("base", 2).alias("base"))
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'flight_number' WHEN event_id % 6 = 0 THEN 'available without a fare' WHEN event_id % 5 = 0 THEN 'sold out with a fare' END AS reject, CASE WHEN event_id % 6 > 0 THEN round(value, 2) END AS fare FROM events""")
-def a1_fare_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1, A2: sheet rows rendered from events as text, typed and judged."""
-    e = table(spark, sf_dir, "events")
-    shown = {"travel_date": F.date_format("ts", "yyyy-MM-dd"), "source_id": F.lit("s"), "origin": F.lit("DEL"), "destination": F.lit("BOM"), "carrier": F.lit("6E"), "flight_number": F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("6E"), F.col("user_id").cast("string"))).otherwise(F.col("user_id").cast("string")), "departure_time": F.date_format("ts", "H:mm"), "availability": F.when((F.col("event_id") % 5 == 0) & (F.col("event_id") % 6 > 0), "SOLD_OUT").otherwise("AVAILABLE"), "payable_fare": F.when(F.col("event_id") % 6 > 0, F.format_string("₹%,.2f", "value")).otherwise(" ")}
-    sheet = e.select("event_id", *(shown.get(f.name, F.lit(None).cast("string")).alias(f.name) for f in FARE_SHEET))
-    return judged_fare_sheet(sheet).select("event_id", "reject", F.col("payable_fare_typed").cast("double").alias("fare"))
-
-
-@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'FREE' WHEN event_id % 4 = 1 THEN 'FEE' WHEN event_id % 4 = 2 THEN 'NONE' END AS change, CASE WHEN event_id % 3 = 0 THEN 'NONE' WHEN event_id % 3 = 1 THEN 'FEE' END AS cancel, CASE WHEN event_id % 5 < 3 THEN 15 END AS checked_kg, round(value, 2) AS base_fare, CASE WHEN event_id % 2 = 0 THEN round(value, 2) * 2 END AS taxes FROM events""")
-def i4_policy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Policy, baggage and breakdown lines rendered from events and read back; disagreeing lines are null."""
-    m = lambda k, *values: F.get(F.array(*map(F.lit, values)), (F.col("event_id") % k).cast("int"))
-    lines = F.array(m(4, "Free date change", "Change fee applies", "No changes", "Free change, change fee"), m(3, "Non-refundable", "Cancellation fee", "Free cancellation, cancellation fee"))
-    bags = F.array(m(5, "15 kg check-in", "15kg checked", "15 kg checked", "15 kg check-in", "none"), m(5, "7 kg hand", "15 kg check-in", "-", "25 kg check-in", "7 kg hand"))
-    shown = F.map_filter(F.create_map(F.lit("Base fare"), F.round("value", 2), F.lit("GST"), F.when(F.col("event_id") % 2 == 0, F.round("value", 2) * 2)), lambda k, v: v.isNotNull())
-    change, cancel = contract.policy(F.col("lines"))
-    e = table(spark, sf_dir, "events").select("event_id", lines.alias("lines"), bags.alias("bags"), shown.alias("shown"))
-    parts = contract.breakdown(F.col("shown"))
-    return e.select("event_id", change.alias("change"), cancel.alias("cancel"), contract.checked_baggage(F.col("bags")).alias("checked_kg"), parts["base_fare"].alias("base_fare"), parts["taxes"].alias("taxes"))
-
-
-@query("""SELECT p_partkey AS line_id, CASE WHEN p_partkey % 10 > 0 THEN CAST(p_partkey AS INT) END AS number, CASE WHEN p_partkey % 10 > 0 THEN CASE WHEN p_size > 25 THEN 1 ELSE 2 END ELSE 0 END AS levels, p_partkey % 10 = 0 AS unparsed, p_partkey % 10 > 0 AND p_size <= 25 AND p_size < 10 AS suspect FROM part""")
-def i8_tariff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tariff lines rendered from parts and read back."""
-    part = table(spark, sf_dir, "part")
-    line = F.concat(F.when(F.col("p_partkey") % 10 > 0, F.concat(F.col("p_partkey").cast("string"), F.lit(". "))).otherwise(F.lit("see ")), F.lit("AAA "), F.when(F.col("p_size") > 25, F.lit("-")).when(F.col("p_size") < 10, F.lit("200")).otherwise("100"), F.lit(" NA "), F.when(F.col("p_size") < 10, F.lit("100")).otherwise("150"))
-    return contract.tariff_rows(part.select(F.col("p_partkey").alias("line_id"), line.alias("line"))).select("line_id", "number", F.size("levels").alias("levels"), "unparsed", "suspect")

@@ -165,7 +165,7 @@ def x6_effective_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes(spark, sf_dir).groupBy("collection_date", "origin").agg(F.countDistinct("source_group").alias("effective_sources"), F.count_if(F.col("source_group").isNull()).alias("ungrouped"))
 
 
-@query("""SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS INT) AS clock, CAST(hour(ts) * 60 + minute(ts) AS INT) AS clock12, CAST(event_id % 600 AS INT) AS duration, round(value, 2) AS price, upper(substr(event_type, 1, 2)) AS carrier, CAST(user_id % 1000 AS VARCHAR) AS number, CAST(event_id % 3 AS INT) AS stops, CAST(ts AS DATE) AS day FROM events""")
+@query("""SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS INT) AS clock, CAST(hour(ts) * 60 + minute(ts) AS INT) AS clock12, nullif(CAST(event_id % 600 AS INT), 0) AS duration, round(value, 2) AS price, upper(substr(event_type, 1, 2)) AS carrier, CAST(user_id % 1000 AS VARCHAR) AS number, CAST(event_id % 3 AS INT) AS stops, CAST(ts AS DATE) AS day FROM events""")
 def i2_display_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display strings rendered from events and parsed back."""
     e = table(spark, sf_dir, "events")
@@ -174,35 +174,6 @@ def i2_display_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown.select("event_id", extract.clock_minutes(F.col("c24")).alias("clock"), extract.clock_minutes(F.col("c12")).alias("clock12"), extract.duration_minutes(F.col("dur")).alias("duration"), extract.money(F.col("fare")).cast("double").alias("price"), carrier.alias("carrier"), number.alias("number"), extract.stops(F.col("st")).alias("stops"), extract.nearest_day(F.col("dm"), F.date_add("ref", 20)).alias("day"))
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) SELECT doc_id, trim(line, ' ') AS remark, CAST(min(pos) - 1 AS BIGINT) AS pos FROM l WHERE length(trim(line, ' ')) >= 25 AND len(string_split_regex(trim(line, ' '), ' +')) >= 3 GROUP BY ALL""")
-def i9_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct remarks (25 characters and three words or more) of each document at their first place."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("remark", F.trim("line"))
-    return lines.where((F.length("remark") >= 25) & (F.size(F.split("remark", " +")) >= 3)).groupBy("doc_id", "remark").agg(F.min("pos").cast("bigint").alias("pos"))
-
-
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS evidence FROM l WHERE regexp_matches(line, '(?i)(licen[cs]e|token|password|copyright)') GROUP BY doc_id""")
-def i10_keyword_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document that hold a keyword."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike("(?i)(licen[cs]e|token|password|copyright)")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("evidence"))
-
-
-@query("""SELECT page_id, CASE WHEN contains(lower(html), 'captcha') OR contains(lower(html), 'access denied') OR contains(lower(html), 'verify you are human') OR contains(lower(html), 'unusual traffic') OR contains(lower(html), 'are you a robot') OR page_id % 100 IN (3, 29) THEN 'CHALLENGE' WHEN page_id % 100 = 4 THEN 'ERROR' WHEN trim(lower(html)) = '' THEN 'EMPTY' ELSE 'CONTENT' END AS kind FROM pages""")
-def i11_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kind of each page by status and marks of a challenge."""
-    status = F.when(F.col("page_id") % 100 == 3, 403).when(F.col("page_id") % 100 == 29, 429).when(F.col("page_id") % 100 == 4, 500).otherwise(200)
-    return table(spark, sf_dir, "pages").select("page_id", extract.page_kind(status, F.col("html")).alias("kind"))
-
-
-@query("""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4,5}')) AS token FROM documents), c AS (SELECT doc_id, CAST(token AS INT) AS amount, count(*) AS n FROM t GROUP BY ALL) SELECT doc_id, max(amount) AS total FROM c WHERE amount BETWEEN 1000 AND 60000 AND n >= 2 GROUP BY doc_id""")
-def i7_repeated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest amount that a text repeats."""
-    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[0-9]{4,5}"), F.lit(0))).alias("token"))
-    counted = tokens.groupBy("doc_id", F.col("token").cast("int").alias("amount")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.where("amount between 1000 and 60000 and n >= 2").groupBy("doc_id").agg(F.max("amount").alias("total"))
-
-
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN a IS NULL AND b IS NULL AND c IS NULL THEN NULL ELSE coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0) END, 4) AS declared, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL THEN abs(a + b + c - (l_extendedprice + l_tax * l_extendedprice + 0.04)) <= 1 END AS reconciles
 FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN NULL ELSE l_extendedprice END AS a, l_tax * l_extendedprice AS b, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount END AS c FROM lineitem)""")
 def b10_breakdowns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pricedex.config import OUTCOMES
+
+#: The columns of fare and attempt sheets, in their order, and the key of an offer in the store.
 FARE_SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("travel_date", "source_id", "time_ist", "origin", "destination", "carrier", "flight_number", "departure_time", "stops", "duration_minutes", "fare_family_raw", "availability", "payable_fare", "base_fare", "taxes", "fees", "user_development_fee", "checked_baggage_kg", "change_permitted", "cancellation_permitted", "source_group", "notes")])
+ATTEMPT_SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("travel_date", "source_id", "time_ist", "origin", "destination", "outcome", "source_group", "notes")])
 PAYLOAD = "page struct<kind:string,message:string,http_status:int>, search_echo map<string,string>, flights array<struct<flight_label:string,departure:string,arrival:string,stops:string,operated_by:string,sold_out:boolean,fares:array<struct<family:string,price:string,available:boolean,concession:boolean>>>>"
 STORE_KEY = ["collection_date", "source_id", "origin", "destination", "travel_date", "carrier", "flight_number", "departure_min", "fare_family_raw"]
 
@@ -16,26 +20,75 @@ def sheet_money(text: Column) -> Column:
     return F.regexp_replace(F.trim(text), "[,₹]", "").try_cast("decimal(12,2)")
 
 
+def first_failing(rules: list[tuple[Column, str]]) -> Column:
+    """The name of the first rule that holds; a rule that cannot be decided holds."""
+    found = F.lit(None).cast("string")
+    for fails, why in reversed(rules):
+        found = F.when(F.coalesce(fails, F.lit(True)), why).otherwise(found)
+    return found
+
+
+def _blank(column: str) -> Column:
+    return F.coalesce(F.trim(F.col(column)), F.lit("")) == ""
+
+
+def _minute(column: str) -> Column:
+    pattern = r"^([01]?\d|2[0-3]):([0-5]?\d)(?::\d+)?$"
+    part = lambda k: F.nullif(F.regexp_extract(F.trim(F.col(column)), pattern, k), F.lit("")).cast("int")
+    return part(1) * 60 + part(2)
+
+
+def _whole(column: str) -> Column:
+    return F.trim(F.col(column)).try_cast("int")
+
+
 def judged_fare_sheet(rows: DataFrame) -> DataFrame:
-    """Rows of a fare sheet (all strings) typed, with `reject`: why a row cannot be taken, or null."""
-    blank = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
-    clock = F.regexp_extract(F.trim("departure_time"), r"^([01]?\d|2[0-3]):([0-5]\d)$", 1), F.regexp_extract(F.trim("departure_time"), r"^([01]?\d|2[0-3]):([0-5]\d)$", 2)
+    """Rows of a fare sheet (all strings) typed, with `reject`: the first reason why a row cannot be taken, or null.
+
+    Blank rows are left out.  No availability means AVAILABLE.  A sold-out row is a flight without a price and needs no fare,
+    stops, duration or entitlements.
+    """
+    named = [c for c in rows.columns if c in FARE_SHEET.fieldNames()]
+    filled = rows.where(~F.forall(F.array(*(F.col(c) for c in named)), lambda x: F.coalesce(F.trim(x), F.lit("")) == ""))
     money = {c: sheet_money(F.col(c)) for c in ("payable_fare", "base_fare", "taxes", "fees", "user_development_fee")}
-    typed = rows.select("*", *(v.alias(f"{c}_typed") for c, v in money.items()), F.when(clock[0] != "", clock[0].cast("int") * 60 + clock[1].cast("int")).alias("departure_min"), F.trim("travel_date").try_cast("date").alias("travel_day"))
-    rules = [(blank(c), f"missing {c}") for c in ("travel_date", "source_id", "origin", "destination", "carrier", "flight_number", "availability")]
-    rules += [(F.col("travel_day").isNull(), "travel_date"), (~F.col("flight_number").rlike(r"^\s*\d+\s*$"), "flight_number"), (F.col("departure_min").isNull(), "departure_time"), (~F.col("availability").isin("AVAILABLE", "SOLD_OUT"), "availability")]
-    rules += [(~blank(c) & F.col(f"{c}_typed").isNull(), c) for c in money]
-    rules += [((F.col("availability") == "AVAILABLE") & F.col("payable_fare_typed").isNull(), "available without a fare"), ((F.col("availability") == "SOLD_OUT") & F.col("payable_fare_typed").isNotNull(), "sold out with a fare")]
-    reject = F.lit(None).cast("string")
-    for fails, why in reversed(rules):
-        reject = F.when(F.coalesce(fails, F.lit(True)), why).otherwise(reject)
-    return typed.withColumn("reject", reject)
+    whole = ("stops", "duration_minutes", "checked_baggage_kg")
+    availability = F.when(_blank("availability"), "AVAILABLE").otherwise(F.upper(F.trim("availability")))
+    typed = filled.select("*", *(v.alias(f"{c}_typed") for c, v in money.items()), *(_whole(c).alias(f"{c}_typed") for c in whole), _minute("departure_time").alias("departure_min"), _minute("time_ist").alias("observed_min"), F.trim("travel_date").try_cast("date").alias("travel_day"), availability.alias("status"))
+    sold, priced = F.col("status") == "SOLD_OUT", F.col("status") == "AVAILABLE"
+    unread = lambda c: ~_blank(c) & F.col(f"{c}_typed").isNull()
+    rules = [(~F.col("status").isin("AVAILABLE", "SOLD_OUT"), "availability"), (unread("payable_fare"), "payable_fare")]
+    rules += [(priced & F.col("payable_fare_typed").isNull(), "available without a fare"), (sold & F.col("payable_fare_typed").isNotNull(), "sold out with a fare")]
+    rules += [(F.col("travel_day").isNull(), "travel_date"), (_blank("source_id"), "source_id"), (_blank("carrier"), "carrier"), (~F.trim("flight_number").rlike(r"^\d+$"), "flight_number")]
+    rules += [(F.col("departure_min").isNull(), "departure_time"), (_blank("fare_family_raw"), "fare_family_raw"), (F.col("observed_min").isNull(), "time_ist"), (_blank("origin"), "origin"), (_blank("destination"), "destination")]
+    rules += [(priced & F.col(f"{c}_typed").isNull(), c) for c in whole]
+    rules += [(priced & ~F.coalesce(F.upper(F.trim(c)).isin("NONE", "FEE", "FREE"), F.lit(False)), c) for c in ("change_permitted", "cancellation_permitted")]
+    rules += [(priced & unread(c), c) for c in ("base_fare", "taxes", "fees", "user_development_fee")]
+    return typed.withColumn("reject", first_failing(rules))
 
 
 def read_fare_sheet(spark: SparkSession, path: str) -> DataFrame:
     return judged_fare_sheet(spark.read.csv(path, schema=FARE_SHEET, header=True))
 
 
+def judged_attempt_sheet(rows: DataFrame, day: Column, window: str) -> DataFrame:
+    """Rows of an attempt sheet (all strings) typed, with the attempt's id and `reject`; blank rows are left out."""
+    named = [c for c in rows.columns if c in ATTEMPT_SHEET.fieldNames()]
+    filled = rows.where(~F.forall(F.array(*(F.col(c) for c in named)), lambda x: F.coalesce(F.trim(x), F.lit("")) == ""))
+    outcome = F.upper(F.trim("outcome"))
+    typed = filled.select("*", F.trim("travel_date").try_cast("date").alias("travel_day"), _minute("time_ist").alias("attempt_min"), outcome.alias("outcome_typed"), F.nullif(F.trim("source_group"), F.lit("")).alias("source_group_typed"))
+    rules = [(F.col("travel_day").isNull(), "travel_date"), (_blank("source_id"), "source_id"), (~outcome.isin(*OUTCOMES), "outcome"), (F.col("attempt_min").isNull(), "time_ist"), (_blank("origin"), "origin"), (_blank("destination"), "destination")]
+    return typed.withColumns({"reject": first_failing(rules), "attempt_id": attempt_id(day, window)})
+
+
+def attempt_id(day: Column, window: str) -> Column:
+    """Id of the attempt that a sheet's row belongs to (columns source_id, travel_day)."""
+    return F.concat_ws("-", F.lit("att"), F.date_format(day, "yyyyMMdd"), F.lit(window), F.trim("source_id"), F.date_format("travel_day", "yyyyMMdd"))
+
+
+def read_attempt_sheet(spark: SparkSession, path: str, day: Column, window: str) -> DataFrame:
+    return judged_attempt_sheet(spark.read.csv(path, schema=ATTEMPT_SHEET, header=True), day, window)
+
+
 def payload_fares(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """One row for each fare of each flight of JSON payloads, and `issues`: what the payload lacks."""
     parsed = payloads.withColumn("p", F.from_json(column, PAYLOAD))
