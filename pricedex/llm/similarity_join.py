@@ -10,8 +10,9 @@ nodes' upper corners bounds every pair below them.
    the corpus, hash): two sets with similarity >= t share one of the first n - ceil(t * n) + 1 shingles of
    each.  The classes that share such a shingle form a list; lists with the same least class are one family,
    so a group of copies is a few families instead of one list for each shingle.  Every linked pair has a family.
-3. Trees.  Each family is one R-tree over points of POINT_GROUPS coordinates.  It does not write pairs out: it
-   keeps the members that have any possible partner.
+3. Trees.  Each family is one R-tree over points of POINT_GROUPS coordinates, then, for the members that are left, over
+   points with a coordinate for each shingle.  They do not write pairs out: they keep the members that have any
+   possible partner.
 4. Verification.  The texts of those members meet once in each family.  A second tree with finer points proposes
    pairs, the best bounds first, whole sets decide, and a pair whose two sides are already connected is passed
    over.  What leaves a task is a spanning forest of the links, never more rows than members.
@@ -67,9 +68,14 @@ def point(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.minimum(np.bincount(place, minlength=groups), FULL).astype(np.uint8)
 
 
-def fine_groups(most: int) -> int:
-    """At least two groups for a shingle of the largest set, a power of two."""
-    return min(max(NODE_GROUPS, 1 << (2 * most - 1).bit_length()), FINE_MOST)
+def fine_groups(n: int) -> int:
+    """At least one group for a shingle of a set, a power of two."""
+    return min(max(POINT_GROUPS, 1 << max(n - 1, 1).bit_length()), FINE_MOST)
+
+
+def folded(points: list[np.ndarray], groups: int) -> np.ndarray:
+    """Points of the same sets with fewer groups, as a matrix."""
+    return np.stack([np.minimum(p.reshape(-1, groups).sum(axis=0, dtype=np.int32), FULL).astype(np.uint8) for p in points])
 
 
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
@@ -131,17 +137,28 @@ class CountVectorTree:
                 yield self.order[x[kept]], self.order[y[kept]]
 
 
-def possible(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows have a partner of another component, and of the other side if there are two, that the bound allows."""
+def possible(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have a partner of another component, and of the other side if there are two, that the bound allows.
+
+    Points may differ in their number of groups; each pair is compared with the smaller one of its two.
+    """
     found = np.zeros(len(sizes), bool)
     across = side.min() != side.max()
-
-    def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        open_pairs = (component[x][:, None] != component[y]) & ~(found[x][:, None] & found[y])
-        return open_pairs & (side[x][:, None] != side[y]) if across else open_pairs
-
-    for x, y in CountVectorTree(points, sizes).pairs(percent, wanted):
-        found[x] = found[y] = True
+    groups = np.array([len(p) for p in points])
+    levels = np.unique(groups)
+    for g in levels.tolist():
+        rows = np.flatnonzero(groups >= g)
+
+        def wanted(x: np.ndarray, y: np.ndarray, g: int = g, rows: np.ndarray = rows) -> np.ndarray:
+            x, y = rows[x], rows[y]
+            open_pairs = (component[x][:, None] != component[y]) & ~(found[x][:, None] & found[y])
+            if across:
+                open_pairs &= side[x][:, None] != side[y]
+            return open_pairs if len(levels) == 1 else open_pairs & (np.minimum(groups[x][:, None], groups[y]) == g)
+
+        if len(rows) > 1:
+            for x, y in CountVectorTree(folded([points[k] for k in rows], g), sizes[rows]).pairs(percent, wanted):
+                found[rows[x]] = found[rows[y]] = True
     return found
 
 
@@ -162,7 +179,7 @@ def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarr
             decide(0, 1)
         return links
     sizes = np.array([len(s) for s in sets])
-    groups = fine_groups(int(sizes.max()))
+    groups = fine_groups(2 * int(sizes.max()))
 
     def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         open_pairs = label[x][:, None] != label[y]
@@ -187,11 +204,11 @@ def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def document_points(texts: DataFrame, size: int) -> DataFrame:
-    """id, set size, set key and point of each document; one map pass.
+    """id, set size, set key, point and finer point of each document; one map pass.
 
     Each task also sends its number of shingles in each of ORDER_GROUPS hash groups: rows (a, n) without a point.
     """
-    columns = ["id", "n", "a", "b", "point"]
+    columns = ["id", "n", "a", "b", "point", "fine"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_GROUPS, np.int64)
@@ -199,15 +216,16 @@ def document_points(texts: DataFrame, size: int) -> DataFrame:
             for rows, data, offsets in slices(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
                 a, b = _set_keys(sets)
-                points = pa.array([point(s, POINT_GROUPS).tobytes() for s in sets], pa.binary())
-                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), points], names=columns)
+                coarse = pa.array([point(s, POINT_GROUPS).tobytes() for s in sets], pa.binary())
+                fine = pa.array([point(s, fine_groups(len(s))).tobytes() for s in sets], pa.binary())
+                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), coarse, fine], names=columns)
                 groups = (np.concatenate(sets) & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)
                 total += np.bincount(groups, minlength=ORDER_GROUPS)
         kept = np.flatnonzero(total)
-        none = pa.nulls(len(kept), pa.int64())
-        yield pa.record_batch([none, pa.array(total[kept]), pa.array(kept), none, pa.nulls(len(kept), pa.binary())], names=columns)
+        none, no_point = pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.binary())
+        yield pa.record_batch([none, pa.array(total[kept]), pa.array(kept), none, no_point, no_point], names=columns)
 
-    return texts.mapInArrow(run, "id bigint, n bigint, a bigint, b bigint, point binary")
+    return texts.mapInArrow(run, "id bigint, n bigint, a bigint, b bigint, point binary, fine binary")
 
 
 def group_frequencies(scanned: DataFrame) -> np.ndarray:
@@ -264,12 +282,6 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
         yield held[0], np.array([0, held[0].num_rows])
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A binary column of equal lengths as a matrix."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, width)
-
-
 GROUP = ("fam", "i", "j")
 
 
@@ -279,12 +291,12 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def with_partners(rows: DataFrame, percent: int) -> DataFrame:
     """Of (fam, i, j, id, a, n, component, side, point), the rows that may have a link in their group, without points."""
-    columns = [*GROUP, "id", "a", "component", "side"]
+    columns = [*GROUP, "id", "a", "n", "component", "side"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _whole_groups(batches, len(GROUP)):
             component, side, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "side", "n"))
-            points = _matrix(batch.column("point"), POINT_GROUPS)
+            points = [np.frombuffer(p, np.uint8) for p in batch.column("point").to_pylist()]
             kept = np.zeros(batch.num_rows, bool)
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 sizes = n[x:y]
@@ -294,17 +306,26 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
                     kept[x:y] = possible(points[x:y], sizes, component[x:y], side[x:y], percent)
             yield batch.select(columns).filter(pa.array(kept))
 
-    schema = "fam bigint, i bigint, j bigint, id bigint, a bigint, component bigint, side int"
-    return _grouped(rows.select(*GROUP, "id", "a", "n", "component", "side", "point")).mapInArrow(run, schema)
+    schema = "fam bigint, i bigint, j bigint, id bigint, a bigint, n bigint, component bigint, side int"
+    return _grouped(rows.select(*columns, "point")).mapInArrow(run, schema)
+
+
+def _of(rows: DataFrame, given: DataFrame) -> DataFrame:
+    """The given rows whose id is among those of `rows`; a small set of ids is sent to where they are."""
+    needed = rows.select("id").distinct()
+    return given.join(F.broadcast(needed), "id", "left_semi") if needed.count() <= BROADCAST_IDS else given
+
+
+def with_fine_partners(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The rows of with_partners that may have a link by their finer points as well; points: (id, a, fine)."""
+    rows = stored(with_partners(rows, percent))
+    return with_partners(rows.join(_of(rows, points).select("id", "a", F.col("fine").alias("point")), ["id", "a"]), percent)
 
 
 def verified(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): a spanning forest of the links of each group of (fam, i, j, id, a, component, side), by whole sets."""
     rows = stored(rows)
-    needed = rows.select("id").distinct()
-    if needed.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(needed), "id", "left_semi")
-    told = rows.join(texts, "id").select(*GROUP, "id", "a", "component", "side", "text")
+    told = rows.join(_of(rows, texts), "id").select(*GROUP, "id", "a", "component", "side", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _whole_groups(batches, len(GROUP)):
@@ -375,7 +396,7 @@ def open_groups(members: DataFrame, sizes: DataFrame, joined: DataFrame, percent
     """Groups (fam, i, j) of the second round: the families whose classes are not in one component yet."""
     rows = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     spread = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = stored(rows.join(spread.join(sizes, "fam").select("fam", "parts"), "fam"))
+    rows = stored(rows.join(stored(spread.join(sizes, "fam").select("fam", "parts")), "fam"))
     small = rows.where("parts = 1").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)})
     small = small.select(*GROUP, "id", "a", "n", "component", "side", "point")
     return small.unionByName(across_blocks(rows.where("parts > 1").drop("parts"), percent))
@@ -410,6 +431,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     scanned = stored(document_points(texts, size))
     points, known = scanned.where("point is not null"), texts.where("id is not null")
     member = stored(class_members(points.where("id is not null")))
+    fine = points.where("id is not null").select("id", "a", "fine")
     classes = member.where("n > 0 and id = cls").select("cls", "a", "n", "point").distinct()
     members = stored(families(stored(prefix_lists(known, group_frequencies(scanned), size, percent)), classes))
     sizes = stored(members.groupBy("fam").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("parts")))
@@ -417,10 +439,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     # Rows of one id with different texts are one document.
     repeated = member.groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v")
     repeated = repeated.select("id", F.explode(F.array("u", "v")).alias("u")).where("id <> u")
-    links = verified(with_partners(home_groups(members, sizes), percent), known, size, percent)
+    links = verified(with_fine_partners(home_groups(members, sizes), fine, percent), known, size, percent)
     links = stored(links.unionByName(repeated.select("u", F.col("id").alias("v"))))
     joined = stored(components(links, "u", "v"))
-    more = stored(verified(with_partners(open_groups(members, sizes, joined, percent), percent), known, size, percent))
+    more = stored(verified(with_fine_partners(open_groups(members, sizes, joined, percent), fine, percent), known, size, percent))
     if not more.isEmpty():
         joined = stored(components(links.unionByName(more), "u", "v"))
 

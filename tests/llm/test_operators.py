@@ -132,7 +132,7 @@ def test_tree_loses_no_pair():
     sets += [np.unique(rng.integers(0, 1 << 62, 70_000).astype(np.uint64))] * 2  # counts at their type's end
     sizes, component = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2
     component[-1] = -1
-    for groups in (POINT_GROUPS, fine_groups(350)):
+    for groups in (POINT_GROUPS, fine_groups(700)):
         tree = CountVectorTree(np.stack([point(s, groups) for s in sets]), sizes)
         runs = tree.pairs(75, lambda x, y: component[x][:, None] != component[y])
         found = {(min(i, j), max(i, j)) for x, y in runs for i, j in zip(x.tolist(), y.tolist())}
