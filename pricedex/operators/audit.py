@@ -13,35 +13,61 @@ def violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> Dat
 
 
 def replayed(recorded: DataFrame, raw: DataFrame, key: str, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """Recorded reasons against raw fields: AGREE, DISAGREE or NOT_TESTABLE, counted by reason.
+    """Recorded exclusion reasons against raw fields, by reason: candidates, agree, disagree, not_testable, skipped.
 
-    tests: for each reason, whether the fields allow a test, and whether they confirm it.
+    tests: for each mechanical reason, whether the raw fields allow a test and whether they confirm it.  A key without
+    raw fields is not testable; reasons without a test are skipped as not mechanical.
     """
-    verdict = F.lit("NOT_TESTABLE")
+    verdict = F.lit("SKIPPED")
     for reason, (testable, confirmed) in tests.items():
-        verdict = F.when((F.col("reason") == reason) & F.coalesce(testable, F.lit(False)), F.when(confirmed, "AGREE").otherwise("DISAGREE")).otherwise(verdict)
+        tested = F.when(F.coalesce(testable, F.lit(False)), F.when(confirmed, "AGREE").otherwise("DISAGREE")).otherwise("NOT_TESTABLE")
+        verdict = F.when(F.col("reason") == reason, tested).otherwise(verdict)
     joined = recorded.join(raw, key, "left").withColumn("verdict", verdict)
-    return joined.groupBy("reason", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return joined.groupBy("reason").agg(F.count(F.lit(1)).alias("candidates"), *(F.count_if(F.col("verdict") == v).alias(v.lower()) for v in ("AGREE", "DISAGREE", "NOT_TESTABLE", "SKIPPED")))
 
 
-def readiness(facts: DataFrame) -> DataFrame:
-    """State of each series by the first blocker that holds, all blockers, and whether it can be published.
+def wrongly_rejected(accepted: DataFrame, key: str, tests: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Accepted rows that a mechanical test would reject: the control of the replay, which must be empty."""
+    failing = F.array_compact(F.array(*(F.when(F.coalesce(testable & confirmed, F.lit(False)), F.lit(reason)) for reason, (testable, confirmed) in tests.items())))
+    return accepted.select(key, F.explode(failing).alias("reason"))
 
-    facts: series, dates, matched_dates, published_levels, weights_ok (boolean), sources.
-    """
-    blockers = {"NO_DATA": F.col("dates") == 0, "NO_MATCHED_DATES": F.col("matched_dates") == 0, "NO_LEVELS": F.col("published_levels") == 0, "WEIGHTS": ~F.col("weights_ok"), "SINGLE_SOURCE": F.col("sources") < 2}
-    listed = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in blockers.items())))
-    hard = F.size(F.array_except(listed, F.array(F.lit("SINGLE_SOURCE")))) == 0
-    return facts.select("series", F.coalesce(F.get(listed, 0), F.lit("READY")).alias("state"), F.array_join(listed, ",").alias("blockers"), hard.alias("publishable"))
 
+def readiness(facts: DataFrame) -> DataFrame:
+    """State, class and blockers of each series; only a series without any blocker is publishable.
 
-def stage_report(stages: dict[str, DataFrame]) -> DataFrame:
-    """Rows and distinct values (column `v`) of each stage's frame; DEGENERATE with one value, PENDING with none."""
+    facts: series, admissible, cleared_sources, matched_pairs, coverage_defined, open_ambiguities (array), publication_grade,
+    backtest_satisfied, is_fixture.
+    """
+    c = F.col
+    nothing = c("admissible") == 0
+    ambiguous = F.size("open_ambiguities") > 0
+    listed = F.concat(
+        F.array_compact(F.array(F.when(c("matched_pairs") == 0, "NO_MATCHED_PAIRS"), F.when(~c("coverage_defined"), "NO_COVERAGE_DENOMINATOR"))),
+        F.transform("open_ambiguities", lambda x: F.concat(F.lit("OPEN:"), x)),
+        F.array_compact(F.array(F.when(~c("publication_grade"), "BASKET_NOT_PUBLICATION_GRADE"), F.when(~c("backtest_satisfied"), "BACKTEST_NOT_SATISFIED"))),
+    )
+    empty = F.when(c("cleared_sources") == 0, F.array(F.lit("NO_SOURCE_CLEARED"))).otherwise(F.array(F.lit("NO_ADMISSIBLE_QUOTE")))
+    blockers = F.when(c("is_fixture"), F.array(F.lit("SYNTHETIC_FIXTURE"))).when(nothing, empty).otherwise(listed)
+    ready = ~c("is_fixture") & ~nothing & (F.size(listed) == 0)
+    state = (
+        F.when(c("is_fixture"), "PROVISIONAL").when(nothing & (c("cleared_sources") == 0), "SOURCE_BLOCKED").when(nothing, "NO_VALID_QUOTES").when(ready, "READY").when(c("matched_pairs") == 0, "MISSING_PREVIOUS_PERIOD")
+        .when(~c("coverage_defined"), "INSUFFICIENT_COVERAGE").when(ambiguous, "METHODOLOGY_INCOMPLETE").when(~c("backtest_satisfied"), "BACKTEST_INCOMPLETE").otherwise("INSUFFICIENT_COVERAGE")
+    )
+    output = F.when(c("is_fixture"), "DEMO").when(ready, "PRODUCTION").otherwise("RESEARCH")
+    return facts.select("series", state.alias("state"), output.alias("output_class"), ready.alias("publishable"), F.array_join(blockers, ",").alias("blockers"))
+
+
+def stage_report(stages: dict[str, DataFrame], blocked: Column | None = None) -> DataFrame:
+    """Rows and distinct values (column `v`) of each stage's frame: PENDING with no row, DEGENERATE with one value, else EXERCISED.
+
+    blocked: over the column `stage`, which stages a publication guard refuses; these are BLOCKED whatever they hold.
+    """
     rows = None
     for name, frame in stages.items():
         one = frame.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("v").alias("values")).withColumn("stage", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
-    return rows.withColumn("status", F.when(F.col("rows") == 0, "PENDING").when(F.col("values") <= 1, "DEGENERATE").otherwise("EXERCISED"))
+    status = F.when(F.col("rows") == 0, "PENDING").when(F.col("values") <= 1, "DEGENERATE").otherwise("EXERCISED")
+    return rows.withColumn("status", status if blocked is None else F.when(blocked, "BLOCKED").otherwise(status))
 
 
 def current_vintage(vintages: DataFrame, key: list[str]) -> DataFrame:
@@ -56,28 +82,42 @@ def widest(profile: DataFrame, by: str) -> DataFrame:
 
 
 def sold_out_association(quotes: DataFrame, stratum: list[str]) -> DataFrame:
-    """Mean log price of quotes whose next quote of the item is sold out, and of the others."""
-    following = F.lead("availability").over(Window.partitionBy(*stratum, "flight_number").orderBy("observation_ts", "observation_id"))
-    marked = quotes.withColumn("next", following).where("availability = 'AVAILABLE' and next is not null")
-    return marked.groupBy(*stratum).agg(F.count_if(F.col("next") == "SOLD_OUT").alias("before_sold_out"), F.count(F.lit(1)).alias("quotes"), F.avg(F.when(F.col("next") == "SOLD_OUT", F.ln("payable_fare"))).alias("log_price_before"), F.avg(F.when(F.col("next") != "SOLD_OUT", F.ln("payable_fare"))).alias("log_price_other"))
+    """Mean log price of quotes just before and just after their item is sold out, and of the others; no correction is made."""
+    item = Window.partitionBy(*stratum, "flight_number").orderBy("observation_ts", "observation_id")
+    near = {"next": F.lead("availability").over(item), "previous": F.lag("availability").over(item)}
+    marked = quotes.withColumns(near).where("availability = 'AVAILABLE'")
+    before, after = F.coalesce(F.col("next") == "SOLD_OUT", F.lit(False)), F.coalesce(F.col("previous") == "SOLD_OUT", F.lit(False))
+    mean = lambda which, name: F.avg(F.when(which, F.ln("payable_fare"))).alias(name)
+    return marked.groupBy(*stratum).agg(F.count_if(before).alias("before_sold_out"), F.count_if(after).alias("after_sold_out"), F.count(F.lit(1)).alias("quotes"), mean(before, "log_price_before"), mean(after, "log_price_after"), mean(~before & ~after, "log_price_other"))
+
 
+def reproducible_seed(reproducibility: Column) -> Column:
+    """SHA-256 of a reproducibility tuple modulo 2^32."""
+    return F.conv(F.right(F.sha2(reproducibility, 256), F.lit(8)), 16, 10).cast("bigint")
 
-def bootstrap_levels(cells: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Percentile interval of each date's weighted level, resampling cells within routes.
 
-    cells: (collection_date, route, cell_id, level, weight).  Every draw gives every cell a Poisson count from a hash of
-    (seed, draw, cell), so draws need no shuffle of their own: one partial aggregation by date and draw.
+def bootstrap_levels(cells: DataFrame, draws: int, seed: Column) -> DataFrame:
+    """Percentile intervals of each date's level and growth, resampling cells within routes with replacement.
+
+    cells: (collection_date, route, cell_id, level, weight).  Of a route's n cells, draw d takes n: the k-th is number
+    md5(seed, route, d, k) modulo n in order of the cells' ids, so the same seed gives the same draws anywhere.  A draw's levels
+    are those of the whole path, since a cell's own chain does not depend on the draw; what parents lend to carried cells
+    is taken as it was published.
     """
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", "route", "cell_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u")
-    steps, total, p = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    times = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = cells.where("level is not null").select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).select("*", u).withColumn("times", times)
+    ids = cells.select("route", "cell_id").distinct()
+    of_route = Window.partitionBy("route")
+    numbered = ids.withColumns({"number": F.row_number().over(of_route.orderBy("cell_id")) - 1, "n": F.count(F.lit(1)).over(of_route)})
+    sizes = numbered.select("route", "n").distinct()
+    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    digest = F.md5(F.concat_ws("|", seed.cast("string"), "route", F.col("draw").cast("string"), F.col("k").cast("string")).cast("binary"))
+    taken = picks.withColumn("number", F.pmod(F.conv(F.left(digest, F.lit(8)), 16, 10).cast("bigint"), F.col("n")))
+    times = taken.groupBy("route", "number", "draw").agg(F.count(F.lit(1)).alias("times")).join(numbered, ["route", "number"]).select("route", "cell_id", "draw", "times")
+    drawn = cells.where("level is not null").join(times, ["route", "cell_id"])
     levels = drawn.groupBy("collection_date", "draw").agg((F.sum(F.col("times") * F.col("weight") * F.col("level")) / F.sum(F.col("times") * F.col("weight"))).alias("level"))
-    return levels.groupBy("collection_date").agg(F.count("level").alias("draws"), F.percentile("level", F.lit(0.025)).alias("low"), F.percentile("level", F.lit(0.975)).alias("high"))
+    before = F.lag("level").over(Window.partitionBy("draw").orderBy("collection_date"))
+    grown = levels.withColumn("growth_pct", 100 * (F.col("level") / before - 1))
+    interval = [F.percentile(c, F.lit(p)).alias(f"{c}_{name}") for c in ("level", "growth_pct") for name, p in (("low", 0.025), ("high", 0.975))]
+    return grown.groupBy("collection_date").agg(F.count("level").alias("draws"), *interval)
 
 
 def sensitivity_band(levels: DataFrame) -> DataFrame:
@@ -88,20 +128,3 @@ def sensitivity_band(levels: DataFrame) -> DataFrame:
     grown = levels.withColumn("growth", F.ln("level") - F.ln(F.lag("level").over(Window.partitionBy("curve").orderBy("collection_date"))))
     base = grown.where("curve = 'equal'").select("collection_date", F.col("growth").alias("base"))
     return grown.where("curve <> 'equal'").join(base, "collection_date").groupBy("collection_date").agg(F.max(F.abs(F.col("growth") - F.col("base"))).alias("max_deviation"))
-
-
-def time_product_dummy(prices: DataFrame, rounds: int = 40) -> DataFrame:
-    """Time effects of ln p = item effect + time effect by alternating means, as relatives to the first period.
-
-    prices: (period, item_id, log_price).  Backfitting solves the normal equations without a dense design matrix: each
-    half step is one grouped mean.  Periods are few; items are only ever aggregated.
-    """
-    cells = prices.groupBy("period", "item_id").agg(F.avg("log_price").alias("y")).persist()
-    times = cells.groupBy("period").agg(F.lit(0.0).alias("t"))
-    for _ in range(rounds):
-        items = cells.join(F.broadcast(times), "period").groupBy("item_id").agg(F.avg(F.col("y") - F.col("t")).alias("a"))
-        new = cells.join(items, "item_id").groupBy("period").agg(F.avg(F.col("y") - F.col("a")).alias("t"))
-        rows = [(r.period, r.t) for r in new.collect()]  # one row for each period of the window
-        times = prices.sparkSession.createDataFrame(rows, f"period {dict(prices.dtypes)['period']}, t double")
-    first = times.agg(F.min_by("t", "period").alias("t0"))
-    return times.crossJoin(F.broadcast(first)).select("period", F.exp(F.col("t") - F.col("t0")).alias("relative"))

@@ -19,6 +19,14 @@ def attempt_rates(attempts: DataFrame, by: list[str]) -> DataFrame:
     return facts.groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"), F.count_if("collector_failure").alias("failures"), F.avg(F.col("collector_failure").cast("double")).alias("failure_rate"), F.bool_or("stop_signal").alias("stopped"))
 
 
+def coverage_loss(attempts: DataFrame, by: list[str]) -> DataFrame:
+    """Planned searches, requests that reached a source, and those whose absence is ours, also as a share of what was expected."""
+    facts = with_outcome_facts(attempts)
+    expected = F.count_if(~F.col("leaves_denominator"))
+    loss = F.count_if("collector_failure")
+    return facts.groupBy(*by).agg(F.count(F.lit(1)).alias("planned"), F.count_if(F.col("outcome") != "PERMISSION_BLOCKED").alias("requests"), loss.alias("coverage_loss"), F.when(expected > 0, loss / expected).alias("loss_rate"))
+
+
 def collection_plan(sources: DataFrame, routes: DataFrame, leads: DataFrame, days: DataFrame) -> DataFrame:
     """Every source, route and lead time due on each day (small dimension tables)."""
     plan = days.crossJoin(F.broadcast(sources)).crossJoin(F.broadcast(routes)).crossJoin(F.broadcast(leads))

@@ -12,12 +12,16 @@ STRATUM = ["collection_date", "stratum"]
 
 
 def gated(pairs: DataFrame) -> DataFrame:
-    """Pairs with n, median, mad and `outlier`: farther than five MADs, with five candidates or more and a MAD above zero."""
-    centre = pairs.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("n"), F.median("log_relative").alias("median"))
-    placed = pairs.join(centre, STRATUM).withColumn("deviation", F.abs(F.col("log_relative") - F.col("median")))
-    spread = placed.groupBy(*STRATUM).agg(F.median("deviation").alias("mad"))
+    """Pairs with n, median, mad and `outlier`: farther than five MADs, with five candidates or more and a MAD above zero.
+
+    Two windows over one shuffle by stratum and date; a stratum's pairs of a date are its items, whose number the
+    method itself keeps small.
+    """
+    stratum = Window.partitionBy(*STRATUM)
+    placed = pairs.withColumns({"n": F.count(F.lit(1)).over(stratum), "median": F.median("log_relative").over(stratum)})
+    placed = placed.withColumn("deviation", F.abs(F.col("log_relative") - F.col("median"))).withColumn("mad", F.median("deviation").over(stratum))
     outlier = (F.col("n") >= MIN_OUTLIER_ITEMS) & (F.col("mad") > 0) & (F.col("deviation") > MAD_MULTIPLIER * F.col("mad"))
-    return placed.join(spread, STRATUM).withColumn("outlier", outlier)
+    return placed.withColumn("outlier", outlier)
 
 
 def ordered_mean(value: Column, key: Column) -> Column:
@@ -46,12 +50,16 @@ def concentration(pairs: DataFrame, carrier: str) -> DataFrame:
     return counts.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("carriers"), (F.max("n") / F.sum("n")).alias("concentration"))
 
 
-def identity_stability(quotes: DataFrame, group: list[str], lag: int = LAG_DAYS) -> DataFrame:
-    """Share of (carrier, flight, travel weekday) keys of each group seen on two dates a lag apart, and the tier it allows."""
+def identity_stability(quotes: DataFrame, group: list[str], lag: int = LAG_DAYS, window: DataFrame | None = None) -> DataFrame:
+    """Share of (carrier, flight, travel weekday) keys of each group seen on two dates a lag apart, and the tier it allows.
+
+    window: (collection_date), the dates on which a recurrence counts; all keys stay in the denominator.
+    """
     key = [*group, "flight_key", "weekday"]
     seen = quotes.select(*group, F.concat_ws("|", "carrier", "flight_number").alias("flight_key"), (F.weekday("travel_date") + 1).alias("weekday"), "collection_date").distinct()
-    earlier = seen.withColumn("collection_date", F.date_add("collection_date", lag))
-    recurring = seen.join(earlier, [*key, "collection_date"], "left_semi").select(*key).distinct().withColumn("recurs", F.lit(1.0))
+    counted = seen if window is None else seen.join(window, "collection_date", "left_semi").select(*seen.columns)
+    earlier = counted.withColumn("collection_date", F.date_add("collection_date", lag))
+    recurring = counted.join(earlier, [*key, "collection_date"], "left_semi").select(*key).distinct().withColumn("recurs", F.lit(1.0))
     share = seen.select(*key).distinct().join(recurring, key, "left").groupBy(*group).agg(F.count(F.lit(1)).alias("keys"), F.avg(F.coalesce("recurs", F.lit(0.0))).alias("stability"))
     return share.withColumn("tier", tier_of(F.col("stability")))
 
@@ -67,19 +75,27 @@ def band_prices(quotes: DataFrame) -> DataFrame:
 
 
 def band_diagnostics(quotes: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
-    """Flights of a band now and a lag earlier: their numbers, overlap, and whether the band telescopes (all the same)."""
-    sets = quotes.withColumn("band", hour_band()).groupBy("collection_date", "origin", "carrier", "band").agg(F.collect_set("flight_number").alias("flights"))
-    earlier = sets.select(F.date_add("collection_date", lag).alias("collection_date"), "origin", "carrier", "band", F.col("flights").alias("flights_prior"))
-    both = sets.join(earlier, ["collection_date", "origin", "carrier", "band"])
-    now, prior, common = F.size("flights"), F.size("flights_prior"), F.size(F.array_intersect("flights", "flights_prior"))
-    return both.select("collection_date", "origin", "carrier", "band", now.cast("bigint").alias("n_now"), prior.cast("bigint").alias("n_prior"), (now - prior).cast("bigint").alias("delta"), (common / F.greatest(now, prior)).alias("overlap"), ((common == now) & (common == prior)).alias("telescopes"))
+    """Members of a band now and a lag earlier: quotes, their change, overlap of flights, log dispersions, and whether the band telescopes (the same flights).
+
+    A band with many members and no dispersion is as harmless as one whose members do not change.
+    """
+    log = F.ln("payable_fare")
+    facts = [F.count(F.lit(1)).alias("n"), F.collect_set("flight_number").alias("flights"), F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.stddev_pop(log)).alias("dispersion")]
+    key = ["collection_date", "origin", "carrier", "band"]
+    now = quotes.withColumn("band", hour_band()).groupBy(*key).agg(*facts)
+    earlier = now.select(F.date_add("collection_date", lag).alias("collection_date"), *key[1:], *(F.col(c).alias(f"{c}_prior") for c in ("n", "flights", "dispersion")))
+    both = now.join(earlier, key)
+    overlap = F.size(F.array_intersect("flights", "flights_prior")) / F.greatest(F.size("flights"), F.size("flights_prior"))
+    return both.select(*key, F.col("n").alias("n_now"), F.col("n_prior"), (F.col("n") - F.col("n_prior")).alias("delta"), overlap.alias("overlap"), F.col("dispersion").alias("dispersion_now"), F.col("dispersion_prior"), (overlap == 1).alias("telescopes"))
 
 
 def band_occupancy(quotes: DataFrame) -> DataFrame:
+    """Distinct hour bands of each carrier and day."""
     return quotes.groupBy("collection_date", "origin", "carrier").agg(F.countDistinct(hour_band()).alias("bands"))
 
 
 def coverage(matched: Column, expected: Column) -> Column:
+    """Matched over expected recurring items; 0 if none is expected."""
     return F.when(expected > 0, matched / expected).otherwise(0.0)
 
 

@@ -17,88 +17,6 @@ REGISTRY = Registry()
 query = REGISTRY.query
 
 
-_ATTEMPT_RULES = {"SUCCESS_WITHOUT_QUOTES": "outcome = 'SUCCESS' AND quotes_parsed = 0", "FAILURE_WITH_QUOTES": "outcome <> 'SUCCESS' AND quotes_parsed > 0", "OFF_FRAME_LEAD": "lead_days NOT IN (1,3,7,15,30,45,60)", "TRAVEL_BEFORE_COLLECTION": "travel_date <= day"}
-
-
-@query(f"WITH {ATTEMPTS_SQL} " + " UNION ALL ".join(f"SELECT attempt_id, '{n}' AS violation FROM attempts WHERE {c}" for n, c in _ATTEMPT_RULES.items()))
-def c11_attempt_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts that break an invariant of outcome, count, frame or dates."""
-    return audit.violations(attempts(spark, sf_dir), ["attempt_id"], {n: F.expr(c) for n, c in _ATTEMPT_RULES.items()})
-
-
-_BASKET_RULES = {"NOT_POSITIVE": "weight <= 0", "SAME_ENDS": "origin = destination", "BAD_CODE": "NOT (length(origin) BETWEEN 3 AND 12)"}
-
-
-@query("WITH b AS (SELECT n_nationkey AS id, substr(n_name, 1, 9) AS origin, substr(r_name, 1, 9) AS destination, n_regionkey - 1 AS weight FROM nation JOIN region ON n_regionkey = r_regionkey) " + " UNION ALL ".join(f"SELECT id, '{n}' AS violation FROM b WHERE {c}" for n, c in _BASKET_RULES.items()))
-def c13_basket_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Basket entries with bad codes, ends or weights."""
-    basket = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("id"), F.substring("n_name", 1, 9).alias("origin"), F.substring("r_name", 1, 9).alias("destination"), (F.col("n_regionkey") - 1).alias("weight"))
-    return audit.violations(basket, ["id"], {n: F.expr(c) for n, c in _BASKET_RULES.items()})
-
-
-@query(f"""WITH {EVENT_QUOTES_SQL}, rec AS (SELECT observation_id, {_REASON_SQL} AS reason FROM quotes), v AS (SELECT reason, CASE WHEN reason = 'SOLD_OUT' AND q.observation_id IS NOT NULL THEN CASE WHEN availability = 'SOLD_OUT' THEN 'AGREE' ELSE 'DISAGREE' END WHEN reason = 'LEAD_TIME_MATCHES_NO_BUCKET' AND q.observation_id IS NOT NULL THEN CASE WHEN travel_date - collection_date < 3 THEN 'AGREE' ELSE 'DISAGREE' END ELSE 'NOT_TESTABLE' END AS verdict
-FROM rec LEFT JOIN (SELECT * FROM quotes WHERE CAST(observation_id AS BIGINT) % 10 > 0) q USING (observation_id) WHERE reason IS NOT NULL) SELECT reason, verdict, count(*) AS n FROM v GROUP BY ALL""")
-def e9_replayed_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recorded exclusions replayed from the raw fields that are still there."""
-    recorded = admit.with_reason(quotes(spark, sf_dir), COLLECTION_WINDOW).where("reason is not null").select("observation_id", "reason")
-    raw = quotes(spark, sf_dir).where(F.col("observation_id").cast("bigint") % 10 > 0).withColumn("seen", F.lit(True))
-    tests = {"SOLD_OUT": (F.col("seen"), F.col("availability") == "SOLD_OUT"), "LEAD_TIME_MATCHES_NO_BUCKET": (F.col("seen"), derive.lead_days() < 3)}
-    return audit.replayed(recorded, raw, "observation_id", tests)
-
-
-@query(f"""WITH {_LEVELS_SQL}, d AS (SELECT DISTINCT origin, collection_date FROM offers), f AS (SELECT a.origin AS series, count(*) AS dates, count(b.collection_date) AS matched_dates FROM d a LEFT JOIN d b ON a.origin = b.origin AND b.collection_date + 7 = a.collection_date GROUP BY a.origin),
-l AS (SELECT route AS series, count(level) AS published_levels FROM cells GROUP BY ALL), s AS (SELECT origin AS series, count(DISTINCT source_id) AS sources FROM offers GROUP BY ALL)
-SELECT series, CASE WHEN matched_dates = 0 THEN 'NO_MATCHED_DATES' WHEN published_levels = 0 THEN 'NO_LEVELS' WHEN sources < 2 THEN 'SINGLE_SOURCE' ELSE 'READY' END AS state, concat_ws(',', CASE WHEN matched_dates = 0 THEN 'NO_MATCHED_DATES' END, CASE WHEN published_levels = 0 THEN 'NO_LEVELS' END, CASE WHEN sources < 2 THEN 'SINGLE_SOURCE' END) AS blockers, matched_dates > 0 AND published_levels > 0 AS publishable FROM f JOIN l USING (series) JOIN s USING (series)""")
-def h12_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Readiness of each origin's series and what blocks it."""
-    q = quotes(spark, sf_dir).withColumn("series", F.col("origin"))
-    days = q.select("series", "collection_date").distinct()
-    earlier = days.select("series", F.date_add("collection_date", 7).alias("collection_date"), F.lit(1).alias("held"))
-    facts = days.join(earlier, ["series", "collection_date"], "left").groupBy("series").agg(F.count(F.lit(1)).alias("dates"), F.count("held").alias("matched_dates"))
-    levels = cell_levels(spark, sf_dir)[0].groupBy(F.col("route").alias("series")).agg(F.count("level").alias("published_levels"))
-    sources = q.groupBy("series").agg(F.countDistinct("source_id").alias("sources"))
-    return audit.readiness(facts.join(levels, "series").join(sources, "series").withColumn("weights_ok", F.lit(True)))
-
-
-@query(f"""WITH {EVENT_QUOTES_SQL}, j AS (SELECT *, {_REASON_SQL} AS reason FROM quotes), s AS (SELECT 'quotes' AS stage, count(*) AS rows, count(DISTINCT origin) AS "values" FROM quotes UNION ALL SELECT 'admitted', count(*), count(DISTINCT origin) FROM j WHERE reason IS NULL UNION ALL SELECT 'destinations', count(*), count(DISTINCT destination) FROM quotes UNION ALL SELECT 'ungrouped days', count(*), count(DISTINCT collection_date) FROM quotes WHERE source_group = 'none')
-SELECT stage, rows, "values", CASE WHEN rows = 0 THEN 'PENDING' WHEN "values" <= 1 THEN 'DEGENERATE' ELSE 'EXERCISED' END AS status FROM s""")
-def h13_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each stage's input exercises it."""
-    q = quotes(spark, sf_dir)
-    return audit.stage_report({"quotes": q.select(F.col("origin").alias("v")), "admitted": admit.admissible(q, COLLECTION_WINDOW).select(F.col("origin").alias("v")), "destinations": q.select(F.col("destination").alias("v")), "ungrouped days": q.where("source_group = 'none'").select(F.col("collection_date").alias("v"))})
-
-
-@query(f"""WITH {_LEVELS_SQL}, v AS (SELECT collection_date, cell_id, level, 'provisional' AS status, 1 AS vintage FROM cells WHERE level IS NOT NULL UNION ALL SELECT collection_date, cell_id, level * 1.01, 'final', 2 FROM cells WHERE level IS NOT NULL AND collection_date < DATE '2024-01-28')
-SELECT collection_date, cell_id, round(arg_max(level, vintage), 6) AS level, arg_max(status, vintage) AS status, CAST(max(vintage) AS INT) AS vintage, count(*) AS vintages FROM v GROUP BY ALL""")
-def x9_current_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current view of appended vintages."""
-    levels = cell_levels(spark, sf_dir)[0].where("level is not null").select("collection_date", "cell_id", "level")
-    first = levels.select("*", F.lit("provisional").alias("status"), F.lit(1).alias("vintage"))
-    second = levels.where("collection_date < '2024-01-28'").select("collection_date", "cell_id", (F.col("level") * 1.01).alias("level"), F.lit("final").alias("status"), F.lit(2).alias("vintage"))
-    return audit.current_vintage(first.unionByName(second), ["collection_date", "cell_id"]).select("collection_date", "cell_id", r6("level"), "status", "vintage", "vintages")
-
-
-@query(f"""WITH {EVENT_QUOTES_SQL}, n AS (SELECT *, lead(availability) OVER (PARTITION BY origin, carrier, flight_number ORDER BY observation_ts, observation_id) AS nx FROM quotes)
-SELECT origin, carrier, count(*) FILTER (nx = 'SOLD_OUT') AS before_sold_out, count(*) AS quotes, round(avg(ln(payable_fare)) FILTER (nx = 'SOLD_OUT'), 6) AS log_price_before, round(avg(ln(payable_fare)) FILTER (nx <> 'SOLD_OUT'), 6) AS log_price_other FROM n WHERE availability = 'AVAILABLE' AND nx IS NOT NULL GROUP BY ALL""")
-def x10_sold_out_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices before an item sells out against others."""
-    return audit.sold_out_association(quotes(spark, sf_dir), ["origin", "carrier"]).select("origin", "carrier", "before_sold_out", "quotes", r6("log_price_before"), r6("log_price_other"))
-
-
-@query()
-def x3_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the daily level over 1000 resamples of cells."""
-    levels, weights = cell_levels(spark, sf_dir)
-    return audit.bootstrap_levels(levels.join(weights, "cell_id"), draws=1000, seed=20240101)
-
-
-@query()
-def x1_time_product_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Yearly time effects of unit prices with part and supplier effects."""
-    trades = trade_quotes(spark, sf_dir).select(F.year("ship_date").alias("period"), F.concat_ws("|", "item_id", "source_id").alias("item_id"), F.ln("price").alias("log_price"))
-    return audit.time_product_dummy(trades, rounds=15)
-
-
 @query(f"""WITH {TRADE_QUOTES_SQL}, p AS (SELECT route, stddev_pop(ln(price)) AS dispersion, count(*) AS trades FROM trades GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY dispersion DESC) AS rn FROM p)
 SELECT route, round(dispersion, 6) AS dispersion, trades, round((SELECT dispersion FROM r WHERE rn = 2), 6) AS runner_up FROM r WHERE rn = 1""")
 def d8_widest_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,15 +162,6 @@ def f5_band_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relatives.band_prices(quotes(spark, sf_dir)).select("collection_date", "origin", "carrier", "band", "source_id", "quotes", r6("band_price"), r6("dispersion"))
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, s AS (SELECT DISTINCT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, flight_number FROM quotes),
-n AS (SELECT collection_date, origin, carrier, band, count(*) AS n FROM s GROUP BY ALL), c AS (SELECT a.collection_date, a.origin, a.carrier, a.band, count(*) AS common FROM s a JOIN s b ON a.origin = b.origin AND a.carrier = b.carrier AND a.band = b.band AND a.flight_number = b.flight_number AND b.collection_date + 7 = a.collection_date GROUP BY ALL)
-SELECT a.collection_date, a.origin, a.carrier, a.band, a.n AS n_now, b.n AS n_prior, a.n - b.n AS delta, round(coalesce(common, 0) * 1.0 / greatest(a.n, b.n), 6) AS overlap, coalesce(common, 0) = a.n AND coalesce(common, 0) = b.n AS telescopes
-FROM n a JOIN n b ON a.origin = b.origin AND a.carrier = b.carrier AND a.band = b.band AND b.collection_date + 7 = a.collection_date LEFT JOIN c ON c.collection_date = a.collection_date AND c.origin = a.origin AND c.carrier = a.carrier AND c.band = a.band""")
-def f8_band_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flights of a band now and a week earlier, overlap and telescoping."""
-    return relatives.band_diagnostics(quotes(spark, sf_dir)).select("collection_date", "origin", "carrier", "band", "n_now", "n_prior", "delta", r6("overlap"), "telescopes")
-
-
 @query(f"""WITH {EVENT_QUOTES_SQL}, d AS (SELECT collection_date, origin, carrier, flight_number, CAST(event_day AS INT) AS event_day, min_by(payable_fare, observation_id) FILTER (channel = 'AIRLINE_DIRECT') AS direct, min_by(payable_fare, observation_id) FILTER (channel = 'AGGREGATOR') AS aggregator
  FROM (SELECT *, 0 AS event_day FROM quotes) GROUP BY ALL) SELECT collection_date, origin, carrier, flight_number, round(direct, 6) AS direct, round(aggregator, 6) AS aggregator, round(ln(aggregator) - ln(direct), 6) AS log_spread FROM d WHERE direct IS NOT NULL AND aggregator IS NOT NULL""")
 def e5_channel_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,19 +273,12 @@ _COMPARE_SQL = TRADE_QUOTES_SQL + """, a AS (SELECT strftime(ship_date, '%Y-%m')
 m AS (SELECT period, a, b, sign(a - lag(a) OVER (ORDER BY period)) AS da, sign(b - lag(b) OVER (ORDER BY period)) AS db FROM a JOIN b USING (period))"""
 
 
-@query(f"WITH {_COMPARE_SQL} SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(100 * avg(abs((a - b) / b)), 6) AS mape, round(100 * avg(CASE WHEN da IS NOT NULL THEN CASE WHEN da = db THEN 1.0 ELSE 0.0 END END), 6) AS direction_pct, 'SATISFIED' AS verdict FROM m")
+@query(f"WITH {_COMPARE_SQL} SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(100 * avg(abs((a - b) / b)), 6) AS mape, round(100 * avg(CASE WHEN da IS NOT NULL THEN CASE WHEN da = db THEN 1.0 ELSE 0.0 END END), 6) AS direction_pct, 'SATISFIED' AS verdict, '' AS reasons FROM m")
 def s6_benchmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly geometric against arithmetic mean unit price."""
     monthly = trade_quotes(spark, sf_dir).withColumn("period", derive.period_key(F.col("ship_date"), "month")).groupBy("period").agg(F.exp(F.avg(F.ln("price"))).alias("geometric"), F.avg("price").alias("arithmetic"))
     found = series.comparison(monthly.select("period", F.col("geometric").alias("level")), monthly.select("period", F.col("arithmetic").alias("level")), comparable=True)
-    return found.select("n", *(r6(c) for c in ("correlation", "mae", "rmse", "mape", "direction_pct")), "verdict")
-
-
-@query(f"WITH {TRADE_QUOTES_SQL}, y AS (SELECT route AS series, year(ship_date) AS year, avg(price) AS value FROM trades GROUP BY ALL), e AS (SELECT series, min_by(value, year) AS f, max_by(value, year) AS l, min(year) AS y0, max(year) AS y1 FROM y GROUP BY ALL) SELECT series, round(f, 6) AS first_value, round(l, 6) AS last_value, CAST(y0 AS INT) AS first_year, CAST(y1 AS INT) AS last_year, round(l / f, 6) AS ratio, round(CASE WHEN y1 > y0 THEN 100 * (pow(l / f, 1.0 / (y1 - y0)) - 1) END, 6) AS growth_pct FROM e")
-def f18_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """compound annual growth of each route's mean unit price."""
-    yearly = trade_quotes(spark, sf_dir).groupBy(F.col("route").alias("series"), F.year("ship_date").alias("year")).agg(F.avg("price").alias("value"))
-    return series.growth(yearly).select("series", r6("first_value"), r6("last_value"), "first_year", "last_year", r6("ratio"), r6("growth_pct"))
+    return found.select("n", *(r6(c) for c in ("correlation", "mae", "rmse", "mape", "direction_pct")), "verdict", "reasons")
 
 
 @query(f"WITH {TRADE_QUOTES_SQL}, y AS (SELECT route AS series, year(ship_date) AS year, avg(price) AS m FROM trades GROUP BY ALL) SELECT series, CAST(year AS INT) AS year, round(m, 6) AS mean_level, round(m / lag(m) OVER (PARTITION BY series ORDER BY year), 6) AS factor FROM y")

@@ -36,15 +36,6 @@ def c10_attempt_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.attempt_rates(attempts(spark, sf_dir), ["day", "source_id"]).select("day", "source_id", "attempts", "failures", r6("failure_rate"), "stopped")
 
 
-@query(f"""WITH {ATTEMPTS_SQL} SELECT day, count(*) AS attempts, count(*) FILTER (outcome = 'SUCCESS') AS successes, count(*) FILTER ({_FAILED}) AS failures, count(DISTINCT route) AS routes, count(DISTINCT source_id) AS sources, count(DISTINCT travel_date) AS travel_dates, count(DISTINCT CASE WHEN lead_days IN (1,3,7,15,30,45,60) THEN lead_days END) AS buckets,
- CASE WHEN bool_or(outcome = 'CAPTCHA_OR_ANTIBOT_STOP') THEN 'STOPPED' WHEN count(*) FILTER (outcome = 'SUCCESS') = 0 THEN 'FAILED' WHEN count(*) FILTER ({_FAILED}) > 0 THEN 'PARTIAL' ELSE 'COMPLETE' END AS status FROM attempts GROUP BY day""")
-def f19_day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """what each day collected, and its status."""
-    a = collection.with_outcome_facts(attempts(spark, sf_dir))
-    status = F.when(F.bool_or("stop_signal"), "STOPPED").when(F.count_if(F.col("outcome") == "SUCCESS") == 0, "FAILED").when(F.count_if("collector_failure") > 0, "PARTIAL").otherwise("COMPLETE")
-    return a.groupBy("day").agg(F.count(F.lit(1)).alias("attempts"), F.count_if(F.col("outcome") == "SUCCESS").alias("successes"), F.count_if("collector_failure").alias("failures"), F.countDistinct("route").alias("routes"), F.countDistinct("source_id").alias("sources"), F.countDistinct("travel_date").alias("travel_dates"), F.countDistinct(F.when(F.col("lead_days").isin(1, 3, 7, 15, 30, 45, 60), F.col("lead_days"))).alias("buckets"), status.alias("status"))
-
-
 @query(f"""WITH {ATTEMPTS_SQL}, plan AS (SELECT d.day, s.source_id, r.route, CAST(l.lead AS INT) AS lead_days FROM (SELECT DISTINCT day FROM attempts) d, (SELECT DISTINCT source_id FROM attempts) s, (SELECT DISTINCT route FROM attempts) r, (SELECT unnest([1,3,7,15,30,45,60]) AS lead) l),
 got AS (SELECT day, source_id, route, lead_days, min_by(outcome, attempt_id) AS outcome FROM attempts GROUP BY ALL)
 SELECT source_id, coalesce(outcome, 'NOT_ATTEMPTED') AS outcome, count(*) AS entries FROM plan LEFT JOIN got USING (day, source_id, route, lead_days) GROUP BY ALL""")
@@ -85,13 +76,6 @@ def e8_outside_run_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.outside_window(q, runs, "collection_date", "observation_ts").select("observation_id")
 
 
-@query(f"WITH {EVENT_QUOTES_SQL} SELECT collection_date, CAST(hour(min(observation_ts)) * 60 + minute(min(observation_ts)) - 360 AS INT) AS start_drift, CAST(hour(max(observation_ts)) * 60 + minute(max(observation_ts)) - 1320 AS INT) AS end_drift FROM quotes GROUP BY ALL")
-def j5_window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes between the declared and the actual collection window of each day."""
-    minute = lambda c: F.hour(c) * 60 + F.minute(c)
-    return quotes(spark, sf_dir).groupBy("collection_date").agg((minute(F.min("observation_ts")) - 360).alias("start_drift"), (minute(F.max("observation_ts")) - 1320).alias("end_drift"))
-
-
 @query(f"""WITH {EVENT_QUOTES_SQL}, k AS (SELECT DISTINCT origin, carrier, flight_number, channel, source_id FROM quotes WHERE collection_date < DATE '2024-01-16') SELECT q.observation_id FROM quotes q SEMI JOIN k USING (origin, carrier, flight_number, channel, source_id) WHERE q.collection_date >= DATE '2024-01-16'""")
 def j9_batch_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Offers of a new batch that the store has already."""
@@ -111,20 +95,6 @@ def f13_lead_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.lead_profile(q).select("lead_bucket", "quotes", r6("geomean"), r6("least"), r6("most"), "least_id", "most_id", r6("spread_pct"), r6("ratio"))
 
 
-@query(f"WITH {EVENT_QUOTES_SQL} SELECT CAST(departure_min // 180 AS INT) AS band, count(*) AS quotes, round(exp(avg(ln(payable_fare))), 6) AS geomean, count(DISTINCT isodow(travel_date)) AS weekdays FROM quotes GROUP BY ALL")
-def f14_band_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """prices and travel weekdays by hour band."""
-    return quotes(spark, sf_dir).groupBy(derive.hour_band().alias("band")).agg(F.count(F.lit(1)).alias("quotes"), F.round(F.exp(F.avg(F.ln("payable_fare"))), 6).alias("geomean"), F.countDistinct(derive.travel_weekday()).alias("weekdays"))
-
-
-@query(f"WITH {EVENT_QUOTES_SQL}, d AS (SELECT DISTINCT origin, collection_date FROM quotes) SELECT a.origin, count(*) AS waves, count(b.collection_date) AS matched_dates FROM d a LEFT JOIN d b ON a.origin = b.origin AND b.collection_date + 7 = a.collection_date GROUP BY a.origin")
-def f17_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Collection dates of each origin, and how many have a partner a week earlier."""
-    days = quotes(spark, sf_dir).select("origin", "collection_date").distinct()
-    earlier = days.select("origin", F.date_add("collection_date", 7).alias("collection_date"), F.lit(1).alias("held"))
-    return days.join(earlier, ["origin", "collection_date"], "left").groupBy("origin").agg(F.count(F.lit(1)).alias("waves"), F.count("held").alias("matched_dates"))
-
-
 @query(f"""WITH {TRADE_QUOTES_SQL}, n AS (SELECT quarter, route, count(DISTINCT item_id) AS n FROM trades GROUP BY ALL) SELECT route, quantile_cont(n, 0.1) AS p10, quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.9) AS p90, max(n) AS most FROM n GROUP BY route""")
 def f22_density_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """items per stratum and period, in interpolated percentiles."""
