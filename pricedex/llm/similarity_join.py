@@ -17,8 +17,8 @@ nodes' upper corners bounds every pair below them.
    pairs, the best bounds first, whole sets decide, and a pair whose two sides are already connected is passed
    over.  What leaves a task is a spanning forest of the links, never more rows than members.
 5. Two rounds of 3 and 4.  In the first, each class is in one family only, the one with the least key of its
-   families; that joins most copies.  In the second, all members of those families are compared that are not in
-   one component yet.
+   families (and in its own); that joins most copies.  In the second, the families with a class that was not there and
+   more than one component are compared whole, but for pairs that were there.
 6. Families beyond BLOCK members are cut into blocks, in the first round with the family's least class in each.  In the
    second, what is in different components is compared block against block: only blocks of fitting sizes,
    and never two blocks of the family's main component.
@@ -36,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -137,13 +138,26 @@ class CountVectorTree:
                 yield self.order[x[kept]], self.order[y[kept]]
 
 
-def possible(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray, side: np.ndarray, percent: int) -> np.ndarray:
-    """Which rows have a partner of another component, and of the other side if there are two, that the bound allows.
+@dataclass
+class Members:
+    """The rows of a group: component, side (of two blocks, or 0), and whether a row has been compared with all others that are `done`."""
+
+    component: np.ndarray
+    side: np.ndarray
+    done: np.ndarray
+
+    def open_pairs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs of different components, of two sides if there are two, that have not been compared yet."""
+        found = (self.component[x][:, None] != self.component[y]) & ~(self.done[x][:, None] & self.done[y])
+        return found & (self.side[x][:, None] != self.side[y]) if self.side.min() != self.side.max() else found
+
+
+def possible(points: list[np.ndarray], sizes: np.ndarray, members: Members, percent: int) -> np.ndarray:
+    """Which rows have an open pair that the bound allows.
 
     Points may differ in their number of groups; each pair is compared with the smaller one of its two.
     """
     found = np.zeros(len(sizes), bool)
-    across = side.min() != side.max()
     groups = np.array([len(p) for p in points])
     levels = np.unique(groups)
     for g in levels.tolist():
@@ -151,10 +165,8 @@ def possible(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray,
 
         def wanted(x: np.ndarray, y: np.ndarray, g: int = g, rows: np.ndarray = rows) -> np.ndarray:
             x, y = rows[x], rows[y]
-            open_pairs = (component[x][:, None] != component[y]) & ~(found[x][:, None] & found[y])
-            if across:
-                open_pairs &= side[x][:, None] != side[y]
-            return open_pairs if len(levels) == 1 else open_pairs & (np.minimum(groups[x][:, None], groups[y]) == g)
+            pairs = members.open_pairs(x, y) & ~(found[x][:, None] & found[y])
+            return pairs if len(levels) == 1 else pairs & (np.minimum(groups[x][:, None], groups[y]) == g)
 
         if len(rows) > 1:
             for x, y in CountVectorTree(folded([points[k] for k in rows], g), sizes[rows]).pairs(percent, wanted):
@@ -162,10 +174,9 @@ def possible(points: list[np.ndarray], sizes: np.ndarray, component: np.ndarray,
     return found
 
 
-def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect whatever the links of these sets connect, beyond what the components already do."""
-    label = np.unique(component, return_inverse=True)[1]
-    across = side.min() != side.max()
+def spanning_links(sets: list[np.ndarray], members: Members, percent: int) -> list[tuple[int, int]]:
+    """Links of open pairs that connect whatever the links of these sets connect, beyond what the components already do."""
+    label = members.component = np.unique(members.component, return_inverse=True)[1]
     links: list[tuple[int, int]] = []
 
     def decide(x: int, y: int) -> None:
@@ -180,12 +191,8 @@ def spanning_links(sets: list[np.ndarray], component: np.ndarray, side: np.ndarr
         return links
     sizes = np.array([len(s) for s in sets])
     groups = fine_groups(2 * int(sizes.max()))
-
-    def wanted(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        open_pairs = label[x][:, None] != label[y]
-        return open_pairs & (side[x][:, None] != side[y]) if across else open_pairs
-
-    for xs, ys in CountVectorTree(np.stack([point(s, groups) for s in sets]), sizes).pairs(percent, wanted):
+    tree = CountVectorTree(np.stack([point(s, groups) for s in sets]), sizes)
+    for xs, ys in tree.pairs(percent, members.open_pairs):
         for x, y in zip(xs.tolist(), ys.tolist()):
             if label[x] != label[y]:
                 decide(x, y)
@@ -283,19 +290,24 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
 
 
 GROUP = ("fam", "i", "j")
+MEMBER = (*GROUP, "id", "a", "n", "component", "side", "done")
+MEMBER_SCHEMA = "fam bigint, i bigint, j bigint, id bigint, a bigint, n bigint, component bigint, side int, done boolean"
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
     return rows.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
 
+def _members(batch: pa.RecordBatch) -> Members:
+    return Members(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "side", "done")))
+
+
 def with_partners(rows: DataFrame, percent: int) -> DataFrame:
-    """Of (fam, i, j, id, a, n, component, side, point), the rows that may have a link in their group, without points."""
-    columns = [*GROUP, "id", "a", "n", "component", "side"]
+    """Of rows (MEMBER, point), those that may have a link in their group, without points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _whole_groups(batches, len(GROUP)):
-            component, side, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("component", "side", "n"))
+            of, n = _members(batch), batch.column("n").to_numpy(zero_copy_only=False)
             points = [np.frombuffer(p, np.uint8) for p in batch.column("point").to_pylist()]
             kept = np.zeros(batch.num_rows, bool)
             for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
@@ -303,11 +315,10 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
                 if y - x == 2 and 100 * min(sizes) < percent * max(sizes):
                     continue
                 if y - x > 1:
-                    kept[x:y] = possible(points[x:y], sizes, component[x:y], side[x:y], percent)
-            yield batch.select(columns).filter(pa.array(kept))
+                    kept[x:y] = possible(points[x:y], sizes, Members(of.component[x:y], of.side[x:y], of.done[x:y]), percent)
+            yield batch.select(MEMBER).filter(pa.array(kept))
 
-    schema = "fam bigint, i bigint, j bigint, id bigint, a bigint, n bigint, component bigint, side int"
-    return _grouped(rows.select(*columns, "point")).mapInArrow(run, schema)
+    return _grouped(rows.select(*MEMBER, "point")).mapInArrow(run, MEMBER_SCHEMA)
 
 
 def _of(rows: DataFrame, given: DataFrame) -> DataFrame:
@@ -316,20 +327,23 @@ def _of(rows: DataFrame, given: DataFrame) -> DataFrame:
     return given.join(F.broadcast(needed), "id", "left_semi") if needed.count() <= BROADCAST_IDS else given
 
 
-def with_fine_partners(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The rows of with_partners that may have a link by their finer points as well; points: (id, a, fine)."""
-    rows = stored(with_partners(rows, percent))
-    return with_partners(rows.join(_of(rows, points).select("id", "a", F.col("fine").alias("point")), ["id", "a"]), percent)
+def candidates(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The rows (MEMBER) that may have a link by their points, then by their finer ones; points: (id, a, point, fine)."""
+    for column in ("point", "fine"):
+        rows = stored(rows)
+        rows = with_partners(rows.join(_of(rows, points).select("id", "a", F.col(column).alias("point")), ["id", "a"]), percent)
+    return rows
 
 
 def verified(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(u, v): a spanning forest of the links of each group of (fam, i, j, id, a, component, side), by whole sets."""
+    """(u, v): a spanning forest of the links of each group of rows (MEMBER), by whole sets."""
     rows = stored(rows)
-    told = rows.join(_of(rows, texts), "id").select(*GROUP, "id", "a", "component", "side", "text")
+    told = rows.join(_of(rows, texts), "id").select(*MEMBER, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _whole_groups(batches, len(GROUP)):
-            ids, keys, component, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "a", "component", "side"))
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "a"))
+            of = _members(batch)
             ends = np.append(0, np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)))
             links: list[tuple[int, int]] = []
             at = 0
@@ -342,7 +356,7 @@ def verified(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 for x, y in zip(bounds[at:stop].tolist(), bounds[at + 1 : stop + 1].tolist()):
                     own = np.flatnonzero(right[x - first : y - first]) + x
                     if len(own) > 1:
-                        found = spanning_links([sets[k - first] for k in own], component[own], side[own], percent)
+                        found = spanning_links([sets[k - first] for k in own], Members(of.component[own], of.side[own], of.done[own]), percent)
                         links.extend((int(ids[own[u]]), int(ids[own[v]])) for u, v in found)
                 at = stop
             if links:
@@ -357,19 +371,24 @@ def _salt(column: str) -> Column:
 
 
 def class_members(points: DataFrame) -> DataFrame:
-    """points with cls, the least id of equal sets.  Rows of one set are split by a salt, so none of them gather in one task."""
+    """(id, n, a, cls) of points; cls is the least id of equal sets.  Rows of one set are split by a salt, so none of them gather in one task."""
     salted = points.withColumn("salt", _salt("id"))
     parts = salted.where("n > 0").groupBy("a", "b", "salt").agg(F.min("id").alias("part"))
     least = parts.groupBy("a", "b").agg(F.min("part").alias("cls"))
     parts = parts.join(least, ["a", "b"]).select("a", "b", "salt", "cls")
-    return salted.join(parts, ["a", "b", "salt"], "left").select("id", "n", "a", F.coalesce("cls", "id").alias("cls"), "point")
+    return salted.join(parts, ["a", "b", "salt"], "left").select("id", "n", "a", F.coalesce("cls", "id").alias("cls"))
 
 
 def families(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(fam, a, id, n, point): the classes of all lists with the same least key; fam is that key."""
+    """(fam, a, id, n, first): the classes (id, a, n) of all lists with the same least key, which is fam.
+
+    first: whether the class is compared in this family in the first round: in the family of the least key of its
+    families, and in that of which it is itself the least class.
+    """
     shared = lists.groupBy("h").agg(F.min("a").alias("fam"), F.max("a").alias("last")).where("fam <> last").select("h", "fam")
-    rows = lists.join(shared.hint("shuffle_hash"), "h").select("fam", "a").distinct()
-    return rows.join(classes, "a").select("fam", "a", F.col("cls").alias("id"), "n", "point")
+    rows = stored(lists.join(shared.hint("shuffle_hash"), "h").select("fam", "a").distinct())
+    home = rows.groupBy("a").agg(F.min("fam").alias("home"))
+    return rows.join(home, "a").join(classes, "a").select("fam", "a", "id", "n", F.expr("fam = home or fam = a").alias("first"))
 
 
 def _blocks(count: Column, shingles: Column) -> Column:
@@ -380,30 +399,26 @@ def _part(blocks: Column) -> Column:
     return F.pmod(F.xxhash64("id"), blocks.cast("bigint"))
 
 
-def home_groups(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Groups (fam, i, j) of the first round: each class in the family of the least key of its families, large ones in blocks.
-
-    A family's least class is in all of its blocks.
-    """
-    home = members.groupBy("id", "a").agg(F.min("fam").alias("home"))
-    rows = members.join(home, ["id", "a"]).where("fam = home or fam = a").join(sizes, "fam")
-    blocks = F.when(F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).otherwise(F.array(_part(F.col("parts"))))
-    rows = rows.withColumn("i", F.explode(blocks)).withColumns({"j": F.col("i"), "component": F.col("id"), "side": F.lit(0)})
-    return rows.select(*GROUP, "id", "a", "n", "component", "side", "point")
+def first_groups(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Groups of the first round.  Large families are cut into blocks, with the family's least class in each."""
+    rows = members.where("first").join(sizes, "fam")
+    blocks = F.when(F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("first_parts") - 1)).otherwise(F.array(_part(F.col("first_parts"))))
+    rows = rows.withColumn("i", F.explode(blocks)).withColumns({"j": F.col("i"), "component": F.col("id"), "side": F.lit(0), "done": F.lit(False)})
+    return rows.select(*MEMBER)
 
 
 def open_groups(members: DataFrame, sizes: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Groups (fam, i, j) of the second round: the families whose classes are not in one component yet."""
-    rows = members.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = stored(rows.join(stored(spread.join(sizes, "fam").select("fam", "parts")), "fam"))
-    small = rows.where("parts = 1").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)})
-    small = small.select(*GROUP, "id", "a", "n", "component", "side", "point")
+    """Groups of the second round: the families with a class that was not in the first one and more than one component."""
+    rows = members.join(sizes, "fam").withColumn("done", F.expr("first and first_parts = 1")).join(joined, "id", "left")
+    rows = stored(rows.select("fam", "a", "id", "n", "done", "parts", F.coalesce("component", "id").alias("component")))
+    still = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("done").alias("done")).where("lo <> hi and not done")
+    rows = rows.join(stored(still.select("fam")), "fam", "left_semi")
+    small = rows.where("parts = 1").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)}).select(*MEMBER)
     return small.unionByName(across_blocks(rows.where("parts > 1").drop("parts"), percent))
 
 
 def across_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Groups (fam, i, j) of pairs of blocks of (fam, a, id, n, point, component) that can hold a link between components.
+    """Groups of pairs of blocks of (fam, a, id, n, component, done) that can hold a link between components.
 
     Blocks are parts of size bands; sets of two bands that are not neighbours differ too much in size.
     """
@@ -422,7 +437,7 @@ def across_blocks(rows: DataFrame, percent: int) -> DataFrame:
     pairs = pairs.where("x_block <= y_block").select("*", F.col("x_block").alias("i"), F.col("y_block").alias("j"))
     of = lambda p, side: pairs.select(*GROUP, *(F.col(f"{p}{c}").alias(c) for c in ("inner", "band", "part")), F.lit(side).alias("side"))
     ends = of("x_", 0).unionByName(of("y_", 1).where("i <> j"))
-    return rows.join(ends, ["fam", "inner", "band", "part"]).select(*GROUP, "id", "a", "n", "component", "side", "point")
+    return rows.join(ends, ["fam", "inner", "band", "part"]).select(*MEMBER)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,18 +446,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     scanned = stored(document_points(texts, size))
     points, known = scanned.where("point is not null"), texts.where("id is not null")
     member = stored(class_members(points.where("id is not null")))
-    fine = points.where("id is not null").select("id", "a", "fine")
-    classes = member.where("n > 0 and id = cls").select("cls", "a", "n", "point").distinct()
-    members = stored(families(stored(prefix_lists(known, group_frequencies(scanned), size, percent)), classes))
-    sizes = stored(members.groupBy("fam").agg(_blocks(F.count(F.lit(1)), F.sum("n")).alias("parts")))
+    classes = member.where("n > 0 and id = cls").select("id", "a", "n").distinct()
+    members = stored(families(prefix_lists(known, group_frequencies(scanned), size, percent), classes))
+    of = lambda kept: _blocks(F.count_if(kept), F.sum(F.when(kept, F.col("n"))))
+    sizes = stored(members.groupBy("fam").agg(of(F.lit(True)).alias("parts"), of(F.col("first")).alias("first_parts")))
 
     # Rows of one id with different texts are one document.
     repeated = member.groupBy("id").agg(F.min("cls").alias("u"), F.max("cls").alias("v")).where("u <> v")
     repeated = repeated.select("id", F.explode(F.array("u", "v")).alias("u")).where("id <> u")
-    links = verified(with_fine_partners(home_groups(members, sizes), fine, percent), known, size, percent)
+    links = verified(candidates(first_groups(members, sizes), points, percent), known, size, percent)
     links = stored(links.unionByName(repeated.select("u", F.col("id").alias("v"))))
     joined = stored(components(links, "u", "v"))
-    more = stored(verified(with_fine_partners(open_groups(members, sizes, joined, percent), fine, percent), known, size, percent))
+    more = stored(verified(candidates(open_groups(members, sizes, joined, percent), points, percent), known, size, percent))
     if not more.isEmpty():
         joined = stored(components(links.unionByName(more), "u", "v"))
 
