@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,6 @@ from pricedex.config import OUTCOMES
 #: The columns of fare and attempt sheets, in their order, and the key of an offer in the store.
 FARE_SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("travel_date", "source_id", "time_ist", "origin", "destination", "carrier", "flight_number", "departure_time", "stops", "duration_minutes", "fare_family_raw", "availability", "payable_fare", "base_fare", "taxes", "fees", "user_development_fee", "checked_baggage_kg", "change_permitted", "cancellation_permitted", "source_group", "notes")])
 ATTEMPT_SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("travel_date", "source_id", "time_ist", "origin", "destination", "outcome", "source_group", "notes")])
-PAYLOAD = "page struct<kind:string,message:string,http_status:int>, search_echo map<string,string>, flights array<struct<flight_label:string,departure:string,arrival:string,stops:string,operated_by:string,sold_out:boolean,fares:array<struct<family:string,price:string,available:boolean,concession:boolean>>>>"
 STORE_KEY = ["collection_date", "source_id", "origin", "destination", "travel_date", "carrier", "flight_number", "departure_min", "fare_family_raw"]
 
 
@@ -89,12 +89,61 @@ def read_attempt_sheet(spark: SparkSession, path: str, day: Column, window: str)
     return judged_attempt_sheet(spark.read.csv(path, schema=ATTEMPT_SHEET, header=True), day, window)
 
 
+# Keys that a payload's page, echo, flights and fares must have.
+PAGE_KEYS = ("schema", "page", "search_echo", "flights")
+ECHO_KEYS = ("origin", "destination", "date_label", "passengers_label", "currency_label", "trip_label")
+FLIGHT_KEYS = ("flight_label", "departure", "arrival", "origin_label", "destination_label", "duration", "stops", "operated_by", "sold_out", "fares")
+FARE_KEYS = ("family", "price", "available", "concession", "entitlements", "policy", "breakdown")
+PAGE_STATES = {"challenge": "ACCESS_CHALLENGE", "error": "SITE_ERROR", "no_flights": "NO_FLIGHTS_MESSAGE", "results": "RESULTS"}
+PAYLOAD_SCHEMA = "indigo-extract/1"
+_FARE = "struct<family:string,price:string,available:boolean,concession:boolean,entitlements:array<string>,policy:array<string>,breakdown:map<string,string>>"
+PAYLOAD = f"schema string, page struct<kind:string,message:string,http_status:int>, search_echo map<string,string>, flights array<struct<flight_label:string,departure:string,arrival:string,departure_day_offset:int,origin_label:string,destination_label:string,duration:string,stops:string,operated_by:string,sold_out:boolean,fares:array<{_FARE}>>>"
+
+
+def _missing(keys: Column, wanted: tuple[str, ...]) -> Column:
+    return F.array_except(F.array(*map(F.lit, wanted)), F.coalesce(keys, F.array().cast("array<string>")))
+
+
+def _issue(name: Column, missing: Column) -> Column:
+    return F.when(F.size(missing) > 0, F.concat(name, F.lit(":"), F.array_join(missing, ",")))
+
+
+def parsed_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """Payloads with `p` (parsed), `page_state`, `issues` (what their structure lacks) and `sound` (places of the flights with all keys).
+
+    Keys are looked for in the text itself, so a key with a null is there and a missing one is not.  A page without its keys,
+    of another schema, or of an unknown kind is unrecognised; a flight or fare without its keys is an issue of a results page.
+    """
+    raw = payloads.withColumn("p", F.from_json(column, PAYLOAD))
+    keys = lambda path: F.json_object_keys(F.get_json_object(column, path))
+    cards = F.from_json(F.get_json_object(column, "$.flights"), "array<string>")
+    top = _missing(F.json_object_keys(column), PAGE_KEYS)
+    kind = F.col("p.page.kind")
+    known = kind.isin(*PAGE_STATES)
+    flight_issues = F.transform(cards, lambda card, i: _issue(F.concat(F.lit("FLIGHT_CARD_"), i.cast("string"), F.lit("_MISSING_KEYS")), _missing(F.json_object_keys(card), FLIGHT_KEYS)))
+    tiles = lambda card: F.coalesce(F.from_json(F.get_json_object(card, "$.fares"), "array<string>"), F.array().cast("array<string>"))
+    fare_issues = F.transform(cards, lambda card, i: F.array_compact(F.transform(tiles(card), lambda tile, k: _issue(F.concat(F.lit("FARE_TILE_"), i.cast("string"), F.lit("."), k.cast("string"), F.lit("_MISSING_KEYS")), _missing(F.json_object_keys(tile), FARE_KEYS)))))
+    judged = raw.withColumns({"flight_issues": flight_issues, "fare_issues": fare_issues})
+    page_issue = (
+        F.when(F.size(top) > 0, _issue(F.lit("PAGE_MISSING_KEYS"), top)).when(~F.col("p.schema").eqNullSafe(PAYLOAD_SCHEMA), "SCHEMA_MISMATCH").when(kind.isNull(), "PAGE_KIND_MISSING").when(~known, F.concat(F.lit("UNKNOWN_PAGE_KIND:"), kind))
+        .when((kind == "results") & cards.isNull(), "FLIGHTS_NOT_A_LIST")
+    )
+    echo_issue = _issue(F.lit("SEARCH_ECHO_MISSING_KEYS"), _missing(keys("$.search_echo"), ECHO_KEYS))
+    none = F.array().cast("array<string>")
+    inner = F.when(kind == "results", F.array_compact(F.concat(F.array(echo_issue), F.coalesce("flight_issues", none), F.coalesce(F.flatten("fare_issues"), none)))).otherwise(none)
+    states = F.lit("UNRECOGNISED")
+    for name, state in PAGE_STATES.items():
+        states = F.when(kind == name, state).otherwise(states)
+    places = F.transform("flight_issues", lambda x, i: F.when(x.isNull() & (F.size(F.get("fare_issues", i)) == 0), i))
+    judged = judged.withColumns({"page_state": F.when(page_issue.isNotNull(), "UNRECOGNISED").otherwise(states), "issues": F.when(page_issue.isNotNull(), F.array(page_issue)).otherwise(inner), "sound": F.coalesce(F.array_compact(places), F.array().cast("array<int>"))})
+    return judged.drop("flight_issues", "fare_issues")
+
+
 def payload_fares(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row for each fare of each flight of JSON payloads, and `issues`: what the payload lacks."""
-    parsed = payloads.withColumn("p", F.from_json(column, PAYLOAD))
-    issues = F.array_compact(F.array(F.when(F.col("p.page").isNull(), F.lit("page")), F.when(F.col("p.search_echo").isNull(), F.lit("search_echo")), F.when(F.col("p.flights").isNull(), F.lit("flights"))))
-    flights = parsed.withColumn("issues", issues).select("*", F.posexplode_outer("p.flights").alias("position", "flight"))
-    return flights.select("*", F.explode_outer("flight.fares").alias("fare")).drop("p")
+    """One row for each fare of each sound flight of JSON payloads, one for a payload or flight without any, with page_state and issues."""
+    parsed = parsed_payloads(payloads, column).withColumn("place", F.explode_outer("sound"))
+    flights = parsed.withColumn("flight", F.get("p.flights", F.col("place")))
+    return flights.select("*", F.explode_outer("flight.fares").alias("fare")).drop("p", "sound")
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
@@ -113,8 +162,8 @@ def append_quotes(quotes: DataFrame, path: str) -> None:
         raise ValueError("the batch holds an offer twice")
     try:
         held = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         held = None
     if held is not None and not quotes.join(held.select(*STORE_KEY), STORE_KEY, "left_semi").isEmpty():
@@ -137,3 +186,45 @@ def manifest_differences(declared: DataFrame, found: DataFrame) -> DataFrame:
     both = declared.alias("d").join(found.alias("f"), "name", "full_outer")
     problem = F.when(F.col("f.sha256").isNull(), "MISSING").when(F.col("d.sha256").isNull(), "UNDECLARED").when(F.col("d.byte_size") != F.col("f.byte_size"), "SIZE").when(F.col("d.sha256") != F.col("f.sha256"), "HASH")
     return both.select("name", problem.alias("problem")).where("problem is not null")
+
+
+def write_export(rows: DataFrame, path: str) -> DataFrame:
+    """Writes a run's export once, never over an existing one, and returns the manifest of its files."""
+    rows.write.mode("errorifexists").parquet(path)
+    return export_manifest(rows.sparkSession, path).where("name like 'part-%'")
+
+
+def rehashed_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """Artifacts, stored under their SHA-256 as names, whose bytes no longer hash to it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    named = files.select(F.regexp_extract("path", r"([0-9a-f]{64})[^/]*$", 1).alias("address"), F.sha2("content", 256).alias("sha256"))
+    return named.where("address <> sha256")
+
+
+def scan(spark: SparkSession, path: str, day: str | None = None) -> DataFrame:
+    """A stored table of quotes, attempts, unpriced flights, runs or artifacts; of one collection date, if it is given, only that partition is read."""
+    rows = spark.read.parquet(path)
+    return rows if day is None else rows.where(F.col("collection_date") == F.lit(day).cast("date"))
+
+
+def append_states(states: DataFrame, path: str) -> None:
+    """Appends index states of new link dates; a date that the store has already is an error."""
+    spark = states.sparkSession
+    try:
+        held = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        held = None
+    if held is not None and not states.select("collection_date").distinct().join(held.select("collection_date").distinct(), "collection_date", "left_semi").isEmpty():
+        raise ValueError("the store holds states of a date of the batch already")
+    states.write.mode("append").partitionBy("collection_date").parquet(path)
+
+
+def register_table(spark: SparkSession, entries: list[dict[str, object]]) -> DataFrame:
+    """A small configuration (source register, precedence, collection windows), read on the driver, as rows of texts; every key is a column."""
+    columns = sorted({k for e in entries for k in e})
+    if not columns:
+        raise ValueError("the configuration is empty")
+    rows = [tuple(None if e.get(c) is None else str(e[c]) for c in columns) for e in entries]
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))

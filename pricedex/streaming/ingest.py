@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from pricedex.operators.admit import deduplicated, with_reason
+from pricedex.operators.chain import STATE_SCHEMA, chain_states
 
 FINAL_AFTER = "3 days"
 
@@ -29,19 +31,35 @@ def split_sink(stream: DataFrame, admitted: str, excluded: str, checkpoint: str,
 
 
 def latest_sink(stream: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
-    """Keeps the latest quote of each duplicate group of a day: each batch rewrites only the days it touches, as a new version."""
+    """Keeps the latest quote of each duplicate group of a day in a store partitioned by day.
+
+    A batch reads and rewrites the partitions of the days it holds, no others.  The latest of a group does not depend on
+    how often it is written, so a batch that runs again gives the same store.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = deduplicated(batch)
-        previous = f"{store}/version={batch_id - 1}"
-        if batch_id > 0:
-            rows = deduplicated(rows.unionByName(spark.read.parquet(previous)))
-        rows.write.mode("overwrite").parquet(f"{store}/version={batch_id}")
+        fresh = deduplicated(batch)
+        days = [r.collection_date for r in fresh.select("collection_date").distinct().collect()]  # the days of one batch
+        held = read_store(spark, store, fresh)
+        touched = f"{store}/_batch"
+        rows = fresh if held is None else deduplicated(fresh.unionByName(held.where(F.col("collection_date").isin(days)).select(fresh.columns)))
+        rows.write.mode("overwrite").parquet(touched)
+        spark.read.schema(fresh.schema).parquet(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_date").parquet(f"{store}/days")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def read_store(spark: SparkSession, store: str, like: DataFrame) -> DataFrame | None:
+    """The days of a store of latest quotes; None while there is none."""
+    try:
+        return spark.read.schema(like.schema).parquet(f"{store}/days")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def exclusion_alarm(stream: DataFrame, threshold: float) -> DataFrame:
     """Exclusion rate of each source and day as the day's window closes, and whether it is above the threshold."""
     rows = judged(stream).withWatermark("observation_ts", FINAL_AFTER)
@@ -50,6 +68,32 @@ def exclusion_alarm(stream: DataFrame, threshold: float) -> DataFrame:
 
 
 def late_flagged(stream: DataFrame, arrival: str) -> DataFrame:
-    """Quotes with `status`: provisional on their day, late after it (stored, not included), rejected once the day is final."""
+    """Quotes with `status`: provisional on their day, late after it (stored, not included), after final once the day is.
+
+    The watermark lets state of later operators forget a day once it is final.
+    """
     days = F.datediff(F.to_date(arrival), "collection_date")
-    return stream.withColumn("status", F.when(days <= 0, "PROVISIONAL").when(days <= 3, "LATE").otherwise("AFTER_FINAL"))
+    watched = stream.withWatermark("observation_ts", FINAL_AFTER) if stream.isStreaming else stream
+    return watched.withColumn("status", F.when(days <= 0, "PROVISIONAL").when(days <= 3, "LATE").otherwise("AFTER_FINAL"))
+
+
+def state_sink(links: DataFrame, weights: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
+    """Advances cell states by each batch of due links (cell_id, parent_id, collection_date, relative, undefined_reason, parent_relative).
+
+    A batch goes on from the states of its parent strata and appends its own under its number; a batch that runs again
+    replaces them.  All links of a date must come in one batch, dates in order.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        parents = batch.select("parent_id").distinct()
+        try:
+            earlier = spark.read.parquet(store).where(F.col("batch") < batch_id).drop("batch").join(parents, "parent_id", "left_semi")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            earlier = None
+        states = chain_states(batch, weights, None if earlier is None else earlier.select(*(c.split()[0] for c in STATE_SCHEMA.split(", "))))
+        states.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+
+    return links.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
