@@ -6,7 +6,8 @@ Nystroem features K(x, landmarks) K(landmarks, landmarks)^(-1/2); one ridge regr
 rest is fitted on them.  Scoring is one matrix product per batch: presence rows times the folded landmark
 and regression matrix.
 
-Training rows are a bounded sample: PER_LANGUAGE rows of each language, LANGUAGES_MOST languages at most.
+Training rows are a bounded sample: PER_LANGUAGE rows of each language, SAMPLE_MOST in all, evenly over the languages: their
+kernel rows take at most 0.4 GB on the driver, however many languages there are.
 
 Cases: a null text, or one without a letter, is `und` with score 0; equal texts get equal results; rows with a
 null language teach nothing but are classified; an empty table, or one without training rows, gives `und`
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricedex.llm.sampling import stratified
+from pricedex.llm.sampling import sampled_texts, stratified
 from pricedex.llm.textkernel import lower, slices
 
 ORDERS = (1, 2, 3, 4)
 BITS = 13
 BUCKETS = 1 << BITS
 WIDTH = len(ORDERS) * BUCKETS
-PER_LANGUAGE, LANGUAGES_MOST = 400, 50
+PER_LANGUAGE, SAMPLE_MOST = 400, 3000
 LANDMARKS = 256
 RIDGE = 1e-3
 SHARPNESS = 6.0
@@ -82,7 +83,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     """id, lang_pred, score (0 to 1) of each row.  Only rows where `learn` holds and the language is set teach."""
     lettered = F.col(text_col).rlike(r"\p{L}")
     taught = docs.where(learn & F.col(lang_col).isNotNull() & lettered)
-    chosen = stratified(taught.select(F.col(id_col), F.col(lang_col)), lang_col, PER_LANGUAGE, LANGUAGES_MOST, id_col)
+    chosen = stratified(taught.select(F.col(id_col), F.col(lang_col)), lang_col, PER_LANGUAGE, SAMPLE_MOST, id_col)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +91,8 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
                 bits = np.concatenate([np.packbits(b, axis=1) for b in _blocks(data, offsets)])
                 yield pa.record_batch([rows.column(0), rows.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "lang", "bits"])
 
-    sample = taught.join(F.broadcast(chosen.select(id_col)), id_col, "left_semi").select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = taught.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    sample = sampled_texts(known, chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "lang")
     got = sample.mapInArrow(pack, "id bigint, lang string, bits binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.when(lettered, F.col(text_col).cast("string")).alias("text"))
     if not got.num_rows:

@@ -5,11 +5,12 @@ character classes and a few word statistics, encoded by a learned layer, weighte
 (softmax of w . (tanh(V e) * sigmoid(U e))) and the weighted mean is scored by a logistic output.  Only document
 labels teach; all parameters are learned together with Adam on the driver.
 
-Training rows are a bounded sample: PER_LABEL documents per label of at most BAG_MOST passages each; scoring
-reads all passages of all documents.
+Training rows are a bounded sample: PER_LABEL documents per label; of a document with more than BAG_MOST passages
+the sample takes that many, evenly spread from its first to its last.  Scoring reads all passages of all documents.
 
 Cases: null and empty texts are one empty passage and get a score; equal texts get equal scores; empty tables and
-missing labels give 0.5 throughout; labels of unknown documents are ignored; other columns are ignored.
+missing labels give 0.5 throughout; labels of unknown documents are ignored; of rows with one id one text teaches;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricedex.llm.sampling import stratified
+from pricedex.llm.sampling import sampled_texts, stratified
 from pricedex.llm.textkernel import slices, span_hashes, words
 
 PASSAGE = 64
@@ -90,6 +91,11 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, counts
 
 
+def spread(bag: np.ndarray, most: int) -> np.ndarray:
+    """At most so many rows of a bag, evenly spread over all of them."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+
+
 def forward(m: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Scores of bags of passages, with what the gradients need."""
     cut = np.cumsum(counts) - counts
@@ -133,19 +139,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
     """id and score (0 to 1, higher: label 1 likelier) of each row.  Only labels where `learn` holds teach."""
     taught = labels.where(learn & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label"))
     shares = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
-    chosen = stratified(taught, "label", PER_LABEL, 2, id_col)
+    chosen = stratified(taught, "label", PER_LABEL, 2 * PER_LABEL, id_col)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 x, counts = passages(data, offsets)
                 bags = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
-                keep = counts <= BAG_MOST
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array([b.tobytes() if k else None for b, k in zip(bags, keep)], pa.binary())], names=["id", "label", "bag"])
+                yield pa.record_batch([rows.column(0), rows.column(1), pa.array([spread(b, BAG_MOST).tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = source.join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "label")), "id").select("id", "label", "text")
-    got = sample.mapInArrow(describe, "id bigint, label int, bag binary").where("bag is not null").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("bag", "ascending")])
+    sample = sampled_texts(source, chosen.select(F.col(id_col).cast("bigint").alias("id"), "label"), "label")
+    got = sample.mapInArrow(describe, "id bigint, label int, bag binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("bag", "ascending")])
     y = got.column("label").to_numpy().astype(np.float64)
     if not len(y):
         return source.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))

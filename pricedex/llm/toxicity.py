@@ -9,7 +9,8 @@ Score: evidence of distinct words and word beginnings of the restored text, each
 between the labels, shrunk towards none; the TOP strongest are summed and calibrated by a logistic curve fitted across two halves of
 the training rows.
 
-Training rows are a bounded sample: PER_LABEL documents of each label.  Corpus counts read all documents.
+Training rows are a bounded sample: PER_LABEL documents of each label, read whole; the driver gets counts of places
+(a table of fixed size) and one number for each sampled document.  Corpus counts read all documents.
 
 Cases: null and empty texts have no evidence and get the lowest score; equal texts get equal scores; empty tables
 and missing labels give 0 throughout; long texts are read whole, and so are long tokens; other columns are ignored.
@@ -26,7 +27,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricedex.llm.sampling import stratified
+from pricedex.llm.sampling import sampled_texts, stratified
+from pricedex.llm.shared import stored
 from pricedex.llm.textkernel import lower, mix, slices, span_hashes, words
 
 PER_LABEL = 4000
@@ -232,6 +234,24 @@ def strength(mine: np.ndarray, weights: np.ndarray) -> float:
     return float(np.sort(weights[found])[-TOP:].sum())
 
 
+def place_counts(told: DataFrame) -> np.ndarray:
+    """Documents with each place, by half and label (2 x 2 x 2^BITS), of (half, label, found); summed by task, then by place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, 1 << BITS), np.int32)
+        for batch in batches:
+            for f, h, label in zip(batch.column("found").to_pylist(), batch.column("half").to_pylist(), batch.column("label").to_pylist()):
+                total[2 * h + label, np.frombuffer(f, np.int32)] += 1
+        cell = total.ravel()
+        kept = np.flatnonzero(cell)
+        yield pa.record_batch([pa.array(kept), pa.array(cell[kept].astype(np.int64))], names=["place", "n"])
+
+    out = np.zeros(4 << BITS)
+    summed = told.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out[summed.column("place").to_numpy()] = summed.column("n").to_numpy()
+    return out.reshape(2, 2, -1)
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve through (x, y), by Newton's method with a small ridge."""
     beta = np.zeros(2)
@@ -251,8 +271,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
     costs = sc.broadcast(language_model(letter_counts(source)))
     taught = labels.where(learn & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label"))
     shares = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
-    chosen = stratified(taught, "label", PER_LABEL, 2, id_col)
-    sample = source.join(F.broadcast(chosen.select(F.col(id_col).alias("id"), "label")), "id").select("id", "text", "label", (F.crc32(F.concat(F.lit("half"), F.col("id").cast("string")).cast("binary")) % 2).alias("half"))
+    chosen = stratified(taught, "label", PER_LABEL, 2 * PER_LABEL, id_col)
+    half = (F.crc32(F.concat(F.lit("half"), F.col("id").cast("string")).cast("binary")) % 2).alias("half")
+    sample = sampled_texts(source, chosen.select(F.col(id_col).cast("bigint").alias("id"), "label"), "label").select("id", "text", "label", half)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(costs.value)
@@ -261,20 +282,22 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
                 found = [np.unique(p).astype(np.int32).tobytes() for p in places(data, offsets, restore)]
                 yield pa.record_batch([rows.column(0), rows.column(2), rows.column(3), pa.array(found, pa.binary())], names=["id", "label", "half", "found"])
 
-    # Each sampled document's distinct places; the counts of a place are summed where the documents are.
-    read_rows = sample.mapInArrow(read, "id bigint, label int, half bigint, found binary")
-    got = read_rows.toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
-    y = got.column("label").to_numpy().astype(np.int64)
-    if not len(y):
+    # Each sampled document's distinct places stay where they are; only counts of a place by half and label are sent.
+    told = stored(sample.mapInArrow(read, "id bigint, label int, half bigint, found binary"))
+    counts = place_counts(told)
+    cells = {(r.half, r.label): r["count"] for r in told.groupBy("half", "label").count().collect()}
+    if not cells:
         return source.select(F.col("id").alias(id_col), F.lit(0.0).alias("score"))
-    half = got.column("half").to_numpy().astype(np.int64)
-    found = [np.frombuffer(x, np.int32) for x in got.column("found").to_pylist()]
-    counts = np.zeros((2, 2, 1 << BITS))
-    for f, h, label in zip(found, half, y):
-        counts[h, label, f] += 1
-    totals = np.array([[((half == h) & (y == label)).sum() for label in (0, 1)] for h in (0, 1)], float)
-    crossed = [evidence(counts[1 - h], totals[1 - h]) for h in (0, 1)]
-    x = np.array([strength(f, crossed[h]) for f, h in zip(found, half)])
+    totals = np.array([[cells.get((h, label), 0) for label in (0, 1)] for h in (0, 1)], float)
+    crossed = sc.broadcast([evidence(counts[1 - h], totals[1 - h]) for h in (0, 1)])
+
+    def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [strength(np.frombuffer(f, np.int32), crossed.value[h]) for f, h in zip(batch.column("found").to_pylist(), batch.column("half").to_pylist())]
+            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array(x, pa.float64())], names=["id", "label", "x"])
+
+    got = told.mapInArrow(strengths, "id bigint, label int, x double").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
+    x, y = got.column("x").to_numpy(), got.column("label").to_numpy().astype(np.int64)
     prior = shares.get(1, 0) / max(1, sum(shares.values()))
     share = min(max(y.mean(), 1e-6), 1 - 1e-6)
     slope, intercept = calibrate(x, y.astype(float), np.where(y == 1, prior / share, (1 - prior) / (1 - share)))
