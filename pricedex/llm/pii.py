@@ -38,12 +38,20 @@ CANDIDATES = {
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
     "id": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local": r"(?<![0-9+().-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])",
-    "mail": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{2,63}(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{2,63})++",
+    "mail": r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{2,}+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]{2,}+)++",
 }
 KINDS = (*BASE_KINDS, *CANDIDATES)
 #: Words that announce personal data, and words that announce other numbers.
 TELLING = "token|password|passwd|pwd|secret|key|apikey|api_key|auth|bearer|credential|ssn|social|tax|iban|account|phone|tel|call|mobile|fax|contact|mail|email|e-mail|write"
 OTHER = "page|version|isbn|issn|figure|table|commit|sha|hash|checksum|md5|build|order|ref|doi|rev|line"
+#: A gazetteer of what personal strings begin with (access keys of services, countries of bank accounts, mail
+#: services) and of what other long strings are made of (files, addresses of pages, kinds of identifiers).
+KEY_PREFIXES = "AKIA|ASIA|AIza|ghp_|gho_|ghu_|ghs_|glpat-|sk_live_|sk_test_|pk_live_|rk_live_|xoxb-|xoxp-|SG\\.|ya29\\.|eyJ"
+ACCOUNT_COUNTRIES = "AD|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SE|SI|SK|SM"
+MAIL_SERVICES = "gmail|googlemail|yahoo|outlook|hotmail|icloud|proton|protonmail|gmx|aol|example"
+FILE_ENDINGS = "html|htm|php|pdf|png|jpg|jpeg|gif|css|js|json|xml|csv|txt|zip|gz"
+KNOWN = rf"^(?:{KEY_PREFIXES})|^(?:{ACCOUNT_COUNTRIES})[0-9]{{2}}[A-Z0-9]{{11,30}}$|(?i)[\])]\x20?(?:{MAIL_SERVICES})\b"
+COMMON = rf"(?i)(?:^|[-_/+])(?:www|http|https|{FILE_ENDINGS}|isbn|issn|sha1|sha256|md5|uuid)(?:[-_/+]|$)"
 ROUNDS = 100
 
 
@@ -105,7 +113,7 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def votes(c: Column) -> Column:
-    """Five labelers' votes as one letter each: y (personal), n (not), - (abstains)."""
+    """Six labelers' votes as one letter each: y (personal), n (not), - (abstains); by form, gazetteer, contexts and mixture."""
     vote = lambda yes, no: F.when(yes, "y").when(no, "n").otherwise("-")
     found, before, after = c["found"], c["before"], c["after"]
     telling = rf"(?i)(?:^|[^a-z])(?:{TELLING})[^A-Za-z0-9]{{0,6}}$"
@@ -114,6 +122,7 @@ def votes(c: Column) -> Column:
     distinct = F.size(F.array_distinct(F.split(found, ""))) / F.length(found)
     mixed = (F.length(_digits(found)) / F.length(found)).between(0.15, 0.9)
     return F.concat(
+        vote(found.rlike(KNOWN), found.rlike(COMMON)),
         vote(shape, found.rlike("[-/_+]{2}|[a-z]{12}")),
         vote(before.rlike(telling), before.rlike(other)),
         vote(before.rlike(r"[=:][\x20]?[\"']?$|[\"']$"), before.rlike(r"[/\\#]$")),
@@ -149,49 +158,54 @@ class SpanModel:
         return F.aggregate(features(c), F.lit(self.base), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0))) > 0
 
 
-def train(rows: Iterable[tuple[str, tuple[str, ...], int]]) -> SpanModel:
-    """From (votes, features, count) rows: reliabilities by expectation-maximisation, then the span classifier."""
-    rows = sorted(rows)
-    if not rows:
-        return SpanModel(0.0, {}, ())
-    labelers = len(rows[0][0])
-    patterns: dict[str, float] = {}
-    for v, _, n in rows:
-        patterns[v] = patterns.get(v, 0.0) + n
+def reliabilities(patterns: dict[str, float]) -> tuple[dict[str, float], list[dict[str, tuple[float, float]]]]:
+    """From counts of vote patterns, by expectation-maximisation: each pattern's probability of personal data, and each labeler's votes given either truth."""
+    labelers = len(next(iter(patterns)))
+    every = sum(patterns.values())
     logistic = lambda x: 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
     posterior = {v: logistic(1.5 * (v.count("y") - v.count("n"))) for v in patterns}
+    # A vote is taken to be right more often than wrong: pseudo-counts of four to one.
+    prior = {"y": (4.0, 1.0), "n": (1.0, 4.0), "-": (2.5, 2.5)}
     table: list[dict[str, tuple[float, float]]] = []
     for _ in range(ROUNDS):
         yes = sum(n * posterior[v] for v, n in patterns.items())
-        every = sum(patterns.values())
         table = []
         for k in range(labelers):
             seen = {a: [sum(n * posterior[v] for v, n in patterns.items() if v[k] == a), sum(n * (1 - posterior[v]) for v, n in patterns.items() if v[k] == a)] for a in "yn-"}
-            # A vote is taken to be right more often than wrong: pseudo-counts of four to one.
-            prior = {"y": (4.0, 1.0), "n": (1.0, 4.0), "-": (2.5, 2.5)}
             table.append({a: ((seen[a][0] + prior[a][0]) / (yes + 7.5), (seen[a][1] + prior[a][1]) / (every - yes + 7.5)) for a in "yn-"})
         prior_odds = math.log((yes + 1) / (every - yes + 1))
         posterior = {v: logistic(prior_odds + sum(math.log(table[k][v[k]][0] / table[k][v[k]][1]) for k in range(labelers))) for v in patterns}
+    return posterior, table
+
+
+def train(rows: Iterable[tuple[str, str | None, int]]) -> SpanModel:
+    """The span classifier from counts of (votes, feature), and of votes alone where the feature is null: reliabilities first, then naive Bayes on soft labels."""
+    rows = list(rows)
+    patterns = {v: float(n) for v, f, n in sorted((r for r in rows if r[1] is None), key=lambda r: r[0])}
+    if not patterns:
+        return SpanModel(0.0, {}, ())
+    posterior, table = reliabilities(patterns)
+    yes = sum(n * posterior[v] for v, n in patterns.items())
+    no = sum(patterns.values()) - yes
     weights: dict[str, list[float]] = {}
-    yes = every = 0.0
-    for v, names, n in rows:
-        yes, every = yes + n * posterior[v], every + n
-        for f in names:
-            got = weights.setdefault(f, [0.0, 0.0])
-            got[0] += n * posterior[v]
-            got[1] += n * (1 - posterior[v])
-    no = every - yes
+    for v, f, n in sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0], r[1])):
+        got = weights.setdefault(f, [0.0, 0.0])
+        got[0] += n * posterior[v]
+        got[1] += n * (1 - posterior[v])
     odds = {f: math.log((a + 0.5) / (yes + 1)) - math.log((b + 0.5) / (no + 1)) for f, (a, b) in weights.items()}
     reliability = tuple(round(t["y"][0] / (t["y"][0] + t["y"][1]), 4) for t in table)
     return SpanModel(math.log((yes + 0.5) / (no + 0.5)), odds, reliability)
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
-    """The model of all candidates of a corpus: one aggregation to a table of at most 3^5 patterns times the features' values."""
+    """The model of all candidates of a corpus: one aggregation to the counts of vote patterns and of patterns with a feature's value.
+
+    Six labelers have at most 3^6 patterns and the seven features about 40 values, so the table has at most about 30,000 rows.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = docs.select(text.alias("t")).where(F.col("t").rlike(r"[0-9]|[\[(](?:at|AT)[\])]")).select(F.explode(let(F.col("t"), lambda t: let(base_spans(t), lambda b: candidates(t, b)))).alias("c"))
-    rows = found.groupBy(votes(F.col("c")).alias("v"), features(F.col("c")).alias("f")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return train((r.v, tuple(r.f), r.n) for r in rows)
+    counted = found.select(votes(F.col("c")).alias("v"), F.explode(F.array_append(features(F.col("c")), F.lit(None).cast("string"))).alias("f"))
+    return train((r.v, r.f, r.n) for r in counted.groupBy("v", "f").agg(F.count(F.lit(1)).alias("n")).collect())
 
 
 def _both(text: Column, model: SpanModel) -> Column:
