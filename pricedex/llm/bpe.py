@@ -265,18 +265,30 @@ class ChunkEncoder:
         return out
 
 
+_WORKER_CHUNKS: dict[str, ChunkEncoder] = {}
+
+
+def worker_chunks(key: str, spec: Any) -> ChunkEncoder:
+    """The encoder of this worker process, with the chunks it has seen so far; one tokenizer at a time."""
+    if key not in _WORKER_CHUNKS:
+        _WORKER_CHUNKS.clear()
+        _WORKER_CHUNKS[key] = ChunkEncoder(encoder(spec))
+    return _WORKER_CHUNKS[key]
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, digest: Callable[[list[int], bytes], dict[str, Any]] | None = None, schema: str = "n_tokens bigint, ids array<int>, decoded string", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and what `digest` makes of each row's token ids and decoded bytes (by default both themselves).
 
-    Chunks are content-defined, so documents that share passages share chunks; an executor's worker
-    encodes a chunk once while it stays in its bounded cache.  One map pass, no shuffle.
+    Chunks are content-defined, so documents that share passages share chunks.  A Python worker keeps its chunks in a
+    bounded cache over all tasks that it runs and encodes each once while it stays there.  One map pass, no shuffle.
+    Long texts are cut and encoded like others; ties of equal merges are resolved by rank, as the library does.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
     make = digest or (lambda ids, raw: {"n_tokens": len(ids), "ids": ids, "decoded": raw.decode(errors="replace")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(shared.value)
-        chunks = ChunkEncoder(enc)
+        chunks = worker_chunks(tokenizer_path, shared.value)
+        enc = chunks.enc
         raw_of = enc.raw.__getitem__
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
