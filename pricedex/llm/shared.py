@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new temporary one, kept for the session."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, on one machine, a new temporary one, kept for the session; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.pricedex.shared.dir", "")
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.pricedex.shared.dir", found)
     return found.rstrip("/")

@@ -411,3 +411,88 @@ def test_pipeline_stages_keep_columns(spark, tmp_path, docs):
     assert result.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < result.count() < given.count()
     assert result.select(F.countDistinct("doc_id")).first()[0] == result.count()
+
+
+def test_long_bags_teach_evenly():
+    import numpy as np
+
+    from pricedex.llm.quality_mil import spread
+
+    bag = np.arange(1000).reshape(-1, 1)
+    got = spread(bag, 256)[:, 0]
+    assert len(got) == 256 and got[0] == 0 and got[-1] == 999 and np.diff(got).max() <= 4 and len(spread(bag[:256], 256)) == 256
+
+
+def test_samples_are_bounded_and_even(spark):
+    from pricedex.llm.sampling import sampled_texts, stratified
+
+    rows = [(i % 900, f"l{i % 3}") for i in range(3000)] + [(None, "l0"), (5, None)]
+    labelled = spark.createDataFrame(rows, "doc_id bigint, label string")
+    chosen = stratified(labelled, "label", 100, 240)
+    counts = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
+    assert counts == {"l0": 80, "l1": 80, "l2": 80} and chosen.distinct().count() == 240
+    hashes = {r.doc_id: r.h for r in labelled.where("label = 'l1'").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
+    assert {r.doc_id for r in stratified(labelled, "label", 100, 300).where("label = 'l1'").collect()} == set(sorted(hashes, key=hashes.get)[:100])
+    texts = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "id bigint, text string")
+    got = sampled_texts(texts, spark.createDataFrame([(1, 1), (2, 0)], "id bigint, label int"), "label")
+    assert sorted((r.id, r.label, r.text or "") for r in got.collect()) == [(1, 1, "a"), (2, 0, "")]
+
+
+def test_reliabilities_agree_with_likelihood():
+    """Expectation-maximisation reaches a point where the penalised likelihood, computed plainly, is higher than at its neighbours'."""
+    import math
+
+    from pricedex.llm.pii import reliabilities, train
+
+    patterns = {"yy-": 40.0, "yn-": 6.0, "nn-": 50.0, "ny-": 5.0, "-y-": 9.0, "y--": 4.0}
+    posterior, table = reliabilities(patterns)
+    prior = {"y": (4.0, 1.0), "n": (1.0, 4.0), "-": (2.5, 2.5)}
+
+    def objective(share, t):
+        total = sum(n * math.log(share * math.prod(t[k][v[k]][0] for k in range(3)) + (1 - share) * math.prod(t[k][v[k]][1] for k in range(3))) for v, n in patterns.items())
+        return total + sum(prior[a][c] * math.log(t[k][a][c]) for k in range(3) for a in "yn-" for c in (0, 1))
+
+    share = sum(n * posterior[v] for v, n in patterns.items()) / sum(patterns.values())
+    best = objective(share, table)
+    for k in range(2):
+        for c in (0, 1):
+            for move in (-0.02, 0.02):
+                moved = [dict(t) for t in table]
+                y, n = list(moved[k]["y"]), list(moved[k]["n"])
+                y[c], n[c] = y[c] + move, n[c] - move
+                moved[k] |= {"y": tuple(y), "n": tuple(n)}
+                assert objective(share, moved) < best
+    assert posterior["yy-"] > 0.9 > 0.1 > posterior["nn-"]
+    model = train([(v, f, n) for v, n in patterns.items() for f in (None, "kind=a" if v[0] == "y" else "kind=b")])
+    assert model.weights["kind=a"] > 0 > model.weights["kind=b"]
+
+
+def test_robust_estimate_agrees_with_all_subsets(spark):
+    """The outliers are those of the exact minimum covariance determinant over all halves of the rows."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from pricedex.llm.quality_rules import VECTOR, outlier_scores
+
+    rng = np.random.default_rng(8)
+    floors = np.array([f * f for f in VECTOR.values()])
+    x = rng.normal(0, 1, (14, len(VECTOR))) * np.sqrt(floors) * 2
+    x[:3] += 40 * np.sqrt(floors)
+    best = min(combinations(range(14), 7), key=lambda s: np.linalg.slogdet(np.cov(x[list(s)].T, bias=True) + np.diag(floors))[1])
+    core = x[list(best)]
+    off = x - core.mean(axis=0)
+    exact = np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(core.T, bias=True) + np.diag(floors)), off)
+    rows = spark.createDataFrame([(i, "g", True, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, grp string, own boolean, v array<double>")
+    far = {r.id: r.far for r in outlier_scores(rows).collect()}
+    assert set(np.argsort(exact)[-3:].tolist()) == set(sorted(far, key=far.get)[-3:]) == {0, 1, 2}
+    assert min(far[i] for i in range(3)) > 20 * max(far[i] for i in range(3, 14))
+
+
+def test_spelled_out_addresses_of_any_length(spark):
+    from pricedex.llm import pii
+
+    texts = [(1, f"write to {'a' * 90}.b [at] {'c' * 70} [dot] org now"), (2, "call joe [at] gmail.com"), (3, "x" * 30_000 + " [at] y"), (4, "ab" * 20_000)]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string")
+    found = {r.doc_id: [c.found for c in r.c] for r in frame.select("doc_id", pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()}
+    assert found[1] == [f"{'a' * 90}.b [at] {'c' * 70} [dot] org"] and found[2] == ["joe [at] gmail.com"] and found[3] == []
