@@ -10,8 +10,8 @@ nodes' upper corners bounds every pair below them.
    the corpus, hash): two sets with similarity >= t share one of the first n - ceil(t * n) + 1 shingles of
    each.  The classes that share such a shingle form a list; lists with the same least class are one family,
    so a group of copies is a few families instead of one list for each shingle.  Every linked pair has a family.
-3. Trees.  Each family is one R-tree over points of POINT_GROUPS coordinates, then, for the members that are left, over
-   points with a coordinate for each shingle.  They do not write pairs out: they keep the members that have any
+3. Trees.  Each family is one R-tree over points of POINT_GROUPS coordinates (more for large sets), then, for the
+   members that are left, over points with a coordinate for each shingle.  They do not write pairs out: they keep the members that have any
    possible partner.
 4. Verification.  The texts of those members meet once in each family.  A second tree with finer points proposes
    pairs, the best bounds first, whole sets decide, and a pair whose two sides are already connected is passed
@@ -74,6 +74,11 @@ def fine_groups(n: int) -> int:
     return min(max(POINT_GROUPS, 1 << max(n - 1, 1).bit_length()), FINE_MOST)
 
 
+def coarse_groups(n: int) -> int:
+    """POINT_GROUPS, for large sets a group for every two to four shingles, so that chance overlap stays well below the threshold."""
+    return max(POINT_GROUPS, fine_groups(n) // 4)
+
+
 def folded(points: list[np.ndarray], groups: int) -> np.ndarray:
     """Points of the same sets with fewer groups, as a matrix."""
     return np.stack([np.minimum(p.reshape(-1, groups).sum(axis=0, dtype=np.int32), FULL).astype(np.uint8) for p in points])
@@ -223,7 +228,7 @@ def document_points(texts: DataFrame, size: int) -> DataFrame:
             for rows, data, offsets in slices(batch, "text"):
                 sets = list(shingle_sets(data, offsets, size))
                 a, b = _set_keys(sets)
-                coarse = pa.array([point(s, POINT_GROUPS).tobytes() for s in sets], pa.binary())
+                coarse = pa.array([point(s, coarse_groups(len(s))).tobytes() for s in sets], pa.binary())
                 fine = pa.array([point(s, fine_groups(len(s))).tobytes() for s in sets], pa.binary())
                 yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), coarse, fine], names=columns)
                 groups = (np.concatenate(sets) & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)
@@ -411,8 +416,11 @@ def open_groups(members: DataFrame, sizes: DataFrame, joined: DataFrame, percent
     """Groups of the second round: the families with a class that was not in the first one and more than one component."""
     rows = members.join(sizes, "fam").withColumn("done", F.expr("first and first_parts = 1")).join(joined, "id", "left")
     rows = stored(rows.select("fam", "a", "id", "n", "done", "parts", F.coalesce("component", "id").alias("component")))
-    still = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("done").alias("done")).where("lo <> hi and not done")
-    rows = rows.join(stored(still.select("fam")), "fam", "left_semi")
+    fresh = F.when(~F.col("done"), F.col("n"))
+    still = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(fresh).alias("least"), F.max(fresh).alias("most"))
+    still = stored(still.where("lo <> hi and least is not null").select("fam", "least", "most"))
+    # A class that is done is only compared with those that are not, whose sizes tell which can be linked to it.
+    rows = rows.join(still, "fam").where(f"not done or 100 * n >= {percent} * least and 100 * most >= {percent} * n").drop("least", "most")
     small = rows.where("parts = 1").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)}).select(*MEMBER)
     return small.unionByName(across_blocks(rows.where("parts > 1").drop("parts"), percent))
 
