@@ -23,6 +23,15 @@ def price_table(offers: DataFrame, stratum: str = "stratum") -> DataFrame:
     return offers.where("item_id is not null").groupBy("collection_date", F.col(stratum).alias("stratum"), "item_id", "source_id").agg(price.alias("price"))
 
 
+def mixed_dates(slices: DataFrame, side: str = "side") -> DataFrame:
+    """Sides of a match that hold more than one collection date, which must not be differenced: a guard for slices that a caller gives.
+
+    The joins below need none, since the date is one of their keys.
+    """
+    facts = slices.groupBy(side).agg(F.count_distinct("collection_date").alias("dates"), F.min("collection_date").alias("first"), F.max("collection_date").alias("last"))
+    return facts.where("dates > 1")
+
+
 def source_pairs(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
     """Every item's prices now and a lag earlier, for each source that has both.  One equi-join."""
     earlier = prices.select(F.date_add("collection_date", lag).alias("collection_date"), "stratum", "item_id", "source_id", F.col("price").alias("price_prior"))

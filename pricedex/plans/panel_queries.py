@@ -121,11 +121,11 @@ def g12_route_tier_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINKED = TRADE_QUOTES_SQL + ", m AS (SELECT route AS series, ship_date, year(ship_date) AS y, avg(price) AS level FROM trades GROUP BY ALL), a AS (SELECT series, y, avg(level) AS mean FROM m GROUP BY ALL), f AS (SELECT series, y, mean / first_value(mean) OVER (PARTITION BY series ORDER BY y) AS link FROM a)"
 
 
-@query(f"WITH {_LINKED} SELECT series, ship_date AS collection_date, round(level * link, 2) AS linked FROM m JOIN f USING (series, y)")
+@query(f"WITH {_LINKED} SELECT series, CAST(y AS INT) AS year, count(*) AS days, round(any_value(link), 6) AS link, round(avg(level * link), 4) AS linked FROM m JOIN f USING (series, y) GROUP BY ALL")
 def g15_linked_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily levels times the linking factors up to their year."""
+    """Daily levels times the linking factors up to their year, as each year's mean."""
     points = trade_quotes(spark, sf_dir).groupBy(F.col("route").alias("series"), F.col("ship_date").alias("collection_date")).agg(F.avg("price").alias("level"))
-    return publish.linked(points).select("series", "collection_date", F.round("linked", 2).alias("linked"))
+    return publish.linked(points).groupBy("series", "year").agg(F.count(F.lit(1)).alias("days"), F.round(F.first("link"), 6).alias("link"), F.round(F.avg("linked"), 4).alias("linked"))
 
 
 @query(f"""WITH {_LEVELS_SQL}, p AS (SELECT route AS series, strftime(collection_date, '%Y-%m-%d') AS day, isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS period, level, collection_date, live FROM routes),

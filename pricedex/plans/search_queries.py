@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricedex.operators import search
+from pricedex.functions import extract
+from pricedex.operators import match, search
 from pricedex.plans.registry import Registry
 from pricedex.sources.adapters import table
 
@@ -157,3 +158,25 @@ def b18_unpriced_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def b20_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Milliseconds that each search took."""
     return searches(spark, sf_dir).select(*KEY, search.latency_ms(F.col("started_ts"), F.col("finished_ts")).alias("latency_ms"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'INR' WHEN 1 THEN 'USD' WHEN 2 THEN 'EUR' END AS currency, CASE WHEN event_id % 3 < 2 THEN CAST(event_id % 3 + 1 AS INT) END AS passengers, CASE event_id % 5 WHEN 0 THEN 'ONE_WAY' WHEN 1 THEN 'ONE_WAY' WHEN 2 THEN 'ROUND_TRIP' END AS trip,
+CASE event_id % 3 WHEN 0 THEN '6E' WHEN 1 THEN '6E' ELSE 'Other Air' END AS operator, CASE WHEN event_id % 6 < 3 THEN 'DEL' WHEN event_id % 6 < 5 THEN 'BOM' END AS station, event_id % 7 = 0 OR event_id % 4 = 3 AS concession FROM events""")
+def i2_echo_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Currency, passengers, trip, operator, station and concession of shown texts."""
+
+    def shown(k: int, *values: str) -> Column:
+        return F.get(F.array(*map(F.lit, values)), (F.col("event_id") % k).cast("int"))
+
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        "event_id", extract.currency(shown(4, " Rs. 500", "$12", "eur 7", "free")).alias("currency"), extract.passengers(shown(3, "1 Passenger", "2 Adults", "none")).alias("passengers"), extract.trip_type(shown(5, "One Way", "one-way", "Round trip", "Multi", "")).alias("trip"),
+        extract.operator_code(shown(3, "", "by IndiGo", "Other Air"), F.lit("6E")).alias("operator"), extract.station(shown(6, "DEL", "DEL, T1", "Delhi (DEL)", "BOM", "Mumbai BOM", "Mumbai")).alias("station"), extract.concession(F.col("event_id") % 7 == 0, shown(4, "Saver", "Flexi", "Super", "Senior citizen")).alias("concession"),
+    )
+
+
+@query(f"WITH {_CARDS} SELECT source_id AS side, count(DISTINCT collection_date) AS dates, min(collection_date) AS first, max(collection_date) AS last FROM cards WHERE source_id <> 'W0' OR collection_date = DATE '2024-01-05' GROUP BY source_id HAVING count(DISTINCT collection_date) > 1")
+def c14_mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: slices given for a match that hold more than one collection date."""
+    rows = cards(spark, sf_dir).where("source_id <> 'W0' or collection_date = '2024-01-05'")
+    return match.mixed_dates(rows.withColumnRenamed("source_id", "side"))

@@ -13,6 +13,11 @@ from pricedex.operators.chain import STATE_SCHEMA, chain_states
 FINAL_AFTER = "3 days"
 
 
+def watched(stream: DataFrame) -> DataFrame:
+    """The stream with `event_time`, the observation's local time as a watermark can take it; a day is final after FINAL_AFTER."""
+    return stream.withColumn("event_time", F.col("observation_ts").cast("timestamp")).withWatermark("event_time", FINAL_AFTER)
+
+
 def judged(stream: DataFrame, window: tuple[int, int] | None = None) -> DataFrame:
     """The stream with the first failing rule of each quote: the same columns as in a batch."""
     return with_reason(stream, window)
@@ -62,8 +67,8 @@ def read_store(spark: SparkSession, store: str, like: DataFrame) -> DataFrame |
 
 def exclusion_alarm(stream: DataFrame, threshold: float) -> DataFrame:
     """Exclusion rate of each source and day as the day's window closes, and whether it is above the threshold."""
-    rows = judged(stream).withWatermark("observation_ts", FINAL_AFTER)
-    rates = rows.groupBy(F.window("observation_ts", "1 day"), "source_id").agg(F.count(F.lit(1)).alias("quotes"), F.avg(F.col("reason").isNotNull().cast("double")).alias("rate"))
+    rows = watched(judged(stream))
+    rates = rows.groupBy(F.window("event_time", "1 day"), "source_id").agg(F.count(F.lit(1)).alias("quotes"), F.avg(F.col("reason").isNotNull().cast("double")).alias("rate"))
     return rates.select(F.to_date("window.start").alias("day"), "source_id", "quotes", "rate", (F.col("rate") > threshold).alias("alarm"))
 
 
@@ -73,8 +78,8 @@ def late_flagged(stream: DataFrame, arrival: str) -> DataFrame:
     The watermark lets state of later operators forget a day once it is final.
     """
     days = F.datediff(F.to_date(arrival), "collection_date")
-    watched = stream.withWatermark("observation_ts", FINAL_AFTER) if stream.isStreaming else stream
-    return watched.withColumn("status", F.when(days <= 0, "PROVISIONAL").when(days <= 3, "LATE").otherwise("AFTER_FINAL"))
+    rows = watched(stream) if stream.isStreaming else stream
+    return rows.withColumn("status", F.when(days <= 0, "PROVISIONAL").when(days <= 3, "LATE").otherwise("AFTER_FINAL"))
 
 
 def state_sink(links: DataFrame, weights: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:

@@ -278,3 +278,18 @@ def test_late_quotes_are_flagged(spark):
 
     rows = spark.createDataFrame([(D0, D0 + timedelta(days=k)) for k in (0, 1, 3, 4)], "collection_date date, arrived date")
     assert [r.status for r in late_flagged(rows.coalesce(1), "arrived").collect()] == ["PROVISIONAL", "LATE", "LATE", "AFTER_FINAL"]
+
+
+def test_exclusion_alarm_agrees_with_batch(spark, tmp_path):
+    from pricedex.operators.admit import with_reason
+    from pricedex.sources.adapters import event_quotes, table
+    from pricedex.streaming.ingest import exclusion_alarm
+
+    quotes = event_quotes(table(spark, "/root/testdata/sf0.001", "events"))
+    quotes.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(quotes.schema).parquet(f"{tmp_path}/in")
+    alarm = exclusion_alarm(stream, 0.3)
+    alarm.writeStream.format("memory").queryName("alarms").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    got = {(r.day, r.source_id): (r.quotes, round(r.rate, 9), r.alarm) for r in spark.table("alarms").collect()}
+    batch = with_reason(quotes).groupBy("collection_date", "source_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("reason").isNotNull().cast("double")).alias("rate"))
+    assert got == {(r.collection_date, r.source_id): (r.n, round(r.rate, 9), r.rate > 0.3) for r in batch.collect()}
