@@ -29,7 +29,7 @@ def coverage_loss(attempts: DataFrame, by: list[str]) -> DataFrame:
 
 def collection_plan(sources: DataFrame, routes: DataFrame, leads: DataFrame, days: DataFrame) -> DataFrame:
     """Every source, route and lead time due on each day (small dimension tables)."""
-    plan = days.crossJoin(F.broadcast(sources)).crossJoin(F.broadcast(routes)).crossJoin(F.broadcast(leads))
+    plan = days.crossJoin(sources).crossJoin(routes).crossJoin(leads)
     return plan.withColumn("travel_date", F.expr("date_add(collection_date, lead_days)"))
 
 

@@ -61,7 +61,7 @@ def as_of_grid(states: DataFrame, dates: DataFrame) -> DataFrame:
     following = F.lead("collection_date").over(Window.partitionBy("cell_id").orderBy("collection_date"))
     held = states.withColumn("until", F.date_sub(following, 1)).crossJoin(F.broadcast(last)).withColumn("until", F.least(F.coalesce("until", "last"), "last")).where("until >= collection_date")
     days = held.withColumn("publication_date", F.explode(F.sequence("collection_date", "until"))).drop("until", "last")
-    return days.join(F.broadcast(dates), "publication_date")
+    return days.join(dates, "publication_date")
 
 
 def with_freshness(grid: DataFrame) -> DataFrame:
