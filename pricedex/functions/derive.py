@@ -49,7 +49,9 @@ def parent_id() -> Column:
 
 def item_id(tier: Column) -> Column:
     """Tier 1: carrier and flight; tier 2: carrier and hour band; none at tier 3."""
-    return F.when(tier == 1, F.concat_ws("|", "carrier", "flight_number")).when(tier == 2, F.concat_ws("|", "carrier", hour_band().cast("string")))
+    return F.when(tier == 1, F.concat_ws("|", "carrier", "flight_number")).when(
+        tier == 2, F.concat_ws("|", "carrier", hour_band().cast("string"))
+    )
 
 
 def log_price(price: Column) -> Column:

@@ -39,7 +39,10 @@ def admissible(quotes: DataFrame, window: tuple[int, int] | None = None) -> Data
 
 def exclusion_rates(judged: DataFrame) -> DataFrame:
     """Share of excluded quotes of each source."""
-    return judged.groupBy("source_id").agg(F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("reason").isNotNull()).alias("excluded"), F.avg(F.when(F.col("reason").isNotNull(), 1.0).otherwise(0.0)).alias("rate"))
+    return judged.groupBy("source_id").agg(
+        F.count(F.lit(1)).alias("quotes"), F.count_if(F.col("reason").isNotNull()).alias("excluded"),
+        F.avg(F.when(F.col("reason").isNotNull(), 1.0).otherwise(0.0)).alias("rate")
+    )
 
 
 def ranked_duplicates(quotes: DataFrame) -> DataFrame:
@@ -47,7 +50,9 @@ def ranked_duplicates(quotes: DataFrame) -> DataFrame:
     keyed = quotes.withColumns({"dup_route": route(), "dup_class": fare_class()})
     key = ["collection_date", "dup_route", "carrier", "flight_number", "travel_date", "departure_min", "dup_class", "channel", "source_id"]
     newest = Window.partitionBy(*key).orderBy(F.desc("observation_ts"), F.desc("observation_id"))
-    return keyed.withColumns({"rank": F.row_number().over(newest), "winner": F.first("observation_id").over(newest)}).drop("dup_route", "dup_class")
+    return keyed.withColumns(
+        {"rank": F.row_number().over(newest), "winner": F.first("observation_id").over(newest)}
+    ).drop("dup_route", "dup_class")
 
 
 def deduplicated(quotes: DataFrame) -> DataFrame:

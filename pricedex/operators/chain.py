@@ -20,9 +20,13 @@ def plain_chain(relatives: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
     A chain is a stratum's link dates that follow each other at exactly `lag` days with a defined relative.
     """
     links = relatives.where("relative is not null").select("stratum", "collection_date", "relative")
-    by_day = Window.partitionBy("stratum", F.pmod(F.datediff("collection_date", F.lit("1970-01-01").cast("date")), F.lit(lag))).orderBy("collection_date")
+    by_day = Window.partitionBy(
+        "stratum", F.pmod(F.datediff("collection_date", F.lit("1970-01-01").cast("date")), F.lit(lag))
+    ).orderBy("collection_date")
     fresh = F.coalesce(F.datediff("collection_date", F.lag("collection_date").over(by_day)) != lag, F.lit(True))
-    numbered = links.withColumn("fresh", fresh).withColumn("segment", F.sum(F.col("fresh").cast("int")).over(by_day)).withColumn("residue", F.pmod(F.datediff("collection_date", F.lit("1970-01-01").cast("date")), F.lit(lag)))
+    numbered = links.withColumn("fresh", fresh).withColumn("segment", F.sum(F.col("fresh").cast("int")).over(by_day)).withColumn(
+        "residue", F.pmod(F.datediff("collection_date", F.lit("1970-01-01").cast("date")), F.lit(lag))
+    )
     upto = Window.partitionBy("stratum", "residue", "segment").orderBy("collection_date")
     grown = F.sum(F.when(F.col("fresh"), 0.0).otherwise(F.ln("relative"))).over(upto)
     return numbered.select("stratum", "collection_date", "segment", "relative", (BASE_LEVEL * F.exp(grown)).alias("level"))
@@ -44,12 +48,18 @@ def _mean_level(live: list[tuple[str, float]], weights: dict[str, float]) -> flo
     return sum(weights[c] / total * v for c, v in live)
 
 
-def _advance(day: date, own: float | None, why: str | None, parent: float | None, before: dict[str, Any] | None, level_of_parent: float | None, imputed: float) -> dict[str, Any] | None:
+def _advance(
+    day: date, own: float | None, why: str | None, parent: float | None, before: dict[str, Any] | None, level_of_parent: float | None,
+    imputed: float
+) -> dict[str, Any] | None:
     """The state after one link by the ordered rules; None if it waits for the parent's level."""
     level = before["level"] if before else None
     matched = before["last_matched_date"] if before else None
     age = (day - matched).days if matched else None
-    state = lambda level, status, relative=None, matched=matched, age=age, reason=None: {"level": level, "status": status, "last_relative": relative, "last_matched_date": matched, "freshness_days": age, "suppression_reason": reason}
+    state = lambda level, status, relative=None, matched=matched, age=age, reason=None: {
+        "level": level, "status": status, "last_relative": relative, "last_matched_date": matched, "freshness_days": age,
+        "suppression_reason": reason
+    }
     if imputed > MAX_IMPUTATION:
         return state(None, "SUPPRESSED", reason="imputation ceiling")
     stale = age is not None and age > MAX_FRESHNESS_DAYS
@@ -108,7 +118,9 @@ def fold_states(rows: Iterable[dict[str, Any]], weights: dict[str, float], earli
                 live.append((cell, made[cell]["level"]))
         level_of_parent = _mean_level(live, weights)
         for row, before, imputed in waiting:
-            made[row["cell_id"]] = _advance(day, row["relative"], row["undefined_reason"], row["parent_relative"], before, level_of_parent, imputed)
+            made[row["cell_id"]] = _advance(
+                day, row["relative"], row["undefined_reason"], row["parent_relative"], before, level_of_parent, imputed
+            )
         for cell, s in made.items():
             remember(cell, day, s)
             out.append({"cell_id": cell, "collection_date": day, **s})
@@ -123,7 +135,9 @@ def chain_states(links: DataFrame, weights: DataFrame, earlier: DataFrame | None
     the quotes are many: they are aggregated to links before.  earlier: states to go on from, of the same columns
     as the result; then links must be later.
     """
-    rows = links.join(weights, "cell_id", "left").select("cell_id", "parent_id", "collection_date", "relative", "undefined_reason", "parent_relative", "weight")
+    rows = links.join(weights, "cell_id", "left").select(
+        "cell_id", "parent_id", "collection_date", "relative", "undefined_reason", "parent_relative", "weight"
+    )
 
     if earlier is None:
         return rows.groupBy("parent_id").applyInPandas(lambda group: _fold(group, None), STATE_SCHEMA)

@@ -10,13 +10,21 @@ from pricedex.config import COLLECTOR_FAILURES, MARKET_FACTS, STOP_SIGNAL
 
 def with_outcome_facts(attempts: DataFrame) -> DataFrame:
     """Attempts with what their outcome means."""
-    return attempts.withColumns({"leaves_denominator": F.col("outcome") == "NO_FLIGHT", "collector_failure": F.col("outcome").isin(*COLLECTOR_FAILURES), "market_fact": F.col("outcome").isin(*MARKET_FACTS), "stop_signal": F.col("outcome") == STOP_SIGNAL})
+    return attempts.withColumns(
+        {
+            "leaves_denominator": F.col("outcome") == "NO_FLIGHT", "collector_failure": F.col("outcome").isin(*COLLECTOR_FAILURES),
+            "market_fact": F.col("outcome").isin(*MARKET_FACTS), "stop_signal": F.col("outcome") == STOP_SIGNAL
+        }
+    )
 
 
 def attempt_rates(attempts: DataFrame, by: list[str]) -> DataFrame:
     """Attempts, collector failures, their rate, and whether a stop signal came, for each group."""
     facts = with_outcome_facts(attempts)
-    return facts.groupBy(*by).agg(F.count(F.lit(1)).alias("attempts"), F.count_if("collector_failure").alias("failures"), F.avg(F.col("collector_failure").cast("double")).alias("failure_rate"), F.bool_or("stop_signal").alias("stopped"))
+    return facts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("attempts"), F.count_if("collector_failure").alias("failures"),
+        F.avg(F.col("collector_failure").cast("double")).alias("failure_rate"), F.bool_or("stop_signal").alias("stopped")
+    )
 
 
 def coverage_loss(attempts: DataFrame, by: list[str]) -> DataFrame:
@@ -24,7 +32,10 @@ def coverage_loss(attempts: DataFrame, by: list[str]) -> DataFrame:
     facts = with_outcome_facts(attempts)
     expected = F.count_if(~F.col("leaves_denominator"))
     loss = F.count_if("collector_failure")
-    return facts.groupBy(*by).agg(F.count(F.lit(1)).alias("planned"), F.count_if(F.col("outcome") != "PERMISSION_BLOCKED").alias("requests"), loss.alias("coverage_loss"), F.when(expected > 0, loss / expected).alias("loss_rate"))
+    return facts.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("planned"), F.count_if(F.col("outcome") != "PERMISSION_BLOCKED").alias("requests"),
+        loss.alias("coverage_loss"), F.when(expected > 0, loss / expected).alias("loss_rate")
+    )
 
 
 def collection_plan(sources: DataFrame, routes: DataFrame, leads: DataFrame, days: DataFrame) -> DataFrame:
@@ -42,7 +53,9 @@ def plan_coverage(plan: DataFrame, attempts: DataFrame, key: list[str]) -> DataF
 def count_mismatches(claims: DataFrame, rows: DataFrame, key: str, claimed: str) -> DataFrame:
     """Keys whose claimed number of rows is not the stored one."""
     stored = rows.groupBy(key).agg(F.count(F.lit(1)).alias("stored"))
-    return claims.join(stored, key, "left").withColumn("stored", F.coalesce("stored", F.lit(0)).cast("bigint")).where(F.col(claimed) != F.col("stored")).select(key, F.col(claimed).cast("bigint").alias("claimed"), "stored")
+    return claims.join(stored, key, "left").withColumn("stored", F.coalesce("stored", F.lit(0)).cast("bigint")).where(F.col(claimed) != F.col("stored")).select(
+        key, F.col(claimed).cast("bigint").alias("claimed"), "stored"
+    )
 
 
 def orphans(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
@@ -59,7 +72,12 @@ def breaker_audit(attempts: DataFrame, opens_after: int = 2) -> DataFrame:
     order = Window.partitionBy("source_id", "day").orderBy("attempt_ts", "attempt_id")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     unreachable = F.col("outcome") == "SOURCE_UNAVAILABLE"
-    numbered = attempts.withColumns({"after_stop": F.coalesce(F.max((F.col("outcome") == STOP_SIGNAL).cast("int")).over(before), F.lit(0)) == 1, "n": F.row_number().over(order)})
+    numbered = attempts.withColumns(
+        {
+            "after_stop": F.coalesce(F.max((F.col("outcome") == STOP_SIGNAL).cast("int")).over(before), F.lit(0)) == 1,
+            "n": F.row_number().over(order)
+        }
+    )
     numbered = numbered.withColumn("last_reached", F.coalesce(F.max(F.when(~unreachable, F.col("n"))).over(before), F.lit(0)))
     return numbered.withColumn("streak", F.col("n") - 1 - F.col("last_reached")).withColumn("breaker_open", F.col("streak") >= opens_after)
 
@@ -67,12 +85,20 @@ def breaker_audit(attempts: DataFrame, opens_after: int = 2) -> DataFrame:
 def block_of(values: DataFrame, blocks: DataFrame, value: str) -> DataFrame:
     """The labelled block lo..hi that holds each value; a value outside all blocks is an error.  blocks is a small table."""
     found = values.join(F.broadcast(blocks), F.col(value).between(F.col("lo"), F.col("hi")), "left")
-    return found.withColumn("label", F.when(F.assert_true(F.col("label").isNotNull(), F.lit("a value lies in no block")).isNull(), F.col("label"))).drop("lo", "hi")
+    return found.withColumn(
+        "label", F.when(F.assert_true(F.col("label").isNotNull(), F.lit("a value lies in no block")).isNull(), F.col("label"))
+    ).drop("lo", "hi")
 
 
 def lead_profile(quotes: DataFrame) -> DataFrame:
     """Prices by lead time: number, geometric mean, extremes with the quotes that have them, spread, ratio to the shortest lead time."""
     key = F.struct("payable_fare", "observation_id")
-    profile = quotes.groupBy("lead_bucket").agg(F.count(F.lit(1)).alias("quotes"), F.exp(F.avg(F.ln("payable_fare"))).alias("geomean"), F.min("payable_fare").alias("least"), F.max("payable_fare").alias("most"), F.min_by("observation_id", key).alias("least_id"), F.max_by("observation_id", key).alias("most_id"))
+    profile = quotes.groupBy("lead_bucket").agg(
+        F.count(F.lit(1)).alias("quotes"), F.exp(F.avg(F.ln("payable_fare"))).alias("geomean"), F.min("payable_fare").alias("least"),
+        F.max("payable_fare").alias("most"), F.min_by("observation_id", key).alias("least_id"),
+        F.max_by("observation_id", key).alias("most_id")
+    )
     shortest = profile.agg(F.min_by("geomean", "lead_bucket").alias("base"))
-    return profile.crossJoin(F.broadcast(shortest)).withColumns({"spread_pct": 100 * (F.col("most") / F.col("least") - 1), "ratio": F.col("geomean") / F.col("base")}).drop("base")
+    return profile.crossJoin(F.broadcast(shortest)).withColumns(
+        {"spread_pct": 100 * (F.col("most") / F.col("least") - 1), "ratio": F.col("geomean") / F.col("base")}
+    ).drop("base")

@@ -24,7 +24,10 @@ def windows(days: DataFrame, length: int = WINDOW_DAYS, step: int = WINDOW_DAYS
     ends = days.agg(F.min("collection_date").alias("d0"), F.max("collection_date").alias("d1"))
     last = F.greatest(F.floor((F.datediff("d1", "d0") - (length - 1)) / step), F.lit(0))
     numbers = ends.select("d0", F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("window"))
-    return numbers.select("window", F.expr(f"date_add(d0, window * {step})").alias("first"), F.expr(f"date_add(d0, window * {step} + {length - 1})").alias("last"))
+    return numbers.select(
+        "window", F.expr(f"date_add(d0, window * {step})").alias("first"),
+        F.expr(f"date_add(d0, window * {step} + {length - 1})").alias("last")
+    )
 
 
 def windowed(quotes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -33,7 +36,10 @@ def windowed(quotes: DataFrame, spans: DataFrame) -> DataFrame:
     return quotes.join(days, "collection_date")
 
 
-def guarded(rows: DataFrame, characteristics: Sequence[str], route: str = "route", min_window: int = MIN_QUOTES_WINDOW, min_level: int = MIN_QUOTES_LEVEL, min_route: int = MIN_QUOTES_ROUTE) -> tuple[DataFrame, DataFrame]:
+def guarded(
+    rows: DataFrame, characteristics: Sequence[str], route: str = "route", min_window: int = MIN_QUOTES_WINDOW,
+    min_level: int = MIN_QUOTES_LEVEL, min_route: int = MIN_QUOTES_ROUTE
+) -> tuple[DataFrame, DataFrame]:
     """Quotes that may be estimated on, with rare levels pooled, and the facts of each window.
 
     Rows of routes below min_route in a window are left out; a characteristic missing in more than MAX_MISSING of a window's
@@ -42,15 +48,21 @@ def guarded(rows: DataFrame, characteristics: Sequence[str], route: str = "route
     """
     of_route = Window.partitionBy("window", route)
     kept = rows.withColumn("n_route", F.count(F.lit(1)).over(of_route)).where(F.col("n_route") >= min_route).drop("n_route")
-    share = kept.groupBy("window").agg(F.count(F.lit(1)).alias("quotes"), *(F.avg(F.col(c).isNull().cast("double")).alias(f"missing_{c}") for c in characteristics))
+    share = kept.groupBy("window").agg(
+        F.count(F.lit(1)).alias("quotes"), *(F.avg(F.col(c).isNull().cast("double")).alias(f"missing_{c}") for c in characteristics)
+    )
     dropped = F.array_compact(F.array(*(F.when(F.col(f"missing_{c}") > MAX_MISSING, F.lit(c)) for c in characteristics)))
-    facts = share.select("window", "quotes", dropped.alias("dropped"), F.when(F.col("quotes") < min_window, "MIN_QUOTES_WINDOW").alias("reason"))
+    facts = share.select(
+        "window", "quotes", dropped.alias("dropped"), F.when(F.col("quotes") < min_window, "MIN_QUOTES_WINDOW").alias("reason")
+    )
     kept = kept.join(facts.select("window", "dropped"), "window")
     for c in characteristics:
         value = F.when(F.array_contains("dropped", c), "dropped").otherwise(F.coalesce(F.col(c).cast("string"), F.lit("missing")))
         kept = kept.withColumn(c, value).withColumn("n_level", F.count(F.lit(1)).over(Window.partitionBy("window", c)))
         kept = kept.withColumn(c, F.when(F.col("n_level") >= min_level, F.col(c)).otherwise("other")).drop("n_level")
-    pooled = kept.groupBy("window").agg(*(F.max((F.col(c) == "other").cast("int")).alias(c) for c in characteristics)).select("window", sum((F.col(c) for c in characteristics), F.lit(0)).alias("pooled"))
+    pooled = kept.groupBy("window").agg(
+        *(F.max((F.col(c) == "other").cast("int")).alias(c) for c in characteristics)
+    ).select("window", sum((F.col(c) for c in characteristics), F.lit(0)).alias("pooled"))
     return kept.drop("dropped"), facts.join(pooled, "window", "left").fillna(0, ["pooled"])
 
 
@@ -61,9 +73,13 @@ def time_product_dummy(quotes: DataFrame, spans: DataFrame, characteristics: Seq
     window's first date.  A window that a guard rejects has one row with the reason and no index.
     """
     kept, facts = guarded(windowed(quotes, spans), characteristics, **guards)
-    dummies = F.array(F.concat(F.lit("date="), F.col("collection_date").cast("string")), *(F.concat(F.lit(f"{c}="), F.col(c)) for c in characteristics))
+    dummies = F.array(
+        F.concat(F.lit("date="), F.col("collection_date").cast("string")), *(F.concat(F.lit(f"{c}="), F.col(c)) for c in characteristics)
+    )
     rows = kept.select("window", dummies.alias("x"), F.ln("payable_fare").alias("y"))
-    pairs = rows.select("window", F.explode("x").alias("a"), "x").select("window", "a", F.explode("x").alias("b")).groupBy("window", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    pairs = rows.select(
+        "window", F.explode("x").alias("a"), "x"
+    ).select("window", "a", F.explode("x").alias("b")).groupBy("window", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     sums = rows.select("window", F.explode("x").alias("a"), "y").groupBy("window", "a").agg(F.sum("y").alias("s")).collect()
     solved = []
     for fact in facts.collect():
@@ -75,10 +91,14 @@ def time_product_dummy(quotes: DataFrame, spans: DataFrame, characteristics: Seq
             if condition > MAX_CONDITION:
                 reason = "CONDITION_NUMBER"
         rest = (int(fact.quotes), condition, ",".join(fact.dropped), int(fact.pooled), reason)
-        solved += [(int(fact.window), None, None, *rest)] if reason else [(int(fact.window), day, value, *rest) for day, value in sorted(effects.items())]
+        solved += [(int(fact.window), None, None, *rest)] if reason else [
+            (int(fact.window), day, value, *rest) for day, value in sorted(effects.items())
+        ]
     schema = "window int, day string, index double, quotes bigint, condition double, dropped string, pooled int, reason string"
     found = quotes.sparkSession.createDataFrame(solved, schema)
-    return found.select("window", F.col("day").cast("date").alias("collection_date"), "index", "quotes", "condition", "dropped", "pooled", "reason")
+    return found.select(
+        "window", F.col("day").cast("date").alias("collection_date"), "index", "quotes", "condition", "dropped", "pooled", "reason"
+    )
 
 
 def _solve(gram: dict[tuple[str, str], int], right: dict[str, float]) -> tuple[dict[str, float], float]:
@@ -117,7 +137,9 @@ def splice_factors(indices: DataFrame) -> DataFrame:
     """
     later = indices.select((F.col("window") - 1).alias("window"), "collection_date", F.col("index").alias("later"))
     both = indices.where("index is not null").join(later.where("later is not null"), ["window", "collection_date"])
-    gaps = both.groupBy((F.col("window") + 1).alias("window")).agg(F.count(F.lit(1)).alias("overlap"), F.avg(F.ln("index") - F.ln("later")).alias("gap"))
+    gaps = both.groupBy((F.col("window") + 1).alias("window")).agg(
+        F.count(F.lit(1)).alias("overlap"), F.avg(F.ln("index") - F.ln("later")).alias("gap")
+    )
     return gaps.select("window", "overlap", F.when(F.col("overlap") >= MIN_OVERLAP_DAYS, F.exp("gap")).alias("factor"))
 
 
@@ -130,9 +152,13 @@ def spliced(indices: DataFrame) -> DataFrame:
     every = indices.select("window").distinct().join(factors, "window", "left")
     upto = Window.orderBy("window").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # a row for each window
     start = F.col("window") == F.min("window").over(Window.partitionBy(F.lit(0)))
-    linked = every.withColumn("log", F.when(start, 0.0).otherwise(F.ln("factor"))).withColumn("broken", F.max(F.col("log").isNull().cast("int")).over(upto)).withColumn("link", F.exp(F.sum("log").over(upto)))
+    linked = every.withColumn("log", F.when(start, 0.0).otherwise(F.ln("factor"))).withColumn(
+        "broken", F.max(F.col("log").isNull().cast("int")).over(upto)
+    ).withColumn("link", F.exp(F.sum("log").over(upto)))
     values = indices.where("index is not null").join(linked.where("broken = 0").select("window", "link"), "window")
-    first = values.groupBy("collection_date").agg(F.min_by(F.struct("window", (F.col("index") * F.col("link")).alias("index")), "window").alias("v"))
+    first = values.groupBy("collection_date").agg(
+        F.min_by(F.struct("window", (F.col("index") * F.col("link")).alias("index")), "window").alias("v")
+    )
     return first.select("collection_date", "v.window", "v.index")
 
 
@@ -141,4 +167,6 @@ def divergence(own: DataFrame, other: DataFrame, period: str = "period") -> Data
     step = Window.orderBy(period)  # a row for each period
     both = own.select(period, F.col("level").alias("a")).join(other.select(period, F.col("level").alias("b")), period)
     growth = lambda c: 100 * (F.col(c) / F.lag(c).over(step) - 1)
-    return both.withColumns({"own_growth_pct": growth("a"), "other_growth_pct": growth("b")}).withColumn("divergence_pp", F.col("own_growth_pct") - F.col("other_growth_pct"))
+    return both.withColumns({"own_growth_pct": growth("a"), "other_growth_pct": growth("b")}).withColumn(
+        "divergence_pp", F.col("own_growth_pct") - F.col("other_growth_pct")
+    )

@@ -74,12 +74,17 @@ def cell_weights(offers: DataFrame, class_share: DataFrame, channel_share: DataF
 def published_cells(states: DataFrame, dates: DataFrame) -> DataFrame:
     """(publication_date, cell_id, parent_id, route, level, status, last_matched_date, freshness_days): the live and suppressed cells of each date."""
     grid = publish.with_freshness(publish.as_of_grid(states, dates))
-    return grid.select("publication_date", "cell_id", "parent_id", F.substring_index("cell_id", "|", 1).alias("route"), "level", "status", "last_matched_date", "freshness_days")
+    return grid.select(
+        "publication_date", "cell_id", "parent_id", F.substring_index("cell_id", "|", 1).alias("route"), "level", "status",
+        "last_matched_date", "freshness_days"
+    )
 
 
 def published_levels(cells: DataFrame, weights: DataFrame, route_weights: DataFrame, expected: DataFrame) -> DataFrame:
     """National level of each publication date: cells to routes to the nation."""
-    of_routes = publish.route_levels(cells.withColumnRenamed("publication_date", "collection_date"), weights.select("cell_id", "weight"), expected)
+    of_routes = publish.route_levels(
+        cells.withColumnRenamed("publication_date", "collection_date"), weights.select("cell_id", "weight"), expected
+    )
     return publish.national_levels(of_routes, route_weights)
 
 

@@ -20,7 +20,9 @@ def price_table(offers: DataFrame, stratum: str = "stratum") -> DataFrame:
     price = F.min_by("price", "observation_id")
     if "tier" in offers.columns:
         price = F.when(F.max("tier") == 2, F.exp(F.avg(log_price(F.col("price"))))).otherwise(price)
-    return offers.where("item_id is not null").groupBy("collection_date", F.col(stratum).alias("stratum"), "item_id", "source_id").agg(price.alias("price"))
+    return offers.where("item_id is not null").groupBy(
+        "collection_date", F.col(stratum).alias("stratum"), "item_id", "source_id"
+    ).agg(price.alias("price"))
 
 
 def mixed_dates(slices: DataFrame, side: str = "side") -> DataFrame:
@@ -28,13 +30,17 @@ def mixed_dates(slices: DataFrame, side: str = "side") -> DataFrame:
 
     The joins below need none, since the date is one of their keys.
     """
-    facts = slices.groupBy(side).agg(F.count_distinct("collection_date").alias("dates"), F.min("collection_date").alias("first"), F.max("collection_date").alias("last"))
+    facts = slices.groupBy(side).agg(
+        F.count_distinct("collection_date").alias("dates"), F.min("collection_date").alias("first"), F.max("collection_date").alias("last")
+    )
     return facts.where("dates > 1")
 
 
 def source_pairs(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
     """Every item's prices now and a lag earlier, for each source that has both.  One equi-join."""
-    earlier = prices.select(F.date_add("collection_date", lag).alias("collection_date"), "stratum", "item_id", "source_id", F.col("price").alias("price_prior"))
+    earlier = prices.select(
+        F.date_add("collection_date", lag).alias("collection_date"), "stratum", "item_id", "source_id", F.col("price").alias("price_prior")
+    )
     return prices.join(earlier, ["collection_date", "stratum", "item_id", "source_id"])
 
 
@@ -65,7 +71,9 @@ def without_common_source(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
 def transitions(pairs: DataFrame, prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
     """Pairs whose source differs from the one selected a lag earlier, with the gap to the old source's price where it is seen."""
     key = ["collection_date", "stratum", "item_id"]
-    before = pairs.select(F.date_add("collection_date", lag).alias("collection_date"), "stratum", "item_id", F.col("source_id").alias("source_before"))
+    before = pairs.select(
+        F.date_add("collection_date", lag).alias("collection_date"), "stratum", "item_id", F.col("source_id").alias("source_before")
+    )
     old = prices.select(*key, F.col("source_id").alias("source_before"), F.col("price").alias("price_old_source"))
     moved = pairs.join(before, key).where("source_id <> source_before").join(old, [*key, "source_before"], "left")
     return moved.withColumn("log_gap", F.ln("price") - F.ln("price_old_source"))
@@ -88,5 +96,9 @@ def without_transitions(pairs: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
 def channel_spread(quotes: DataFrame) -> DataFrame:
     """Log gap of aggregator over direct price for the same flight, travel date and day."""
     key = ["collection_date", "origin", "destination", "carrier", "flight_number", "travel_date"]
-    side = lambda channel, name: quotes.where(F.col("channel") == channel).groupBy(*key).agg(F.min_by("payable_fare", "observation_id").alias(name))
-    return side("AIRLINE_DIRECT", "direct").join(side("AGGREGATOR", "aggregator"), key).withColumn("log_spread", F.ln("aggregator") - F.ln("direct"))
+    side = lambda channel, name: quotes.where(F.col("channel") == channel).groupBy(*key).agg(
+        F.min_by("payable_fare", "observation_id").alias(name)
+    )
+    return side("AIRLINE_DIRECT", "direct").join(side("AGGREGATOR", "aggregator"), key).withColumn(
+        "log_spread", F.ln("aggregator") - F.ln("direct")
+    )

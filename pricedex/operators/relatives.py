@@ -19,7 +19,9 @@ def gated(pairs: DataFrame) -> DataFrame:
     """
     stratum = Window.partitionBy(*STRATUM)
     placed = pairs.withColumns({"n": F.count(F.lit(1)).over(stratum), "median": F.median("log_relative").over(stratum)})
-    placed = placed.withColumn("deviation", F.abs(F.col("log_relative") - F.col("median"))).withColumn("mad", F.median("deviation").over(stratum))
+    placed = placed.withColumn(
+        "deviation", F.abs(F.col("log_relative") - F.col("median"))
+    ).withColumn("mad", F.median("deviation").over(stratum))
     outlier = (F.col("n") >= MIN_OUTLIER_ITEMS) & (F.col("mad") > 0) & (F.col("deviation") > MAD_MULTIPLIER * F.col("mad"))
     return placed.withColumn("outlier", outlier)
 
@@ -36,12 +38,17 @@ def relatives(pairs: DataFrame, due: DataFrame | None = None, strict: bool = Fal
     due: (collection_date, stratum) that must have a row even without pairs.
     """
     kept = ~F.col("outlier")
-    mean = ordered_mean(F.when(kept, F.col("log_relative")).otherwise(0.0), F.col("item_id")) * F.count(F.lit(1)) / F.count_if(kept) if strict else F.avg(F.when(kept, F.col("log_relative")))
+    mean = ordered_mean(
+        F.when(kept, F.col("log_relative")).otherwise(0.0), F.col("item_id")
+    ) * F.count(F.lit(1)) / F.count_if(kept) if strict else F.avg(F.when(kept, F.col("log_relative")))
     found = gated(pairs).groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("matched"), mean.alias("mean"))
     if due is not None:
         found = due.join(found, STRATUM, "left").fillna(0, ["candidates", "matched"])
     reason = F.when(F.col("matched") == 0, "NO_MATCHED_ITEMS").when(F.col("matched") < MIN_MATCHED, "BELOW_MIN_MATCHED_ITEMS")
-    return found.select(*STRATUM, F.col("candidates").cast("bigint"), F.col("matched").cast("bigint"), F.when(reason.isNull(), F.exp("mean")).alias("relative"), reason.alias("undefined_reason"))
+    return found.select(
+        *STRATUM, F.col("candidates").cast("bigint"), F.col("matched").cast("bigint"),
+        F.when(reason.isNull(), F.exp("mean")).alias("relative"), reason.alias("undefined_reason")
+    )
 
 
 def concentration(pairs: DataFrame, carrier: str) -> DataFrame:
@@ -56,11 +63,16 @@ def identity_stability(quotes: DataFrame, group: list[str], lag: int = LAG_DAYS,
     window: (collection_date), the dates on which a recurrence counts; all keys stay in the denominator.
     """
     key = [*group, "flight_key", "weekday"]
-    seen = quotes.select(*group, F.concat_ws("|", "carrier", "flight_number").alias("flight_key"), (F.weekday("travel_date") + 1).alias("weekday"), "collection_date").distinct()
+    seen = quotes.select(
+        *group, F.concat_ws("|", "carrier", "flight_number").alias("flight_key"), (F.weekday("travel_date") + 1).alias("weekday"),
+        "collection_date"
+    ).distinct()
     counted = seen if window is None else seen.join(window, "collection_date", "left_semi").select(*seen.columns)
     earlier = counted.withColumn("collection_date", F.date_add("collection_date", lag))
     recurring = counted.join(earlier, [*key, "collection_date"], "left_semi").select(*key).distinct().withColumn("recurs", F.lit(1.0))
-    share = seen.select(*key).distinct().join(recurring, key, "left").groupBy(*group).agg(F.count(F.lit(1)).alias("keys"), F.avg(F.coalesce("recurs", F.lit(0.0))).alias("stability"))
+    share = seen.select(*key).distinct().join(recurring, key, "left").groupBy(*group).agg(
+        F.count(F.lit(1)).alias("keys"), F.avg(F.coalesce("recurs", F.lit(0.0))).alias("stability")
+    )
     return share.withColumn("tier", tier_of(F.col("stability")))
 
 
@@ -71,7 +83,10 @@ def tier_of(stability: Column) -> Column:
 def band_prices(quotes: DataFrame) -> DataFrame:
     """Geometric mean price, number and log dispersion of each origin, carrier, hour band, source and day."""
     log = F.ln("payable_fare")
-    return quotes.withColumn("band", hour_band()).groupBy("collection_date", "origin", "carrier", "band", "source_id").agg(F.count(F.lit(1)).alias("quotes"), F.exp(F.avg(log)).alias("band_price"), F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.stddev_pop(log)).alias("dispersion"))
+    return quotes.withColumn("band", hour_band()).groupBy("collection_date", "origin", "carrier", "band", "source_id").agg(
+        F.count(F.lit(1)).alias("quotes"), F.exp(F.avg(log)).alias("band_price"),
+        F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.stddev_pop(log)).alias("dispersion")
+    )
 
 
 def band_diagnostics(quotes: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
@@ -80,13 +95,22 @@ def band_diagnostics(quotes: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
     A band with many members and no dispersion is as harmless as one whose members do not change.
     """
     log = F.ln("payable_fare")
-    facts = [F.count(F.lit(1)).alias("n"), F.collect_set("flight_number").alias("flights"), F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.stddev_pop(log)).alias("dispersion")]
+    facts = [
+        F.count(F.lit(1)).alias("n"), F.collect_set("flight_number").alias("flights"),
+        F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.stddev_pop(log)).alias("dispersion")
+    ]
     key = ["collection_date", "origin", "carrier", "band"]
     now = quotes.withColumn("band", hour_band()).groupBy(*key).agg(*facts)
-    earlier = now.select(F.date_add("collection_date", lag).alias("collection_date"), *key[1:], *(F.col(c).alias(f"{c}_prior") for c in ("n", "flights", "dispersion")))
+    earlier = now.select(
+        F.date_add("collection_date", lag).alias("collection_date"), *key[1:],
+        *(F.col(c).alias(f"{c}_prior") for c in ("n", "flights", "dispersion"))
+    )
     both = now.join(earlier, key)
     overlap = F.size(F.array_intersect("flights", "flights_prior")) / F.greatest(F.size("flights"), F.size("flights_prior"))
-    return both.select(*key, F.col("n").alias("n_now"), F.col("n_prior"), (F.col("n") - F.col("n_prior")).alias("delta"), overlap.alias("overlap"), F.col("dispersion").alias("dispersion_now"), F.col("dispersion_prior"), (overlap == 1).alias("telescopes"))
+    return both.select(
+        *key, F.col("n").alias("n_now"), F.col("n_prior"), (F.col("n") - F.col("n_prior")).alias("delta"), overlap.alias("overlap"),
+        F.col("dispersion").alias("dispersion_now"), F.col("dispersion_prior"), (overlap == 1).alias("telescopes")
+    )
 
 
 def band_occupancy(quotes: DataFrame) -> DataFrame:
@@ -102,7 +126,9 @@ def coverage(matched: Column, expected: Column) -> Column:
 def unit_values(offers: DataFrame) -> DataFrame:
     """Geometric mean price and log dispersion of each stratum and date, for strata without items."""
     log = F.ln("price")
-    return offers.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("quotes"), F.exp(F.avg(log)).alias("unit_value"), F.stddev_pop(log).alias("dispersion"))
+    return offers.groupBy(*STRATUM).agg(
+        F.count(F.lit(1)).alias("quotes"), F.exp(F.avg(log)).alias("unit_value"), F.stddev_pop(log).alias("dispersion")
+    )
 
 
 def naive_index(offers: DataFrame) -> DataFrame:

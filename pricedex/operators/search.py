@@ -46,7 +46,11 @@ def band_label(number: Column) -> Column:
 
 def ineligibility(contract: Contract) -> Column:
     """All rules of a card that fail, in order."""
-    c = {n: F.col(n) for n in ("flight_number", "departure_min", "departure_date", "origin", "destination", "stops", "marketing_carrier", "operating_carrier")}
+    c = {
+        n: F.col(n) for n in (
+            "flight_number", "departure_min", "departure_date", "origin", "destination", "stops", "marketing_carrier", "operating_carrier"
+        )
+    }
     at = band(c["departure_min"])
     rules = {
         "MISSING_FLIGHT_IDENTITY": ~F.coalesce(c["flight_number"].rlike("^[0-9]+$"), F.lit(False)),
@@ -83,7 +87,12 @@ def ranked_cards(judged: DataFrame, search: list[str]) -> DataFrame:
     in_band = Window.partitionBy(*search, "band")
     first = F.when(F.col("repeat") == 1, 1)
     ordered = in_band.orderBy("departure_min", number, "position")
-    return cards.withColumns({"eligible": F.count(first).over(in_band), "rank": F.sum(F.coalesce(first, F.lit(0))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
+    return cards.withColumns(
+        {
+            "eligible": F.count(first).over(in_band),
+            "rank": F.sum(F.coalesce(first, F.lit(0))).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        }
+    )
 
 
 def selected_cards(judged: DataFrame, search: list[str]) -> DataFrame:
@@ -99,7 +108,12 @@ def family_label(text: Column) -> Column:
 
 def contract_fare(contract: Contract) -> Column:
     """(status, exclusion, fare) of a card: PRICED, SOLD_OUT, or EXCLUDED with the first rule that excludes it."""
-    fares = F.coalesce(F.col("fares"), F.array().cast("array<struct<family:string,price:decimal(12,2),currency:string,available:boolean,concession:boolean,checked_kg:int,change_policy:string,cancellation_policy:string>>"))
+    fares = F.coalesce(
+        F.col("fares"),
+        F.array().cast(
+            "array<struct<family:string,price:decimal(12,2),currency:string,available:boolean,concession:boolean,checked_kg:int,change_policy:string,cancellation_policy:string>>"
+        )
+    )
     wanted = family_label(F.lit(contract.fare_family))
     own = F.filter(fares, lambda f: family_label(f["family"]) == wanted)
     others = F.filter(fares, lambda f: family_label(f["family"]) != wanted)
@@ -129,13 +143,20 @@ def contract_fare(contract: Contract) -> Column:
 
 def echo_mismatches(contract: Contract) -> Column:
     """What the page's echo (`shown`, a struct of ECHO_FIELDS, null if unreadable) says otherwise than the search; a field not shown is a mismatch."""
-    expected = {"origin": F.lit(contract.origin), "destination": F.lit(contract.destination), "travel_date": F.col("travel_date").cast("string"), "adults": F.lit(str(contract.adults)), "currency": F.lit(contract.currency), "trip_type": F.lit(contract.trip_type)}
+    expected = {
+        "origin": F.lit(contract.origin), "destination": F.lit(contract.destination), "travel_date": F.col("travel_date").cast("string"),
+        "adults": F.lit(str(contract.adults)), "currency": F.lit(contract.currency), "trip_type": F.lit(contract.trip_type)
+    }
 
     def message(field: str) -> Column:
         got = F.col(f"shown.{field}").cast("string")
-        return F.when(got.isNull(), F.lit(f"{field} not displayed")).when(got != expected[field], F.concat(F.lit(f"{field}="), got, F.lit(" expected "), expected[field]))
+        return F.when(got.isNull(), F.lit(f"{field} not displayed")).when(
+            got != expected[field], F.concat(F.lit(f"{field}="), got, F.lit(" expected "), expected[field])
+        )
 
-    return F.when(F.col("shown").isNull(), F.array(F.lit("search echo not readable"))).otherwise(F.array_compact(F.array(*map(message, ECHO_FIELDS))))
+    return F.when(
+        F.col("shown").isNull(), F.array(F.lit("search echo not readable"))
+    ).otherwise(F.array_compact(F.array(*map(message, ECHO_FIELDS))))
 
 
 def band_outcomes(searches: DataFrame, cards: DataFrame, search: list[str], contract: Contract) -> DataFrame:
@@ -149,7 +170,9 @@ def band_outcomes(searches: DataFrame, cards: DataFrame, search: list[str], cont
     shown = cards.select(*search).distinct().withColumn("has_cards", F.lit(True))
     readable = (F.col("page_state") == "RESULTS") & (F.size("structural_issues") == 0) & (F.size("mismatches") == 0) & F.coalesce("has_cards", F.lit(False))
     rows = bands.join(shown, search, "left").join(chosen.drop("travel_date"), [*search, "band"], "left")
-    state = F.when(~readable, "NOT_EVALUATED").when(F.col("decision").isNull(), "EMPTY_BAND").when(F.col("decision.status") == "PRICED", "OBSERVED").otherwise(F.col("decision.status"))
+    state = F.when(~readable, "NOT_EVALUATED").when(F.col("decision").isNull(), "EMPTY_BAND").when(
+        F.col("decision.status") == "PRICED", "OBSERVED"
+    ).otherwise(F.col("decision.status"))
     return rows.withColumns({"state": state, "readable": readable})
 
 
@@ -160,7 +183,9 @@ def search_outcomes(bands: DataFrame, search: list[str]) -> DataFrame:
     """
     held = lambda s: F.count_if(F.col("state") == s)
     facts = bands.groupBy(*search).agg(
-        *(F.first(c).alias(c) for c in ("page_state", "structural_issues", "mismatches", "has_cards")), F.count(F.lit(1)).cast("bigint").alias("expected"),
+        *(
+            F.first(c).alias(c) for c in ("page_state", "structural_issues", "mismatches", "has_cards")
+        ), F.count(F.lit(1)).cast("bigint").alias("expected"),
         held("OBSERVED").alias("accepted"), held("SOLD_OUT").alias("sold_out"), held("EXCLUDED").alias("excluded"), held("EMPTY_BAND").alias("missing"), held("NOT_EVALUATED").alias("not_evaluated"),
         F.count_if((F.col("state") == "EXCLUDED") & F.col("decision.exclusion").isin(*UNREADABLE)).alias("unreadable"),
     )
@@ -181,28 +206,37 @@ def search_outcomes(bands: DataFrame, search: list[str]) -> DataFrame:
     for holds, name, note in reversed(rules):
         outcome, why = F.when(holds, name).otherwise(outcome), F.when(holds, note).otherwise(why)
     found = F.col("accepted") + F.col("sold_out") + F.col("excluded")
-    return facts.select(*search, outcome.alias("outcome"), why.alias("detail"), (page == "ACCESS_CHALLENGE").alias("stop"), "expected", found.alias("found"), "accepted", "sold_out", "excluded", "missing", "not_evaluated")
+    return facts.select(
+        *search, outcome.alias("outcome"), why.alias("detail"), (page == "ACCESS_CHALLENGE").alias("stop"), "expected",
+        found.alias("found"), "accepted", "sold_out", "excluded", "missing", "not_evaluated"
+    )
 
 
 def run_status(outcomes: DataFrame, run: list[str]) -> DataFrame:
     """Totals over the searches of a run and its status: a stop signal, everything observed, something, or nothing."""
     names = ("expected", "found", "accepted", "sold_out", "excluded", "missing", "not_evaluated")
     success = F.col("outcome") == "SUCCESS"
-    status = F.when(F.bool_or("stop"), "STOPPED").when(F.bool_and(success & (F.col("accepted") == len(CONTRACT_BANDS))), "COMPLETE").when(F.bool_or(success), "PARTIAL").otherwise("FAILED")
+    status = F.when(F.bool_or("stop"), "STOPPED").when(
+        F.bool_and(success & (F.col("accepted") == len(CONTRACT_BANDS))), "COMPLETE"
+    ).when(F.bool_or(success), "PARTIAL").otherwise("FAILED")
     return outcomes.groupBy(*run).agg(F.count(F.lit(1)).alias("searches"), *(F.sum(n).alias(n) for n in names), status.alias("status"))
 
 
 def record_id(frame_tag: Column, family: Column) -> Column:
     """Id of a record: day, frame, source, flight, travel date and family."""
     flight = F.concat("marketing_carrier", "flight_number")
-    return F.concat_ws("-", F.date_format("collection_date", "yyyyMMdd"), frame_tag, "source_id", flight, F.date_format("travel_date", "yyyyMMdd"), family)
+    return F.concat_ws(
+        "-", F.date_format("collection_date", "yyyyMMdd"), frame_tag, "source_id", flight, F.date_format("travel_date", "yyyyMMdd"), family
+    )
 
 
 def canonical_quotes(bands: DataFrame, frame_tag: str) -> DataFrame:
     """OBSERVED bands as quotes."""
     fare = "decision.fare"
     return bands.where("state = 'OBSERVED'").select(
-        record_id(F.lit(frame_tag), F.col(f"{fare}.family")).alias("observation_id"), "collection_date", "travel_date", "source_id", "origin", "destination", F.col("marketing_carrier").alias("carrier"), "flight_number", "departure_min", "stops", "duration_minutes",
+        record_id(
+            F.lit(frame_tag), F.col(f"{fare}.family")
+        ).alias("observation_id"), "collection_date", "travel_date", "source_id", "origin", "destination", F.col("marketing_carrier").alias("carrier"), "flight_number", "departure_min", "stops", "duration_minutes",
         F.col(f"{fare}.family").alias("fare_family_raw"), F.col(f"{fare}.checked_kg").alias("baggage_kg"), F.col(f"{fare}.change_policy").alias("change_permitted"), F.col(f"{fare}.cancellation_policy").alias("cancellation_permitted"), F.col(f"{fare}.price").alias("payable_fare"),
         F.lit("AIRLINE_DIRECT").alias("channel"), F.lit("AVAILABLE").alias("availability"), F.col("finished_ts").alias("observation_ts"),
     )
@@ -211,7 +245,11 @@ def canonical_quotes(bands: DataFrame, frame_tag: str) -> DataFrame:
 def unpriced_flights(bands: DataFrame, frame_tag: str, contract: Contract) -> DataFrame:
     """SOLD_OUT bands as flights without a price."""
     family = F.coalesce(F.col("decision.fare.family"), F.lit(contract.fare_family))
-    return bands.where("state = 'SOLD_OUT'").select(record_id(F.lit(frame_tag), family).alias("unpriced_id"), "collection_date", "travel_date", "source_id", "origin", "destination", F.col("marketing_carrier").alias("carrier"), "flight_number", "departure_min", F.lit("SOLD_OUT").alias("availability"), F.col("finished_ts").alias("observation_ts"))
+    return bands.where("state = 'SOLD_OUT'").select(
+        record_id(F.lit(frame_tag), family).alias("unpriced_id"), "collection_date", "travel_date", "source_id", "origin", "destination",
+        F.col("marketing_carrier").alias("carrier"), "flight_number", "departure_min", F.lit("SOLD_OUT").alias("availability"),
+        F.col("finished_ts").alias("observation_ts")
+    )
 
 
 def latency_ms(started: Column, finished: Column) -> Column:

@@ -20,7 +20,9 @@ query = REGISTRY.query
 SELECT route, round(dispersion, 6) AS dispersion, trades, round((SELECT dispersion FROM r WHERE rn = 2), 6) AS runner_up FROM r WHERE rn = 1""")
 def d8_widest_dispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The route with the widest prices, and the runner-up's dispersion."""
-    profile = trade_quotes(spark, sf_dir).groupBy("route").agg(F.stddev_pop(F.ln("price")).alias("dispersion"), F.count(F.lit(1)).alias("trades"))
+    profile = trade_quotes(spark, sf_dir).groupBy("route").agg(
+        F.stddev_pop(F.ln("price")).alias("dispersion"), F.count(F.lit(1)).alias("trades")
+    )
     return audit.widest(profile, "dispersion").select("route", r6("dispersion"), "trades", r6("runner_up"))
 
 
@@ -47,26 +49,57 @@ def a7_payload_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     def tile(k: int, card: int):
         gone = (n % 11 == 0) if (card, k) == (0, 1) else F.lit(False)
         price = F.format_string('"%.2f"', F.round(F.round("value", 2) * (k + 1), 2))
-        return obj({"family": text('"SAVER"' if k == 0 else '"FLEX"'), "price": F.when(~gone, price), "available": text("true"), "concession": text("null"), "entitlements": text("[]"), "policy": F.when(~gone, "[]"), "breakdown": text("{}")})
+        return obj(
+            {
+                "family": text('"SAVER"' if k == 0 else '"FLEX"'), "price": F.when(~gone, price), "available": text("true"),
+                "concession": text("null"), "entitlements": text("[]"), "policy": F.when(~gone, "[]"), "breakdown": text("{}")
+            }
+        )
 
     def card(k: int):
         gone = (n % 7 == 0) if k == 1 else F.lit(False)
         label = F.concat(F.lit(f'"F{k}'), F.col("user_id").cast("string"), F.lit('"'))
         fares = F.concat(F.lit("["), F.concat_ws(",", tile(0, k), tile(1, k)), F.lit("]"))
-        return obj({"flight_label": label, "departure": value(F.date_format("ts", "HH:mm")), "arrival": text('"10:00"'), "origin_label": text('"DEL"'), "destination_label": text('"BOM"'), "duration": text('"2h"'), "stops": F.when(~gone, '"Non-stop"'), "operated_by": F.when(~gone, '""'), "sold_out": text("false"), "fares": fares})
+        return obj(
+            {
+                "flight_label": label, "departure": value(F.date_format("ts", "HH:mm")), "arrival": text('"10:00"'),
+                "origin_label": text('"DEL"'), "destination_label": text('"BOM"'), "duration": text('"2h"'),
+                "stops": F.when(~gone, '"Non-stop"'), "operated_by": F.when(~gone, '""'), "sold_out": text("false"), "fares": fares
+            }
+        )
 
     kind = F.when(n % 8 == 0, "challenge").when(n % 8 == 1, "no_flights").when(n % 8 == 2, "maintenance").otherwise("results")
-    echo = obj({"origin": text('"DEL"'), "destination": text('"BOM"'), "date_label": text('"1st Jan"'), "passengers_label": text('"1 adult"'), "currency_label": text('"INR"'), "trip_label": F.when(n % 5 != 0, '"One way"')})
+    echo = obj(
+        {
+            "origin": text('"DEL"'), "destination": text('"BOM"'), "date_label": text('"1st Jan"'), "passengers_label": text('"1 adult"'),
+            "currency_label": text('"INR"'), "trip_label": F.when(n % 5 != 0, '"One way"')
+        }
+    )
     page = obj({"kind": value(kind), "message": text('""'), "http_status": text("200")})
     flights = F.concat(F.lit("["), F.concat_ws(",", card(0), card(1)), F.lit("]"))
-    payload = obj({"schema": F.when(n % 10 == 0, '"indigo-extract/0"').otherwise('"indigo-extract/1"'), "page": page, "search_echo": echo, "flights": F.when(n % 9 != 0, flights)})
+    payload = obj(
+        {
+            "schema": F.when(n % 10 == 0, '"indigo-extract/0"').otherwise('"indigo-extract/1"'), "page": page, "search_echo": echo,
+            "flights": F.when(n % 9 != 0, flights)
+        }
+    )
     rows = payload_fares(table(spark, sf_dir, "events").select("event_id", payload.alias("payload")))
-    return rows.select("event_id", "page_state", F.array_join("issues", ";").alias("issues"), "flight.flight_label", "fare.family", F.col("fare.price").cast("double").alias("price"))
+    return rows.select(
+        "event_id", "page_state", F.array_join("issues", ";").alias("issues"), "flight.flight_label", "fare.family",
+        F.col("fare.price").cast("double").alias("price")
+    )
 
 
-@query(f"WITH {ATTEMPTS_SQL}, k AS (SELECT route, string_agg(CAST(l AS VARCHAR), ',' ORDER BY l) AS leads FROM (SELECT DISTINCT route, lead_days AS l FROM attempts) GROUP BY route) SELECT a.route, 'leads-' || leads AS frame, count(*) AS attempts, min(substr(sha256(concat_ws('|', a.route, a.source_id, CAST(a.day AS VARCHAR))), 1, 12)) AS first_run_id FROM attempts a JOIN k ON a.route = k.route GROUP BY ALL")
+@query(
+    f"WITH {ATTEMPTS_SQL}, k AS (SELECT route, string_agg(CAST(l AS VARCHAR), ',' ORDER BY l) AS leads FROM (SELECT DISTINCT route, lead_days AS l "
+    f"FROM attempts) GROUP BY route) SELECT a.route, 'leads-' || leads AS frame, count(*) AS attempts, min(substr(sha256(concat_ws('|', a.route, "
+    f"a.source_id, CAST(a.day AS VARCHAR))), 1, 12)) AS first_run_id FROM attempts a JOIN k ON a.route = k.route GROUP BY ALL"
+)
 def b13_frames_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame labels of the lead times collected, and deterministic run ids."""
     a = attempts(spark, sf_dir)
     frame = F.concat(F.lit("leads-"), F.array_join(F.transform(F.array_sort(F.collect_set("lead_days")), lambda x: x.cast("string")), ","))
-    return a.groupBy("route").agg(frame.alias("frame"), F.count(F.lit(1)).alias("attempts"), F.min(derive.run_id(F.col("route"), F.col("source_id"), F.col("day").cast("string"))).alias("first_run_id"))
+    return a.groupBy("route").agg(
+        frame.alias("frame"), F.count(F.lit(1)).alias("attempts"),
+        F.min(derive.run_id(F.col("route"), F.col("source_id"), F.col("day").cast("string"))).alias("first_run_id")
+    )

@@ -37,7 +37,13 @@ SELECT observation_id, origin || '-' || destination AS route, CAST(travel_date -
 def b_quote_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Route, lead time, bucket, class, weekday, band, cell, parent and item keys, period labels."""
     tier = F.col("observation_id").cast("bigint") % 3 + 1
-    return quotes(spark, sf_dir).select("observation_id", derive.route().alias("route"), derive.lead_days().alias("lead_days"), derive.lead_bucket().alias("lead_bucket"), derive.fare_class().alias("fare_class"), derive.travel_weekday().cast("int").alias("weekday"), derive.hour_band().alias("hour_band"), derive.cell_id().alias("cell_id"), derive.parent_id().alias("parent_id"), derive.item_id(tier).alias("item_id"), derive.period_key(F.col("collection_date"), "week").alias("iso_week"), derive.period_key(F.col("collection_date"), "month").alias("month"))
+    return quotes(spark, sf_dir).select(
+        "observation_id", derive.route().alias("route"), derive.lead_days().alias("lead_days"), derive.lead_bucket().alias("lead_bucket"),
+        derive.fare_class().alias("fare_class"), derive.travel_weekday().cast("int").alias("weekday"),
+        derive.hour_band().alias("hour_band"), derive.cell_id().alias("cell_id"), derive.parent_id().alias("parent_id"),
+        derive.item_id(tier).alias("item_id"), derive.period_key(F.col("collection_date"), "week").alias("iso_week"),
+        derive.period_key(F.col("collection_date"), "month").alias("month")
+    )
 
 
 _REASON_SQL = """CASE WHEN coalesce(origin, '') = '' OR coalesce(destination, '') = '' OR coalesce(carrier, '') = '' OR coalesce(flight_number, '') = '' OR coalesce(source_id, '') = '' THEN 'MISSING_REQUIRED_FIELD'
@@ -51,10 +57,15 @@ def c1_admissibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admit.with_reason(quotes(spark, sf_dir), COLLECTION_WINDOW).select("observation_id", "source_id", "reason")
 
 
-@query(f"WITH {EVENT_QUOTES_SQL}, judged AS (SELECT source_id, {_REASON_SQL} AS reason FROM quotes) SELECT source_id, count(*) AS quotes, count(reason) AS excluded, round(count(reason) * 1.0 / count(*), 6) AS rate FROM judged GROUP BY source_id")
+@query(
+    f"WITH {EVENT_QUOTES_SQL}, judged AS (SELECT source_id, {_REASON_SQL} AS reason FROM quotes) SELECT source_id, count(*) AS quotes, count(reason) "
+    f"AS excluded, round(count(reason) * 1.0 / count(*), 6) AS rate FROM judged GROUP BY source_id"
+)
 def c3_exclusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exclusion rate per source."""
-    return admit.exclusion_rates(admit.with_reason(quotes(spark, sf_dir), COLLECTION_WINDOW)).select("source_id", "quotes", "excluded", r6("rate"))
+    return admit.exclusion_rates(
+        admit.with_reason(quotes(spark, sf_dir), COLLECTION_WINDOW)
+    ).select("source_id", "quotes", "excluded", r6("rate"))
 
 
 _DUP = f"PARTITION BY collection_date, origin, destination, carrier, flight_number, channel, source_id, {_CLASS}"
@@ -64,7 +75,9 @@ _DUP = f"PARTITION BY collection_date, origin, destination, carrier, flight_numb
 SELECT observation_id, CAST(row_number() OVER w AS INT) AS rank, first_value(observation_id) OVER w AS winner FROM q WINDOW w AS ({_DUP}, travel_date, departure_min ORDER BY observation_ts DESC, observation_id DESC)""")
 def d1_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank of each quote in its duplicate group and the one that stays (half-day departures, one travel date a day)."""
-    q = quotes(spark, sf_dir).withColumns({"travel_date": F.date_add("collection_date", 30), "departure_min": F.floor(F.col("departure_min") / 720) * 720})
+    q = quotes(spark, sf_dir).withColumns(
+        {"travel_date": F.date_add("collection_date", 30), "departure_min": F.floor(F.col("departure_min") / 720) * 720}
+    )
     return admit.ranked_duplicates(q).select("observation_id", "rank", "winner")
 
 
@@ -78,7 +91,10 @@ spread AS (SELECT collection_date, stratum, median(dev) AS mad FROM placed GROUP
 gated AS (SELECT p.*, mad, n >= 5 AND mad > 0 AND dev > 5.0 * mad AS outlier FROM placed p JOIN spread USING (collection_date, stratum)),
 relatives AS (SELECT collection_date, stratum, count(*) AS candidates, count(*) FILTER (NOT outlier) AS matched, CASE WHEN count(*) FILTER (NOT outlier) >= 3 THEN exp(avg(log_relative) FILTER (NOT outlier)) END AS relative,
   CASE WHEN count(*) FILTER (NOT outlier) = 0 THEN 'NO_MATCHED_ITEMS' WHEN count(*) FILTER (NOT outlier) < 3 THEN 'BELOW_MIN_MATCHED_ITEMS' END AS undefined_reason FROM gated GROUP BY ALL)"""
-_PARENT_SQL = _GATED_SQL.replace("origin || '|' || carrier AS stratum, origin AS parent, flight_number AS item_id", "origin AS stratum, origin AS parent, carrier || '|' || flight_number AS item_id")
+_PARENT_SQL = _GATED_SQL.replace(
+    "origin || '|' || carrier AS stratum, origin AS parent, flight_number AS item_id",
+    "origin AS stratum, origin AS parent, carrier || '|' || flight_number AS item_id"
+)
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +119,9 @@ def parent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PRICES_SQL} SELECT collection_date, stratum, item_id, source_id, round(price_prior, 6) AS price_prior, round(price, 6) AS price, round(log_relative, 6) AS log_relative FROM pairs")
 def e1_matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with a price a week earlier from one common source, by source precedence."""
-    return pairs(spark, sf_dir).select("collection_date", "stratum", "item_id", "source_id", r6("price_prior"), r6("price"), r6("log_relative"))
+    return pairs(spark, sf_dir).select(
+        "collection_date", "stratum", "item_id", "source_id", r6("price_prior"), r6("price"), r6("log_relative")
+    )
 
 
 @query(f"""WITH {_PRICES_SQL}, present AS (SELECT DISTINCT collection_date, stratum, item_id FROM prices)
@@ -117,16 +135,25 @@ def e2_no_common_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM selected p JOIN selected b ON b.stratum = p.stratum AND b.item_id = p.item_id AND b.collection_date + 7 = p.collection_date LEFT JOIN prices o ON o.collection_date = p.collection_date AND o.stratum = p.stratum AND o.item_id = p.item_id AND o.source_id = b.source_id WHERE p.source_id <> b.source_id""")
 def e3_source_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose source changed since the previous link."""
-    return match.transitions(selected(spark, sf_dir), prices(spark, sf_dir)).select("collection_date", "stratum", "item_id", "source_before", "source_id", r6("price"), r6("price_old_source"), r6("log_gap"))
+    return match.transitions(selected(spark, sf_dir), prices(spark, sf_dir)).select(
+        "collection_date", "stratum", "item_id", "source_before", "source_id", r6("price"), r6("price_old_source"), r6("log_gap")
+    )
 
 
 @query(f"WITH {_PARENT_SQL} SELECT collection_date, stratum, item_id, n, round(med, 6) AS median, round(mad, 6) AS mad, outlier FROM gated")
 def f3_outlier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """median, MAD and the outlier flag of each pair, over pooled carriers."""
-    return relatives.gated(parent_pairs(spark, sf_dir)).select("collection_date", "stratum", "item_id", "n", r6("median"), r6("mad"), "outlier")
+    return relatives.gated(parent_pairs(spark, sf_dir)).select(
+        "collection_date", "stratum", "item_id", "n", r6("median"), r6("mad"), "outlier"
+    )
 
 
-@query(f"WITH {_GATED_SQL}, due AS (SELECT DISTINCT collection_date, stratum FROM offers WHERE collection_date >= (SELECT min(collection_date) FROM offers) + 7) SELECT collection_date, stratum, CAST(coalesce(candidates, 0) AS BIGINT) AS candidates, CAST(coalesce(matched, 0) AS BIGINT) AS matched, round(relative, 6) AS relative, CASE WHEN candidates IS NULL THEN 'NO_MATCHED_ITEMS' ELSE undefined_reason END AS undefined_reason FROM due LEFT JOIN relatives USING (collection_date, stratum)")
+@query(
+    f"WITH {_GATED_SQL}, due AS (SELECT DISTINCT collection_date, stratum FROM offers WHERE collection_date >= (SELECT min(collection_date) FROM "
+    f"offers) + 7) SELECT collection_date, stratum, CAST(coalesce(candidates, 0) AS BIGINT) AS candidates, CAST(coalesce(matched, 0) AS BIGINT) AS "
+    f"matched, round(relative, 6) AS relative, CASE WHEN candidates IS NULL THEN 'NO_MATCHED_ITEMS' ELSE undefined_reason END AS undefined_reason "
+    f"FROM due LEFT JOIN relatives USING (collection_date, stratum)"
+)
 def f4_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """geometric mean relative of each due stratum, or the reason why there is none."""
     return due_relatives(spark, sf_dir).select("collection_date", "stratum", "candidates", "matched", r6("relative"), "undefined_reason")
@@ -144,8 +171,12 @@ SELECT collection_date, stratum AS parent, matched, round(relative, 6) AS relati
 def e4_parent_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relatives over pooled carriers, with the number and concentration of carriers."""
     p = parent_pairs(spark, sf_dir)
-    found = relatives.relatives(p).join(relatives.concentration(p.withColumn("carrier", F.substring_index("item_id", "|", 1)), "carrier"), ["collection_date", "stratum"])
-    return found.select("collection_date", F.col("stratum").alias("parent"), "matched", r6("relative"), "undefined_reason", "carriers", r6("concentration"))
+    found = relatives.relatives(p).join(
+        relatives.concentration(p.withColumn("carrier", F.substring_index("item_id", "|", 1)), "carrier"), ["collection_date", "stratum"]
+    )
+    return found.select(
+        "collection_date", F.col("stratum").alias("parent"), "matched", r6("relative"), "undefined_reason", "carriers", r6("concentration")
+    )
 
 
 @query(f"""WITH {EVENT_QUOTES_SQL}, seen AS (SELECT DISTINCT origin, carrier || '|' || flight_number AS k, isodow(travel_date) AS wd, collection_date FROM quotes),
@@ -156,10 +187,16 @@ def f9_identity_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relatives.identity_stability(quotes(spark, sf_dir), ["origin"]).select("origin", "keys", r6("stability"), "tier")
 
 
-@query(f"WITH {EVENT_QUOTES_SQL} SELECT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, source_id, count(*) AS quotes, round(exp(avg(ln(payable_fare))), 6) AS band_price, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(ln(payable_fare)) END, 6) AS dispersion FROM quotes GROUP BY ALL")
+@query(
+    f"WITH {EVENT_QUOTES_SQL} SELECT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, source_id, count(*) AS quotes, "
+    f"round(exp(avg(ln(payable_fare))), 6) AS band_price, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(ln(payable_fare)) END, 6) AS "
+    f"dispersion FROM quotes GROUP BY ALL"
+)
 def f5_band_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """geometric mean price and log dispersion of each hour band."""
-    return relatives.band_prices(quotes(spark, sf_dir)).select("collection_date", "origin", "carrier", "band", "source_id", "quotes", r6("band_price"), r6("dispersion"))
+    return relatives.band_prices(quotes(spark, sf_dir)).select(
+        "collection_date", "origin", "carrier", "band", "source_id", "quotes", r6("band_price"), r6("dispersion")
+    )
 
 
 @query(f"""WITH {EVENT_QUOTES_SQL}, d AS (SELECT collection_date, origin, carrier, flight_number, CAST(event_day AS INT) AS event_day, min_by(payable_fare, observation_id) FILTER (channel = 'AIRLINE_DIRECT') AS direct, min_by(payable_fare, observation_id) FILTER (channel = 'AGGREGATOR') AS aggregator
@@ -167,7 +204,9 @@ def f5_band_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e5_channel_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: log gap between channels for one flight of a day (one travel date a day)."""
     q = quotes(spark, sf_dir).withColumn("travel_date", F.date_add("collection_date", 30))
-    return match.channel_spread(q).select("collection_date", "origin", "carrier", "flight_number", r6("direct"), r6("aggregator"), r6("log_spread"))
+    return match.channel_spread(q).select(
+        "collection_date", "origin", "carrier", "flight_number", r6("direct"), r6("aggregator"), r6("log_spread")
+    )
 
 
 _CHAIN_SQL = _PARENT_SQL + """, links AS (SELECT stratum, collection_date, relative, (collection_date - DATE '1970-01-01') % 7 AS residue FROM relatives WHERE relative IS NOT NULL),
@@ -193,7 +232,10 @@ grid AS (SELECT d.publication_date, cell_id, level, last_matched_date FROM held
 
 
 def plain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chained(spark, sf_dir).select(F.col("stratum").alias("cell_id"), "collection_date", "level", F.lit("PUBLISHED").alias("status"), F.col("collection_date").alias("last_matched_date"))
+    return chained(spark, sf_dir).select(
+        F.col("stratum").alias("cell_id"), "collection_date", "level", F.lit("PUBLISHED").alias("status"),
+        F.col("collection_date").alias("last_matched_date")
+    )
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,13 +243,21 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.as_of_grid(plain_states(spark, sf_dir), dates)
 
 
-@query(f"WITH {_STATES_SQL} SELECT publication_date, cell_id, CAST(publication_date - last_matched_date AS INT) AS freshness_days, CASE WHEN publication_date - last_matched_date > 13 THEN 'SUPPRESSED' ELSE 'PUBLISHED' END AS status, round(CASE WHEN publication_date - last_matched_date <= 13 THEN level END, 6) AS level FROM grid")
+@query(
+    f"WITH {_STATES_SQL} SELECT publication_date, cell_id, CAST(publication_date - last_matched_date AS INT) AS freshness_days, CASE WHEN "
+    f"publication_date - last_matched_date > 13 THEN 'SUPPRESSED' ELSE 'PUBLISHED' END AS status, round(CASE WHEN publication_date - "
+    f"last_matched_date <= 13 THEN level END, 6) AS level FROM grid"
+)
 def d5_as_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every day's latest state of each cell, its freshness, and the ceiling."""
     return publish.with_freshness(grid(spark, sf_dir)).select("publication_date", "cell_id", "freshness_days", "status", r6("level"))
 
 
-@query(f"WITH {_STATES_SQL}, f AS (SELECT publication_date, publication_date - last_matched_date AS days FROM grid WHERE publication_date - last_matched_date <= 13) SELECT publication_date, CAST(quantile_disc(days, 0.5) AS INT) AS p50, CAST(quantile_disc(days, 0.9) AS INT) AS p90, CAST(max(days) AS INT) AS most, CAST(0 AS BIGINT) AS never_matched FROM f GROUP BY publication_date")
+@query(
+    f"WITH {_STATES_SQL}, f AS (SELECT publication_date, publication_date - last_matched_date AS days FROM grid WHERE publication_date - "
+    f"last_matched_date <= 13) SELECT publication_date, CAST(quantile_disc(days, 0.5) AS INT) AS p50, CAST(quantile_disc(days, 0.9) AS INT) AS p90, "
+    f"CAST(max(days) AS INT) AS most, CAST(0 AS BIGINT) AS never_matched FROM f GROUP BY publication_date"
+)
 def f23_freshness_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nearest-rank percentiles of freshness over live cells."""
     return publish.freshness_distribution(publish.with_freshness(grid(spark, sf_dir)))
@@ -216,7 +266,9 @@ def f23_freshness_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cell_levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Mean price of each (origin, carrier) and day over the carrier's first mean, as a level; weights by offers."""
     o = offers(spark, sf_dir)
-    daily = o.groupBy("collection_date", F.col("origin").alias("route"), F.col("stratum").alias("cell_id")).agg(F.avg("price").alias("mean"), F.count(F.lit(1)).alias("n"))
+    daily = o.groupBy(
+        "collection_date", F.col("origin").alias("route"), F.col("stratum").alias("cell_id")
+    ).agg(F.avg("price").alias("mean"), F.count(F.lit(1)).alias("n"))
     levels = daily.withColumn("level", F.when(F.col("n") >= 3, F.col("mean"))).drop("mean", "n")
     weights = o.groupBy(F.col("stratum").alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return levels, weights
@@ -239,52 +291,89 @@ def route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return offers(spark, sf_dir).groupBy(F.col("origin").alias("route")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-@query(f"WITH {_LEVELS_SQL} SELECT collection_date, route, round(level, 6) AS level, live, observed, CAST(expected_cells AS BIGINT) AS expected_cells, round(coverage, 6) AS coverage, round(suppressed_share, 6) AS suppressed_share, reason FROM routes")
+@query(
+    f"WITH {_LEVELS_SQL} SELECT collection_date, route, round(level, 6) AS level, live, observed, CAST(expected_cells AS BIGINT) AS expected_cells, "
+    f"round(coverage, 6) AS coverage, round(suppressed_share, 6) AS suppressed_share, reason FROM routes"
+)
 def g10_route_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted level of each route over its live cells, coverage and suppression."""
-    return routes(spark, sf_dir).select("collection_date", "route", r6("level"), "live", "observed", "expected_cells", r6("coverage"), r6("suppressed_share"), "reason")
+    return routes(spark, sf_dir).select(
+        "collection_date", "route", r6("level"), "live", "observed", "expected_cells", r6("coverage"), r6("suppressed_share"), "reason"
+    )
 
 
-@query(f"WITH {_LEVELS_SQL} SELECT collection_date, round(sum(weight * level) / sum(weight) FILTER (level IS NOT NULL), 6) AS level, count(level) AS live_routes, count(*) AS routes, round(coalesce(sum(weight) FILTER (level IS NULL), NULL) / sum(weight), 6) AS suppressed_weight, count(level) > 0 AS published FROM routes JOIN rw USING (route) GROUP BY collection_date")
+@query(
+    f"WITH {_LEVELS_SQL} SELECT collection_date, round(sum(weight * level) / sum(weight) FILTER (level IS NOT NULL), 6) AS level, count(level) AS "
+    f"live_routes, count(*) AS routes, round(coalesce(sum(weight) FILTER (level IS NULL), NULL) / sum(weight), 6) AS suppressed_weight, count(level) "
+    f"> 0 AS published FROM routes JOIN rw USING (route) GROUP BY collection_date"
+)
 def g11_national_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """National level over live routes."""
-    return publish.national_levels(routes(spark, sf_dir), route_weights(spark, sf_dir)).select("collection_date", r6("level"), "live_routes", "routes", r6("suppressed_weight"), "published")
+    return publish.national_levels(routes(spark, sf_dir), route_weights(spark, sf_dir)).select(
+        "collection_date", r6("level"), "live_routes", "routes", r6("suppressed_weight"), "published"
+    )
 
 
-@query(f"WITH {_LEVELS_SQL}, s AS (SELECT collection_date, CASE WHEN level IS NULL THEN 'SUPPRESSED' ELSE 'PUBLISHED' END AS status, sum(w.weight * rw.weight) AS x FROM cells JOIN w USING (cell_id) JOIN rw USING (route) GROUP BY ALL) SELECT collection_date, status, round(x / sum(x) OVER (PARTITION BY collection_date), 6) AS share FROM s")
+@query(
+    f"WITH {_LEVELS_SQL}, s AS (SELECT collection_date, CASE WHEN level IS NULL THEN 'SUPPRESSED' ELSE 'PUBLISHED' END AS status, sum(w.weight * "
+    f"rw.weight) AS x FROM cells JOIN w USING (cell_id) JOIN rw USING (route) GROUP BY ALL) SELECT collection_date, status, round(x / sum(x) OVER "
+    f"(PARTITION BY collection_date), 6) AS share FROM s"
+)
 def g13_status_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight shares of cells by status."""
     levels, weights = cell_levels(spark, sf_dir)
-    cells = levels.join(weights, "cell_id").join(route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route").withColumn("status", F.when(F.col("level").isNull(), "SUPPRESSED").otherwise("PUBLISHED"))
+    cells = levels.join(weights, "cell_id").join(
+        route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route"
+    ).withColumn("status", F.when(F.col("level").isNull(), "SUPPRESSED").otherwise("PUBLISHED"))
     return publish.weight_shares(cells, "status").select("collection_date", "status", r6("share"))
 
 
 _SERIES_SQL = "SELECT period, round(level, 6) AS level, CAST(first_date AS DATE) AS first_date, CAST(last_date AS DATE) AS last_date, members, contributing, round(100 * (level / last_value(level IGNORE NULLS) OVER (PARTITION BY series ORDER BY period ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1), 6) AS change_pct, series FROM p"
 
 
-@query(f"WITH {_LEVELS_SQL}, p AS (SELECT route AS series, isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS period, exp(avg(ln(level)) FILTER (level > 0)) AS level, min(collection_date) AS first_date, max(collection_date) AS last_date, count(*) AS members, count(*) FILTER (level > 0) AS contributing FROM routes GROUP BY ALL) {_SERIES_SQL}")
+@query(
+    f"WITH {_LEVELS_SQL}, p AS (SELECT route AS series, isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS "
+    f"period, exp(avg(ln(level)) FILTER (level > 0)) AS level, min(collection_date) AS first_date, max(collection_date) AS last_date, count(*) AS "
+    f"members, count(*) FILTER (level > 0) AS contributing FROM routes GROUP BY ALL) {_SERIES_SQL}"
+)
 def s1_period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly series of route levels with change against the last period that has a level."""
     points = routes(spark, sf_dir).withColumnRenamed("route", "series")
-    return series.period_series(points, "week").select("series", "period", r6("level"), "first_date", "last_date", "members", "contributing", r6("change_pct"))
+    return series.period_series(points, "week").select(
+        "series", "period", r6("level"), "first_date", "last_date", "members", "contributing", r6("change_pct")
+    )
 
 
 _COMPARE_SQL = TRADE_QUOTES_SQL + """, a AS (SELECT strftime(ship_date, '%Y-%m') AS period, exp(avg(ln(price))) AS a FROM trades GROUP BY ALL), b AS (SELECT strftime(ship_date, '%Y-%m') AS period, avg(price) AS b FROM trades GROUP BY ALL),
 m AS (SELECT period, a, b, sign(a - lag(a) OVER (ORDER BY period)) AS da, sign(b - lag(b) OVER (ORDER BY period)) AS db FROM a JOIN b USING (period))"""
 
 
-@query(f"WITH {_COMPARE_SQL} SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - b))), 6) AS rmse, round(100 * avg(abs((a - b) / b)), 6) AS mape, round(100 * avg(CASE WHEN da IS NOT NULL THEN CASE WHEN da = db THEN 1.0 ELSE 0.0 END END), 6) AS direction_pct, 'SATISFIED' AS verdict, '' AS reasons FROM m")
+@query(
+    f"WITH {_COMPARE_SQL} SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, round(avg(abs(a - b)), 6) AS mae, round(sqrt(avg((a - b) * (a - "
+    f"b))), 6) AS rmse, round(100 * avg(abs((a - b) / b)), 6) AS mape, round(100 * avg(CASE WHEN da IS NOT NULL THEN CASE WHEN da = db THEN 1.0 ELSE "
+    f"0.0 END END), 6) AS direction_pct, 'SATISFIED' AS verdict, '' AS reasons FROM m"
+)
 def s6_benchmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly geometric against arithmetic mean unit price."""
-    monthly = trade_quotes(spark, sf_dir).withColumn("period", derive.period_key(F.col("ship_date"), "month")).groupBy("period").agg(F.exp(F.avg(F.ln("price"))).alias("geometric"), F.avg("price").alias("arithmetic"))
-    found = series.comparison(monthly.select("period", F.col("geometric").alias("level")), monthly.select("period", F.col("arithmetic").alias("level")), comparable=True)
+    monthly = trade_quotes(spark, sf_dir).withColumn("period", derive.period_key(F.col("ship_date"), "month")).groupBy("period").agg(
+        F.exp(F.avg(F.ln("price"))).alias("geometric"), F.avg("price").alias("arithmetic")
+    )
+    found = series.comparison(
+        monthly.select("period", F.col("geometric").alias("level")), monthly.select("period", F.col("arithmetic").alias("level")),
+        comparable=True
+    )
     return found.select("n", *(r6(c) for c in ("correlation", "mae", "rmse", "mape", "direction_pct")), "verdict", "reasons")
 
 
-@query(f"WITH {TRADE_QUOTES_SQL}, y AS (SELECT route AS series, year(ship_date) AS year, avg(price) AS m FROM trades GROUP BY ALL) SELECT series, CAST(year AS INT) AS year, round(m, 6) AS mean_level, round(m / lag(m) OVER (PARTITION BY series ORDER BY year), 6) AS factor FROM y")
+@query(
+    f"WITH {TRADE_QUOTES_SQL}, y AS (SELECT route AS series, year(ship_date) AS year, avg(price) AS m FROM trades GROUP BY ALL) SELECT series, "
+    f"CAST(year AS INT) AS year, round(m, 6) AS mean_level, round(m / lag(m) OVER (PARTITION BY series ORDER BY year), 6) AS factor FROM y"
+)
 def g15_annual_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean level of each reference year and the factor that links it to the year before."""
-    points = trade_quotes(spark, sf_dir).select(F.col("route").alias("series"), F.col("ship_date").alias("collection_date"), F.col("price").alias("level"))
+    points = trade_quotes(spark, sf_dir).select(
+        F.col("route").alias("series"), F.col("ship_date").alias("collection_date"), F.col("price").alias("level")
+    )
     return publish.linking_factors(points).select("series", "year", r6("mean_level"), r6("factor"))
 
 
@@ -296,16 +385,24 @@ def e1_trade_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = trade_quotes(spark, sf_dir).groupBy("quarter", "route", "item_id", "source_id").agg(F.exp(F.avg(F.ln("price"))).alias("price"))
     earlier = p.select((F.col("quarter") + 1).alias("quarter"), "route", "item_id", "source_id", F.col("price").alias("price_prior"))
     joined = p.join(earlier, ["quarter", "route", "item_id", "source_id"])
-    return joined.groupBy("quarter", "route").agg(F.count(F.lit(1)).alias("matched"), F.round(F.exp(F.avg(F.ln("price") - F.ln("price_prior"))), 6).alias("relative"))
+    return joined.groupBy("quarter", "route").agg(
+        F.count(F.lit(1)).alias("matched"), F.round(F.exp(F.avg(F.ln("price") - F.ln("price_prior"))), 6).alias("relative")
+    )
 
 
-@query(f"WITH {EVENT_OFFERS_SQL} SELECT collection_date, stratum, count(*) AS quotes, round(exp(avg(ln(price))), 6) AS unit_value, round(stddev_pop(ln(price)), 6) AS dispersion FROM offers GROUP BY ALL")
+@query(
+    f"WITH {EVENT_OFFERS_SQL} SELECT collection_date, stratum, count(*) AS quotes, round(exp(avg(ln(price))), 6) AS unit_value, "
+    f"round(stddev_pop(ln(price)), 6) AS dispersion FROM offers GROUP BY ALL"
+)
 def x5_unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared unit value and dispersion of strata without items."""
     return relatives.unit_values(offers(spark, sf_dir)).select("collection_date", "stratum", "quotes", r6("unit_value"), r6("dispersion"))
 
 
-@query(f"WITH {EVENT_OFFERS_SQL}, d AS (SELECT collection_date, avg(price) AS m FROM offers GROUP BY ALL) SELECT collection_date, round(m, 6) AS mean_price, round(100 * m / first_value(m) OVER (ORDER BY collection_date), 6) AS level FROM d")
+@query(
+    f"WITH {EVENT_OFFERS_SQL}, d AS (SELECT collection_date, avg(price) AS m FROM offers GROUP BY ALL) SELECT collection_date, round(m, 6) AS "
+    f"mean_price, round(100 * m / first_value(m) OVER (ORDER BY collection_date), 6) AS level FROM d"
+)
 def x8_naive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The naive index of daily means."""
     return relatives.naive_index(offers(spark, sf_dir)).select("collection_date", r6("mean_price"), r6("level"))

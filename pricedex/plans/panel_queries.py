@@ -21,17 +21,33 @@ _PANEL = EVENT_QUOTES_SQL + f""", pq AS (SELECT *, origin || '-' || destination
 
 
 def panel_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quotes(spark, sf_dir).withColumns({"route": derive.route(), "lead_bucket": derive.lead_bucket(), "band": derive.hour_band(), "weekday": derive.travel_weekday().cast("int")})
+    rows = quotes(spark, sf_dir).withColumns(
+        {
+            "route": derive.route(), "lead_bucket": derive.lead_bucket(), "band": derive.hour_band(),
+            "weekday": derive.travel_weekday().cast("int")
+        }
+    )
     return rows.where("lead_bucket is not null")
 
 
-@query(f"WITH {_PANEL}, p AS (SELECT route, band, count(*) AS quotes, exp(avg(ln(payable_fare))) AS geomean FROM pq GROUP BY ALL) SELECT route, band, quotes, round(geomean, 6) AS geomean, round(100 * (max(geomean) OVER (PARTITION BY route) / min(geomean) OVER (PARTITION BY route) - 1), 6) AS band_spread_pct FROM p")
+@query(
+    f"WITH {_PANEL}, p AS (SELECT route, band, count(*) AS quotes, exp(avg(ln(payable_fare))) AS geomean FROM pq GROUP BY ALL) SELECT route, band, "
+    f"quotes, round(geomean, 6) AS geomean, round(100 * (max(geomean) OVER (PARTITION BY route) / min(geomean) OVER (PARTITION BY route) - 1), 6) AS "
+    f"band_spread_pct FROM p"
+)
 def f14_band_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prices by hour band of each route, and the spread over its bands."""
-    return panel.band_profile(panel_quotes(spark, sf_dir), ["route"]).select("route", "band", "quotes", r6("geomean"), r6("band_spread_pct"))
+    return panel.band_profile(panel_quotes(spark, sf_dir), ["route"]).select(
+        "route", "band", "quotes", r6("geomean"), r6("band_spread_pct")
+    )
 
 
-@query(f"WITH {_PANEL}, w AS (SELECT collection_date, route, lead_bucket, min_by(weekday, (travel_date, weekday)) AS wd FROM pq GROUP BY ALL), c AS (SELECT collection_date, route, wd, count(*) AS n FROM w GROUP BY ALL) SELECT collection_date, route, CAST(sum(n) AS BIGINT) AS buckets, count(*) AS distinct_weekdays, coalesce(string_agg(CAST(wd AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY wd) FILTER (n > 1), '') AS repeated_weekdays, count(*) < sum(n) AS confounded FROM c GROUP BY ALL")
+@query(
+    f"WITH {_PANEL}, w AS (SELECT collection_date, route, lead_bucket, min_by(weekday, (travel_date, weekday)) AS wd FROM pq GROUP BY ALL), c AS "
+    f"(SELECT collection_date, route, wd, count(*) AS n FROM w GROUP BY ALL) SELECT collection_date, route, CAST(sum(n) AS BIGINT) AS buckets, "
+    f"count(*) AS distinct_weekdays, coalesce(string_agg(CAST(wd AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY wd) FILTER (n > 1), '') AS "
+    f"repeated_weekdays, count(*) < sum(n) AS confounded FROM c GROUP BY ALL"
+)
 def f15_weekday_confound(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whether each day's lead buckets can be told apart from travel weekdays."""
     return panel.weekday_confound(panel_quotes(spark, sf_dir), ["collection_date", "route"])
@@ -45,7 +61,12 @@ def f16_plan_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.plan_completion(rows, ["collection_date", "route"]).withColumn("completion_pct", r6("completion_pct"))
 
 
-@query(f"WITH {_PANEL}, d AS (SELECT DISTINCT route, carrier, collection_date FROM pq WHERE CAST(observation_id AS BIGINT) % 25 = 0) SELECT a.route, a.carrier, count(*) AS waves, count(b.collection_date) AS matched_dates, count(b.collection_date) > 0 AS computable, CAST(min(a.collection_date) + 7 AS DATE) AS next_unlocking FROM d a LEFT JOIN d b ON a.route = b.route AND a.carrier = b.carrier AND b.collection_date + 7 = a.collection_date GROUP BY ALL")
+@query(
+    f"WITH {_PANEL}, d AS (SELECT DISTINCT route, carrier, collection_date FROM pq WHERE CAST(observation_id AS BIGINT) % 25 = 0) SELECT a.route, "
+    f"a.carrier, count(*) AS waves, count(b.collection_date) AS matched_dates, count(b.collection_date) > 0 AS computable, "
+    f"CAST(min(a.collection_date) + 7 AS DATE) AS next_unlocking FROM d a LEFT JOIN d b ON a.route = b.route AND a.carrier = b.carrier AND "
+    f"b.collection_date + 7 = a.collection_date GROUP BY ALL"
+)
 def f17_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """waves of each route and carrier, those with a partner a week earlier, and the date that unlocks an index."""
     return panel.feasibility(panel_quotes(spark, sf_dir).where(F.col("observation_id").cast("bigint") % 25 == 0), ["route", "carrier"])
@@ -54,13 +75,19 @@ def f17_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BASED = TRADE_QUOTES_SQL + ", y AS (SELECT route || '/' || CAST(year(ship_date) // 3 AS VARCHAR) AS base_year, CAST(year(ship_date) AS INT) AS year, avg(price) AS index FROM trades GROUP BY ALL), e AS (SELECT base_year, count(*) AS points, min_by(index, year) AS f, max_by(index, year) AS l, min(year) AS y0, max(year) AS y1 FROM y GROUP BY ALL)"
 
 
-@query(f"WITH {_BASED} SELECT base_year, points, round(f, 6) AS first, round(l, 6) AS last, y0 AS first_year, y1 AS last_year, round(CASE WHEN points > 1 THEN l / f END, 6) AS ratio, CASE WHEN points > 1 THEN y1 - y0 END AS years, round(CASE WHEN points > 1 THEN 100 * (pow(l / f, 1.0 / (y1 - y0)) - 1) END, 6) AS cagr_pct FROM e")
+@query(
+    f"WITH {_BASED} SELECT base_year, points, round(f, 6) AS first, round(l, 6) AS last, y0 AS first_year, y1 AS last_year, round(CASE WHEN points > "
+    f"1 THEN l / f END, 6) AS ratio, CASE WHEN points > 1 THEN y1 - y0 END AS years, round(CASE WHEN points > 1 THEN 100 * (pow(l / f, 1.0 / (y1 - "
+    f"y0)) - 1) END, 6) AS cagr_pct FROM e"
+)
 def f18_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """growth of each route's mean unit price within a base of three years, never across bases; one point has none."""
     t = trade_quotes(spark, sf_dir)
     base = F.concat_ws("/", "route", F.floor(F.year("ship_date") / 3).cast("string"))
     yearly = t.groupBy(base.alias("base_year"), F.year("ship_date").alias("year")).agg(F.avg("price").alias("index"))
-    return panel.growth_by_base(yearly).select("base_year", "points", r6("first"), r6("last"), "first_year", "last_year", r6("ratio"), "years", r6("cagr_pct"))
+    return panel.growth_by_base(yearly).select(
+        "base_year", "points", r6("first"), r6("last"), "first_year", "last_year", r6("ratio"), "years", r6("cagr_pct")
+    )
 
 
 @query(f"WITH {EVENT_QUOTES_SQL} SELECT collection_date, origin, carrier, count(DISTINCT departure_min // 180) AS bands FROM quotes GROUP BY ALL")
@@ -75,7 +102,10 @@ SELECT a.collection_date, a.origin, a.carrier, a.band, a.n AS n_now, p.n AS n_pr
 FROM b a JOIN b p ON p.origin = a.origin AND p.carrier = a.carrier AND p.band = a.band AND p.collection_date + 7 = a.collection_date LEFT JOIN c ON c.collection_date = a.collection_date AND c.origin = a.origin AND c.carrier = a.carrier AND c.band = a.band""")
 def f8_band_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of a band now and a week earlier, overlap, dispersions and telescoping."""
-    return relatives.band_diagnostics(quotes(spark, sf_dir)).select("collection_date", "origin", "carrier", "band", "n_now", "n_prior", "delta", r6("overlap"), r6("dispersion_now"), r6("dispersion_prior"), "telescopes")
+    return relatives.band_diagnostics(quotes(spark, sf_dir)).select(
+        "collection_date", "origin", "carrier", "band", "n_now", "n_prior", "delta", r6("overlap"), r6("dispersion_now"),
+        r6("dispersion_prior"), "telescopes"
+    )
 
 
 @query(f"""WITH {EVENT_QUOTES_SQL}, seen AS (SELECT DISTINCT origin, carrier, carrier || '|' || flight_number AS k, isodow(travel_date) AS wd, collection_date FROM quotes), keys AS (SELECT DISTINCT origin, carrier, k, wd FROM seen), win AS (SELECT * FROM seen WHERE collection_date > DATE '2024-01-16'), rec AS (SELECT DISTINCT a.origin, a.carrier, a.k, a.wd FROM win a JOIN win b ON a.origin = b.origin AND a.k = b.k AND a.wd = b.wd AND b.collection_date + 7 = a.collection_date)
@@ -87,13 +117,21 @@ def f9_window_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relatives.identity_stability(q, ["origin", "carrier"], window=window).select("origin", "carrier", "keys", r6("stability"))
 
 
-@query(f"WITH {published._LINKS}, n AS (SELECT collection_date, cell_id, count(DISTINCT carrier || '|' || flight_number) AS items FROM ko GROUP BY ALL) SELECT l.collection_date, l.cell_id, coalesce(items, 0) AS expected, round(CASE WHEN coalesce(items, 0) > 0 THEN matched * 1.0 / items ELSE 0.0 END, 6) AS coverage FROM links l LEFT JOIN n ON n.cell_id = l.cell_id AND n.collection_date = l.collection_date - 7")
+@query(
+    f"WITH {published._LINKS}, n AS (SELECT collection_date, cell_id, count(DISTINCT carrier || '|' || flight_number) AS items FROM ko GROUP BY ALL) "
+    f"SELECT l.collection_date, l.cell_id, coalesce(items, 0) AS expected, round(CASE WHEN coalesce(items, 0) > 0 THEN matched * 1.0 / items ELSE "
+    f"0.0 END, 6) AS coverage FROM links l LEFT JOIN n ON n.cell_id = l.cell_id AND n.collection_date = l.collection_date - 7"
+)
 def f11_match_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """matched items over those that were there a week earlier, for each due cell."""
     o = published.offers(spark, sf_dir)
-    expected = o.groupBy(F.date_add("collection_date", 7).alias("collection_date"), F.col("stratum").alias("cell_id")).agg(F.countDistinct("item_id").alias("expected"))
+    expected = o.groupBy(
+        F.date_add("collection_date", 7).alias("collection_date"), F.col("stratum").alias("cell_id")
+    ).agg(F.countDistinct("item_id").alias("expected"))
     links = index.due_links(o, published.PRECEDENCE).join(expected, ["collection_date", "cell_id"], "left").fillna(0, ["expected"])
-    return links.select("collection_date", "cell_id", "expected", F.round(relatives.coverage(F.col("matched"), F.col("expected")), 6).alias("coverage"))
+    return links.select(
+        "collection_date", "cell_id", "expected", F.round(relatives.coverage(F.col("matched"), F.col("expected")), 6).alias("coverage")
+    )
 
 
 @query(f"""WITH {published._STATES}, i AS (SELECT collection_date, cell_id, count(DISTINCT carrier || '|' || flight_number) AS n FROM ko GROUP BY ALL), r AS (SELECT * FROM links WHERE candidates > 0), moved AS (SELECT count(*) AS m FROM csel a JOIN csel b ON b.s = a.s AND b.item = a.item AND b.collection_date = a.collection_date - 7 WHERE b.source_id <> a.source_id)
@@ -105,12 +143,22 @@ def f24_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = published.offers(spark, sf_dir)
     prices = match.price_table(o)
     selections = match.matched_pairs(prices, published.PRECEDENCE)
-    found = panel.density(o, relatives.relatives(index.selected_pairs(o, published.PRECEDENCE)), published.states(spark, sf_dir), selections, match.transitions(selections, prices))
-    rounded = ("items_mean", "matched_mean", "viability", "published_share", "carried_share", "entered_share", "held_out_share", "suppressed_share", "transition_rate")
+    found = panel.density(
+        o, relatives.relatives(index.selected_pairs(o, published.PRECEDENCE)), published.states(spark, sf_dir), selections,
+        match.transitions(selections, prices)
+    )
+    rounded = (
+        "items_mean", "matched_mean", "viability", "published_share", "carried_share", "entered_share", "held_out_share",
+        "suppressed_share", "transition_rate"
+    )
     return found.select("cells", "items_median", "matched_median", *map(r6, rounded))
 
 
-@query(f"WITH {EVENT_QUOTES_SQL}, rw AS (SELECT origin AS route, count(*) * 1.0 AS weight FROM quotes GROUP BY ALL) SELECT round(coalesce(sum(weight) FILTER (route = 'R0'), 0) / sum(weight), 6) AS tier1_share, round(coalesce(sum(weight) FILTER (route = 'R1'), 0) / sum(weight), 6) AS tier2_share, round(coalesce(sum(weight) FILTER (route = 'R2'), 0) / sum(weight), 6) AS tier3_share FROM rw")
+@query(
+    f"WITH {EVENT_QUOTES_SQL}, rw AS (SELECT origin AS route, count(*) * 1.0 AS weight FROM quotes GROUP BY ALL) SELECT round(coalesce(sum(weight) "
+    f"FILTER (route = 'R0'), 0) / sum(weight), 6) AS tier1_share, round(coalesce(sum(weight) FILTER (route = 'R1'), 0) / sum(weight), 6) AS "
+    f"tier2_share, round(coalesce(sum(weight) FILTER (route = 'R2'), 0) / sum(weight), 6) AS tier3_share FROM rw"
+)
 def g12_route_tier_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier shares by routes, where cells have no tiers; a route without one counts in the total only."""
     weights = quotes(spark, sf_dir).groupBy(F.col("origin").alias("route")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
@@ -124,8 +172,12 @@ _LINKED = TRADE_QUOTES_SQL + ", m AS (SELECT route AS series, ship_date, year(sh
 @query(f"WITH {_LINKED} SELECT series, CAST(y AS INT) AS year, count(*) AS days, round(any_value(link), 6) AS link, round(avg(level * link), 4) AS linked FROM m JOIN f USING (series, y) GROUP BY ALL")
 def g15_linked_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily levels times the linking factors up to their year, as each year's mean."""
-    points = trade_quotes(spark, sf_dir).groupBy(F.col("route").alias("series"), F.col("ship_date").alias("collection_date")).agg(F.avg("price").alias("level"))
-    return publish.linked(points).groupBy("series", "year").agg(F.count(F.lit(1)).alias("days"), F.round(F.first("link"), 6).alias("link"), F.round(F.avg("linked"), 4).alias("linked"))
+    points = trade_quotes(spark, sf_dir).groupBy(
+        F.col("route").alias("series"), F.col("ship_date").alias("collection_date")
+    ).agg(F.avg("price").alias("level"))
+    return publish.linked(points).groupBy("series", "year").agg(
+        F.count(F.lit(1)).alias("days"), F.round(F.first("link"), 6).alias("link"), F.round(F.avg("linked"), 4).alias("linked")
+    )
 
 
 @query(f"""WITH {_LEVELS_SQL}, p AS (SELECT route AS series, strftime(collection_date, '%Y-%m-%d') AS day, isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS period, level, collection_date, live FROM routes),
@@ -135,19 +187,30 @@ def s1_period_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly levels with their contributing dates, effective number and coverage note."""
     points = routes(spark, sf_dir).select(F.col("route").alias("series"), "collection_date", "level", F.col("live").alias("effective_n"))
     found = series.period_series(points, "week")
-    return found.select("series", "period", r6("level"), F.array_join(F.transform("contributing_dates", lambda d: d.cast("string")), ",").alias("dates"), "effective_n", "coverage_note")
+    return found.select(
+        "series", "period", r6("level"), F.array_join(F.transform("contributing_dates", lambda d: d.cast("string")), ",").alias("dates"),
+        "effective_n", "coverage_note"
+    )
 
 
 _TWO = TRADE_QUOTES_SQL + ", a AS (SELECT strftime(ship_date, '%Y-%m') AS period, exp(avg(ln(price))) AS a FROM trades GROUP BY ALL), b AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, avg(o_totalprice) AS b FROM orders GROUP BY ALL), m AS (SELECT a, b, sign(a - lag(a) OVER (ORDER BY period)) AS da, sign(b - lag(b) OVER (ORDER BY period)) AS db FROM a JOIN b USING (period))"
 
 
-@query(f"WITH {_TWO} SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS rmse, CAST(NULL AS DOUBLE) AS mape, round(100 * avg(CASE WHEN da IS NOT NULL THEN CASE WHEN da = db THEN 1.0 ELSE 0.0 END END), 6) AS direction_pct, 'INCOMPLETE' AS verdict, 'LEVEL_METRICS_SUPPRESSED' AS reasons FROM m")
+@query(
+    f"WITH {_TWO} SELECT count(*) AS n, round(corr(a, b), 6) AS correlation, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS rmse, CAST(NULL AS "
+    f"DOUBLE) AS mape, round(100 * avg(CASE WHEN da IS NOT NULL THEN CASE WHEN da = db THEN 1.0 ELSE 0.0 END END), 6) AS direction_pct, 'INCOMPLETE' "
+    f"AS verdict, 'LEVEL_METRICS_SUPPRESSED' AS reasons FROM m"
+)
 def s6_other_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index against a series of another kind: level metrics are suppressed, and the requirement is not satisfied."""
     from pricedex.sources.adapters import table
 
-    own = trade_quotes(spark, sf_dir).groupBy(derive.period_key(F.col("ship_date"), "month").alias("period")).agg(F.exp(F.avg(F.ln("price"))).alias("level"))
-    other = table(spark, sf_dir, "orders").groupBy(derive.period_key(F.to_date("o_orderdate"), "month").alias("period")).agg(F.avg("o_totalprice").alias("level"))
+    own = trade_quotes(spark, sf_dir).groupBy(
+        derive.period_key(F.col("ship_date"), "month").alias("period")
+    ).agg(F.exp(F.avg(F.ln("price"))).alias("level"))
+    other = table(spark, sf_dir, "orders").groupBy(
+        derive.period_key(F.to_date("o_orderdate"), "month").alias("period")
+    ).agg(F.avg("o_totalprice").alias("level"))
     found = series.comparison(own, other, comparable=False)
     return found.select("n", *(r6(c) for c in ("correlation", "mae", "rmse", "mape", "direction_pct")), "verdict", "reasons")
 
@@ -169,7 +232,10 @@ def x3_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hedonic_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel_quotes(spark, sf_dir)
-    return rows.select("collection_date", "route", "payable_fare", "carrier", "band", "lead_bucket", derive.fare_class().alias("fare_class"), "channel", F.when(F.col("observation_id").cast("bigint") % 5 > 0, F.col("source_group")).alias("source_group"))
+    return rows.select(
+        "collection_date", "route", "payable_fare", "carrier", "band", "lead_bucket", derive.fare_class().alias("fare_class"), "channel",
+        F.when(F.col("observation_id").cast("bigint") % 5 > 0, F.col("source_group")).alias("source_group")
+    )
 
 
 @query()
@@ -197,7 +263,11 @@ def window_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("window", "collection_date", (F.col("mean") / first).alias("index"))
 
 
-@query(f"WITH {_WINDOWED}, l AS (SELECT 0 AS w, 0.0 AS g UNION ALL SELECT 1, gap FROM gap WHERE w = 1 UNION ALL SELECT 2, sum(gap) FROM gap), v AS (SELECT collection_date, w, index * exp(g) AS index, row_number() OVER (PARTITION BY collection_date ORDER BY w) AS rn FROM iw JOIN l USING (w)) SELECT collection_date, CAST(w AS INT) AS window, round(index, 6) AS index FROM v WHERE rn = 1")
+@query(
+    f"WITH {_WINDOWED}, l AS (SELECT 0 AS w, 0.0 AS g UNION ALL SELECT 1, gap FROM gap WHERE w = 1 UNION ALL SELECT 2, sum(gap) FROM gap), v AS "
+    f"(SELECT collection_date, w, index * exp(g) AS index, row_number() OVER (PARTITION BY collection_date ORDER BY w) AS rn FROM iw JOIN l USING "
+    f"(w)) SELECT collection_date, CAST(w AS INT) AS window, round(index, 6) AS index FROM v WHERE rn = 1"
+)
 def x2_mean_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive windows joined by the mean log gap over their common days; what is published is not revised."""
     return hedonic.spliced(window_indices(spark, sf_dir)).select("collection_date", "window", r6("index"))
@@ -209,7 +279,9 @@ _METHODS = TRADE_QUOTES_SQL + ", a AS (SELECT strftime(ship_date, '%Y-%m') AS pe
 @query(f"WITH {_METHODS} SELECT period, round(ga, 6) AS own_growth_pct, round(gb, 6) AS other_growth_pct, round(ga - gb, 6) AS divergence_pp FROM g")
 def x7_method_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth of the geometric minus that of the arithmetic monthly mean, in percentage points."""
-    monthly = trade_quotes(spark, sf_dir).groupBy(derive.period_key(F.col("ship_date"), "month").alias("period")).agg(F.exp(F.avg(F.ln("price"))).alias("g"), F.avg("price").alias("m"))
+    monthly = trade_quotes(spark, sf_dir).groupBy(derive.period_key(F.col("ship_date"), "month").alias("period")).agg(
+        F.exp(F.avg(F.ln("price"))).alias("g"), F.avg("price").alias("m")
+    )
     found = hedonic.divergence(monthly.select("period", F.col("g").alias("level")), monthly.select("period", F.col("m").alias("level")))
     return found.select("period", r6("own_growth_pct"), r6("other_growth_pct"), r6("divergence_pp"))
 
@@ -221,7 +293,9 @@ cur AS (SELECT collection_date, cell_id, arg_max(level, vintage) AS level, arg_m
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = cell_levels(spark, sf_dir)[0].where("level is not null").select("collection_date", "cell_id", "level")
     first = levels.select("*", F.lit("provisional").alias("status"), F.lit(1).alias("vintage"))
-    second = levels.where("collection_date < '2024-01-28'").select("collection_date", "cell_id", (F.col("level") * 1.01).alias("level"), F.lit("final").alias("status"), F.lit(2).alias("vintage"))
+    second = levels.where("collection_date < '2024-01-28'").select(
+        "collection_date", "cell_id", (F.col("level") * 1.01).alias("level"), F.lit("final").alias("status"), F.lit(2).alias("vintage")
+    )
     return audit.current_vintage(first.unionByName(second), ["collection_date", "cell_id"])
 
 
@@ -231,7 +305,10 @@ def x9_current_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current(spark, sf_dir).select("collection_date", "cell_id", r6("level"), "status", "vintage", "vintages")
 
 
-@query(f"WITH {_VINTAGES} SELECT cell_id AS series, isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS period, round(exp(avg(ln(level))), 6) AS level, count(*) AS members FROM cur WHERE status = 'final' GROUP BY ALL")
+@query(
+    f"WITH {_VINTAGES} SELECT cell_id AS series, isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS period, "
+    f"round(exp(avg(ln(level))), 6) AS level, count(*) AS members FROM cur WHERE status = 'final' GROUP BY ALL"
+)
 def x9_final_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly series of final values only."""
     finals = current(spark, sf_dir).where("status = 'final'").withColumnRenamed("cell_id", "series")
@@ -243,17 +320,29 @@ SELECT origin, carrier, count(*) FILTER (b) AS before_sold_out, count(*) FILTER
 def x10_sold_out_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices just before and just after an item is sold out against others."""
     found = audit.sold_out_association(quotes(spark, sf_dir), ["origin", "carrier"])
-    return found.select("origin", "carrier", "before_sold_out", "after_sold_out", "quotes", r6("log_price_before"), r6("log_price_after"), r6("log_price_other"))
+    return found.select(
+        "origin", "carrier", "before_sold_out", "after_sold_out", "quotes", r6("log_price_before"), r6("log_price_after"),
+        r6("log_price_other")
+    )
 
 
-@query(f"WITH {_PANEL}, c AS (SELECT route, lead_bucket, count(*) AS n, exp(avg(ln(payable_fare))) AS g FROM pq GROUP BY ALL), d AS (SELECT route, count(*) AS rows FROM pq GROUP BY ALL) SELECT route, rows, (SELECT count(*) FROM c WHERE c.route = d.route) AS profile_rows, 'DESCRIPTIVE_CROSS_SECTION' AS profile_class FROM d")
+@query(
+    f"WITH {_PANEL}, c AS (SELECT route, lead_bucket, count(*) AS n, exp(avg(ln(payable_fare))) AS g FROM pq GROUP BY ALL), d AS (SELECT route, "
+    f"count(*) AS rows FROM pq GROUP BY ALL) SELECT route, rows, (SELECT count(*) FROM c WHERE c.route = d.route) AS profile_rows, "
+    f"'DESCRIPTIVE_CROSS_SECTION' AS profile_class FROM d"
+)
 def a9_panel_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel document of each route, read back: how many observations and profile rows it holds."""
     rows = panel_quotes(spark, sf_dir)
     profile = rows.groupBy("route", "lead_bucket").agg(F.count(F.lit(1)).alias("quotes"), panel.geomean().alias("geomean"))
     document = panel.panel_document(rows, profile, panel.plan_completion(rows, ["route"]))
-    parsed = F.from_json("value", "profile_class string, observations array<struct<observation_id:string>>, profile array<struct<lead_bucket:int>>")
-    return document.select("route", parsed.alias("d")).select("route", F.size("d.observations").cast("bigint").alias("rows"), F.size("d.profile").cast("bigint").alias("profile_rows"), "d.profile_class")
+    parsed = F.from_json(
+        "value", "profile_class string, observations array<struct<observation_id:string>>, profile array<struct<lead_bucket:int>>"
+    )
+    return document.select("route", parsed.alias("d")).select(
+        "route", F.size("d.observations").cast("bigint").alias("rows"), F.size("d.profile").cast("bigint").alias("profile_rows"),
+        "d.profile_class"
+    )
 
 
 @query(f"WITH {_PANEL}, a AS (SELECT route, lead_bucket, count(*) AS n FROM pq GROUP BY ALL) SELECT route, lead_bucket, n, 'none' AS only_in FROM a WHERE false")
@@ -262,5 +351,7 @@ def j10_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel_quotes(spark, sf_dir)
     one = rows.groupBy("route", "lead_bucket").agg(F.count(F.lit(1)).alias("n"), F.round(panel.geomean(), 6).alias("g"))
     lead = F.datediff("travel_date", "collection_date")
-    again = quotes(spark, sf_dir).where(lead.isin(*LEAD_BUCKETS)).groupBy(F.concat_ws("-", "origin", "destination").alias("route"), lead.alias("lead_bucket")).agg(F.count(F.lit(1)).alias("n"), F.round(F.exp(F.sum(F.ln("payable_fare")) / F.count(F.lit(1))), 6).alias("g"))
+    again = quotes(spark, sf_dir).where(lead.isin(*LEAD_BUCKETS)).groupBy(F.concat_ws("-", "origin", "destination").alias("route"), lead.alias("lead_bucket")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.exp(F.sum(F.ln("payable_fare")) / F.count(F.lit(1))), 6).alias("g")
+    )
     return panel.disagreements(one, again).drop("g")

@@ -23,7 +23,12 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sparse = (F.col("origin") == "R3") & (F.col("observation_id").cast("bigint") % 3 == 0)
     lead = F.when(sparse, 30).otherwise(7)
     q = event_quotes(table(spark, sf_dir, "events")).withColumn("travel_date", F.date_add("collection_date", lead))
-    return q.withColumns({"flight_number": (F.col("flight_number").cast("int") % 5).cast("string"), "channel": F.lit("AIRLINE_DIRECT"), "baggage_kg": F.lit(15), "change_permitted": F.lit("FEE")})
+    return q.withColumns(
+        {
+            "flight_number": (F.col("flight_number").cast("int") % 5).cast("string"), "channel": F.lit("AIRLINE_DIRECT"),
+            "baggage_kg": F.lit(15), "change_permitted": F.lit("FEE")
+        }
+    )
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +70,10 @@ ko AS (SELECT observation_id, collection_date, origin || '-HUB' AS route, carrie
   concat_ws('|', origin || '-HUB', carrier, CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS cell_id, concat_ws('|', origin || '-HUB', CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS parent_id FROM kq)"""
 
 
-def _relatives_sql(prefix: str, stratum: str, item: str = "carrier || '|' || flight_number", price: str = "min_by(price, observation_id)", source: str = "ko") -> str:
+def _relatives_sql(
+    prefix: str, stratum: str, item: str = "carrier || '|' || flight_number", price: str = "min_by(price, observation_id)",
+    source: str = "ko"
+) -> str:
     """SQL of the relatives of a stratum, from offers to the gate; names start with the prefix."""
     p = prefix
     return f""", {p}p AS (SELECT collection_date, {stratum} AS s, {item} AS item, source_id, {price} AS price FROM {source} GROUP BY ALL),
@@ -114,24 +122,41 @@ rlev AS (SELECT publication_date, route, CASE WHEN live > 0 AND live * 1.0 / gre
 nat AS (SELECT publication_date, sum(weight * level) / sum(weight) FILTER (level IS NOT NULL) AS level, count(level) AS live_routes, count(*) AS routes, coalesce(sum(weight) FILTER (level IS NULL), 0) / sum(weight) AS suppressed_weight FROM rlev JOIN rwt USING (route) GROUP BY ALL)"""
 
 
-@query(f"WITH {_LINKS} SELECT collection_date, cell_id, parent_id, candidates, matched, round(relative, 6) AS relative, why AS undefined_reason, round(parent_relative, 6) AS parent_relative FROM links")
+@query(
+    f"WITH {_LINKS} SELECT collection_date, cell_id, parent_id, candidates, matched, round(relative, 6) AS relative, why AS undefined_reason, "
+    f"round(parent_relative, 6) AS parent_relative FROM links"
+)
 def h11_due_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell known on each of its link dates, with its own and its parent's relative; a cell without quotes that day has its row too."""
     found = index.due_links(offers(spark, sf_dir), PRECEDENCE)
-    return found.select("collection_date", "cell_id", "parent_id", "candidates", "matched", r6("relative"), "undefined_reason", r6("parent_relative"))
+    return found.select(
+        "collection_date", "cell_id", "parent_id", "candidates", "matched", r6("relative"), "undefined_reason", r6("parent_relative")
+    )
 
 
-@query(f"WITH {_STATES} SELECT cell_id, parent_id, collection_date, round(level, 6) AS level, status, round(last_relative, 6) AS last_relative, last_matched_date, freshness_days, suppression_reason FROM states")
+@query(
+    f"WITH {_STATES} SELECT cell_id, parent_id, collection_date, round(level, 6) AS level, status, round(last_relative, 6) AS last_relative, "
+    f"last_matched_date, freshness_days, suppression_reason FROM states"
+)
 def h1_cell_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of all due cells (chain, carry, entry, hold, suppression)."""
-    return states(spark, sf_dir).select("cell_id", "parent_id", "collection_date", r6("level"), "status", r6("last_relative"), "last_matched_date", "freshness_days", "suppression_reason")
+    return states(spark, sf_dir).select(
+        "cell_id", "parent_id", "collection_date", r6("level"), "status", r6("last_relative"), "last_matched_date", "freshness_days",
+        "suppression_reason"
+    )
 
 
-@query(f"WITH {_GRID} SELECT publication_date AS collection_date, round(level, 6) AS level, live_routes, routes, round(suppressed_weight, 6) AS suppressed_weight, level IS NOT NULL AS published FROM nat")
+@query(
+    f"WITH {_GRID} SELECT publication_date AS collection_date, round(level, 6) AS level, live_routes, routes, round(suppressed_weight, 6) AS "
+    f"suppressed_weight, level IS NOT NULL AS published FROM nat"
+)
 def h8_publication_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """National level of every day from the latest states of all cells, in one job."""
     found = index.published_levels(cells(spark, sf_dir), weights(spark, sf_dir), route_weights(spark, sf_dir), expected(spark, sf_dir))
-    return found.select("collection_date", r6("level"), "live_routes", "routes", F.coalesce(r6("suppressed_weight"), F.lit(0.0)).alias("suppressed_weight"), "published")
+    return found.select(
+        "collection_date", r6("level"), "live_routes", "routes", F.coalesce(r6("suppressed_weight"), F.lit(0.0)).alias("suppressed_weight"),
+        "published"
+    )
 
 
 _TIERS = """, seen AS (SELECT DISTINCT route, carrier, flight_number, wd, collection_date FROM ko), flown AS (SELECT DISTINCT route, carrier, flight_number, wd FROM seen),
@@ -142,8 +167,15 @@ stab AS (SELECT route, carrier, count(again.wd) * 1.0 / count(*) AS s FROM flown
 def tiered_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes of which every second carrier's flights get new numbers, so that tiers differ."""
     q = event_quotes(table(spark, sf_dir, "events"))
-    pooled = F.when(F.length("carrier") % 3 == 0, F.col("flight_number").cast("int") % 5).when(F.length("carrier") % 3 == 1, F.col("flight_number").cast("int") % 60).otherwise(F.col("observation_id").cast("int"))
-    q = q.withColumns({"flight_number": pooled.cast("string"), "channel": F.lit("AIRLINE_DIRECT"), "baggage_kg": F.lit(15), "change_permitted": F.lit("FEE")})
+    pooled = F.when(F.length("carrier") % 3 == 0, F.col("flight_number").cast("int") % 5).when(
+        F.length("carrier") % 3 == 1, F.col("flight_number").cast("int") % 60
+    ).otherwise(F.col("observation_id").cast("int"))
+    q = q.withColumns(
+        {
+            "flight_number": pooled.cast("string"), "channel": F.lit("AIRLINE_DIRECT"), "baggage_kg": F.lit(15),
+            "change_permitted": F.lit("FEE")
+        }
+    )
     return q.where(derive.lead_bucket().isNotNull())
 
 
@@ -152,7 +184,12 @@ _TIERED = _KEYED.replace(_DENSE, _POOLED) + _TIERS + """,
 kt AS (SELECT ko.*, tier, CASE tier WHEN 1 THEN carrier || '|' || flight_number WHEN 2 THEN carrier || '|' || CAST(departure_min // 180 AS VARCHAR) END AS tiered_item FROM ko JOIN tiers USING (route, carrier) WHERE tier < 3)"""
 
 
-@query(f"WITH {_TIERED}{_relatives_sql('t', 'parent_id', 'tiered_item', 'CASE WHEN max(tier) = 2 THEN exp(avg(ln(price))) ELSE min_by(price, observation_id) END', 'kt')} SELECT collection_date, s AS stratum, item AS item_id, source_id, round(price_prior, 6) AS price_prior, round(price, 6) AS price, round(lr, 6) AS log_relative FROM tpairs")
+@query(
+    f"WITH "
+    f"{_TIERED}{_relatives_sql('t', 'parent_id', 'tiered_item', 'CASE WHEN max(tier) = 2 THEN exp(avg(ln(price))) ELSE min_by(price, observation_id) END', 'kt')} "
+    f"SELECT collection_date, s AS stratum, item AS item_id, source_id, round(price_prior, 6) AS price_prior, round(price, 6) AS price, round(lr, 6) "
+    f"AS log_relative FROM tpairs"
+)
 def e1_tiered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched pairs at the tier that identity stability allows; bands are priced by their geometric mean."""
     q = index.with_tiers(tiered_quotes(spark, sf_dir))
@@ -175,11 +212,16 @@ def g14_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = weights(spark, sf_dir).select("cell_id", "weight")
     routes = publish.route_levels(published, own, expected(spark, sf_dir))
     tier = (F.element_at(F.split("cell_id", "\\|"), 4).cast("int") % 3 + 1).alias("tier")
-    weighed = published.join(own, "cell_id").join(route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route").select("*", tier)
+    weighed = published.join(own, "cell_id").join(
+        route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route"
+    ).select("*", tier)
     found = publish.quality(weighed, routes, route_weights(spark, sf_dir), expected(spark, sf_dir))
     plain = ("matched_items", "freshness_p90", "never_matched", "live_routes")
     rounded = ("level", "imputation_rate", "held_out_share", "carried_share", "tier1_share", "tier2_share", "tier3_share")
-    return found.select("collection_date", *plain, *map(r6, rounded), F.coalesce(r6("suppressed_weight"), F.lit(0.0)).alias("suppressed_weight"), F.array_join("caveats", ",").alias("caveats"))
+    return found.select(
+        "collection_date", *plain, *map(r6, rounded), F.coalesce(r6("suppressed_weight"), F.lit(0.0)).alias("suppressed_weight"),
+        F.array_join("caveats", ",").alias("caveats")
+    )
 
 
 @query(f"WITH {_STATES} SELECT cell_id, collection_date, status FROM states WHERE collection_date > DATE '2024-01-22'")
@@ -191,7 +233,10 @@ def h9_future_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CURVE_SQL = "(VALUES ('equal', [1,1,1,1,1,1,1]), ('front', [7,6,5,4,3,2,1]), ('back', [1,2,3,4,5,6,7]), ('middle', [1,2,3,4,3,2,1])) AS c(curve, shares)"
 
 
-@query(f"WITH u AS (SELECT curve, unnest([{_LEADS}]) AS lead_bucket, unnest(shares) AS s FROM {_CURVE_SQL}) SELECT curve, CAST(lead_bucket AS INT) AS lead_bucket, round(s * 1.0 / sum(s) OVER (PARTITION BY curve), 6) AS lead_share FROM u")
+@query(
+    f"WITH u AS (SELECT curve, unnest([{_LEADS}]) AS lead_bucket, unnest(shares) AS s FROM {_CURVE_SQL}) SELECT curve, CAST(lead_bucket AS INT) AS "
+    f"lead_bucket, round(s * 1.0 / sum(s) OVER (PARTITION BY curve), 6) AS lead_share FROM u"
+)
 def g6_lead_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The declared equal weights of the lead buckets and illustrative alternatives."""
     return publish.lead_curves(spark).select("curve", "lead_bucket", r6("lead_share"))
@@ -206,19 +251,28 @@ def x4_sensitivity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     daily = offers(spark, sf_dir).groupBy("collection_date", "lead_bucket").agg(F.exp(F.avg(F.ln("price"))).alias("level"))
     curves = publish.lead_curves(spark)
-    levels = daily.join(F.broadcast(curves), "lead_bucket").groupBy("curve", "collection_date").agg((F.sum(F.col("lead_share") * F.col("level")) / F.sum("lead_share")).alias("level"))
+    levels = daily.join(F.broadcast(curves), "lead_bucket").groupBy("curve", "collection_date").agg(
+        (F.sum(F.col("lead_share") * F.col("level")) / F.sum("lead_share")).alias("level")
+    )
     return sensitivity_band(levels).select("collection_date", r6("max_deviation"))
 
 
 @query("SELECT n_nationkey AS route, round(CAST((n_nationkey + 1) AS DECIMAL(20,6)) / sum(n_nationkey + 1) OVER (PARTITION BY n_regionkey), 12) AS weight FROM nation")
 def g8_exact_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basket weights normalised in decimal."""
-    basket = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("route"), "n_regionkey", (F.col("n_nationkey") + 1).alias("weight"))
+    basket = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("route"), "n_regionkey", (F.col("n_nationkey") + 1).alias("weight")
+    )
     return publish.exact_weights(basket, ["n_regionkey"]).select("route", F.round(F.col("weight").cast("double"), 12).alias("weight"))
 
 
-@query(f"WITH {EVENT_QUOTES_SQL}, w AS (SELECT origin, count(*) * 1.0 AS n FROM quotes GROUP BY ALL), s AS (SELECT origin AS g, n / sum(n) OVER () AS x FROM w) SELECT abs(sum(x) - 1) <= 1e-12 AS ok, 'all' AS basket FROM s")
+@query(
+    f"WITH {EVENT_QUOTES_SQL}, w AS (SELECT origin, count(*) * 1.0 AS n FROM quotes GROUP BY ALL), s AS (SELECT origin AS g, n / sum(n) OVER () AS x "
+    f"FROM w) SELECT abs(sum(x) - 1) <= 1e-12 AS ok, 'all' AS basket FROM s"
+)
 def g4_sum_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether normalised weights sum to one."""
-    counts = event_quotes(table(spark, sf_dir, "events")).groupBy("origin").agg(F.count(F.lit(1)).cast("double").alias("weight")).withColumn("basket", F.lit("all"))
+    counts = event_quotes(table(spark, sf_dir, "events")).groupBy("origin").agg(
+        F.count(F.lit(1)).cast("double").alias("weight")
+    ).withColumn("basket", F.lit("all"))
     return publish.sums_to_one(publish.normalised(counts, ["basket"]), ["basket"])

@@ -34,8 +34,12 @@ def c11_attempt_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: attempts that break an invariant of outcome, count or provenance."""
     a = attempts(spark, sf_dir)
     size = F.col("quotes_parsed") + F.when(number() % 89 == 0, 1).otherwise(0)
-    ids = F.when(size > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), size), lambda k: k.cast("string"))).otherwise(F.array().cast("array<string>"))
-    rows = a.withColumn("observation_ids", ids).withColumn("quotes_parsed", F.when(number() % 97 == 0, F.lit(-1)).otherwise(F.col("quotes_parsed")))
+    ids = F.when(
+        size > 0, F.transform(F.sequence(F.lit(1).cast("bigint"), size), lambda k: k.cast("string"))
+    ).otherwise(F.array().cast("array<string>"))
+    rows = a.withColumn("observation_ids", ids).withColumn(
+        "quotes_parsed", F.when(number() % 97 == 0, F.lit(-1)).otherwise(F.col("quotes_parsed"))
+    )
     return audit.violations(rows, ["attempt_id"], load.attempt_rules())
 
 
@@ -45,10 +49,18 @@ _RUNS = f"""{ATTEMPTS_SQL}, runs AS (SELECT DISTINCT CAST(day AS VARCHAR) || '/'
 @query(f"WITH {_RUNS} " + _union({"WINDOW_ORDER": "day(day) % 9 = 0", "MISSING_COLLECTOR_IDENTITY": "day(day) % 7 = 0", "MISSING_FRAME_ID": "source_id = 'S2'"}, "run", "runs"))
 def c11_run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C11: runs whose window does not end after it starts, or that lack an identifier."""
-    runs = attempts(spark, sf_dir).select("day", "source_id").distinct().withColumn("run", F.concat_ws("/", F.col("day").cast("string"), "source_id"))
+    runs = attempts(spark, sf_dir).select("day", "source_id").distinct().withColumn(
+        "run", F.concat_ws("/", F.col("day").cast("string"), "source_id")
+    )
     dom = F.dayofmonth("day")
-    named = {c: F.lit("v1") for c in load.RUN_IDENTIFIERS} | {"run_id": F.col("run"), "collector_identity": F.when(dom % 7 != 0, "someone"), "frame_id": F.when(F.col("source_id") == "S2", "").otherwise("frame")}
-    return audit.violations(runs.withColumns(named | {"window_start": F.lit(360), "window_end": F.when(dom % 9 == 0, 360).otherwise(1320)}), ["run"], load.run_rules())
+    named = {c: F.lit("v1") for c in load.RUN_IDENTIFIERS} | {
+        "run_id": F.col("run"), "collector_identity": F.when(dom % 7 != 0, "someone"),
+        "frame_id": F.when(F.col("source_id") == "S2", "").otherwise("frame")
+    }
+    return audit.violations(
+        runs.withColumns(named | {"window_start": F.lit(360), "window_end": F.when(dom % 9 == 0, 360).otherwise(1320)}), ["run"],
+        load.run_rules()
+    )
 
 
 _NATIONS = "b AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 0 THEN lower(substr(n_name, 1, 3)) ELSE substr(n_name, 1, 3) END AS origin, CASE WHEN n_nationkey % 7 = 0 THEN substr(n_name, 1, 4) WHEN n_nationkey % 4 = 0 THEN substr(n_name, 1, 3) ELSE substr(r_name, 1, 3) END AS destination, n_regionkey - 1 AS weight, CASE WHEN n_nationkey % 6 = 0 THEN ' ' ELSE 'x' END AS src FROM nation JOIN region ON n_regionkey = r_regionkey)"
@@ -59,7 +71,10 @@ def basket(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     name = F.substring("n_name", 1, 3)
     destination = F.when(key % 7 == 0, F.substring("n_name", 1, 4)).when(key % 4 == 0, name).otherwise(F.substring("r_name", 1, 3))
-    return rows.select(key.alias("id"), F.when(key % 5 == 0, F.lower(name)).otherwise(name).alias("origin"), destination.alias("destination"), (F.col("n_regionkey") - 1).alias("weight"), F.when(key % 6 == 0, " ").otherwise("x").alias("weight_source"), "n_regionkey")
+    return rows.select(
+        key.alias("id"), F.when(key % 5 == 0, F.lower(name)).otherwise(name).alias("origin"), destination.alias("destination"),
+        (F.col("n_regionkey") - 1).alias("weight"), F.when(key % 6 == 0, " ").otherwise("x").alias("weight_source"), "n_regionkey"
+    )
 
 
 @query(f"WITH {_NATIONS} " + _union({"BAD_ORIGIN": "length(origin) <> 3 OR upper(origin) <> origin", "BAD_DESTINATION": "length(destination) <> 3 OR upper(destination) <> destination", "SAME_ENDS": "origin = destination", "NOT_POSITIVE": "weight <= 0", "NO_WEIGHT_SOURCE": "trim(src) = ''"}, "id", "b"))
@@ -68,12 +83,18 @@ def c13_basket_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.violations(basket(spark, sf_dir), ["id"], load.basket_rules())
 
 
-@query("SELECT CAST(n_regionkey AS VARCHAR) AS basket_version, count(*) AS routes, n_regionkey = 0 AS publication_grade, concat_ws(',', CASE WHEN n_regionkey <> 1 THEN 'REPEATED_ROUTE' END, CASE WHEN n_regionkey = 2 THEN 'NO_CAVEAT' END) AS problems FROM nation GROUP BY n_regionkey")
+@query(
+    "SELECT CAST(n_regionkey AS VARCHAR) AS basket_version, count(*) AS routes, n_regionkey = 0 AS publication_grade, concat_ws(',', CASE WHEN "
+    "n_regionkey <> 1 THEN 'REPEATED_ROUTE' END, CASE WHEN n_regionkey = 2 THEN 'NO_CAVEAT' END) AS problems FROM nation GROUP BY n_regionkey"
+)
 def c13_basket_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baskets as a whole: repeated routes, missing caveats, publication grade."""
     key = F.col("n_regionkey")
     route = F.when(key == 1, F.col("n_nationkey")).otherwise(F.floor(F.col("n_nationkey") / 100)).cast("string")
-    rows = table(spark, sf_dir, "nation").select(key.cast("string").alias("basket_version"), F.when(key == 0, "OFFICIAL").otherwise("DEMO").alias("status"), F.when(key != 2, "for show").alias("caveat"), route.alias("route_id"))
+    rows = table(spark, sf_dir, "nation").select(
+        key.cast("string").alias("basket_version"), F.when(key == 0, "OFFICIAL").otherwise("DEMO").alias("status"),
+        F.when(key != 2, "for show").alias("caveat"), route.alias("route_id")
+    )
     return load.basket_report(rows)
 
 
@@ -81,7 +102,9 @@ def c13_basket_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT attempt_id, band, flights, CASE WHEN band NOT BETWEEN 2 AND 6 THEN 'OUTSIDE_CONTRACT' ELSE 'MORE_THAN_ONE_FLIGHT' END AS problem FROM b WHERE band NOT BETWEEN 2 AND 6 OR flights > 1""")
 def c15_band_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of an attempt outside the contract or with more than one flight (an attempt takes every fortieth quote of its day and source)."""
-    rows = quotes(spark, sf_dir).where(number("observation_id") % 40 == 0).withColumn("attempt_id", F.concat_ws("/", "source_id", F.col("collection_date").cast("string")))
+    rows = quotes(spark, sf_dir).where(number("observation_id") % 40 == 0).withColumn(
+        "attempt_id", F.concat_ws("/", "source_id", F.col("collection_date").cast("string"))
+    )
     return load.band_violations(rows)
 
 
@@ -90,26 +113,46 @@ def c15_band_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c16_frame_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search frames outside the frozen lead times, repeated, or whose travel date does not agree."""
     n = number()
-    leads = F.when(n % 11 == 0, F.array().cast("array<int>")).when(n % 11 == 1, F.array(*map(F.lit, (7, 21, 30)))).when(n % 11 == 2, F.array(F.lit(7), F.lit(7))).otherwise(F.array(F.lit(1), F.lit(7)))
-    rows = attempts(spark, sf_dir).withColumns({"leads": leads, "collection_date": F.col("day"), "lead": F.when(n % 13 == 0, F.col("lead_days") + 1).otherwise(F.col("lead_days")), "travel_date": F.when(n % 17 == 0, F.col("day")).otherwise(F.col("travel_date"))})
+    leads = F.when(n % 11 == 0, F.array().cast("array<int>")).when(
+        n % 11 == 1, F.array(*map(F.lit, (7, 21, 30)))
+    ).when(n % 11 == 2, F.array(F.lit(7), F.lit(7))).otherwise(F.array(F.lit(1), F.lit(7)))
+    rows = attempts(spark, sf_dir).withColumns(
+        {
+            "leads": leads, "collection_date": F.col("day"),
+            "lead": F.when(n % 13 == 0, F.col("lead_days") + 1).otherwise(F.col("lead_days")),
+            "travel_date": F.when(n % 17 == 0, F.col("day")).otherwise(F.col("travel_date"))
+        }
+    )
     return audit.violations(rows, ["attempt_id"], load.frame_rules())
 
 
-@query(f"WITH {ATTEMPTS_SQL}, l AS (SELECT source_id, list_sort(list(DISTINCT lead_days)) AS leads FROM attempts GROUP BY source_id) SELECT source_id, array_to_string(list_filter(leads, lambda x: x NOT IN ({_LEADS})), ',') AS off_frame FROM l")
+@query(
+    f"WITH {ATTEMPTS_SQL}, l AS (SELECT source_id, list_sort(list(DISTINCT lead_days)) AS leads FROM attempts GROUP BY source_id) SELECT source_id, "
+    f"array_to_string(list_filter(leads, lambda x: x NOT IN ({_LEADS})), ',') AS off_frame FROM l"
+)
 def c16_off_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lead times of each source's searches that are in no bucket."""
     leads = attempts(spark, sf_dir).groupBy("source_id").agg(F.array_sort(F.collect_set("lead_days")).alias("leads"))
-    return leads.select("source_id", F.array_join(F.transform(load.off_frame_leads(F.col("leads")), lambda x: x.cast("string")), ",").alias("off_frame"))
+    return leads.select(
+        "source_id", F.array_join(F.transform(load.off_frame_leads(F.col("leads")), lambda x: x.cast("string")), ",").alias("off_frame")
+    )
 
 
 _LOADED = "a AS (SELECT o_orderkey AS attempt_id, CASE WHEN o_orderkey % 5 = 0 THEN 'NO_FLIGHT' ELSE 'SUCCESS' END AS outcome FROM orders), r AS (SELECT l_orderkey AS attempt_id, count(*) AS n FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY ALL)"
 
 
-@query(f"WITH {_LOADED} SELECT attempt_id, outcome, coalesce(n, 0) AS quotes_parsed, CASE WHEN outcome = 'SUCCESS' AND n IS NULL THEN 'SUCCESS_WITHOUT_FARES' WHEN outcome <> 'SUCCESS' AND n > 0 THEN 'FAILURE_WITH_FARES' END AS problem FROM a LEFT JOIN r USING (attempt_id)")
+@query(
+    f"WITH {_LOADED} SELECT attempt_id, outcome, coalesce(n, 0) AS quotes_parsed, CASE WHEN outcome = 'SUCCESS' AND n IS NULL THEN "
+    f"'SUCCESS_WITHOUT_FARES' WHEN outcome <> 'SUCCESS' AND n > 0 THEN 'FAILURE_WITH_FARES' END AS problem FROM a LEFT JOIN r USING (attempt_id)"
+)
 def e7_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempts (orders) against the rows that refer to them (every third line): counts and disagreements with the outcome."""
-    a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderkey") % 5 == 0, "NO_FLIGHT").otherwise("SUCCESS").alias("outcome"))
-    return load.reconciled(a, table(spark, sf_dir, "lineitem").where("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("attempt_id")))
+    a = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderkey") % 5 == 0, "NO_FLIGHT").otherwise("SUCCESS").alias("outcome")
+    )
+    return load.reconciled(
+        a, table(spark, sf_dir, "lineitem").where("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("attempt_id"))
+    )
 
 
 @query(f"""WITH {ATTEMPTS_SQL}, n AS (SELECT attempt_id AS id, CASE WHEN {_ID} % 5 = 0 THEN 'shot.png' WHEN {_ID} % 5 = 1 THEN strftime(travel_date, '%Y%m%d') || '-' || strftime(travel_date + 7, '%Y%m%d') || '.png' ELSE '20240131-primary-' || strftime(travel_date, '%Y%m%d') || '-' || attempt_id || '.png' END AS name FROM attempts WHERE {_ID} % 50 < 5),
@@ -119,7 +162,9 @@ def e16_artifact_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Artifacts matched to the attempt whose travel date their name holds; none or several are a problem."""
     a = attempts(spark, sf_dir)
     day = lambda k: F.date_format(F.date_add("travel_date", k), "yyyyMMdd")
-    name = F.when(number() % 5 == 0, "shot.png").when(number() % 5 == 1, F.concat(day(0), F.lit("-"), day(7), F.lit(".png"))).otherwise(F.concat(F.lit("20240131-primary-"), day(0), F.lit("-"), F.col("attempt_id"), F.lit(".png")))
+    name = F.when(number() % 5 == 0, "shot.png").when(number() % 5 == 1, F.concat(day(0), F.lit("-"), day(7), F.lit(".png"))).otherwise(
+        F.concat(F.lit("20240131-primary-"), day(0), F.lit("-"), F.col("attempt_id"), F.lit(".png"))
+    )
     return load.artifact_attempts(a.where(number() % 50 < 5).select(name.alias("name")).distinct(), a.where(number() % 50 == 7))
 
 
@@ -130,23 +175,38 @@ v AS (SELECT reason, CASE reason WHEN 'APW_MATCHES_NO_BUCKET' THEN CASE WHEN lea
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = number("observation_id")
-    return quotes(spark, sf_dir).where(n % 10 > 0).select(F.col("observation_id").alias("shot"), F.when(n % 14 != 0, derive.lead_days()).alias("lead"), F.when(n % 13 != 0, derive.hour_band()).alias("band"))
+    return quotes(spark, sf_dir).where(n % 10 > 0).select(
+        F.col("observation_id").alias("shot"), F.when(n % 14 != 0, derive.lead_days()).alias("lead"),
+        F.when(n % 13 != 0, derive.hour_band()).alias("band")
+    )
 
 
 def _tests() -> dict[str, tuple[Column, Column]]:
     lead, at = F.col("lead"), F.col("band")
-    return {"APW_MATCHES_NO_BUCKET": (lead.isNotNull(), ~lead.isin(*LEAD_BUCKETS)), "OUTSIDE_CONTRACTED_BANDS": (at.isNotNull(), ~at.isin(*CONTRACT_BANDS))}
+    return {
+        "APW_MATCHES_NO_BUCKET": (lead.isNotNull(), ~lead.isin(*LEAD_BUCKETS)),
+        "OUTSIDE_CONTRACTED_BANDS": (at.isNotNull(), ~at.isin(*CONTRACT_BANDS))
+    }
 
 
-@query(f"WITH {_REPLAY} SELECT reason, count(*) AS candidates, count(*) FILTER (v = 'A') AS agree, count(*) FILTER (v = 'D') AS disagree, count(*) FILTER (v = 'N') AS not_testable, count(*) FILTER (v = 'S') AS skipped FROM v GROUP BY reason")
+@query(
+    f"WITH {_REPLAY} SELECT reason, count(*) AS candidates, count(*) FILTER (v = 'A') AS agree, count(*) FILTER (v = 'D') AS disagree, count(*) "
+    f"FILTER (v = 'N') AS not_testable, count(*) FILTER (v = 'S') AS skipped FROM v GROUP BY reason"
+)
 def e9_replayed_exclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded exclusions tested again on the raw fields that are still there; a reason that is no rule is skipped."""
     n = number("observation_id")
     reason = F.when(n % 6 == 0, "APW_MATCHES_NO_BUCKET").when(n % 6 == 1, "OUTSIDE_CONTRACTED_BANDS").otherwise("NOT_EARLIEST_IN_BAND")
-    return audit.replayed(quotes(spark, sf_dir).where(n % 6 < 3).select(F.col("observation_id").alias("shot"), reason.alias("reason")), _raw(spark, sf_dir), "shot", _tests())
+    return audit.replayed(
+        quotes(spark, sf_dir).where(n % 6 < 3).select(F.col("observation_id").alias("shot"), reason.alias("reason")), _raw(spark, sf_dir),
+        "shot", _tests()
+    )
 
 
-@query(f"WITH {_REPLAY}, ok AS (SELECT * FROM raw WHERE CAST(shot AS BIGINT) % 6 > 2) SELECT shot, 'APW_MATCHES_NO_BUCKET' AS reason FROM ok WHERE lead NOT IN ({_LEADS}) UNION ALL SELECT shot, 'OUTSIDE_CONTRACTED_BANDS' FROM ok WHERE band NOT BETWEEN 2 AND 6")
+@query(
+    f"WITH {_REPLAY}, ok AS (SELECT * FROM raw WHERE CAST(shot AS BIGINT) % 6 > 2) SELECT shot, 'APW_MATCHES_NO_BUCKET' AS reason FROM ok WHERE lead "
+    f"NOT IN ({_LEADS}) UNION ALL SELECT shot, 'OUTSIDE_CONTRACTED_BANDS' FROM ok WHERE band NOT BETWEEN 2 AND 6"
+)
 def e9_wrongly_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The control of the replay, accepted rows that a rule would reject (here: all that were not recorded as excluded)."""
     return audit.wrongly_rejected(_raw(spark, sf_dir).where(number("shot") % 6 > 2), "shot", _tests())
@@ -161,7 +221,12 @@ CASE WHEN fixture THEN 'DEMO' WHEN admissible > 0 AND listed = '' THEN 'PRODUCTI
 def h12_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State, class and blockers of each series (nations, their keys deciding what is missing)."""
     k = F.col("n_nationkey")
-    facts = table(spark, sf_dir, "nation").select(k.cast("string").alias("series"), F.when(k % 4 == 0, 0).otherwise(k).alias("admissible"), (k % 8).alias("cleared_sources"), (k % 3).alias("matched_pairs"), (k % 5 != 0).alias("coverage_defined"), F.when(k % 7 == 0, F.array(F.lit("AMB-8"))).otherwise(F.array().cast("array<string>")).alias("open_ambiguities"), (k % 2 == 0).alias("publication_grade"), (k % 11 != 1).alias("backtest_satisfied"), (k == 6).alias("is_fixture"))
+    facts = table(spark, sf_dir, "nation").select(
+        k.cast("string").alias("series"), F.when(k % 4 == 0, 0).otherwise(k).alias("admissible"), (k % 8).alias("cleared_sources"),
+        (k % 3).alias("matched_pairs"), (k % 5 != 0).alias("coverage_defined"),
+        F.when(k % 7 == 0, F.array(F.lit("AMB-8"))).otherwise(F.array().cast("array<string>")).alias("open_ambiguities"),
+        (k % 2 == 0).alias("publication_grade"), (k % 11 != 1).alias("backtest_satisfied"), (k == 6).alias("is_fixture")
+    )
     return audit.readiness(facts)
 
 
@@ -171,7 +236,10 @@ def h13_stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far each stage's input exercises it, and which one a guard refuses."""
     q = quotes(spark, sf_dir)
     v = lambda df, c: df.select(F.col(c).alias("v"))
-    stages = {"quotes": v(q, "origin"), "admitted": v(admit.admissible(q), "origin"), "destinations": v(q, "destination"), "ungrouped": v(q.where("source_group = 'none'"), "collection_date"), "publication": v(q, "collection_date")}
+    stages = {
+        "quotes": v(q, "origin"), "admitted": v(admit.admissible(q), "origin"), "destinations": v(q, "destination"),
+        "ungrouped": v(q.where("source_group = 'none'"), "collection_date"), "publication": v(q, "collection_date")
+    }
     return audit.stage_report(stages, F.col("stage") == "publication")
 
 
@@ -181,23 +249,41 @@ def j5_window_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minutes between the declared and the actual window of each day; a day whose runs disagree declares none."""
     q = quotes(spark, sf_dir)
     late = (F.dayofmonth("collection_date") % 5 == 0) & (F.col("source_id") == "S1")
-    runs = q.select("collection_date", "source_id").distinct().withColumns({"window_start": 360 + F.when(late, 30).otherwise(0), "window_end": F.lit(1320)})
+    runs = q.select("collection_date", "source_id").distinct().withColumns(
+        {"window_start": 360 + F.when(late, 30).otherwise(0), "window_end": F.lit(1320)}
+    )
     return load.window_drift(q, runs)
 
 
-@query(f"WITH {EVENT_QUOTES_SQL} SELECT observation_id, 'run-' || CASE WHEN moved THEN '20240111' ELSE strftime(collection_date, '%Y%m%d') END || '-' || source_id AS run_id, CASE WHEN moved THEN DATE '2024-01-11' ELSE collection_date END AS collection_date, moved, 2 AS vintage FROM (SELECT *, collection_date = DATE '2024-01-10' AND source_id = 'S1' AS moved FROM quotes)")
+@query(
+    f"WITH {EVENT_QUOTES_SQL} SELECT observation_id, 'run-' || CASE WHEN moved THEN '20240111' ELSE strftime(collection_date, '%Y%m%d') END || '-' "
+    f"|| source_id AS run_id, CASE WHEN moved THEN DATE '2024-01-11' ELSE collection_date END AS collection_date, moved, 2 AS vintage FROM (SELECT "
+    f"*, collection_date = DATE '2024-01-10' AND source_id = 'S1' AS moved FROM quotes)"
+)
 def j6_redated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A vintage in which one source's rows of a wrong day are on the right one, with their run renamed."""
-    rows = quotes(spark, sf_dir).withColumn("run_id", F.concat(F.lit("run-"), F.date_format("collection_date", "yyyyMMdd"), F.lit("-"), F.col("source_id")))
+    rows = quotes(spark, sf_dir).withColumn(
+        "run_id", F.concat(F.lit("run-"), F.date_format("collection_date", "yyyyMMdd"), F.lit("-"), F.col("source_id"))
+    )
     day = lambda d: F.lit(d).cast("date")
-    return load.redated(rows, day("2024-01-10"), day("2024-01-11"), F.col("source_id") == "S1", F.lit(2)).select("observation_id", "run_id", "collection_date", "moved", "vintage")
+    return load.redated(
+        rows, day("2024-01-10"), day("2024-01-11"), F.col("source_id") == "S1", F.lit(2)
+    ).select("observation_id", "run_id", "collection_date", "moved", "vintage")
 
 
-@query(f"WITH {_RUNS} SELECT day, 'sched-' || CAST(day AS VARCHAR) || '-' || substr(sha256(CAST(day AS VARCHAR) || '|pilot-1|frozen|2,3,4,5,6|' || string_agg(source_id, ',' ORDER BY source_id) || '|FIXTURE'), 1, 12) AS run_id FROM runs GROUP BY day")
+@query(
+    f"WITH {_RUNS} SELECT day, 'sched-' || CAST(day AS VARCHAR) || '-' || substr(sha256(CAST(day AS VARCHAR) || '|pilot-1|frozen|2,3,4,5,6|' || "
+    f"string_agg(source_id, ',' ORDER BY source_id) || '|FIXTURE'), 1, 12) AS run_id FROM runs GROUP BY day"
+)
 def b12_scheduled_run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of scheduled runs from what defines their plan."""
     days = attempts(spark, sf_dir).groupBy("day").agg(F.collect_set("source_id").alias("sources"))
-    return days.select("day", load.scheduled_run_id(F.col("day"), F.lit("pilot-1"), F.lit("frozen"), F.array(*map(F.lit, CONTRACT_BANDS)), F.col("sources"), F.lit("FIXTURE")).alias("run_id"))
+    return days.select(
+        "day",
+        load.scheduled_run_id(
+            F.col("day"), F.lit("pilot-1"), F.lit("frozen"), F.array(*map(F.lit, CONTRACT_BANDS)), F.col("sources"), F.lit("FIXTURE")
+        ).alias("run_id")
+    )
 
 
 @query(f"""WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN [] WHEN 1 THEN [1, 7, 15] WHEN 2 THEN [7, 3] WHEN 3 THEN [7, 21] ELSE [{_LEADS}] END AS days FROM part) SELECT p_partkey, concat_ws(',', CASE WHEN len(days) = 0 THEN 'EMPTY' END, CASE WHEN days = [7, 3] THEN 'NOT_ASCENDING' END, CASE WHEN list_contains(days, 21) THEN 'UNKNOWN_BUCKET' END) AS problems, list_contains(days, 7) AND list_contains(days, 15) AS covers FROM s""")
@@ -209,7 +295,10 @@ def b14_window_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     for n, values in lists:
         days = F.when(k == n, F.array(*map(F.lit, values))).otherwise(days)
     rows = table(spark, sf_dir, "part").select("p_partkey", days.alias("days"))
-    return rows.select("p_partkey", F.array_join(load.window_set_problems(F.col("days")), ",").alias("problems"), load.covers(F.col("days"), F.array(F.lit(7), F.lit(15))).alias("covers"))
+    return rows.select(
+        "p_partkey", F.array_join(load.window_set_problems(F.col("days")), ",").alias("problems"),
+        load.covers(F.col("days"), F.array(F.lit(7), F.lit(15))).alias("covers")
+    )
 
 
 @query("""SELECT s_suppkey AS id, concat_ws(',', CASE WHEN s_suppkey % 3 = 0 THEN 'basket_version' END, CASE WHEN s_suppkey % 5 = 0 THEN 'weight_version' END) AS missing, s_suppkey % 4 <> 1 AS deterministic,
@@ -218,20 +307,40 @@ concat_ws('|', s_name, '2.1', CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'b1' END,
 def b17_version_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version vectors with what they lack, whether a fitted model is in the path, their text and tuple."""
     k = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select(k.alias("id"), F.col("s_name").alias("data_snapshot_id"), F.lit("2.1").alias("methodology_version"), F.when(k % 3 == 0, "").otherwise("b1").alias("basket_version"), F.when(k % 5 != 0, "w1").alias("weight_version"), F.lit("p1").alias("parser_version"), F.lit("c1").alias("code_version"), F.when(k % 4 == 1, "m1").when(k % 4 == 2, "N/A").alias("model_version"), F.when(k % 2 == 0, 1).alias("tier"))
-    return load.version_vector(rows).select("id", F.array_join("missing", ",").alias("missing"), "deterministic", "rendered", "reproducibility")
-
-
-@query(f"WITH {EVENT_QUOTES_SQL} SELECT observation_id, built, built AND (baggage_kg = 0) <> (recorded = 'HAND_ONLY') AS mismatch FROM (SELECT *, CAST(observation_id AS BIGINT) % 7 > 0 AND CAST(observation_id AS BIGINT) % 11 > 0 AS built, CASE WHEN CAST(observation_id AS BIGINT) % 3 = 0 OR CAST(observation_id AS BIGINT) % 50 = 1 THEN 'HAND_ONLY' ELSE 'STANDARD' END AS recorded FROM quotes)")
+    rows = table(spark, sf_dir, "supplier").select(
+        k.alias("id"), F.col("s_name").alias("data_snapshot_id"), F.lit("2.1").alias("methodology_version"),
+        F.when(k % 3 == 0, "").otherwise("b1").alias("basket_version"), F.when(k % 5 != 0, "w1").alias("weight_version"),
+        F.lit("p1").alias("parser_version"), F.lit("c1").alias("code_version"),
+        F.when(k % 4 == 1, "m1").when(k % 4 == 2, "N/A").alias("model_version"), F.when(k % 2 == 0, 1).alias("tier")
+    )
+    return load.version_vector(rows).select(
+        "id", F.array_join("missing", ",").alias("missing"), "deterministic", "rendered", "reproducibility"
+    )
+
+
+@query(
+    f"WITH {EVENT_QUOTES_SQL} SELECT observation_id, built, built AND (baggage_kg = 0) <> (recorded = 'HAND_ONLY') AS mismatch FROM (SELECT *, "
+    f"CAST(observation_id AS BIGINT) % 7 > 0 AND CAST(observation_id AS BIGINT) % 11 > 0 AS built, CASE WHEN CAST(observation_id AS BIGINT) % 3 = 0 "
+    f"OR CAST(observation_id AS BIGINT) % 50 = 1 THEN 'HAND_ONLY' ELSE 'STANDARD' END AS recorded FROM quotes)"
+)
 def b21_rebuilt_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes rebuilt from partial rows and the frame's constants; a class that comes out otherwise than recorded is reported."""
     n = number("observation_id")
-    partial = quotes(spark, sf_dir).select("observation_id", F.when(n % 7 > 0, F.col("flight_number")).alias("flight_number"), F.when(n % 11 > 0, F.col("departure_min")).alias("departure_min"), "travel_date", "payable_fare", "baggage_kg", F.when((n % 3 == 0) | (n % 50 == 1), "HAND_ONLY").otherwise("STANDARD").alias("recorded_class"))
+    partial = quotes(spark, sf_dir).select(
+        "observation_id", F.when(n % 7 > 0, F.col("flight_number")).alias("flight_number"),
+        F.when(n % 11 > 0, F.col("departure_min")).alias("departure_min"), "travel_date", "payable_fare", "baggage_kg",
+        F.when((n % 3 == 0) | (n % 50 == 1), "HAND_ONLY").otherwise("STANDARD").alias("recorded_class")
+    )
     constants = {"channel": F.lit("AIRLINE_DIRECT"), "change_permitted": F.lit("FEE"), "cancellation_permitted": F.lit("FEE")}
-    return load.rebuilt_quotes(partial, ["travel_date", "flight_number", "departure_min", "payable_fare"], constants, derive.fare_class()).select("observation_id", "built", "mismatch")
+    return load.rebuilt_quotes(
+        partial, ["travel_date", "flight_number", "departure_min", "payable_fare"], constants, derive.fare_class()
+    ).select("observation_id", "built", "mismatch")
 
 
-_OUTCOMES = ("SUCCESS", "NO_FLIGHT", "STRUCTURAL_MISSING", "TECHNICAL_FAILURE", "SOURCE_UNAVAILABLE", "PARSER_FAILURE", "CAPTCHA_OR_ANTIBOT_STOP", "PERMISSION_BLOCKED")
+_OUTCOMES = (
+    "SUCCESS", "NO_FLIGHT", "STRUCTURAL_MISSING", "TECHNICAL_FAILURE", "SOURCE_UNAVAILABLE", "PARSER_FAILURE", "CAPTCHA_OR_ANTIBOT_STOP",
+    "PERMISSION_BLOCKED"
+)
 
 
 @query(f"""WITH {ATTEMPTS_SQL}, a AS (SELECT day, count(*) AS attempts, {", ".join(f"count(*) FILTER (outcome = '{o}') AS {o.lower()}" for o in _OUTCOMES)}, count(*) FILTER (outcome IN ('SOURCE_UNAVAILABLE', 'PARSER_FAILURE', 'CAPTCHA_OR_ANTIBOT_STOP', 'PERMISSION_BLOCKED')) AS collector_failures FROM attempts GROUP BY day),
@@ -241,7 +350,9 @@ def f19_day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """what each day collected: attempts by outcome, distinct routes, carriers, dates, buckets and classes, sold out, incomplete breakdowns, integrity problems."""
     a = collection.with_outcome_facts(attempts(spark, sf_dir))
     by_outcome = [F.count_if(F.col("outcome") == o).alias(o.lower()) for o in _OUTCOMES]
-    tried = a.groupBy("day").agg(F.count(F.lit(1)).alias("attempts"), *by_outcome, F.count_if("collector_failure").alias("collector_failures"))
+    tried = a.groupBy("day").agg(
+        F.count(F.lit(1)).alias("attempts"), *by_outcome, F.count_if("collector_failure").alias("collector_failures")
+    )
     q = quotes(spark, sf_dir).withColumn("day", F.col("collection_date"))
     outside = (F.hour("observation_ts") < 6) | (F.col("observation_ts") > F.to_timestamp("day") + F.expr("INTERVAL 22 HOURS"))
     seen = q.groupBy("day").agg(
@@ -251,7 +362,14 @@ def f19_day_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tried.withColumn("failures", F.col("attempts") - F.col("success")).join(seen, "day")
 
 
-@query(f"WITH {ATTEMPTS_SQL} SELECT source_id, count(*) AS planned, count(*) FILTER (outcome <> 'PERMISSION_BLOCKED') AS requests, count(*) FILTER (outcome IN ('SOURCE_UNAVAILABLE', 'PARSER_FAILURE', 'CAPTCHA_OR_ANTIBOT_STOP', 'PERMISSION_BLOCKED')) AS coverage_loss, round(count(*) FILTER (outcome IN ('SOURCE_UNAVAILABLE', 'PARSER_FAILURE', 'CAPTCHA_OR_ANTIBOT_STOP', 'PERMISSION_BLOCKED')) * 1.0 / count(*) FILTER (outcome <> 'NO_FLIGHT'), 6) AS loss_rate FROM attempts GROUP BY source_id")
+@query(
+    f"WITH {ATTEMPTS_SQL} SELECT source_id, count(*) AS planned, count(*) FILTER (outcome <> 'PERMISSION_BLOCKED') AS requests, count(*) FILTER "
+    f"(outcome IN ('SOURCE_UNAVAILABLE', 'PARSER_FAILURE', 'CAPTCHA_OR_ANTIBOT_STOP', 'PERMISSION_BLOCKED')) AS coverage_loss, round(count(*) FILTER "
+    f"(outcome IN ('SOURCE_UNAVAILABLE', 'PARSER_FAILURE', 'CAPTCHA_OR_ANTIBOT_STOP', 'PERMISSION_BLOCKED')) * 1.0 / count(*) FILTER (outcome <> "
+    f"'NO_FLIGHT'), 6) AS loss_rate FROM attempts GROUP BY source_id"
+)
 def f25_coverage_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """requests of each source, and the coverage lost through us; what was never expected is not in the denominator."""
-    return collection.coverage_loss(attempts(spark, sf_dir), ["source_id"]).select("source_id", "planned", "requests", "coverage_loss", r6("loss_rate"))
+    return collection.coverage_loss(attempts(spark, sf_dir), ["source_id"]).select(
+        "source_id", "planned", "requests", "coverage_loss", r6("loss_rate")
+    )

@@ -26,29 +26,59 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as flights shown on pages, one page for each day and each of four sources; ids decide what is odd about them."""
     e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     money = lambda c: c.cast("decimal(12,2)")
-    tile = lambda family, price, currency, available, concession, kg, change: F.struct(family.alias("family"), money(price).alias("price"), currency.alias("currency"), available.alias("available"), concession.alias("concession"), kg.cast("int").alias("checked_kg"), change.alias("change_policy"), F.lit("FEE").alias("cancellation_policy"))
+    tile = lambda family, price, currency, available, concession, kg, change: F.struct(
+        family.alias("family"), money(price).alias("price"), currency.alias("currency"), available.alias("available"),
+        concession.alias("concession"), kg.cast("int").alias("checked_kg"), change.alias("change_policy"),
+        F.lit("FEE").alias("cancellation_policy")
+    )
     price = F.round("value", 2)
-    first = tile(_every(9, 0, "Flexi", _every(2, 0, "Saver fare", " SAVER  Fare")), _every(28, 3, None, _every(26, 1, F.lit(0), price)), _every(15, 3, None, _every(25, 4, "USD", "INR")), F.col("event_id") % 5 != 1, F.col("event_id") % 21 == 2, _every(14, 6, None, _every(8, 5, 0, 15)), _every(33, 7, None, "FEE"))
-    second = tile(F.lit("Flexi plus"), F.round(F.col("value") * _every(12, 8, 0.9, 1.2), 2), F.lit("INR"), F.lit(True), F.lit(False), F.lit(25), F.lit("FREE"))
+    first = tile(
+        _every(9, 0, "Flexi", _every(2, 0, "Saver fare", " SAVER  Fare")), _every(28, 3, None, _every(26, 1, F.lit(0), price)),
+        _every(15, 3, None, _every(25, 4, "USD", "INR")), F.col("event_id") % 5 != 1, F.col("event_id") % 21 == 2,
+        _every(14, 6, None, _every(8, 5, 0, 15)), _every(33, 7, None, "FEE")
+    )
+    second = tile(
+        F.lit("Flexi plus"), F.round(F.col("value") * _every(12, 8, 0.9, 1.2), 2), F.lit("INR"), F.lit(True), F.lit(False), F.lit(25),
+        F.lit("FREE")
+    )
     third = tile(_every(27, 9, "saver", "Super 6E"), price + 100, F.lit("INR"), F.lit(True), F.lit(False), F.lit(15), F.lit("FEE"))
     return e.select(
-        F.col("day").alias("collection_date"), F.concat(F.lit("W"), (F.col("user_id") % 4).cast("string")).alias("source_id"), F.col("event_id").alias("position"),
-        _every(10, 0, "AI", "6E").alias("marketing_carrier"), _every(17, 0, None, _every(13, 0, "AI", "6E")).alias("operating_carrier"), _every(23, 0, None, _every(29, 0, "6E12", F.col("user_id").cast("string"))).alias("flight_number"),
-        _every(19, 0, None, _every(31, 0, "NMI", "DEL")).alias("origin"), _every(37, 0, None, _every(41, 0, "PNQ", "BOM")).alias("destination"), _every(43, 0, None, F.date_add("day", _every(47, 0, 8, 7).cast("int"))).alias("departure_date"),
-        _every(53, 0, None, F.hour("ts") * 60 + F.minute("ts")).alias("departure_min"), _every(61, 0, None, (120 + F.col("event_id") % 30).cast("int")).alias("duration_minutes"), _every(59, 0, None, _every(7, 0, 1, 0)).cast("int").alias("stops"), (F.col("event_id") % 11 == 0).alias("sold_out"), F.array(first, second, third).alias("fares"),
+        F.col("day").alias("collection_date"), F.concat(
+            F.lit("W"), (F.col("user_id") % 4).cast("string")
+        ).alias("source_id"), F.col("event_id").alias("position"),
+        _every(10, 0, "AI", "6E").alias("marketing_carrier"), _every(17, 0, None, _every(13, 0, "AI", "6E")).alias("operating_carrier"), _every(
+            23, 0, None, _every(29, 0, "6E12", F.col("user_id").cast("string"))
+        ).alias("flight_number"),
+        _every(19, 0, None, _every(31, 0, "NMI", "DEL")).alias("origin"), _every(37, 0, None, _every(41, 0, "PNQ", "BOM")).alias("destination"), _every(
+            43, 0, None, F.date_add("day", _every(47, 0, 8, 7).cast("int"))
+        ).alias("departure_date"),
+        _every(53, 0, None, F.hour("ts") * 60 + F.minute("ts")).alias("departure_min"), _every(
+            61, 0, None, (120 + F.col("event_id") % 30).cast("int")
+        ).alias("duration_minutes"), _every(59, 0, None, _every(7, 0, 1, 0)).cast("int").alias("stops"), (F.col("event_id") % 11 == 0).alias("sold_out"), F.array(first, second, third).alias("fares"),
     )
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages themselves: a number n of each day and source decides their state, structure and echo."""
-    pages = cards(spark, sf_dir).select(*KEY).distinct().withColumn("n", F.dayofmonth("collection_date") * 4 + F.substring("source_id", 2, 1).cast("int"))
+    pages = cards(spark, sf_dir).select(*KEY).distinct().withColumn(
+        "n", F.dayofmonth("collection_date") * 4 + F.substring("source_id", 2, 1).cast("int")
+    )
     n = F.col("n")
     state = F.when(n % 29 == 0, "ACCESS_CHALLENGE").when(n % 31 == 1, "SITE_ERROR").when(n % 37 == 2, "UNRECOGNISED").when(n % 41 == 3, "NO_FLIGHTS_MESSAGE").otherwise("RESULTS")
     travel = F.date_add("collection_date", 7)
-    shown = F.struct(F.when(n % 19 != 5, "DEL").alias("origin"), F.lit("BOM").alias("destination"), F.when(n % 17 == 6, F.date_add(travel, 1)).otherwise(travel).cast("string").alias("travel_date"), F.when(n % 13 == 7, 2).otherwise(1).cast("string").alias("adults"), F.when(n % 11 == 8, "USD").otherwise("INR").alias("currency"), F.lit("ONE_WAY").alias("trip_type"))
+    shown = F.struct(
+        F.when(n % 19 != 5, "DEL").alias("origin"), F.lit("BOM").alias("destination"),
+        F.when(n % 17 == 6, F.date_add(travel, 1)).otherwise(travel).cast("string").alias("travel_date"),
+        F.when(n % 13 == 7, 2).otherwise(1).cast("string").alias("adults"), F.when(n % 11 == 8, "USD").otherwise("INR").alias("currency"),
+        F.lit("ONE_WAY").alias("trip_type")
+    )
     issues = F.when(n % 23 == 4, F.array(F.lit("FLIGHT_CARD_0_MISSING_KEYS"))).otherwise(F.array().cast("array<string>"))
     started = F.to_timestamp("collection_date")
-    return pages.select(*KEY, travel.alias("travel_date"), state.alias("page_state"), issues.alias("structural_issues"), F.when(n % 43 != 9, shown).alias("shown"), started.alias("started_ts"), (started + F.make_dt_interval(secs=(n % 50) / 8)).alias("finished_ts"))
+    return pages.select(
+        *KEY, travel.alias("travel_date"), state.alias("page_state"), issues.alias("structural_issues"),
+        F.when(n % 43 != 9, shown).alias("shown"), started.alias("started_ts"),
+        (started + F.make_dt_interval(secs=(n % 50) / 8)).alias("finished_ts")
+    )
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +123,9 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CARDS} SELECT position, reasons, reasons = '' AS eligible FROM judged")
 def c5_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of the fourteen rules that each card fails, in order."""
-    return judged(spark, sf_dir).select("position", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible"))
+    return judged(spark, sf_dir).select(
+        "position", F.array_join("reasons", ",").alias("reasons"), (F.size("reasons") == 0).alias("eligible")
+    )
 
 
 @query(f"WITH {_CARDS} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM judged WHERE reasons <> '') GROUP BY reason")
@@ -102,7 +134,11 @@ def f21_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark, sf_dir).select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy("reason")
 
 
-@query(f"WITH {_CARDS}, e AS (SELECT collection_date, source_id, band, count(*) AS eligible FROM able WHERE repeat = 1 GROUP BY ALL) SELECT collection_date, source_id, CAST(band AS INT) AS band, printf('%02d:00-%02d:59', CAST(band * 3 AS INT), CAST(band * 3 + 2 AS INT)) AS window, position, eligible FROM chosen JOIN e USING (collection_date, source_id, band)")
+@query(
+    f"WITH {_CARDS}, e AS (SELECT collection_date, source_id, band, count(*) AS eligible FROM able WHERE repeat = 1 GROUP BY ALL) SELECT "
+    f"collection_date, source_id, CAST(band AS INT) AS band, printf('%02d:00-%02d:59', CAST(band * 3 AS INT), CAST(band * 3 + 2 AS INT)) AS window, "
+    f"position, eligible FROM chosen JOIN e USING (collection_date, source_id, band)"
+)
 def d2_earliest_per_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The earliest eligible flight of each search and band, how many there were, and the band's window."""
     found = search.selected_cards(judged(spark, sf_dir), KEY)
@@ -115,11 +151,17 @@ def d2_repeated_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked_cards(judged(spark, sf_dir), KEY).where("repeat > 1").select("position", "repeat")
 
 
-@query(f"WITH {_CARDS}{_FARES.format(source='cards')} SELECT position, CASE WHEN verdict IN ('PRICED', 'SOLD_OUT') THEN verdict ELSE 'EXCLUDED' END AS status, CASE WHEN verdict NOT IN ('PRICED', 'SOLD_OUT') THEN verdict END AS exclusion, CASE WHEN verdict = 'PRICED' THEN CAST(price AS DOUBLE) END AS price FROM decided")
+@query(
+    f"WITH {_CARDS}{_FARES.format(source='cards')} SELECT position, CASE WHEN verdict IN ('PRICED', 'SOLD_OUT') THEN verdict ELSE 'EXCLUDED' END AS "
+    f"status, CASE WHEN verdict NOT IN ('PRICED', 'SOLD_OUT') THEN verdict END AS exclusion, CASE WHEN verdict = 'PRICED' THEN CAST(price AS DOUBLE) "
+    f"END AS price FROM decided"
+)
 def c6_contract_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract fare of every card, or which of the twelve rules decides otherwise."""
     d = cards(spark, sf_dir).withColumn("d", search.contract_fare(CONTRACT))
-    return d.select("position", "d.status", "d.exclusion", F.when(F.col("d.status") == "PRICED", F.col("d.fare.price").cast("double")).alias("price"))
+    return d.select(
+        "position", "d.status", "d.exclusion", F.when(F.col("d.status") == "PRICED", F.col("d.fare.price").cast("double")).alias("price")
+    )
 
 
 @query(f"WITH {_CARDS}{_PAGES} SELECT collection_date, source_id, mismatch FROM shown")
@@ -141,17 +183,26 @@ def f20_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.run_status(search.search_outcomes(bands(spark, sf_dir), KEY), ["collection_date"])
 
 
-@query(f"WITH {_BANDS} SELECT {_RECORD} {_OWN_FAMILY} AS observation_id, collection_date, source_id, marketing AS carrier, flight AS flight_number, CAST(dep AS INT) AS departure_min, CAST(duration AS INT) AS duration_minutes, CAST(own_kg AS INT) AS baggage_kg, CAST(price AS DOUBLE) AS payable_fare FROM bands WHERE bstate = 'OBSERVED'")
+@query(
+    f"WITH {_BANDS} SELECT {_RECORD} {_OWN_FAMILY} AS observation_id, collection_date, source_id, marketing AS carrier, flight AS flight_number, "
+    f"CAST(dep AS INT) AS departure_min, CAST(duration AS INT) AS duration_minutes, CAST(own_kg AS INT) AS baggage_kg, CAST(price AS DOUBLE) AS "
+    f"payable_fare FROM bands WHERE bstate = 'OBSERVED'"
+)
 def b18_canonical_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observed bands as quotes with their record ids."""
     found = search.canonical_quotes(bands(spark, sf_dir), "primary")
-    return found.select("observation_id", "collection_date", "source_id", "carrier", "flight_number", "departure_min", "duration_minutes", "baggage_kg", F.col("payable_fare").cast("double").alias("payable_fare"))
+    return found.select(
+        "observation_id", "collection_date", "source_id", "carrier", "flight_number", "departure_min", "duration_minutes", "baggage_kg",
+        F.col("payable_fare").cast("double").alias("payable_fare")
+    )
 
 
 @query(f"WITH {_BANDS} SELECT {_RECORD} {_OWN_FAMILY} AS unpriced_id, collection_date, source_id, flight AS flight_number, 'SOLD_OUT' AS availability FROM bands WHERE bstate = 'SOLD_OUT'")
 def b18_unpriced_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sold-out bands as flights without a price."""
-    return search.unpriced_flights(bands(spark, sf_dir), "primary", CONTRACT).select("unpriced_id", "collection_date", "source_id", "flight_number", "availability")
+    return search.unpriced_flights(bands(spark, sf_dir), "primary", CONTRACT).select(
+        "unpriced_id", "collection_date", "source_id", "flight_number", "availability"
+    )
 
 
 @query(f"WITH {_CARDS}{_PAGES} SELECT collection_date, source_id, CAST((n % 50) * 125 AS BIGINT) AS latency_ms FROM shown")
@@ -171,11 +222,16 @@ def i2_echo_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         "event_id", extract.currency(shown(4, " Rs. 500", "$12", "eur 7", "free")).alias("currency"), extract.passengers(shown(3, "1 Passenger", "2 Adults", "none")).alias("passengers"), extract.trip_type(shown(5, "One Way", "one-way", "Round trip", "Multi", "")).alias("trip"),
-        extract.operator_code(shown(3, "", "by IndiGo", "Other Air"), F.lit("6E")).alias("operator"), extract.station(shown(6, "DEL", "DEL, T1", "Delhi (DEL)", "BOM", "Mumbai BOM", "Mumbai")).alias("station"), extract.concession(F.col("event_id") % 7 == 0, shown(4, "Saver", "Flexi", "Super", "Senior citizen")).alias("concession"),
+        extract.operator_code(shown(3, "", "by IndiGo", "Other Air"), F.lit("6E")).alias("operator"), extract.station(shown(6, "DEL", "DEL, T1", "Delhi (DEL)", "BOM", "Mumbai BOM", "Mumbai")).alias("station"), extract.concession(
+            F.col("event_id") % 7 == 0, shown(4, "Saver", "Flexi", "Super", "Senior citizen")
+        ).alias("concession"),
     )
 
 
-@query(f"WITH {_CARDS} SELECT source_id AS side, count(DISTINCT collection_date) AS dates, min(collection_date) AS first, max(collection_date) AS last FROM cards WHERE source_id <> 'W0' OR collection_date = DATE '2024-01-05' GROUP BY source_id HAVING count(DISTINCT collection_date) > 1")
+@query(
+    f"WITH {_CARDS} SELECT source_id AS side, count(DISTINCT collection_date) AS dates, min(collection_date) AS first, max(collection_date) AS last "
+    f"FROM cards WHERE source_id <> 'W0' OR collection_date = DATE '2024-01-05' GROUP BY source_id HAVING count(DISTINCT collection_date) > 1"
+)
 def c14_mixed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C14: slices given for a match that hold more than one collection date."""
     rows = cards(spark, sf_dir).where("source_id <> 'W0' or collection_date = '2024-01-05'")

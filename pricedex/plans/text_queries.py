@@ -40,7 +40,9 @@ def a1_fare_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     blank = F.col("event_id") % 101 == 0
     sheet = e.select("event_id", *(F.when(~blank, shown.get(f.name, F.lit(None).cast("string"))).alias(f.name) for f in FARE_SHEET))
-    return judged_fare_sheet(sheet).select("event_id", "reject", F.col("payable_fare_typed").cast("double").alias("fare"), "status", "departure_min")
+    return judged_fare_sheet(sheet).select(
+        "event_id", "reject", F.col("payable_fare_typed").cast("double").alias("fare"), "status", "departure_min"
+    )
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 83 = 0 THEN 'travel_date' WHEN event_id % 79 = 0 THEN 'source_id' WHEN event_id % 7 = 3 THEN 'outcome' WHEN event_id % 73 = 0 THEN 'time_ist' WHEN event_id % 67 = 0 THEN 'origin' END AS reject,
@@ -50,10 +52,16 @@ def a2_attempt_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attempt rows rendered from events as text; the outcome must be one of the eight, in any case of letters."""
     e = table(spark, sf_dir, "events")
     outcome = _pick(7, "success", "No_Flight", " PARSER_FAILURE", "fine", "SOURCE_UNAVAILABLE ", "structural_missing", "PERMISSION_BLOCKED")
-    shown = {"travel_date": _odd(83, "soon", F.date_format("ts", "yyyy-MM-dd")), "source_id": _odd(79, "", F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string"))), "time_ist": _odd(73, "9", "21:05"), "origin": _odd(67, " ", "DEL"), "destination": F.lit("BOM"), "outcome": outcome}
+    shown = {
+        "travel_date": _odd(83, "soon", F.date_format("ts", "yyyy-MM-dd")),
+        "source_id": _odd(79, "", F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string"))), "time_ist": _odd(73, "9", "21:05"),
+        "origin": _odd(67, " ", "DEL"), "destination": F.lit("BOM"), "outcome": outcome
+    }
     blank = F.col("event_id") % 101 == 0
     sheet = e.select("event_id", *(F.when(~blank, shown.get(f.name, F.lit(None).cast("string"))).alias(f.name) for f in ATTEMPT_SHEET))
-    return judged_attempt_sheet(sheet, F.lit("2024-01-31").cast("date"), "primary").select("event_id", "reject", F.col("outcome_typed").alias("outcome"), "attempt_id")
+    return judged_attempt_sheet(sheet, F.lit("2024-01-31").cast("date"), "primary").select(
+        "event_id", "reject", F.col("outcome_typed").alias("outcome"), "attempt_id"
+    )
 
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'FREE' WHEN 1 THEN 'FEE' WHEN 2 THEN 'NONE' WHEN 5 THEN 'FEE' END AS change,
@@ -61,14 +69,33 @@ CASE WHEN event_id % 6 = 5 THEN CASE event_id % 4 WHEN 1 THEN 'FEE' WHEN 3 THEN
 CASE event_id % 5 WHEN 0 THEN 15 WHEN 1 THEN 0 END AS checked_kg, round(value, 2) AS base_fare, CASE WHEN event_id % 3 = 0 THEN 200.0 WHEN event_id % 2 = 0 THEN 100.0 END AS taxes, CASE WHEN event_id % 7 <> 0 THEN 12.5 END AS udf FROM events""")
 def i4_policy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy, baggage and breakdown lines rendered from events and read back; lines that disagree are null."""
-    lines = F.array(_pick(6, "Free date change", "Change fee applies", "No changes permitted", "No change in baggage", "Free change, change fee", "Change and cancellation charges: Standard"), _pick(4, "Non-refundable", "Cancellation fee", "FREE cancellation", "-"))
-    bags = F.array(_pick(5, "15 kg Check-in bag allowance", "Cabin bag only", "15 kg checked", "No checkin bag", "none"), _pick(5, "7 kg hand", "-", "25 kg check-in", "15kg checked", "7 kg hand"))
+    lines = F.array(
+        _pick(
+            6, "Free date change", "Change fee applies", "No changes permitted", "No change in baggage", "Free change, change fee",
+            "Change and cancellation charges: Standard"
+        ),
+        _pick(4, "Non-refundable", "Cancellation fee", "FREE cancellation", "-")
+    )
+    bags = F.array(
+        _pick(5, "15 kg Check-in bag allowance", "Cabin bag only", "15 kg checked", "No checkin bag", "none"),
+        _pick(5, "7 kg hand", "-", "25 kg check-in", "15kg checked", "7 kg hand")
+    )
     text = lambda s: F.lit(s).cast("string")
-    shown = F.map_filter(F.create_map(text(" Base Airfare"), F.format_string("₹%,.2f", "value"), text("Taxes & Fees"), F.when(F.col("event_id") % 2 == 0, "Rs. 100"), text("Total tax "), F.when(F.col("event_id") % 3 == 0, "200"), text("UDF"), F.when(F.col("event_id") % 7 == 0, "n/a").otherwise("INR 12.50")), lambda k, v: v.isNotNull())
+    shown = F.map_filter(
+        F.create_map(
+            text(" Base Airfare"), F.format_string("₹%,.2f", "value"), text("Taxes & Fees"), F.when(F.col("event_id") % 2 == 0, "Rs. 100"),
+            text("Total tax "), F.when(F.col("event_id") % 3 == 0, "200"), text("UDF"),
+            F.when(F.col("event_id") % 7 == 0, "n/a").otherwise("INR 12.50")
+        ),
+        lambda k, v: v.isNotNull()
+    )
     change, cancel = contract.policy(F.col("lines"))
     e = table(spark, sf_dir, "events").select("event_id", lines.alias("lines"), bags.alias("bags"), shown.alias("shown"))
     parts = {c: v.cast("double") for c, v in contract.breakdown(F.col("shown")).items()}
-    return e.select("event_id", change.alias("change"), cancel.alias("cancel"), contract.checked_baggage(F.col("bags")).alias("checked_kg"), parts["base_fare"].alias("base_fare"), parts["taxes"].alias("taxes"), parts["user_development_fee"].alias("udf"))
+    return e.select(
+        "event_id", change.alias("change"), cancel.alias("cancel"), contract.checked_baggage(F.col("bags")).alias("checked_kg"),
+        parts["base_fare"].alias("base_fare"), parts["taxes"].alias("taxes"), parts["user_development_fee"].alias("udf")
+    )
 
 
 @query("""SELECT p_partkey AS line_id, CASE WHEN p_partkey % 10 > 1 THEN CAST(p_partkey % 900 + 1 AS INT) END AS serial, CASE WHEN p_partkey % 10 > 2 THEN 'DELHI' END AS origin, CASE WHEN p_partkey % 10 > 2 THEN 'MUMBAI' END AS destination, CASE WHEN p_partkey % 10 > 1 THEN CASE p_partkey % 3 WHEN 0 THEN 'Direct / Via' WHEN 1 THEN 'Direct' ELSE 'Via' END END AS routing,
@@ -78,13 +105,19 @@ def i8_tariff_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tariff lines rendered from parts and read back: two figures in a cell, missing cells, odd rows, lines without a routing."""
     key = F.col("p_partkey")
     routing = F.get(F.array(F.lit("Direct / Via"), F.lit("Direct"), F.lit("Via")), (key % 3).cast("int"))
-    levels = F.concat(F.lit("100 / 120 - NA 150 "), F.when(F.col("p_size") < 10, "90").otherwise("190"), F.when(F.col("p_size") > 40, F.repeat(F.lit(" 200"), F.lit(15))).otherwise(""))
+    levels = F.concat(
+        F.lit("100 / 120 - NA 150 "), F.when(F.col("p_size") < 10, "90").otherwise("190"),
+        F.when(F.col("p_size") > 40, F.repeat(F.lit(" 200"), F.lit(15))).otherwise("")
+    )
     number = (key % 900 + 1).cast("string")
     full = F.concat_ws(" ", number, F.when(key % 10 == 2, "NEW DELHI MUMBAI").otherwise("DELHI MUMBAI"), routing, levels)
     line = F.when(key % 10 == 0, "see note").when(key % 10 == 1, F.concat(number, F.lit(" without a way"))).otherwise(full)
     found = contract.tariff_rows(table(spark, sf_dir, "part").select(key.alias("line_id"), line.alias("line")))
     shown = F.transform("levels", lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: x.cast("string")), "+"), F.lit("_")))
-    return found.select("line_id", "serial", "origin", "destination", "routing", "level_count", F.array_join(shown, ",").alias("levels"), "unparsed", F.when(F.col("unparsed"), "").otherwise(F.array_join("reasons", ",")).alias("reasons"))
+    return found.select(
+        "line_id", "serial", "origin", "destination", "routing", "level_count", F.array_join(shown, ",").alias("levels"), "unparsed",
+        F.when(F.col("unparsed"), "").otherwise(F.array_join("reasons", ",")).alias("reasons")
+    )
 
 
 _REMARKS = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page FROM documents), n AS (SELECT doc_id, page, trim(regexp_replace(line, '\s+', ' ', 'g')) AS remark FROM l WHERE page > 0),
@@ -106,12 +139,16 @@ def i9_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT doc_id, unnest(regexp_extract_all(remark, '\\(([A-Z]{{3}})\\)', 1)) AS code FROM q WHERE rule) SELECT q.doc_id, count(*) AS quotes, count(*) FILTER (rule) AS rule_quotes, coalesce(any_value(c.codes), '') AS stations FROM q LEFT JOIN (SELECT doc_id, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM s GROUP BY doc_id) c ON c.doc_id = q.doc_id GROUP BY q.doc_id""")
 def i10_keyword_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Remarks of each document that hold a keyword, those that state the rule, and the codes the latter name."""
-    found = contract.keyword_evidence(contract.remarks(pages(spark, sf_dir), ["doc_id"]), ["doc_id"], r"(?i)licen[cs]e|token|password", r"(?i)licen[cs]e")
+    found = contract.keyword_evidence(
+        contract.remarks(pages(spark, sf_dir), ["doc_id"]), ["doc_id"], r"(?i)licen[cs]e|token|password", r"(?i)licen[cs]e"
+    )
     return found.select("doc_id", "quotes", "rule_quotes", F.coalesce(F.array_join("stations", ","), F.lit("")).alias("stations"))
 
 
 _MARKS = ("captcha", "verify you are human", "unusual traffic", "access denied", "request blocked", "are you a robot", "bot detection")
-_REASON = "CASE WHEN page_id % 100 = 3 THEN 'http_status=403' WHEN page_id % 100 = 29 THEN 'http_status=429' " + " ".join(f"WHEN contains(shown, '{m}') THEN 'text: {m}'" for m in _MARKS) + " END"
+_REASON = "CASE WHEN page_id % 100 = 3 THEN 'http_status=403' WHEN page_id % 100 = 29 THEN 'http_status=429' " + " ".join(
+    f"WHEN contains(shown, '{m}') THEN 'text: {m}'" for m in _MARKS
+) + " END"
 
 
 @query(f"""WITH p AS (SELECT page_id, lower(CASE page_id % 50 WHEN 7 THEN html || ' Request BLOCKED by bot detection' WHEN 9 THEN 'Are you a robot? unusual traffic' WHEN 11 THEN ' ' ELSE html END) AS shown FROM pages), r AS (SELECT *, {_REASON} AS reason FROM p)
@@ -120,23 +157,39 @@ def i11_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind of each page and why it is a challenge, by status and the first mark in its text."""
     key = F.col("page_id")
     status = F.when(key % 100 == 3, 403).when(key % 100 == 29, 429).when(key % 100 == 4, 500).otherwise(200)
-    html = F.when(key % 50 == 7, F.concat("html", F.lit(" Request BLOCKED by bot detection"))).when(key % 50 == 9, "Are you a robot? unusual traffic").when(key % 50 == 11, " ").otherwise(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", extract.challenge_reason(status, html).alias("reason"), extract.page_kind(status, html).alias("kind"))
+    html = F.when(
+        key % 50 == 7, F.concat("html", F.lit(" Request BLOCKED by bot detection"))
+    ).when(key % 50 == 9, "Are you a robot? unusual traffic").when(key % 50 == 11, " ").otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select(
+        "page_id", extract.challenge_reason(status, html).alias("reason"), extract.page_kind(status, html).alias("kind")
+    )
 
 
 _RECEIPTS = """WITH t AS (SELECT o_orderkey, CAST(3000 + o_orderkey % 61000 AS INT) AS total FROM orders), p AS (SELECT *, CAST(total * 3 // 5 AS INT) AS base FROM t), s AS (SELECT *, total - base AS tax FROM p),
 r AS (SELECT o_orderkey, [total, total, base, tax, base, tax] || CASE WHEN o_orderkey % 3 > 0 THEN [total] ELSE [] END || CASE WHEN o_orderkey % 5 = 0 THEN [base + 7, tax - 7] ELSE [] END AS amounts FROM s), a AS (SELECT DISTINCT o_orderkey, amounts, unnest(amounts) AS amount FROM r), k AS (SELECT o_orderkey, amount, len(list_filter(amounts, lambda y: y = amount)) AS n FROM a WHERE amount BETWEEN 1000 AND 60000)"""
 
 
-@query(f"{_RECEIPTS}, m AS (SELECT o_orderkey, max(amount) AS total FROM k WHERE n >= 3 GROUP BY ALL), w AS (SELECT x.o_orderkey, m.total, x.amount AS base, y.amount AS tax FROM m JOIN k x USING (o_orderkey) JOIN k y USING (o_orderkey) WHERE x.amount > y.amount AND x.amount + y.amount = m.total), u AS (SELECT o_orderkey, count(*) AS pairs, any_value(base) AS base, any_value(tax) AS tax FROM w GROUP BY ALL) SELECT o_orderkey, total, CASE WHEN pairs = 1 THEN base END AS base, CASE WHEN pairs = 1 THEN tax END AS tax FROM m LEFT JOIN u USING (o_orderkey)")
+@query(
+    f"{_RECEIPTS}, m AS (SELECT o_orderkey, max(amount) AS total FROM k WHERE n >= 3 GROUP BY ALL), w AS (SELECT x.o_orderkey, m.total, x.amount AS "
+    f"base, y.amount AS tax FROM m JOIN k x USING (o_orderkey) JOIN k y USING (o_orderkey) WHERE x.amount > y.amount AND x.amount + y.amount = "
+    f"m.total), u AS (SELECT o_orderkey, count(*) AS pairs, any_value(base) AS base, any_value(tax) AS tax FROM w GROUP BY ALL) SELECT o_orderkey, "
+    f"total, CASE WHEN pairs = 1 THEN base END AS base, CASE WHEN pairs = 1 THEN tax END AS tax FROM m LEFT JOIN u USING (o_orderkey)"
+)
 def i7_repeated_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Receipts rendered from orders; the total is repeated three times, base and tax count only if one single pair sums to it."""
     key = F.col("o_orderkey")
-    amounts = table(spark, sf_dir, "orders").select("o_orderkey", (3000 + key % 61000).cast("int").alias("total")).withColumn("base", F.floor(F.col("total") * 3 / 5).cast("int")).withColumn("tax", F.col("total") - F.col("base"))
+    amounts = table(spark, sf_dir, "orders").select(
+        "o_orderkey", (3000 + key % 61000).cast("int").alias("total")
+    ).withColumn("base", F.floor(F.col("total") * 3 / 5).cast("int")).withColumn("tax", F.col("total") - F.col("base"))
     shown = lambda c: F.format_string("₹%,d", c)
     base, tax, total = F.col("base"), F.col("tax"), F.col("total")
-    lines = F.array(*map(shown, (total, total, base, tax, base, tax)), F.when(key % 3 > 0, shown(total)), F.when(key % 5 == 0, shown(base + 7)), F.when(key % 5 == 0, shown(tax - 7)))
-    return contract.repeated_totals(amounts.select("o_orderkey", F.concat(F.lit("Saver "), F.array_join(F.array_compact(lines), " and\n")).alias("text")), "o_orderkey")
+    lines = F.array(
+        *map(shown, (total, total, base, tax, base, tax)), F.when(key % 3 > 0, shown(total)), F.when(key % 5 == 0, shown(base + 7)),
+        F.when(key % 5 == 0, shown(tax - 7))
+    )
+    return contract.repeated_totals(
+        amounts.select("o_orderkey", F.concat(F.lit("Saver "), F.array_join(F.array_compact(lines), " and\n")).alias("text")), "o_orderkey"
+    )
 
 
 @query("""SELECT s_suppkey AS source_id, 'live' AS mode, s_suppkey % 3 = 0 AND s_suppkey % 2 = 0 AND s_suppkey % 5 < 2 AND s_suppkey % 7 > 0 AS allowed,
@@ -147,7 +200,12 @@ def c12_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     gate = F.when(key % 3 == 0, "AUTOMATION_ALLOWED").when(key % 3 == 1, "AUTOMATION_ALLOWED_WITH_PERMISSION")
     terms = F.get(F.array(F.lit("CLEARLY_PERMITTED"), F.lit("PERMITTED_WITH_CONDITIONS")), (key % 5).cast("int"))
-    register = table(spark, sf_dir, "supplier").select(key.alias("source_id"), gate.alias("automation_gate"), F.when(key % 2 == 0, "ADMISSIBLE").otherwise("OPEN").alias("data_admissibility"), F.coalesce(terms, F.lit("PROHIBITED")).alias("tos_status"), F.lit("CLEARLY_PERMITTED").alias("automated_collection_status"), F.when(key % 7 == 0, "NOT_APPLICABLE").otherwise("NO_RELEVANT_DISALLOW").alias("robots_status"))
+    register = table(spark, sf_dir, "supplier").select(
+        key.alias("source_id"), gate.alias("automation_gate"),
+        F.when(key % 2 == 0, "ADMISSIBLE").otherwise("OPEN").alias("data_admissibility"),
+        F.coalesce(terms, F.lit("PROHIBITED")).alias("tos_status"), F.lit("CLEARLY_PERMITTED").alias("automated_collection_status"),
+        F.when(key % 7 == 0, "NOT_APPLICABLE").otherwise("NO_RELEVANT_DISALLOW").alias("robots_status")
+    )
     live = contract.permitted(register, contract.LIVE).withColumn("mode", F.lit("live"))
     sandbox = contract.permitted(register, contract.SANDBOX, F.col("source_id") % 4 > 0).withColumn("mode", F.lit("sandbox"))
     return live.unionByName(sandbox)

@@ -56,7 +56,10 @@ EVENT_QUOTES_SQL = """quotes AS (
 def event_offers(events: DataFrame) -> DataFrame:
     """Quotes keyed for matching: stratum (origin and carrier), parent (origin), item, source, date, price."""
     q = event_quotes(events)
-    return q.select("observation_id", "collection_date", "origin", "carrier", F.concat_ws("|", "origin", "carrier").alias("stratum"), F.col("origin").alias("parent"), F.col("flight_number").alias("item_id"), "source_id", F.col("payable_fare").alias("price"))
+    return q.select(
+        "observation_id", "collection_date", "origin", "carrier", F.concat_ws("|", "origin", "carrier").alias("stratum"),
+        F.col("origin").alias("parent"), F.col("flight_number").alias("item_id"), "source_id", F.col("payable_fare").alias("price")
+    )
 
 
 EVENT_OFFERS_SQL = EVENT_QUOTES_SQL + """, offers AS (
@@ -67,11 +70,21 @@ def trade_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as quotes: quarter, route (supplier region > customer region), part, supplier, unit price."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     named = nation.join(region, nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
-    supplier = table(spark, sf_dir, "supplier").join(named, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("s_region"))
-    customer = table(spark, sf_dir, "customer").join(named, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("c_region"))
+    supplier = table(spark, sf_dir, "supplier").join(
+        named, F.col("s_nationkey") == F.col("n_nationkey")
+    ).select("s_suppkey", F.col("r_name").alias("s_region"))
+    customer = table(spark, sf_dir, "customer").join(
+        named, F.col("c_nationkey") == F.col("n_nationkey")
+    ).select("c_custkey", F.col("r_name").alias("c_region"))
     orders = table(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_region")
-    lines = table(spark, sf_dir, "lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select((F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).cast("int").alias("quarter"), F.to_date("l_shipdate").alias("ship_date"), F.concat_ws(">", "s_region", "c_region").alias("route"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("source_id"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
+    lines = table(spark, sf_dir, "lineitem").join(
+        supplier, F.col("l_suppkey") == F.col("s_suppkey")
+    ).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.select(
+        (F.year("l_shipdate") * 4 + F.quarter("l_shipdate") - 1).cast("int").alias("quarter"), F.to_date("l_shipdate").alias("ship_date"),
+        F.concat_ws(">", "s_region", "c_region").alias("route"), F.col("l_partkey").alias("item_id"), F.col("l_suppkey").alias("source_id"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")
+    )
 
 
 TRADE_QUOTES_SQL = """trades AS (

@@ -10,9 +10,25 @@ from pyspark.sql import types as T
 from pricedex.config import OUTCOMES
 
 #: The columns of fare and attempt sheets, in their order, and the key of an offer in the store.
-FARE_SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("travel_date", "source_id", "time_ist", "origin", "destination", "carrier", "flight_number", "departure_time", "stops", "duration_minutes", "fare_family_raw", "availability", "payable_fare", "base_fare", "taxes", "fees", "user_development_fee", "checked_baggage_kg", "change_permitted", "cancellation_permitted", "source_group", "notes")])
-ATTEMPT_SHEET = T.StructType([T.StructField(c, T.StringType()) for c in ("travel_date", "source_id", "time_ist", "origin", "destination", "outcome", "source_group", "notes")])
-STORE_KEY = ["collection_date", "source_id", "origin", "destination", "travel_date", "carrier", "flight_number", "departure_min", "fare_family_raw"]
+FARE_SHEET = T.StructType(
+    [
+        T.StructField(c, T.StringType()) for c in (
+            "travel_date", "source_id", "time_ist", "origin", "destination", "carrier", "flight_number", "departure_time", "stops",
+            "duration_minutes", "fare_family_raw", "availability", "payable_fare", "base_fare", "taxes", "fees", "user_development_fee",
+            "checked_baggage_kg", "change_permitted", "cancellation_permitted", "source_group", "notes"
+        )
+    ]
+)
+ATTEMPT_SHEET = T.StructType(
+    [
+        T.StructField(c, T.StringType()) for c in (
+            "travel_date", "source_id", "time_ist", "origin", "destination", "outcome", "source_group", "notes"
+        )
+    ]
+)
+STORE_KEY = [
+    "collection_date", "source_id", "origin", "destination", "travel_date", "carrier", "flight_number", "departure_min", "fare_family_raw"
+]
 
 
 def sheet_money(text: Column) -> Column:
@@ -53,15 +69,32 @@ def judged_fare_sheet(rows: DataFrame) -> DataFrame:
     money = {c: sheet_money(F.col(c)) for c in ("payable_fare", "base_fare", "taxes", "fees", "user_development_fee")}
     whole = ("stops", "duration_minutes", "checked_baggage_kg")
     availability = F.when(_blank("availability"), "AVAILABLE").otherwise(F.upper(F.trim("availability")))
-    typed = filled.select("*", *(v.alias(f"{c}_typed") for c, v in money.items()), *(_whole(c).alias(f"{c}_typed") for c in whole), _minute("departure_time").alias("departure_min"), _minute("time_ist").alias("observed_min"), F.trim("travel_date").try_cast("date").alias("travel_day"), availability.alias("status"))
+    typed = filled.select(
+        "*", *(v.alias(f"{c}_typed") for c, v in money.items()), *(_whole(c).alias(f"{c}_typed") for c in whole),
+        _minute("departure_time").alias("departure_min"), _minute("time_ist").alias("observed_min"),
+        F.trim("travel_date").try_cast("date").alias("travel_day"), availability.alias("status")
+    )
     sold, priced = F.col("status") == "SOLD_OUT", F.col("status") == "AVAILABLE"
     unread = lambda c: ~_blank(c) & F.col(f"{c}_typed").isNull()
     rules = [(~F.col("status").isin("AVAILABLE", "SOLD_OUT"), "availability"), (unread("payable_fare"), "payable_fare")]
-    rules += [(priced & F.col("payable_fare_typed").isNull(), "available without a fare"), (sold & F.col("payable_fare_typed").isNotNull(), "sold out with a fare")]
-    rules += [(F.col("travel_day").isNull(), "travel_date"), (_blank("source_id"), "source_id"), (_blank("carrier"), "carrier"), (~F.trim("flight_number").rlike(r"^\d+$"), "flight_number")]
-    rules += [(F.col("departure_min").isNull(), "departure_time"), (_blank("fare_family_raw"), "fare_family_raw"), (F.col("observed_min").isNull(), "time_ist"), (_blank("origin"), "origin"), (_blank("destination"), "destination")]
+    rules += [
+        (priced & F.col("payable_fare_typed").isNull(), "available without a fare"),
+        (sold & F.col("payable_fare_typed").isNotNull(), "sold out with a fare")
+    ]
+    rules += [
+        (F.col("travel_day").isNull(), "travel_date"), (_blank("source_id"), "source_id"), (_blank("carrier"), "carrier"),
+        (~F.trim("flight_number").rlike(r"^\d+$"), "flight_number")
+    ]
+    rules += [
+        (F.col("departure_min").isNull(), "departure_time"), (_blank("fare_family_raw"), "fare_family_raw"),
+        (F.col("observed_min").isNull(), "time_ist"), (_blank("origin"), "origin"), (_blank("destination"), "destination")
+    ]
     rules += [(priced & F.col(f"{c}_typed").isNull(), c) for c in whole]
-    rules += [(priced & ~F.coalesce(F.upper(F.trim(c)).isin("NONE", "FEE", "FREE"), F.lit(False)), c) for c in ("change_permitted", "cancellation_permitted")]
+    rules += [
+        (
+            priced & ~F.coalesce(F.upper(F.trim(c)).isin("NONE", "FEE", "FREE"), F.lit(False)), c
+        ) for c in ("change_permitted", "cancellation_permitted")
+    ]
     rules += [(priced & unread(c), c) for c in ("base_fare", "taxes", "fees", "user_development_fee")]
     return typed.withColumn("reject", first_failing(rules))
 
@@ -75,14 +108,22 @@ def judged_attempt_sheet(rows: DataFrame, day: Column, window: str) -> DataFrame
     named = [c for c in rows.columns if c in ATTEMPT_SHEET.fieldNames()]
     filled = rows.where(~F.forall(F.array(*(F.col(c) for c in named)), lambda x: F.coalesce(F.trim(x), F.lit("")) == ""))
     outcome = F.upper(F.trim("outcome"))
-    typed = filled.select("*", F.trim("travel_date").try_cast("date").alias("travel_day"), _minute("time_ist").alias("attempt_min"), outcome.alias("outcome_typed"), F.nullif(F.trim("source_group"), F.lit("")).alias("source_group_typed"))
-    rules = [(F.col("travel_day").isNull(), "travel_date"), (_blank("source_id"), "source_id"), (~outcome.isin(*OUTCOMES), "outcome"), (F.col("attempt_min").isNull(), "time_ist"), (_blank("origin"), "origin"), (_blank("destination"), "destination")]
+    typed = filled.select(
+        "*", F.trim("travel_date").try_cast("date").alias("travel_day"), _minute("time_ist").alias("attempt_min"),
+        outcome.alias("outcome_typed"), F.nullif(F.trim("source_group"), F.lit("")).alias("source_group_typed")
+    )
+    rules = [
+        (F.col("travel_day").isNull(), "travel_date"), (_blank("source_id"), "source_id"), (~outcome.isin(*OUTCOMES), "outcome"),
+        (F.col("attempt_min").isNull(), "time_ist"), (_blank("origin"), "origin"), (_blank("destination"), "destination")
+    ]
     return typed.withColumns({"reject": first_failing(rules), "attempt_id": attempt_id(day, window)})
 
 
 def attempt_id(day: Column, window: str) -> Column:
     """Id of the attempt that a sheet's row belongs to (columns source_id, travel_day)."""
-    return F.concat_ws("-", F.lit("att"), F.date_format(day, "yyyyMMdd"), F.lit(window), F.trim("source_id"), F.date_format("travel_day", "yyyyMMdd"))
+    return F.concat_ws(
+        "-", F.lit("att"), F.date_format(day, "yyyyMMdd"), F.lit(window), F.trim("source_id"), F.date_format("travel_day", "yyyyMMdd")
+    )
 
 
 def read_attempt_sheet(spark: SparkSession, path: str, day: Column, window: str) -> DataFrame:
@@ -92,7 +133,9 @@ def read_attempt_sheet(spark: SparkSession, path: str, day: Column, window: str)
 # Keys that a payload's page, echo, flights and fares must have.
 PAGE_KEYS = ("schema", "page", "search_echo", "flights")
 ECHO_KEYS = ("origin", "destination", "date_label", "passengers_label", "currency_label", "trip_label")
-FLIGHT_KEYS = ("flight_label", "departure", "arrival", "origin_label", "destination_label", "duration", "stops", "operated_by", "sold_out", "fares")
+FLIGHT_KEYS = (
+    "flight_label", "departure", "arrival", "origin_label", "destination_label", "duration", "stops", "operated_by", "sold_out", "fares"
+)
 FARE_KEYS = ("family", "price", "available", "concession", "entitlements", "policy", "breakdown")
 PAGE_STATES = {"challenge": "ACCESS_CHALLENGE", "error": "SITE_ERROR", "no_flights": "NO_FLIGHTS_MESSAGE", "results": "RESULTS"}
 PAYLOAD_SCHEMA = "indigo-extract/1"
@@ -120,22 +163,51 @@ def parsed_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
     top = _missing(F.json_object_keys(column), PAGE_KEYS)
     kind = F.col("p.page.kind")
     known = kind.isin(*PAGE_STATES)
-    flight_issues = F.transform(cards, lambda card, i: _issue(F.concat(F.lit("FLIGHT_CARD_"), i.cast("string"), F.lit("_MISSING_KEYS")), _missing(F.json_object_keys(card), FLIGHT_KEYS)))
-    tiles = lambda card: F.coalesce(F.from_json(F.get_json_object(card, "$.fares"), "array<string>"), F.array().cast("array<string>"))
-    fare_issues = F.transform(cards, lambda card, i: F.array_compact(F.transform(tiles(card), lambda tile, k: _issue(F.concat(F.lit("FARE_TILE_"), i.cast("string"), F.lit("."), k.cast("string"), F.lit("_MISSING_KEYS")), _missing(F.json_object_keys(tile), FARE_KEYS)))))
+    flight_issues = F.transform(
+        cards, lambda card,
+        i: _issue(
+            F.concat(F.lit("FLIGHT_CARD_"), i.cast("string"), F.lit("_MISSING_KEYS")), _missing(F.json_object_keys(card), FLIGHT_KEYS)
+        )
+    )
+    tiles = lambda card: F.coalesce(
+        F.from_json(F.get_json_object(card, "$.fares"), "array<string>"), F.array().cast("array<string>")
+    )
+    fare_issues = F.transform(
+        cards, lambda card,
+        i: F.array_compact(
+            F.transform(
+                tiles(card), lambda tile,
+                k: _issue(
+                    F.concat(F.lit("FARE_TILE_"), i.cast("string"), F.lit("."), k.cast("string"), F.lit("_MISSING_KEYS")),
+                    _missing(F.json_object_keys(tile), FARE_KEYS)
+                )
+            )
+        )
+    )
     judged = raw.withColumns({"flight_issues": flight_issues, "fare_issues": fare_issues})
     page_issue = (
-        F.when(F.size(top) > 0, _issue(F.lit("PAGE_MISSING_KEYS"), top)).when(~F.col("p.schema").eqNullSafe(PAYLOAD_SCHEMA), "SCHEMA_MISMATCH").when(kind.isNull(), "PAGE_KIND_MISSING").when(~known, F.concat(F.lit("UNKNOWN_PAGE_KIND:"), kind))
+        F.when(F.size(top) > 0, _issue(F.lit("PAGE_MISSING_KEYS"), top)).when(
+            ~F.col("p.schema").eqNullSafe(PAYLOAD_SCHEMA), "SCHEMA_MISMATCH"
+        ).when(kind.isNull(), "PAGE_KIND_MISSING").when(~known, F.concat(F.lit("UNKNOWN_PAGE_KIND:"), kind))
         .when((kind == "results") & cards.isNull(), "FLIGHTS_NOT_A_LIST")
     )
     echo_issue = _issue(F.lit("SEARCH_ECHO_MISSING_KEYS"), _missing(keys("$.search_echo"), ECHO_KEYS))
     none = F.array().cast("array<string>")
-    inner = F.when(kind == "results", F.array_compact(F.concat(F.array(echo_issue), F.coalesce("flight_issues", none), F.coalesce(F.flatten("fare_issues"), none)))).otherwise(none)
+    inner = F.when(
+        kind == "results",
+        F.array_compact(F.concat(F.array(echo_issue), F.coalesce("flight_issues", none), F.coalesce(F.flatten("fare_issues"), none)))
+    ).otherwise(none)
     states = F.lit("UNRECOGNISED")
     for name, state in PAGE_STATES.items():
         states = F.when(kind == name, state).otherwise(states)
     places = F.transform("flight_issues", lambda x, i: F.when(x.isNull() & (F.size(F.get("fare_issues", i)) == 0), i))
-    judged = judged.withColumns({"page_state": F.when(page_issue.isNotNull(), "UNRECOGNISED").otherwise(states), "issues": F.when(page_issue.isNotNull(), F.array(page_issue)).otherwise(inner), "sound": F.coalesce(F.array_compact(places), F.array().cast("array<int>"))})
+    judged = judged.withColumns(
+        {
+            "page_state": F.when(page_issue.isNotNull(), "UNRECOGNISED").otherwise(states),
+            "issues": F.when(page_issue.isNotNull(), F.array(page_issue)).otherwise(inner),
+            "sound": F.coalesce(F.array_compact(places), F.array().cast("array<int>"))
+        }
+    )
     return judged.drop("flight_issues", "fare_issues")
 
 
@@ -149,9 +221,14 @@ def payload_fares(payloads: DataFrame, column: str = "payload") -> DataFrame:
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     """A benchmark document, a JSON map from year-month-base to points, as rows; the base year stays in the key."""
     text = spark.read.text(path, wholetext=True)
-    points = text.select(F.explode(F.from_json("value", "map<string,struct<index:double,inflation:double,status:string>>")).alias("key", "point"))
+    points = text.select(
+        F.explode(F.from_json("value", "map<string,struct<index:double,inflation:double,status:string>>")).alias("key", "point")
+    )
     part = F.split("key", "-")
-    return points.select(F.get(part, 0).cast("int").alias("year"), F.get(part, 1).alias("month"), F.get(part, 2).alias("base_year"), "point.index", "point.inflation", "point.status")
+    return points.select(
+        F.get(part, 0).cast("int").alias("year"), F.get(part, 1).alias("month"), F.get(part, 2).alias("base_year"), "point.index",
+        "point.inflation", "point.status"
+    )
 
 
 def append_quotes(quotes: DataFrame, path: str) -> None:
@@ -174,17 +251,23 @@ def append_quotes(quotes: DataFrame, path: str) -> None:
 def artifact_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Raw files by content hash: identical bytes once, empty files not at all."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0")
-    return files.select(F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"), "path").groupBy("sha256", "byte_size").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("copies"))
+    return files.select(
+        F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"), "path"
+    ).groupBy("sha256", "byte_size").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("copies"))
 
 
 def export_manifest(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size"))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
+        F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_size")
+    )
 
 
 def manifest_differences(declared: DataFrame, found: DataFrame) -> DataFrame:
     """Files of a manifest that are missing, changed or not declared."""
     both = declared.alias("d").join(found.alias("f"), "name", "full_outer")
-    problem = F.when(F.col("f.sha256").isNull(), "MISSING").when(F.col("d.sha256").isNull(), "UNDECLARED").when(F.col("d.byte_size") != F.col("f.byte_size"), "SIZE").when(F.col("d.sha256") != F.col("f.sha256"), "HASH")
+    problem = F.when(F.col("f.sha256").isNull(), "MISSING").when(F.col("d.sha256").isNull(), "UNDECLARED").when(
+        F.col("d.byte_size") != F.col("f.byte_size"), "SIZE"
+    ).when(F.col("d.sha256") != F.col("f.sha256"), "HASH")
     return both.select("name", problem.alias("problem")).where("problem is not null")
 
 
@@ -216,7 +299,9 @@ def append_states(states: DataFrame, path: str) -> None:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         held = None
-    if held is not None and not states.select("collection_date").distinct().join(held.select("collection_date").distinct(), "collection_date", "left_semi").isEmpty():
+    if held is not None and not states.select("collection_date").distinct().join(
+        held.select("collection_date").distinct(), "collection_date", "left_semi"
+    ).isEmpty():
         raise ValueError("the store holds states of a date of the batch already")
     states.write.mode("append").partitionBy("collection_date").parquet(path)
 

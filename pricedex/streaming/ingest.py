@@ -48,7 +48,9 @@ def latest_sink(stream: DataFrame, store: str, checkpoint: str) -> DataStreamWri
         days = [r.collection_date for r in fresh.select("collection_date").distinct().collect()]  # the days of one batch
         held = read_store(spark, store, fresh)
         touched = f"{store}/_batch"
-        rows = fresh if held is None else deduplicated(fresh.unionByName(held.where(F.col("collection_date").isin(days)).select(fresh.columns)))
+        rows = fresh if held is None else deduplicated(
+            fresh.unionByName(held.where(F.col("collection_date").isin(days)).select(fresh.columns))
+        )
         rows.write.mode("overwrite").parquet(touched)
         spark.read.schema(fresh.schema).parquet(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection_date").parquet(f"{store}/days")
 
@@ -68,7 +70,9 @@ def read_store(spark: SparkSession, store: str, like: DataFrame) -> DataFrame |
 def exclusion_alarm(stream: DataFrame, threshold: float) -> DataFrame:
     """Exclusion rate of each source and day as the day's window closes, and whether it is above the threshold."""
     rows = watched(judged(stream))
-    rates = rows.groupBy(F.window("event_time", "1 day"), "source_id").agg(F.count(F.lit(1)).alias("quotes"), F.avg(F.col("reason").isNotNull().cast("double")).alias("rate"))
+    rates = rows.groupBy(F.window("event_time", "1 day"), "source_id").agg(
+        F.count(F.lit(1)).alias("quotes"), F.avg(F.col("reason").isNotNull().cast("double")).alias("rate")
+    )
     return rates.select(F.to_date("window.start").alias("day"), "source_id", "quotes", "rate", (F.col("rate") > threshold).alias("alarm"))
 
 
@@ -98,7 +102,9 @@ def state_sink(links: DataFrame, weights: DataFrame, store: str, checkpoint: str
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
             earlier = None
-        states = chain_states(batch, weights, None if earlier is None else earlier.select(*(c.split()[0] for c in STATE_SCHEMA.split(", "))))
+        states = chain_states(
+            batch, weights, None if earlier is None else earlier.select(*(c.split()[0] for c in STATE_SCHEMA.split(", ")))
+        )
         states.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     return links.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
