@@ -66,7 +66,9 @@ class Encoder:
         for piece, i in self.special.items():
             self.raw[i] = piece.encode()
         self.merge = tiktoken.Encoding("from_file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special_split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.special_split = regex.compile(
+            "(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")"
+        ) if self.special else None
         self.split = regex.compile(SPLIT).findall
 
     def pieces(self, text: str, make: Callable[[list[str]], Any], memo: tuple[dict[str, Any], dict[str, Any]]) -> list[Any]:
@@ -130,7 +132,9 @@ def prove_whole_tokens(spec: str) -> dict[str, int]:
             piece = raw.decode()
         except UnicodeDecodeError:
             continue
-        if piece and piece not in enc.special and enc.split(piece) == [piece] and [t.id for t in model.tokenize("".join([letters[b] for b in raw]))] == [i]:
+        if piece and piece not in enc.special and enc.split(piece) == [piece] and [
+            t.id for t in model.tokenize("".join([letters[b] for b in raw]))
+        ] == [i]:
             proven[piece] = i
     return proven
 
@@ -168,7 +172,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int, id_col: str =
                     totals.append(total)
                 sizes = np.diff(offsets)
                 totals = np.asarray(totals, np.int64)
-                yield pa.record_batch([rows.column(0), pa.array(sizes), pa.array(totals), pa.array(totals > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
+                yield pa.record_batch(
+                    [rows.column(0), pa.array(sizes), pa.array(totals), pa.array(totals > limit)],
+                    names=["id", "n_bytes", "n_tokens", "over_limit"]
+                )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(count, "id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean").withColumnRenamed("id", id_col)
@@ -276,7 +283,10 @@ def worker_chunks(key: str, spec: Any) -> ChunkEncoder:
     return _WORKER_CHUNKS[key]
 
 
-def encode_decode(docs: DataFrame, tokenizer_path: str, digest: Callable[[list[int], bytes], dict[str, Any]] | None = None, schema: str = "n_tokens bigint, ids array<int>, decoded string", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_decode(
+    docs: DataFrame, tokenizer_path: str, digest: Callable[[list[int], bytes], dict[str, Any]] | None = None,
+    schema: str = "n_tokens bigint, ids array<int>, decoded string", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id and what `digest` makes of each row's token ids and decoded bytes (by default both themselves).
 
     Chunks are content-defined, so documents that share passages share chunks.  A Python worker keeps its chunks in a
@@ -297,7 +307,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, digest: Callable[[list[i
                     ids = chunks.encode(data[a:b])
                     made.append(make(ids, b"".join(map(raw_of, ids))))
                 columns = {k: [m[k] for m in made] for k in made[0]}
-                yield pa.record_batch([rows.column(0), *(pa.array(v, types.field(k).type) for k, v in columns.items())], names=["id", *columns])
+                yield pa.record_batch(
+                    [rows.column(0), *(pa.array(v, types.field(k).type) for k, v in columns.items())], names=["id", *columns]
+                )
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -317,4 +329,6 @@ def sha_digest(ids: list[int], raw: bytes) -> dict[str, Any]:
         raw.decode()
     except UnicodeDecodeError:
         raw = raw.decode(errors="replace").encode()
-    return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest()}
+    return {
+        "n_tokens": len(ids), "ids_sha256": hashlib.sha256(listed.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(raw).hexdigest()
+    }

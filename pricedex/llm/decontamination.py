@@ -58,7 +58,11 @@ def _simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
     mixed = F.xxhash64("h", F.lit(17))
     ones = [F.sum(F.shiftrightunsigned("m", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
     summed = rows.withColumn("m", mixed).groupBy(*keys).agg(F.count(F.lit(1)).alias("all"), *ones)
-    bits = [F.when(2 * F.col(f"b{i}") > F.col("all"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for i in range(BITS)]
+    bits = [
+        F.when(
+            2 * F.col(f"b{i}") > F.col("all"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")
+        ).otherwise(F.lit(0).cast("bigint")) for i in range(BITS)
+    ]
     f = bits[0]
     for b in bits[1:]:
         f = f.bitwiseOR(b)
@@ -76,7 +80,10 @@ def _near_values() -> list[int]:
     return [sum(1 << b for b in bits) for n in range(RADIUS // BLOCKS + 1) for bits in combinations(range(width), n)]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """id, item id, start (first word, from 0), n_words and similarity (percent, rounded down) of each leak's best window."""
     worded = lambda df, i, t: df.select(F.col(i).alias("id"), words(ascii_lower(F.col(t).cast("string"))).alias("w"))
     items = worded(benchmark, item_col, item_text_col).where(F.size("w") > 0)
@@ -87,7 +94,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     short = [r.n for r in items.where(F.col("n") < size).select("n").distinct().orderBy("n").collect()]
     whole = lambda w, n: F.struct(F.lit(n).alias("g"), shingles(w, n).alias("hs"))
     sizes = [size, *short]
-    of_item = items.select("item", "n", F.explode(F.array(*(whole(F.col("w"), g) for g in sizes))).alias("s")).where((F.col("s.g") == size) & (F.col("n") >= size) | (F.col("s.g") == F.col("n")) & (F.col("n") < size))
+    of_item = items.select("item", "n", F.explode(F.array(*(whole(F.col("w"), g) for g in sizes))).alias("s")).where(
+        (F.col("s.g") == size) & (F.col("n") >= size) | (F.col("s.g") == F.col("n")) & (F.col("n") < size)
+    )
     of_item = stored(of_item.select("item", "n", "s.g", F.posexplode("s.hs").alias("at", "h")))
     known = of_item.select("g", "h", "n").distinct()
     if known.count() <= BROADCAST_SHINGLES:
@@ -97,13 +106,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     parts = F.explode(F.array(*(whole(F.col("w"), g) for g in sizes)))
     of_text = texts.select("id", F.size("w").alias("words"), (parts if short else whole(F.col("w"), size)).alias("s"))
     of_text = of_text.select("id", "words", F.col("s.g").alias("g"), F.posexplode("s.hs").alias("p", "h"))
-    hits = of_text.join(known, ["g", "h"]).groupBy("id", "words", "n").agg(F.sort_array(F.collect_set(F.col("p").cast("int"))).alias("places"))
+    hits = of_text.join(known, ["g", "h"]).groupBy("id", "words", "n").agg(
+        F.sort_array(F.collect_set(F.col("p").cast("int"))).alias("places")
+    )
     # A window of W shingles and an item of M reach percent only with (W + M) * percent / (100 + percent) in common.
     last = F.greatest(F.col("words") - F.col("n"), F.lit(0)).cast("int")
     span = F.greatest(F.least("n", "words") - size + 1, F.lit(1)).cast("int")
     needed = F.ceil((F.col("span") + F.greatest(F.col("n") - size + 1, F.lit(1))) * percent / (100 + percent) - 1e-9)
     hits = hits.withColumn("last", last).withColumn("span", span).withColumn("least", F.greatest(needed, F.lit(1)).cast("int"))
-    full = lambda p, i: F.coalesce(F.get("places", i + F.col("least") - 1) < p + F.col("span"), F.lit(False)) & (p <= F.col("last"))
+    full = lambda p, i: F.coalesce(
+        F.get("places", i + F.col("least") - 1) < p + F.col("span"), F.lit(False)
+    ) & (p <= F.col("last"))
     at_end = F.size(F.filter("places", lambda p: p >= F.col("last"))) >= F.col("least")
     ending = F.when(at_end, F.array("last")).otherwise(F.array().cast("array<int>"))
     windows = stored(hits.select("id", "n", F.explode(F.array_union(F.filter("places", full), ending)).alias("start")))
@@ -119,18 +132,26 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int =
     # Fingerprints within RADIUS of each other, by blocks.
     near = F.array(*(F.lit(v) for v in _near_values()))
     marks = _simhash(of_item, ["item", "n"])
-    spread = marks.select("item", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v")).select("item", "n", F.col("f").alias("item_f"), "block", F.explode(near).alias("d"), "v").withColumn("v", F.col("v").bitwiseXOR(F.col("d"))).drop("d")
+    spread = marks.select(
+        "item", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v")
+    ).select("item", "n", F.col("f").alias("item_f"), "block", F.explode(near).alias("d"), "v").withColumn("v", F.col("v").bitwiseXOR(F.col("d"))).drop("d")
     prints = stored(_simhash(pieces, ["key"]).join(cut.select("key", "n").distinct(), "key"))
     blocked = prints.select("key", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v"))
-    candidates = blocked.join(spread, ["n", "block", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS).select("key", "item").distinct()
+    candidates = blocked.join(spread, ["n", "block", "v"]).where(
+        F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS
+    ).select("key", "item").distinct()
 
     # Exact similarity of candidates from the shingles' counts.
     counts = lambda df, key: df.groupBy(key, "h").agg(F.count(F.lit(1)).alias(f"c_{key}"))
     mine, theirs = counts(pieces, "key"), counts(of_item, "item")
-    both = candidates.join(mine, "key").join(theirs, ["item", "h"]).groupBy("key", "item").agg(F.sum(F.least("c_key", "c_item")).alias("both"))
+    both = candidates.join(mine, "key").join(theirs, ["item", "h"]).groupBy("key", "item").agg(
+        F.sum(F.least("c_key", "c_item")).alias("both")
+    )
     totals = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
     item_totals = of_item.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    exact = both.join(totals, "key").join(item_totals, "item").withColumn("union", F.col("n_key") + F.col("n_item") - F.col("both")).where(100 * F.col("both") >= percent * F.col("union"))
+    exact = both.join(totals, "key").join(item_totals, "item").withColumn(
+        "union", F.col("n_key") + F.col("n_item") - F.col("both")
+    ).where(100 * F.col("both") >= percent * F.col("union"))
     exact = stored(exact.select("key", "item", F.floor(100 * F.col("both") / F.col("union")).cast("bigint").alias("similarity")))
     found = cut.select("id", "key", "start", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", "start", "n_words")).alias("b"))

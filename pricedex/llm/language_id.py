@@ -89,11 +89,15 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 bits = np.concatenate([np.packbits(b, axis=1) for b in _blocks(data, offsets)])
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "lang", "bits"])
+                yield pa.record_batch(
+                    [rows.column(0), rows.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "lang", "bits"]
+                )
 
     known = taught.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = sampled_texts(known, chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "lang")
-    got = sample.mapInArrow(pack, "id bigint, lang string, bits binary").toArrow().sort_by([("id", "ascending"), ("lang", "ascending"), ("bits", "ascending")])
+    got = sample.mapInArrow(pack, "id bigint, lang string, bits binary").toArrow().sort_by(
+        [("id", "ascending"), ("lang", "ascending"), ("bits", "ascending")]
+    )
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.when(lettered, F.col(text_col).cast("string")).alias("text"))
     if not got.num_rows:
         return source.select(F.col("id").alias(id_col), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -113,6 +117,9 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
                     sure.append(1 / odds.sum(axis=1))
                 empty = rows.column(1).is_null().to_numpy(zero_copy_only=False)
                 best, sure = np.concatenate(best), np.where(empty, 0.0, np.concatenate(sure))
-                yield pa.record_batch([rows.column(0), pa.array(["und" if e else names[k] for k, e in zip(best, empty)]), pa.array(sure)], names=["id", "lang_pred", "score"])
+                yield pa.record_batch(
+                    [rows.column(0), pa.array(["und" if e else names[k] for k, e in zip(best, empty)]), pa.array(sure)],
+                    names=["id", "lang_pred", "score"]
+                )
 
     return source.mapInArrow(score, "id bigint, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -60,12 +60,27 @@ def _matches(text: Column, pattern: str) -> Column:
 
     def placed(found: Column, pieces: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        step = lambda a, i: F.struct((a["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).cast("int").alias("at"), F.array_append(a["starts"], (a["at"] + F.length(F.get(pieces, i))).cast("int")).alias("starts"))
+        step = lambda a, i: F.struct(
+            (a["at"] + F.length(F.get(pieces, i)) + F.length(F.get(found, i))).cast("int").alias("at"),
+            F.array_append(a["starts"], (a["at"] + F.length(F.get(pieces, i))).cast("int")).alias("starts")
+        )
         starts = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda a: a["starts"])
-        return let(starts, lambda s: F.transform(found, lambda x, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("found"), F.right(F.get(pieces, i), F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(24)).alias("after"))))
+        return let(
+            starts,
+            lambda s: F.transform(
+                found, lambda x,
+                i: F.struct(
+                    F.get(s, i).alias("start"), (F.get(s, i) + F.length(x)).alias("end"), x.alias("found"),
+                    F.right(F.get(pieces, i), F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(24)).alias("after")
+                )
+            )
+        )
 
     none = F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda pieces: placed(found, pieces))))
+    return let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda found: F.when(F.size(found) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda pieces: placed(found, pieces)))
+    )
 
 
 def _digits(found: Column) -> Column:
@@ -73,14 +88,19 @@ def _digits(found: Column) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
-    value = lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.when(c.cast("int") >= 5, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2))
+    value = lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(
+        F.when(c.cast("int") >= 5, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)
+    )
     return total(F.transform(F.filter(F.split(F.reverse(digits), ""), lambda c: c != ""), value)) % 10 == 0
 
 
 def _valid(kind: str, found: Column) -> Column:
     if kind == "ip":
         short = lambda p: F.regexp_replace(p, "^0+", "")
-        return F.forall(F.split(found, r"\."), lambda p: (F.length(short(p)) <= 3) & (F.when(F.length(short(p)).between(1, 3), short(p)).otherwise("0").cast("int") <= 255))
+        return F.forall(
+            F.split(found, r"\."),
+            lambda p: (F.length(short(p)) <= 3) & (F.when(F.length(short(p)).between(1, 3), short(p)).otherwise("0").cast("int") <= 255)
+        )
     if kind == "card":
         return let(_digits(found), lambda d: F.length(d).between(12, 19) & _luhn(d))
     if kind == "phone":
@@ -95,7 +115,10 @@ def _spans(text: Column, patterns: dict[str, str]) -> Column:
     digits = text.rlike("[0-9]")
 
     def of_kind(kind: str, pattern: str) -> Column:
-        span = lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["found"].alias("found"), m["before"].alias("before"), m["after"].alias("after"))
+        span = lambda m: F.struct(
+            m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), m["end"].alias("end"), F.lit(kind).alias("kind"),
+            m["found"].alias("found"), m["before"].alias("before"), m["after"].alias("after")
+        )
         found = F.transform(F.filter(_matches(text, pattern), lambda m: _valid(kind, m["found"])), span)
         return F.when(needs.get(kind, digits), found.cast(typed)).otherwise(F.array().cast(typed))
 
@@ -118,7 +141,9 @@ def votes(c: Column) -> Column:
     found, before, after = c["found"], c["before"], c["after"]
     telling = rf"(?i)(?:^|[^a-z])(?:{TELLING})[^A-Za-z0-9]{{0,6}}$"
     other = rf"(?i)(?:^|[^a-z])(?:{OTHER})[^A-Za-z0-9]{{0,6}}$"
-    shape = found.rlike(r"^(?:AKIA[0-9A-Z]{12,}|[0-9a-f]{18}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pous]_[A-Za-z0-9]{20,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$") | (c["kind"] != "secret")
+    shape = found.rlike(
+        r"^(?:AKIA[0-9A-Z]{12,}|[0-9a-f]{18}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|gh[pous]_[A-Za-z0-9]{20,}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$"
+    ) | (c["kind"] != "secret")
     distinct = F.size(F.array_distinct(F.split(found, ""))) / F.length(found)
     mixed = (F.length(_digits(found)) / F.length(found)).between(0.15, 0.9)
     return F.concat(
@@ -136,10 +161,18 @@ def features(c: Column) -> Column:
     found = c["found"]
     share = F.floor(4 * F.length(_digits(found)) / F.length(found)).cast("string")
     size = F.least(F.floor(F.log2(F.length(found).cast("double"))), F.lit(8)).cast("string")
-    case = F.when(found.rlike("[a-z]") & found.rlike("[A-Z]"), "mixed").when(found.rlike("[A-Z]"), "upper").when(found.rlike("[a-z]"), "lower").otherwise("none")
-    side = lambda text, pattern: F.when(text == "", "end").when(text.rlike(pattern % "[A-Za-z0-9]"), "word").when(text.rlike(pattern % r"\s"), "space").when(text.rlike(pattern % "[\"'=:]"), "mark").otherwise("other")
+    case = F.when(
+        found.rlike("[a-z]") & found.rlike("[A-Z]"), "mixed"
+    ).when(found.rlike("[A-Z]"), "upper").when(found.rlike("[a-z]"), "lower").otherwise("none")
+    side = lambda text, pattern: F.when(text == "", "end").when(
+        text.rlike(pattern % "[A-Za-z0-9]"), "word"
+    ).when(text.rlike(pattern % r"\s"), "space").when(text.rlike(pattern % "[\"'=:]"), "mark").otherwise("other")
     signs = F.when(found.rlike("[+/_-]"), "yes").otherwise("no")
-    return F.array(F.concat(F.lit("kind="), c["kind"]), F.concat(F.lit("digits="), share), F.concat(F.lit("size="), size), F.concat(F.lit("case="), case), F.concat(F.lit("before="), side(c["before"], "%s$")), F.concat(F.lit("after="), side(c["after"], "^%s")), F.concat(F.lit("signs="), signs))
+    return F.array(
+        F.concat(F.lit("kind="), c["kind"]), F.concat(F.lit("digits="), share), F.concat(F.lit("size="), size),
+        F.concat(F.lit("case="), case), F.concat(F.lit("before="), side(c["before"], "%s$")),
+        F.concat(F.lit("after="), side(c["after"], "^%s")), F.concat(F.lit("signs="), signs)
+    )
 
 
 @dataclass(frozen=True)
@@ -171,10 +204,17 @@ def reliabilities(patterns: dict[str, float]) -> tuple[dict[str, float], list[di
         yes = sum(n * posterior[v] for v, n in patterns.items())
         table = []
         for k in range(labelers):
-            seen = {a: [sum(n * posterior[v] for v, n in patterns.items() if v[k] == a), sum(n * (1 - posterior[v]) for v, n in patterns.items() if v[k] == a)] for a in "yn-"}
+            seen = {
+                a: [
+                    sum(n * posterior[v] for v, n in patterns.items() if v[k] == a),
+                    sum(n * (1 - posterior[v]) for v, n in patterns.items() if v[k] == a)
+                ] for a in "yn-"
+            }
             table.append({a: ((seen[a][0] + prior[a][0]) / (yes + 7.5), (seen[a][1] + prior[a][1]) / (every - yes + 7.5)) for a in "yn-"})
         prior_odds = math.log((yes + 1) / (every - yes + 1))
-        posterior = {v: logistic(prior_odds + sum(math.log(table[k][v[k]][0] / table[k][v[k]][1]) for k in range(labelers))) for v in patterns}
+        posterior = {
+            v: logistic(prior_odds + sum(math.log(table[k][v[k]][0] / table[k][v[k]][1]) for k in range(labelers))) for v in patterns
+        }
     return posterior, table
 
 
@@ -203,15 +243,21 @@ def fit(docs: DataFrame, text_col: str = "text") -> SpanModel:
     Six labelers have at most 3^6 patterns and the seven features about 40 values, so the table has at most about 30,000 rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = docs.select(text.alias("t")).where(F.col("t").rlike(r"[0-9]|[\[(](?:at|AT)[\])]")).select(F.explode(let(F.col("t"), lambda t: let(base_spans(t), lambda b: candidates(t, b)))).alias("c"))
-    counted = found.select(votes(F.col("c")).alias("v"), F.explode(F.array_append(features(F.col("c")), F.lit(None).cast("string"))).alias("f"))
+    found = docs.select(text.alias("t")).where(F.col("t").rlike(r"[0-9]|[\[(](?:at|AT)[\])]")).select(
+        F.explode(let(F.col("t"), lambda t: let(base_spans(t), lambda b: candidates(t, b)))).alias("c")
+    )
+    counted = found.select(
+        votes(F.col("c")).alias("v"), F.explode(F.array_append(features(F.col("c")), F.lit(None).cast("string"))).alias("f")
+    )
     return train((r.v, r.f, r.n) for r in counted.groupBy("v", "f").agg(F.count(F.lit(1)).alias("n")).collect())
 
 
 def _both(text: Column, model: SpanModel) -> Column:
     """Struct of `base` and `found`: arrays of (start, rank, end, kind, found, before, after); found has base and added spans in order."""
     added = lambda t, b: F.filter(candidates(t, b), model.keeps)
-    return let(text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, added(t, b))).alias("found"))))
+    return let(
+        text, lambda t: let(base_spans(t), lambda b: F.struct(b.alias("base"), F.sort_array(F.concat(b, added(t, b))).alias("found")))
+    )
 
 
 def _plain(text_col: str) -> Column:
@@ -231,11 +277,26 @@ def redacted(text: Column, found: Column) -> Column:
         n = F.size(a["out"])
         fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
         last = F.get(a["out"], n - 1)
-        longer = F.array_append(F.slice(a["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind")))
-        return F.struct(F.greatest(a["end"], s["end"]).alias("end"), F.when((n > 0) & (s["start"] < a["end"]), longer).otherwise(F.array_append(a["out"], fresh)).alias("out"))
+        longer = F.array_append(
+            F.slice(a["out"], F.lit(1), F.greatest(n - 1, F.lit(0))),
+            F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        )
+        return F.struct(
+            F.greatest(a["end"], s["end"]).alias("end"),
+            F.when((n > 0) & (s["start"] < a["end"]), longer).otherwise(F.array_append(a["out"], fresh)).alias("out")
+        )
 
     def replaced(runs: Column) -> Column:
-        parts = F.transform(runs, lambda s, i: F.concat(F.substring(text, F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0) + 1, s["start"] - F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+        parts = F.transform(
+            runs, lambda s,
+            i: F.concat(
+                F.substring(
+                    text, F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0) + 1,
+                    s["start"] - F.when(i > 0, F.get(runs, i - 1)["end"]).otherwise(0)
+                ),
+                F.lit("["), F.upper(s["kind"]), F.lit("]")
+            )
+        )
         rest = F.substring(text, F.get(runs, F.size(runs) - 1)["end"] + 1, F.length(text))
         return F.concat(F.array_join(parts, ""), rest)
 
@@ -246,7 +307,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """id, the number of base spans of each kind, the SHA-256 of their list, and the list of all spans."""
     found = docs.select(F.col(id_col), _both(_plain(text_col), fit(docs, text_col)).alias("pii"))
     count = lambda kind: F.size(F.filter(F.col("pii.base"), lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
-    return found.select(F.col(id_col), *map(count, BASE_KINDS), F.sha2(listed(F.col("pii.base")), 256).alias("base_sha256"), listed(F.col("pii.found")).alias("spans"))
+    return found.select(
+        F.col(id_col), *map(count, BASE_KINDS), F.sha2(listed(F.col("pii.base")), 256).alias("base_sha256"),
+        listed(F.col("pii.found")).alias("spans")
+    )
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -64,7 +64,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     code = _CLASS[data]
     pair = code[:-1] * CLASSES + code[1:]
     together = owner[:-1] == owner[1:]
-    hist = np.bincount(owner[:-1][together] * (CLASSES * CLASSES) + pair[together], minlength=len(bag) * CLASSES * CLASSES).reshape(len(bag), -1)
+    hist = np.bincount(
+        owner[:-1][together] * (CLASSES * CLASSES) + pair[together], minlength=len(bag) * CLASSES * CLASSES
+    ).reshape(len(bag), -1)
     out[:, : CLASSES * CLASSES] = np.sqrt(hist / np.maximum(1, hist.sum(axis=1, keepdims=True)))
     if len(starts):
         hashes = span_hashes(data, starts, ends)
@@ -105,13 +107,18 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict
     raw = np.exp(g - np.repeat(np.maximum.reduceat(g, cut), counts))
     attention = raw / np.repeat(np.add.reduceat(raw, cut), counts)
     z = np.add.reduceat(attention[:, None] * e, cut, axis=0)
-    return {"e": e, "t": t, "s": s, "attention": attention, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ m["c"] + m["b"], -30, 30))), "cut": cut}
+    return {
+        "e": e, "t": t, "s": s, "attention": attention, "z": z, "p": 1 / (1 + np.exp(-np.clip(z @ m["c"] + m["b"], -30, 30))), "cut": cut
+    }
 
 
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, prior: float) -> dict[str, np.ndarray]:
     """Learned parameters; the classes of the sample are weighted to the prior share of label 1."""
     rng = np.random.default_rng(7)
-    m = {"A": rng.normal(0, 0.15, (x.shape[1], HIDDEN)), "a": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATES)), "U": rng.normal(0, 0.3, (HIDDEN, GATES)), "w": rng.normal(0, 0.3, GATES), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1)}
+    m = {
+        "A": rng.normal(0, 0.15, (x.shape[1], HIDDEN)), "a": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATES)),
+        "U": rng.normal(0, 0.3, (HIDDEN, GATES)), "w": rng.normal(0, 0.3, GATES), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1)
+    }
     fixed = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 0.02}
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) / len(y)
@@ -126,7 +133,10 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, prior: float) -> dict[
         dg = attention * (da - np.repeat(np.add.reduceat(attention * da, f["cut"]), counts))
         dt, ds = dg[:, None] * m["w"] * s * (1 - t * t), dg[:, None] * m["w"] * t * s * (1 - s)
         de = (attention[:, None] * dz + dt @ m["V"].T + ds @ m["U"].T) * (1 - e * e)
-        grad = {"A": scaled.T @ de, "a": de.sum(axis=0), "V": e.T @ dt, "U": e.T @ ds, "w": (t * s).T @ dg, "c": f["z"].T @ d, "b": np.array([d.sum()])}
+        grad = {
+            "A": scaled.T @ de, "a": de.sum(axis=0), "V": e.T @ dt, "U": e.T @ ds, "w": (t * s).T @ dg, "c": f["z"].T @ d,
+            "b": np.array([d.sum()])
+        }
         for k in m:
             g1, g2 = moments[k]
             g = grad[k] + DECAY * m[k] * (k not in "ab")
@@ -135,7 +145,9 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, prior: float) -> dict[
     return m | fixed
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(
+    docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id and score (0 to 1, higher: label 1 likelier) of each row.  Only labels where `learn` holds teach."""
     taught = labels.where(learn & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias("label"))
     shares = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
@@ -146,22 +158,31 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
             for rows, data, offsets in slices(batch, "text"):
                 x, counts = passages(data, offsets)
                 bags = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array([spread(b, BAG_MOST).tobytes() for b in bags], pa.binary())], names=["id", "label", "bag"])
+                yield pa.record_batch(
+                    [rows.column(0), rows.column(1), pa.array([spread(b, BAG_MOST).tobytes() for b in bags], pa.binary())],
+                    names=["id", "label", "bag"]
+                )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = sampled_texts(source, chosen.select(F.col(id_col).cast("bigint").alias("id"), "label"), "label")
-    got = sample.mapInArrow(describe, "id bigint, label int, bag binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("bag", "ascending")])
+    got = sample.mapInArrow(describe, "id bigint, label int, bag binary").toArrow().sort_by(
+        [("id", "ascending"), ("label", "ascending"), ("bag", "ascending")]
+    )
     y = got.column("label").to_numpy().astype(np.float64)
     if not len(y):
         return source.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in got.column("bag").to_pylist()]
-    learned = fit(np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]), y, shares.get(1, 0) / max(1, sum(shares.values())))
+    learned = fit(
+        np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]), y, shares.get(1, 0) / max(1, sum(shares.values()))
+    )
     model = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in learned.items()})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in slices(batch, "text", 1 << 20):
                 x, counts = passages(data, offsets)
-                yield pa.record_batch([rows.column(0), pa.array(forward(model.value, x, counts)["p"].astype(np.float64))], names=["id", "score"])
+                yield pa.record_batch(
+                    [rows.column(0), pa.array(forward(model.value, x, counts)["p"].astype(np.float64))], names=["id", "score"]
+                )
 
     return source.mapInArrow(score, "id bigint, score double").withColumnRenamed("id", id_col)

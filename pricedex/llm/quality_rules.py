@@ -75,20 +75,40 @@ def statistics(text: Column) -> Column:
     plain = F.coalesce(text.cast("string"), F.lit(""))
 
     def counted(w: Column) -> Column:
-        return F.struct(F.size(w).cast("bigint").alias("n_words"), total(F.transform(w, lambda x: F.length(x))).alias("word_chars"), repeated_words(w).alias("n_repeat_words"))
+        return F.struct(
+            F.size(w).cast("bigint").alias("n_words"), total(F.transform(w, lambda x: F.length(x))).alias("word_chars"),
+            repeated_words(w).alias("n_repeat_words")
+        )
 
     def duplicates(lines: Column) -> Column:
-        return F.struct(F.size(lines).cast("bigint").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"))
+        return F.struct(
+            F.size(lines).cast("bigint").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines")
+        )
 
     lines = F.filter(F.split(plain, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     odd = F.regexp_replace(plain, r"[^#*$%&|<>!?=_~^@{}\[\]\\/+0-9A-Z]+", "")
-    return F.struct(let(words(plain), counted).alias("w"), let(lines, duplicates).alias("l"), let(odd, lambda o: F.struct(F.length(F.regexp_replace(o, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"), F.length(F.regexp_replace(o, r"[A-Z#*$%&|<>]+", "")).cast("bigint").alias("n_marks"), F.length(F.regexp_replace(o, r"[^A-Z]+", "")).cast("bigint").alias("n_capitals"))).alias("s"))
+    return F.struct(
+        let(words(plain), counted).alias("w"), let(lines, duplicates).alias("l"),
+        let(
+            odd,
+            lambda o: F.struct(
+                F.length(F.regexp_replace(o, r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
+                F.length(F.regexp_replace(o, r"[A-Z#*$%&|<>]+", "")).cast("bigint").alias("n_marks"),
+                F.length(F.regexp_replace(o, r"[^A-Z]+", "")).cast("bigint").alias("n_capitals")
+            )
+        ).alias("s")
+    )
 
 
 def _vector() -> dict[str, Column]:
     """The transformed statistics of a row with n_words > 0."""
     share = lambda n, of: F.sqrt(F.col(n) / F.greatest(F.col(of), F.lit(1)))
-    return {"log_words": F.log1p("n_words"), "log_length": F.log(F.col("word_chars") / F.col("n_words")), "symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"), "lines": share("n_dup_lines", "n_lines"), "marks": share("n_marks", "word_chars"), "capitals": share("n_capitals", "word_chars")}
+    return {
+        "log_words": F.log1p("n_words"), "log_length": F.log(F.col("word_chars") / F.col("n_words")),
+        "symbols": share("n_symbols", "word_chars"), "repeats": share("n_repeat_words", "n_words"),
+        "lines": share("n_dup_lines", "n_lines"), "marks": share("n_marks", "word_chars"), "capitals": share("n_capitals", "word_chars")
+    }
 
 
 def _cells() -> Column:
@@ -105,7 +125,9 @@ def _inverse(matrix: Column) -> Column:
         def cell(t: Column) -> Column:
             i, j = F.floor(t / p).cast("int"), (t % p).cast("int")
             left, top = F.get(m, i * p + k), F.get(m, k * p + j)
-            return F.when(t == p * p, F.get(m, p * p) + F.log(pivot)).when((i == k) & (j == k), 1.0 / pivot).when(i == k, top / pivot).when(j == k, -left / pivot).otherwise(F.get(m, t) - left * top / pivot)
+            return F.when(
+                t == p * p, F.get(m, p * p) + F.log(pivot)
+            ).when((i == k) & (j == k), 1.0 / pivot).when(i == k, top / pivot).when(j == k, -left / pivot).otherwise(F.get(m, t) - left * top / pivot)
 
         return F.transform(F.sequence(F.lit(0), F.lit(p * p)), cell)
 
@@ -117,7 +139,9 @@ def _estimate(moments: DataFrame) -> DataFrame:
     p = len(VECTOR)
     floors = [f * f for f in VECTOR.values()]
     ridge = F.array(*(F.lit(floors[t // p] if t % (p + 1) == 0 else 0.0) for t in range(p * p)))
-    solved = moments.select("grp", "start", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision"))
+    solved = moments.select(
+        "grp", "start", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision")
+    )
     return stored(solved.withColumn("logdet", F.get("precision", p * p)))
 
 
@@ -143,13 +167,29 @@ def _starts(rows: DataFrame) -> DataFrame:
     """grp, start, centre and covariance (diagonal) of each group's starts, from quantiles of each coordinate."""
     p = len(VECTOR)
     q = [F.percentile_approx(F.get("v", i), F.array(*(F.lit(k / 20) for k in range(21))), 1000).alias(f"q{i}") for i in range(p)]
-    halves = lambda i: F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct((F.get(f"q{i}", k + 10) - F.get(f"q{i}", k)).alias("width"), ((F.get(f"q{i}", k + 10) + F.get(f"q{i}", k)) / 2).alias("middle")))
+    halves = lambda i: F.transform(
+        F.sequence(F.lit(0), F.lit(10)),
+        lambda k: F.struct(
+            (F.get(f"q{i}", k + 10) - F.get(f"q{i}", k)).alias("width"), ((F.get(f"q{i}", k + 10) + F.get(f"q{i}", k)) / 2).alias("middle")
+        )
+    )
     found = rows.groupBy("grp").agg(*q)
-    found = found.select("grp", *(F.struct(F.get(f"q{i}", 10).alias("median"), (F.get(f"q{i}", 15) - F.get(f"q{i}", 5)).alias("width"), F.array_min(halves(i)).alias("half")).alias(f"c{i}") for i in range(p)))
+    found = found.select(
+        "grp",
+        *(
+            F.struct(
+                F.get(f"q{i}", 10).alias("median"), (F.get(f"q{i}", 15) - F.get(f"q{i}", 5)).alias("width"),
+                F.array_min(halves(i)).alias("half")
+            ).alias(f"c{i}") for i in range(p)
+        )
+    )
 
     def start(k: int, centre: str, width: str) -> Column:
         spread = lambda i: F.pow(F.col(f"c{i}.{width}") / 1.349, 2)
-        return F.struct(F.lit(k).alias("start"), F.array(*(F.col(f"c{i}.{centre}") for i in range(p))).alias("centre"), F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance"))
+        return F.struct(
+            F.lit(k).alias("start"), F.array(*(F.col(f"c{i}.{centre}") for i in range(p))).alias("centre"),
+            F.array(*(spread(t // p) if t % (p + 1) == 0 else F.lit(0.0) for t in range(p * p))).alias("covariance")
+        )
 
     tried = F.array(start(0, "median", "width"), start(1, "half.middle", "half.width"), start(2, "median", "half.width"))
     return found.select("grp", F.explode(tried).alias("s")).select("grp", "s.*")
@@ -162,19 +202,30 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     rows = stored(rows)
     few = rows.select("grp").distinct().count() <= BROADCAST_GROUPS
     sent = F.broadcast if few else (lambda table: table)
-    binned = lambda estimate: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select("id", "grp", "start", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
+    binned = lambda estimate: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select(
+        "id", "grp", "start", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin")
+    )
     active = _estimate(_starts(rows)).withColumn("logdet", F.lit(float("inf")))
     settled = None
     while not active.isEmpty():
         measured = binned(active)
         core = measured.join(sent(_core_bins(measured)), ["grp", "start"]).where("bin <= core")
-        moments = core.groupBy("grp", "start").agg(F.array(*map(F.avg, at)).alias("centre"), F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance"))
+        moments = core.groupBy("grp", "start").agg(
+            F.array(*map(F.avg, at)).alias("centre"),
+            F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance")
+        )
         found = _estimate(moments)
         settled = found if settled is None else settled.unionByName(found)
-        active = stored(found.join(active.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]).where(F.col("logdet") < F.col("was") - FALL).drop("was"))
+        active = stored(
+            found.join(
+                active.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]
+            ).where(F.col("logdet") < F.col("was") - FALL).drop("was")
+        )
     if settled is None:
         return rows.select("id", F.lit(None).cast("double").alias("far"))
-    best = settled.groupBy("grp").agg(F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("b")).select("grp", "b.*")
+    best = settled.groupBy("grp").agg(
+        F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("b")
+    ).select("grp", "b.*")
     measured = binned(stored(best))
     edges = _core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(CHI_CORE / 3)).alias("edge"))
     return measured.where("own").join(sent(edges), "grp").select("id", (F.col("d") * CHI_CORE / F.col("edge")).alias("far"))
@@ -182,7 +233,10 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and far of each row."""
-    counted = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), statistics(F.col(text_col)).alias("st"))
+    counted = docs.select(
+        F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), statistics(F.col(text_col)).alias("st")
+    )
     counted = stored(counted.select("id", "lang", "source", "st.w.*", "st.l.*", "st.s.*"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     base = counted.withColumn("base_failed", failed)
@@ -190,16 +244,27 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     able = base.where(~F.col("base_failed"))
     sizes = able.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_source"))
     langs = sizes.groupBy("lang").agg(F.sum("n_source").alias("n_lang"))
-    level = F.when(F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all")
+    level = F.when(
+        F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))
+    ).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all")
     levels = stored(sizes.join(langs, "lang").select("lang", "source", level.alias("grp")))
     # Each row takes part in the estimates of all groups that hold it and that some row is judged by.
     wide = levels.where("grp not like 's:%'").groupBy("lang").agg(F.max(F.col("grp").like("l:%")).alias("wide"))
     small = bool(levels.where("grp = 'all'").limit(1).count())
-    holders = F.array_compact(F.array(F.col("grp"), F.when(F.col("wide"), F.concat(F.lit("l:"), "lang")), F.lit("all" if small else None).cast("string")))
-    groups = stored(levels.join(wide, "lang", "left").select("lang", "source", F.col("grp").alias("finest"), F.array_distinct(holders).alias("grps")))
-    vectors = able.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]).select("id", "finest", F.explode("grps").alias("grp"), F.array(*_vector().values()).alias("v"))
+    holders = F.array_compact(
+        F.array(F.col("grp"), F.when(F.col("wide"), F.concat(F.lit("l:"), "lang")), F.lit("all" if small else None).cast("string"))
+    )
+    groups = stored(
+        levels.join(wide, "lang", "left").select("lang", "source", F.col("grp").alias("finest"), F.array_distinct(holders).alias("grps"))
+    )
+    vectors = able.join(
+        F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]
+    ).select("id", "finest", F.explode("grps").alias("grp"), F.array(*_vector().values()).alias("v"))
     vectors = vectors.select("id", "grp", (F.col("grp") == F.col("finest")).alias("own"), "v")
     far = outlier_scores(vectors).groupBy("id").agg(F.max("far").alias("far"))
     joined = base.join(far, "id", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("far") > CUTOFF, F.lit(False))
-    return joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "far")
+    return joined.select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
+        "far"
+    )

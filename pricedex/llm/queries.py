@@ -25,7 +25,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.url_filter import Rule, judge
 
-    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    rules = [
+        Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+        Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")
+    ]
     return judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -58,13 +61,17 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.bpe import encode_decode, sha_digest
 
-    return encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), sha_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return encode_decode(
+        table(spark, sf_dir, "documents"), tokenizer_path(), sha_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    )
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.quality_rules import judge
 
-    return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +85,9 @@ def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.sampling import crc_part
 
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_part("doc_id", 3) != 1)
-    return scored.select("doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select(
+        "doc_id", (crc_part("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +95,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.toxicity import score_toxicity
 
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_part("doc_id", 4) != 2)
-    return scored.select("doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+    return scored.select(
+        "doc_id", (crc_part("doc_id", 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules, op8_pii, op9_quality_mil, op10_toxicity)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (
+        op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules,
+        op8_pii, op9_quality_mil, op10_toxicity
+    )
+}

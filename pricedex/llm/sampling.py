@@ -20,7 +20,9 @@ def stratified(labelled: DataFrame, label: str, per_label: int, most: int, id_co
     rows are ranked in SALTS parts first; what they leave is counted by the hash's BUCKETS, and only the rows of the bucket
     in which the bound falls are ranked once more, so no task gathers all rows of a label.
     """
-    rows = labelled.select(id_col, label).where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).distinct().withColumn("hash", F.xxhash64(id_col))
+    rows = labelled.select(id_col, label).where(
+        F.col(id_col).isNotNull() & F.col(label).isNotNull()
+    ).distinct().withColumn("hash", F.xxhash64(id_col))
     order = ("hash", id_col)
     salted = Window.partitionBy(label, F.pmod(F.xxhash64(F.col(id_col), F.lit("salt")), F.lit(SALTS))).orderBy(*order)
     part = rows.withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= per_label).drop("rank")
@@ -29,7 +31,9 @@ def stratified(labelled: DataFrame, label: str, per_label: int, most: int, id_co
     before = F.sum("n").over(Window.partitionBy(label).orderBy("bucket")) - F.col("n")
     counts = counts.withColumn("before", before).where(F.col("before") < per_label)
     within = Window.partitionBy(label, "bucket").orderBy(*order)
-    ranked = part.join(counts.select(label, "bucket", "before"), [label, "bucket"]).withColumn("rank", F.col("before") + F.row_number().over(within))
+    ranked = part.join(
+        counts.select(label, "bucket", "before"), [label, "bucket"]
+    ).withColumn("rank", F.col("before") + F.row_number().over(within))
     return ranked.where(F.col("rank") <= per_label).orderBy("rank", label, id_col).limit(most).select(id_col, label)
 
 

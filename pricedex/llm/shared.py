@@ -42,8 +42,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = stored(edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = stored(
+            edges.join(least, "u").select(
+                F.col("v").alias("u"), F.col("m").alias("v")
+            ).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        )
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+                edges.select(F.col("v").alias("id"), F.col("v").alias("component"))
+            ).distinct()
         seen = now

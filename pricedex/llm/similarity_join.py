@@ -230,7 +230,9 @@ def document_points(texts: DataFrame, size: int) -> DataFrame:
                 a, b = _set_keys(sets)
                 coarse = pa.array([point(s, coarse_groups(len(s))).tobytes() for s in sets], pa.binary())
                 fine = pa.array([point(s, fine_groups(len(s))).tobytes() for s in sets], pa.binary())
-                yield pa.record_batch([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), coarse, fine], names=columns)
+                yield pa.record_batch(
+                    [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), coarse, fine], names=columns
+                )
                 groups = (np.concatenate(sets) & np.uint64(ORDER_GROUPS - 1)).astype(np.int64)
                 total += np.bincount(groups, minlength=ORDER_GROUPS)
         kept = np.flatnonzero(total)
@@ -361,7 +363,9 @@ def verified(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                 for x, y in zip(bounds[at:stop].tolist(), bounds[at + 1 : stop + 1].tolist()):
                     own = np.flatnonzero(right[x - first : y - first]) + x
                     if len(own) > 1:
-                        found = spanning_links([sets[k - first] for k in own], Members(of.component[own], of.side[own], of.done[own]), percent)
+                        found = spanning_links(
+                            [sets[k - first] for k in own], Members(of.component[own], of.side[own], of.done[own]), percent
+                        )
                         links.extend((int(ids[own[u]]), int(ids[own[v]])) for u, v in found)
                 at = stop
             if links:
@@ -407,8 +411,12 @@ def _part(blocks: Column) -> Column:
 def first_groups(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Groups of the first round.  Large families are cut into blocks, with the family's least class in each."""
     rows = members.where("first").join(sizes, "fam")
-    blocks = F.when(F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("first_parts") - 1)).otherwise(F.array(_part(F.col("first_parts"))))
-    rows = rows.withColumn("i", F.explode(blocks)).withColumns({"j": F.col("i"), "component": F.col("id"), "side": F.lit(0), "done": F.lit(False)})
+    blocks = F.when(
+        F.col("a") == F.col("fam"), F.sequence(F.lit(0).cast("bigint"), F.col("first_parts") - 1)
+    ).otherwise(F.array(_part(F.col("first_parts"))))
+    rows = rows.withColumn("i", F.explode(blocks)).withColumns(
+        {"j": F.col("i"), "component": F.col("id"), "side": F.lit(0), "done": F.lit(False)}
+    )
     return rows.select(*MEMBER)
 
 
@@ -417,11 +425,15 @@ def open_groups(members: DataFrame, sizes: DataFrame, joined: DataFrame, percent
     rows = members.join(sizes, "fam").withColumn("done", F.expr("first and first_parts = 1")).join(joined, "id", "left")
     rows = stored(rows.select("fam", "a", "id", "n", "done", "parts", F.coalesce("component", "id").alias("component")))
     fresh = F.when(~F.col("done"), F.col("n"))
-    still = rows.groupBy("fam").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(fresh).alias("least"), F.max(fresh).alias("most"))
+    still = rows.groupBy("fam").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(fresh).alias("least"), F.max(fresh).alias("most")
+    )
     still = stored(still.where("lo <> hi and least is not null").select("fam", "least", "most"))
     # A class that is done is only compared with those that are not, whose sizes tell which can be linked to it.
     rows = rows.join(still, "fam").where(f"not done or 100 * n >= {percent} * least and 100 * most >= {percent} * n").drop("least", "most")
-    small = rows.where("parts = 1").withColumns({"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)}).select(*MEMBER)
+    small = rows.where("parts = 1").withColumns(
+        {"i": F.lit(0).cast("bigint"), "j": F.lit(0).cast("bigint"), "side": F.lit(0)}
+    ).select(*MEMBER)
     return small.unionByName(across_blocks(rows.where("parts > 1").drop("parts"), percent))
 
 
@@ -443,7 +455,9 @@ def across_blocks(rows: DataFrame, percent: int) -> DataFrame:
     named = lambda p: blocks.select("fam", *(F.col(c).alias(f"{p}{c}") for c in ("inner", "band", "part", "block")))
     pairs = named("x_").join(named("y_"), "fam").where("abs(x_band - y_band) <= 1 and not (x_inner and y_inner)")
     pairs = pairs.where("x_block <= y_block").select("*", F.col("x_block").alias("i"), F.col("y_block").alias("j"))
-    of = lambda p, side: pairs.select(*GROUP, *(F.col(f"{p}{c}").alias(c) for c in ("inner", "band", "part")), F.lit(side).alias("side"))
+    of = lambda p, side: pairs.select(
+        *GROUP, *(F.col(f"{p}{c}").alias(c) for c in ("inner", "band", "part")), F.lit(side).alias("side")
+    )
     ends = of("x_", 0).unionByName(of("y_", 1).where("i <> j"))
     return rows.join(ends, ["fam", "inner", "band", "part"]).select(*MEMBER)
 
@@ -469,6 +483,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     if not more.isEmpty():
         joined = stored(components(links.unionByName(more), "u", "v"))
 
-    found = member.join(joined.select(F.col("id").alias("cls"), "component"), "cls", "left").select("id", "n", F.coalesce("component", "cls").alias("component"))
+    found = member.join(
+        joined.select(F.col("id").alias("cls"), "component"), "cls", "left"
+    ).select("id", "n", F.coalesce("component", "cls").alias("component"))
     found = found.unionByName(points.where("id is null").select("id", "n", F.lit(None).cast("bigint").alias("component")))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -9,7 +9,10 @@ _WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER
 def _url_filter(order: int = 4) -> str:
     """The whole model in SQL: rules, n-gram levels, Witten-Bell smoothing, calibrated threshold."""
     fits = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
-    rules = [("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"), ("org", "/", "allow")]
+    rules = [
+        ("example.org", "/en/1", "block"), ("example.org", "/es/", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+        ("org", "/", "allow")
+    ]
     parts = [
         "base AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         f"split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM base)",
@@ -22,8 +25,12 @@ def _url_filter(order: int = 4) -> str:
         parts.append(f"l{k} AS (SELECT substr(gram, 2) AS gram, sum(a) AS a, sum(b) AS b FROM l{k + 1} GROUP BY 1)")
     for k in range(order + 1):
         below = f"JOIN p{k - 1} ON p{k - 1}.gram = substr(l{k}.gram, 2)" if k else "CROSS JOIN (SELECT 1.0 / count(*) AS qa, 1.0 / count(*) AS qb FROM l0)"
-        parts.append(f"c{k} AS (SELECT substr(gram, 1, {k}) AS ctx, sum(a) AS ta, sum(b) AS tb, greatest(count(*) FILTER (a > 0), 1) AS da, greatest(count(*) FILTER (b > 0), 1) AS db FROM l{k} GROUP BY 1)")
-        parts.append(f"p{k} AS (SELECT l{k}.gram, (a + da * qa) / (ta + da) AS qa, (b + db * qb) / (tb + db) AS qb FROM l{k} JOIN c{k} ON ctx = substr(l{k}.gram, 1, {k}) {below})")
+        parts.append(
+            f"c{k} AS (SELECT substr(gram, 1, {k}) AS ctx, sum(a) AS ta, sum(b) AS tb, greatest(count(*) FILTER (a > 0), 1) AS da, greatest(count(*) FILTER (b > 0), 1) AS db FROM l{k} GROUP BY 1)"
+        )
+        parts.append(
+            f"p{k} AS (SELECT l{k}.gram, (a + da * qa) / (ta + da) AS qa, (b + db * qb) / (tb + db) AS qb FROM l{k} JOIN c{k} ON ctx = substr(l{k}.gram, 1, {k}) {below})"
+        )
     parts += [
         f"weights AS (SELECT gram, CAST(round((ln(qa) - ln(qb)) * 1000000) AS BIGINT) AS weight FROM p{order})",
         "scores AS (SELECT scored, any_value(ruled) AS ruled, any_value(held) AS held, any_value(n) AS n, CAST(floor(sum(weight) / count(*)) AS BIGINT) AS score FROM grams JOIN weights USING (gram) GROUP BY scored)",

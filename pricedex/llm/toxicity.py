@@ -37,7 +37,10 @@ BEGINNINGS = (4, 5, 6)
 TOP = 3
 CAUTION = 2.5
 #: Letters that each sign may stand for.
-LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h"}
+LOOKALIKES = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il",
+    "|": "il", "+": "t", "(": "c", "*": "aeiou", "#": "h"
+}
 SEPARATORS = ".-_*~'^/, "
 COST_LOOKALIKE, COST_SEPARATOR, COST_REPEAT, COST_SIGN_LOST = 0.7, 0.3, 0.2, 8.0
 ALPHABET = 28  # a-z, any other letter, word boundary
@@ -264,7 +267,9 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(beta[0]), float(beta[1])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """id and score (0 to 1, higher: label 1 likelier) of each row.  Only labels where `learn` holds teach."""
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -273,14 +278,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
     shares = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
     chosen = stratified(taught, "label", PER_LABEL, 2 * PER_LABEL, id_col)
     half = (F.crc32(F.concat(F.lit("half"), F.col("id").cast("string")).cast("binary")) % 2).alias("half")
-    sample = sampled_texts(source, chosen.select(F.col(id_col).cast("bigint").alias("id"), "label"), "label").select("id", "text", "label", half)
+    sample = sampled_texts(
+        source, chosen.select(F.col(id_col).cast("bigint").alias("id"), "label"), "label"
+    ).select("id", "text", "label", half)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore = Restorer(costs.value)
         for batch in batches:
             for rows, data, offsets in slices(batch, "text"):
                 found = [np.unique(p).astype(np.int32).tobytes() for p in places(data, offsets, restore)]
-                yield pa.record_batch([rows.column(0), rows.column(2), rows.column(3), pa.array(found, pa.binary())], names=["id", "label", "half", "found"])
+                yield pa.record_batch(
+                    [rows.column(0), rows.column(2), rows.column(3), pa.array(found, pa.binary())], names=["id", "label", "half", "found"]
+                )
 
     # Each sampled document's distinct places stay where they are; only counts of a place by half and label are sent.
     told = stored(sample.mapInArrow(read, "id bigint, label int, half bigint, found binary"))
@@ -293,7 +302,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col:
 
     def strengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [strength(np.frombuffer(f, np.int32), crossed.value[h]) for f, h in zip(batch.column("found").to_pylist(), batch.column("half").to_pylist())]
+            x = [
+                strength(np.frombuffer(f, np.int32), crossed.value[h]) for f,
+                h in zip(batch.column("found").to_pylist(), batch.column("half").to_pylist())
+            ]
             yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array(x, pa.float64())], names=["id", "label", "x"])
 
     got = told.mapInArrow(strengths, "id bigint, label int, x double").toArrow().sort_by([("id", "ascending"), ("label", "ascending")])

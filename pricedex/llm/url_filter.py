@@ -77,13 +77,21 @@ def model(counts: DataFrame) -> DataFrame:
     found: DataFrame | None = None
     for k in range(ORDER + 1):
         own = levels[k].withColumn("context", F.substring("gram", 1, k))
-        context = own.groupBy("context").agg(*(F.sum(f"n_{s}").alias(f"t_{s}") for s in sides), *(F.count_if(F.col(f"n_{s}") > 0).alias(f"d_{s}") for s in sides))
+        context = own.groupBy("context").agg(
+            *(F.sum(f"n_{s}").alias(f"t_{s}") for s in sides), *(F.count_if(F.col(f"n_{s}") > 0).alias(f"d_{s}") for s in sides)
+        )
         own = own.join(context, "context")
         if found is None:
-            own = own.crossJoin(F.broadcast(levels[0].agg(F.count(F.lit(1)).alias("alphabet")))).select("*", *((1.0 / F.col("alphabet")).alias(f"q_{s}") for s in sides))
+            own = own.crossJoin(F.broadcast(levels[0].agg(F.count(F.lit(1)).alias("alphabet")))).select(
+                "*", *((1.0 / F.col("alphabet")).alias(f"q_{s}") for s in sides)
+            )
         else:
             own = own.withColumn("shorter", F.substring("gram", 2, k)).join(found, "shorter")
-        p = {s: (F.col(f"n_{s}") + F.greatest(F.col(f"d_{s}"), F.lit(1)) * F.col(f"q_{s}")) / (F.col(f"t_{s}") + F.greatest(F.col(f"d_{s}"), F.lit(1))) for s in sides}
+        p = {
+            s: (
+                F.col(f"n_{s}") + F.greatest(F.col(f"d_{s}"), F.lit(1)) * F.col(f"q_{s}")
+            ) / (F.col(f"t_{s}") + F.greatest(F.col(f"d_{s}"), F.lit(1))) for s in sides
+        }
         if k == ORDER:
             return own.select("gram", F.round((F.log(p["allow"]) - F.log(p["block"])) * SCALE).cast("bigint").alias("weight"))
         found = own.select(F.col("gram").alias("shorter"), *(p[s].alias(f"q_{s}") for s in sides))
@@ -99,15 +107,25 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     # URLs that are equal but for the query are scored once.
     distinct = urls.groupBy("scored").agg(F.count(F.lit(1)).alias("n"), F.first("ruled").alias("ruled"), F.first("host").alias("host"))
     held = F.expr("instr('0123456789abcdef', substring(md5(cast(scored AS binary)), 1, 1))") % CALIBRATION == 0
-    distinct = distinct.select("scored", "n", "ruled", held.alias("held"), F.concat(F.lit(START * ORDER), "scored", F.lit(END)).alias("padded"))
+    distinct = distinct.select(
+        "scored", "n", "ruled", held.alias("held"), F.concat(F.lit(START * ORDER), "scored", F.lit(END)).alias("padded")
+    )
     grams = with_grams(distinct)
-    counted = lambda side: F.sum(F.when((F.col("ruled") == side) & ~F.col("held"), F.col("n")).otherwise(0)).alias(f"n_{side}")
+    counted = lambda side: F.sum(
+        F.when((F.col("ruled") == side) & ~F.col("held"), F.col("n")).otherwise(0)
+    ).alias(f"n_{side}")
     weights = stored(model(stored(grams.groupBy("gram").agg(counted("allow"), counted("block")))))
-    scores = grams.join(weights, "gram").groupBy("scored").agg(F.floor(F.sum("weight") / F.count(F.lit(1))).cast("bigint").alias("score"), F.first("ruled").alias("ruled"), F.first("held").alias("held"), F.first("n").alias("n"))
+    scores = grams.join(weights, "gram").groupBy("scored").agg(
+        F.floor(F.sum("weight") / F.count(F.lit(1))).cast("bigint").alias("score"), F.first("ruled").alias("ruled"),
+        F.first("held").alias("held"), F.first("n").alias("n")
+    )
     scores = stored(scores)
     cut = threshold(scores.where("held and ruled is not null"))
     decided = F.coalesce("ruled", F.when(F.col("score") >= cut, F.lit("allow")).otherwise("block"))
-    return urls.join(scores.select("scored", "score"), "scored", "left").select(F.col("id").alias(id_col), "host", "path", "rule", decided.alias("verdict"), F.when(F.col("ruled").isNull(), F.col("score")).alias("score"))
+    return urls.join(scores.select("scored", "score"), "scored", "left").select(
+        F.col("id").alias(id_col), "host", "path", "rule", decided.alias("verdict"),
+        F.when(F.col("ruled").isNull(), F.col("score")).alias("score")
+    )
 
 
 def threshold(scores: DataFrame) -> int:
@@ -116,7 +134,11 @@ def threshold(scores: DataFrame) -> int:
     Scores are counted in at most BINS bins, so what is ordered and sent to the driver has a fixed size.
     """
     width = 20 * SCALE // BINS
-    bins = scores.select((F.floor(F.greatest(F.least("score", F.lit(10 * SCALE)), F.lit(-10 * SCALE)) / width) * width).cast("bigint").alias("edge"), F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0).alias("a"), F.when(F.col("ruled") == "block", F.col("n")).otherwise(0).alias("b"))
+    bins = scores.select(
+        (F.floor(F.greatest(F.least("score", F.lit(10 * SCALE)), F.lit(-10 * SCALE)) / width) * width).cast("bigint").alias("edge"),
+        F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0).alias("a"),
+        F.when(F.col("ruled") == "block", F.col("n")).otherwise(0).alias("b")
+    )
     rows = bins.groupBy("edge").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("edge").collect()
     all_a, all_b = sum(r.a for r in rows), sum(r.b for r in rows)
     if not all_a or not all_b:

@@ -31,8 +31,15 @@ def rows():
             changed[rng.randrange(len(changed))] = f"new{k}{rng.randrange(99)}"
         texts.append(" ".join(changed))
     texts += [prose(rng, n) for n in (5, 6, 20, 40, 80, 300)]
-    texts += ["mail a.b@c.de or +1 (377) 555-0271, card 4111 1111 1111 1111 at 10.0.0.1 and 300.1.1.1", 'token = "0123456789abcdef0123456789abcdef01234567" end', "x" * 50_000 + " tail", "9" * 30_000, "a@" * 4_000, prose(rng, 30_000), "<|endoftext|> a  b\r\n\u00a0c 's  ", "same line here\nsame line here\n" * 30]
-    return [(i, t, None if i % 7 == 0 else ("en", "de")[i % 2], None if i % 5 == 0 else "s", len(t or ""), "x", 1, "y", "k", 2, "z") for i, t in enumerate(texts)]
+    texts += [
+        "mail a.b@c.de or +1 (377) 555-0271, card 4111 1111 1111 1111 at 10.0.0.1 and 300.1.1.1",
+        'token = "0123456789abcdef0123456789abcdef01234567" end', "x" * 50_000 + " tail", "9" * 30_000, "a@" * 4_000, prose(rng, 30_000),
+        "<|endoftext|> a  b\r\n\u00a0c 's  ", "same line here\nsame line here\n" * 30
+    ]
+    return [
+        (i, t, None if i % 7 == 0 else ("en", "de")[i % 2], None if i % 5 == 0 else "s", len(t or ""), "x", 1, "y", "k", 2, "z") for i,
+        t in enumerate(texts)
+    ]
 
 
 @pytest.fixture(scope="module")
@@ -118,7 +125,11 @@ def test_repeated_ids_are_one_document(spark):
     rng = random.Random(9)
     one, two, three = (prose(rng, 30) for _ in range(3))
     rows = [(1, one), (5, one), (5, two), (7, two), (7, two), (8, three), (None, one), (9, None)]
-    got = sorted((-1 if r.doc_id is None else r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    got = sorted(
+        (-1 if r.doc_id is None else r.doc_id, r.component_id) for r in jaccard_components(
+            spark.createDataFrame(rows, "doc_id bigint, text string")
+        ).collect()
+    )
     assert got == [(-1, None), (1, 1), (5, 1), (5, 1), (7, 1), (7, 1), (8, 8), (9, 9)]
 
 
@@ -157,7 +168,9 @@ def test_tokens(spark, rows, docs, empty):
     got = {r.doc_id: r for r in token_counts(docs, path, limit=512).collect()}
     assert {k: r.n_tokens for k, r in got.items()} == {k: len(v) for k, v in expected.items()}
     assert all(r.over_limit == (r.n_tokens > 512) and r.n_bytes == len((rows[k][1] or "").encode()) for k, r in got.items())
-    digests = {r.doc_id: r for r in encode_decode(docs, path, sha_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string").collect()}
+    digests = {
+        r.doc_id: r for r in encode_decode(docs, path, sha_digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string").collect()
+    }
     for k, ids in expected.items():
         assert digests[k].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert digests[k].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
@@ -199,7 +212,9 @@ def test_quality_rules(spark, rows, docs, empty):
                 covered.update(range(k, k + 8))
         lines = [x for x in (text or "").split("\n") if WORD.search(x)]
         r = got[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)), i
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+        ), i
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (r.base_failed and r.kept)
     assert judge(empty).count() == 0
@@ -221,7 +236,9 @@ def test_rare_sources_are_judged_by_their_language(spark):
     rng = random.Random(6)
     good = lambda: prose(rng, rng.randint(60, 200)).capitalize() + "."
     junk = lambda: " | ".join(prose(rng, 80).split())
-    rows = [(i, good(), "en", "large") for i in range(400)] + [(1000 + i, junk(), "en", "rare") for i in range(5)] + [(2000, junk(), "en", "single"), (500, good(), "en", "other")]
+    rows = [(i, good(), "en", "large") for i in range(400)] + [(1000 + i, junk(), "en", "rare") for i in range(5)] + [
+        (2000, junk(), "en", "single"), (500, good(), "en", "other")
+    ]
     rows += [(600, good(), "de", "few"), (2001, junk(), "de", "few")]
     got = judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
     assert len(got) == len(rows) and all(r.kept == (r.doc_id < 1000) for r in got)
@@ -240,20 +257,35 @@ def test_hot_source_with_much_junk(spark):
 def test_pii(spark, rows, docs, empty):
     from pricedex.llm import pii
 
-    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"
+    }
 
     def valid(kind, found):
         digits = re.sub("[^0-9]", "", found)
-        luhn = sum(int(c) if k % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for k, c in enumerate(reversed(digits))) % 10 == 0
-        return {"email": True, "ip": all(p.isdigit() and len(p.lstrip("0")) < 4 and int(p) <= 255 for p in found.split(".")) if kind == "ip" else True, "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15}[kind]
-
-    odd = ["a@b.cx_d@e.f", "a.b@c a@b.c.d.", "1.2.3.4.5.6.7.8", "001.002.003.0004", "+1+2 345 678 901", "é4111-1111-1111-1111é 12 34 56 78 90 12", "0 0 0 0 0 0 0 0 0 0 0 0"]
+        luhn = sum(
+            int(c) if k % 2 == 0 else (int(c) * 2 - 9 if int(c) > 4 else int(c) * 2) for k, c in enumerate(reversed(digits))
+        ) % 10 == 0
+        return {
+            "email": True,
+            "ip": all(p.isdigit() and len(p.lstrip("0")) < 4 and int(p) <= 255 for p in found.split(".")) if kind == "ip" else True,
+            "card": 12 <= len(digits) <= 19 and luhn, "phone": 9 <= len(digits) <= 15
+        }[kind]
+
+    odd = [
+        "a@b.cx_d@e.f", "a.b@c a@b.c.d.", "1.2.3.4.5.6.7.8", "001.002.003.0004", "+1+2 345 678 901",
+        "é4111-1111-1111-1111é 12 34 56 78 90 12", "0 0 0 0 0 0 0 0 0 0 0 0"
+    ]
     more = spark.createDataFrame([(500 + i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in pii.digest(docs.select("doc_id", "text").unionByName(more)).collect()}
     for i, text in [(r[0], r[1]) for r in rows if r[0] != 31 or True] + [(500 + i, t) for i, t in enumerate(odd)]:
         if text and len(text) > 20_000 and " " not in text:
             continue  # the plain patterns are quadratic there
-        found = sorted((m.start(), k, m.end(), kind) for k, (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, text or "") if valid(kind, m.group()))
+        found = sorted(
+            (m.start(), k, m.end(), kind) for k,
+            (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, text or "") if valid(kind, m.group())
+        )
         listed = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in found)
         assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), (i, listed, got[i].spans)
         assert set(listed.split(",")) - {""} <= set(got[i].spans.split(","))
@@ -274,11 +306,19 @@ def test_decontamination(spark, docs, empty):
     three = items[2].split()
     for k in (8, 20, 32):
         three[k] = "other"
-    texts = [prose(rng, 50) + " " + items[0].upper() + "\n" + prose(rng, 20), " ".join(one_changed), "start " + " ".join(three), items[3], "x " + items[4] + " y", items[5], None, "", " ".join(items[0].split()[:15])]
+    texts = [
+        prose(rng, 50) + " " + items[0].upper() + "\n" + prose(rng, 20), " ".join(one_changed), "start " + " ".join(three), items[3],
+        "x " + items[4] + " y", items[5], None, "", " ".join(items[0].split()[:15])
+    ]
     halves = items[0].split()
-    texts += [prose(rng, 9) + " " + " ".join(halves[15:] + halves[:15]) + " end", " ".join(halves[:28]), " ".join(halves[:15] + ["new"] * 2 + halves[15:])]
+    texts += [
+        prose(rng, 9) + " " + " ".join(halves[15:] + halves[:15]) + " end", " ".join(halves[:28]),
+        " ".join(halves[:15] + ["new"] * 2 + halves[15:])
+    ]
     rows = [(i, t) for i, t in enumerate(texts)] + [(50, texts[0])]
-    sh = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+    sh = lambda w: collections.Counter(
+        tuple(w[i : i + 5]) for i in range(len(w) - 4)
+    ) if len(w) >= 5 else collections.Counter([tuple(w)])
     expected = {}
     for i, t in rows:
         w = WORD.findall((t or "").translate(LOW))
@@ -304,7 +344,10 @@ def test_decontamination_of_documents_shorter_than_the_item(spark):
     benchmark = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[:49]))], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in leaks(docs, benchmark).collect()}
-    expected = {(0, 1): (0, 48, 95), (0, 3): (0, 48, 97), (1, 1): (0, 48, 95), (1, 3): (0, 48, 93), (2, 1): (0, 49, 78), (2, 3): (0, 49, 80), (5, 2): (0, 45, 89)}
+    expected = {
+        (0, 1): (0, 48, 95), (0, 3): (0, 48, 97), (1, 1): (0, 48, 95), (1, 3): (0, 48, 93), (2, 1): (0, 49, 78), (2, 3): (0, 49, 80),
+        (5, 2): (0, 45, 89)
+    }
     assert got == expected | {(6, 1): expected[0, 1], (6, 3): expected[0, 3]}
 
 
@@ -323,12 +366,24 @@ def test_decontamination_tries_windows_between_aligned_ones(spark):
 def test_url_filter(spark):
     from pricedex.llm.url_filter import Rule, judge
 
-    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
-    urls = [None, "", "no scheme", "http://A.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://badexample.org/en/12", "https://example.org/en/2", "http://x.com/fr/", "http://x.com/fr", "http://x.com/de/9#z", "ftp://org", "a://b://c/d", "http://é.com/de/ü", "http://h?/fr/"] + [f"https://good{i}.org/en/{i}" for i in range(60)] + [f"https://spam{i}.com/de/{i}" for i in range(60)] + ["https://good9.net/en/7", "https://spam9.net/de/7"]
+    rules = [
+        Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"),
+        Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")
+    ]
+    urls = [
+        None, "", "no scheme", "http://A.Example.ORG/es/1?x#y", "https://example.org/en/12", "https://badexample.org/en/12",
+        "https://example.org/en/2", "http://x.com/fr/", "http://x.com/fr", "http://x.com/de/9#z", "ftp://org", "a://b://c/d",
+        "http://é.com/de/ü", "http://h?/fr/"
+    ] + [f"https://good{i}.org/en/{i}" for i in range(60)] + [f"https://spam{i}.com/de/{i}" for i in range(60)] + ["https://good9.net/en/7", "https://spam9.net/de/7"]
     pages = spark.createDataFrame([(i, u, "h", "s") for i, u in enumerate(urls)], "page_id bigint, url string, html string, scored string")
     got = {r.page_id: r for r in judge(pages, rules).collect()}
     assert len(got) == len(urls)
-    assert [(got[i].host, got[i].path, got[i].rule) for i in range(14)] == [("", "", None), ("", "", None), ("", "", None), ("a.example.org", "/es/1", "example.org/es/"), ("example.org", "/en/12", "example.org/en/1"), ("badexample.org", "/en/12", "org/"), ("example.org", "/en/2", "org/"), ("x.com", "/fr/", "com/fr/"), ("x.com", "/fr", None), ("x.com", "/de/9", "com/de/"), ("org", "", None), ("b:", "//c/d", None), ("é.com", "/de/ü", "com/de/"), ("h", "", None)]
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(14)] == [
+        ("", "", None), ("", "", None), ("", "", None), ("a.example.org", "/es/1", "example.org/es/"),
+        ("example.org", "/en/12", "example.org/en/1"), ("badexample.org", "/en/12", "org/"), ("example.org", "/en/2", "org/"),
+        ("x.com", "/fr/", "com/fr/"), ("x.com", "/fr", None), ("x.com", "/de/9", "com/de/"), ("org", "", None), ("b:", "//c/d", None),
+        ("é.com", "/de/ü", "com/de/"), ("h", "", None)
+    ]
     assert got[len(urls) - 2].verdict == "allow" and got[len(urls) - 1].verdict == "block"
     assert judge(pages.limit(0), rules).count() == 0
 
@@ -350,7 +405,9 @@ def test_classifiers(spark, docs, empty):
                 words[rng.randrange(len(words))] = rng.choice(["vermin", "v3rmin", "scumbag", "v.e.r.m.i.n", "vermiiiin"])
         rows.append((i, " ".join(words) if good else " ".join(w + " " + w for w in words) + " |", ("en", "de")[i % 2 == 0]))
         labels.append((i, int(good), int(toxic)))
-    made = spark.createDataFrame([*rows, (900, None, "en"), (901, "", None), (902, "12 34", "de")], "doc_id bigint, text string, lang string")
+    made = spark.createDataFrame(
+        [*rows, (900, None, "en"), (901, "", None), (902, "12 34", "de")], "doc_id bigint, text string, lang string"
+    )
     marks = spark.createDataFrame([*labels, (7777, 1, 1), (8, None, None)], "doc_id bigint, quality int, toxic int")
     learn = crc_part("doc_id", 3) != 1
     lang = {r.doc_id: r for r in identify(made, learn).collect()}
@@ -375,7 +432,9 @@ def test_restoration():
         for a, b, c in zip(code, code[1:], code[2:]):
             counts[a, b, c] += 1
     restore = toxicity.Restorer(toxicity.language_model(counts))
-    for shown, word in {"v3rm1n": b"vermin", "l.o.s.e.r": b"loser", "t r a s h": b"trash", "$cumb@g": b"scumbag", "tttrrraaash": b"trash"}.items():
+    for shown, word in {
+        "v3rm1n": b"vermin", "l.o.s.e.r": b"loser", "t r a s h": b"trash", "$cumb@g": b"scumbag", "tttrrraaash": b"trash"
+    }.items():
         assert restore(shown.encode()) == word
 
 
@@ -386,14 +445,19 @@ def test_suspects_hold_all_matches():
     from pricedex.llm.textkernel import words
 
     long = b"s" + b"o" * 60 + b"1"
-    shown = {b"you s t u p 1 d man": [b"s t u p 1 d"], b"f * c k": [b"f * c k"], b"such 1 d 1 0 t s": [b"1 d 1 0 t s"], b"an " + long + b" end": [long], b"1 2 3 4": [], b"hey! you": []}
+    shown = {
+        b"you s t u p 1 d man": [b"s t u p 1 d"], b"f * c k": [b"f * c k"], b"such 1 d 1 0 t s": [b"1 d 1 0 t s"],
+        b"an " + long + b" end": [long], b"1 2 3 4": [], b"hey! you": []
+    }
     rng = random.Random(8)
     texts = [*shown, *("".join(rng.choice("abss1$*. .-!(\n") for _ in range(60)).encode() for _ in range(400)), b"*" * 3000 + b"ab"]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     begin, end, runs = toxicity._suspects(data, *words(data, offsets))
     raw = data.tobytes()
     for k, text in enumerate(texts):
-        assert [m for r in range(runs[k], runs[k + 1]) for m in toxicity.found(raw[begin[r] : end[r]])] == toxicity.found(text) == shown.get(text, toxicity.found(text)), text
+        assert [
+            m for r in range(runs[k], runs[k + 1]) for m in toxicity.found(raw[begin[r] : end[r]])
+        ] == toxicity.found(text) == shown.get(text, toxicity.found(text)), text
 
 
 def test_pipeline_stages_keep_columns(spark, tmp_path, docs):
@@ -401,7 +465,9 @@ def test_pipeline_stages_keep_columns(spark, tmp_path, docs):
 
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     given = docs.select(columns)
-    spark.createDataFrame([(0, "nothing of this kind is in the documents at all")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(
+        [(0, "nothing of this kind is in the documents at all")], "item_id bigint, text string"
+    ).write.parquet(f"{tmp_path}/benchmark.parquet")
     given.write.parquet(f"{tmp_path}/documents.parquet")
     frame = given
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -432,7 +498,9 @@ def test_samples_are_bounded_and_even(spark):
     counts = {r.label: r["count"] for r in chosen.groupBy("label").count().collect()}
     assert counts == {"l0": 80, "l1": 80, "l2": 80} and chosen.distinct().count() == 240
     hashes = {r.doc_id: r.h for r in labelled.where("label = 'l1'").select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().collect()}
-    assert {r.doc_id for r in stratified(labelled, "label", 100, 300).where("label = 'l1'").collect()} == set(sorted(hashes, key=hashes.get)[:100])
+    assert {
+        r.doc_id for r in stratified(labelled, "label", 100, 300).where("label = 'l1'").collect()
+    } == set(sorted(hashes, key=hashes.get)[:100])
     texts = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c")], "id bigint, text string")
     got = sampled_texts(texts, spark.createDataFrame([(1, 1), (2, 0)], "id bigint, label int"), "label")
     assert sorted((r.id, r.label, r.text or "") for r in got.collect()) == [(1, 1, "a"), (2, 0, "")]
@@ -449,7 +517,12 @@ def test_reliabilities_agree_with_likelihood():
     prior = {"y": (4.0, 1.0), "n": (1.0, 4.0), "-": (2.5, 2.5)}
 
     def objective(share, t):
-        total = sum(n * math.log(share * math.prod(t[k][v[k]][0] for k in range(3)) + (1 - share) * math.prod(t[k][v[k]][1] for k in range(3))) for v, n in patterns.items())
+        total = sum(
+            n * math.log(
+                share * math.prod(t[k][v[k]][0] for k in range(3)) + (1 - share) * math.prod(t[k][v[k]][1] for k in range(3))
+            ) for v,
+            n in patterns.items()
+        )
         return total + sum(prior[a][c] * math.log(t[k][a][c]) for k in range(3) for a in "yn-" for c in (0, 1))
 
     share = sum(n * posterior[v] for v, n in patterns.items()) / sum(patterns.values())
@@ -483,7 +556,9 @@ def test_robust_estimate_agrees_with_all_subsets(spark):
     core = x[list(best)]
     off = x - core.mean(axis=0)
     exact = np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(core.T, bias=True) + np.diag(floors)), off)
-    rows = spark.createDataFrame([(i, "g", True, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, grp string, own boolean, v array<double>")
+    rows = spark.createDataFrame(
+        [(i, "g", True, [float(v) for v in r]) for i, r in enumerate(x)], "id bigint, grp string, own boolean, v array<double>"
+    )
     far = {r.id: r.far for r in outlier_scores(rows).collect()}
     assert set(np.argsort(exact)[-3:].tolist()) == set(sorted(far, key=far.get)[-3:]) == {0, 1, 2}
     assert min(far[i] for i in range(3)) > 20 * max(far[i] for i in range(3, 14))
@@ -492,7 +567,14 @@ def test_robust_estimate_agrees_with_all_subsets(spark):
 def test_spelled_out_addresses_of_any_length(spark):
     from pricedex.llm import pii
 
-    texts = [(1, f"write to {'a' * 90}.b [at] {'c' * 70} [dot] org now"), (2, "call joe [at] gmail.com"), (3, "x" * 30_000 + " [at] y"), (4, "ab" * 20_000)]
+    texts = [
+        (1, f"write to {'a' * 90}.b [at] {'c' * 70} [dot] org now"), (2, "call joe [at] gmail.com"), (3, "x" * 30_000 + " [at] y"),
+        (4, "ab" * 20_000)
+    ]
     frame = spark.createDataFrame(texts, "doc_id bigint, text string")
-    found = {r.doc_id: [c.found for c in r.c] for r in frame.select("doc_id", pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")).collect()}
+    found = {
+        r.doc_id: [c.found for c in r.c] for r in frame.select(
+            "doc_id", pii.candidates(F.col("text"), pii.base_spans(F.col("text"))).alias("c")
+        ).collect()
+    }
     assert found[1] == [f"{'a' * 90}.b [at] {'c' * 70} [dot] org"] and found[2] == ["joe [at] gmail.com"] and found[3] == []
