@@ -66,7 +66,7 @@ def a2_attempt_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'FREE' WHEN 1 THEN 'FEE' WHEN 2 THEN 'NONE' WHEN 5 THEN 'FEE' END AS change,
 CASE WHEN event_id % 6 = 5 THEN CASE event_id % 4 WHEN 1 THEN 'FEE' WHEN 3 THEN 'FEE' END ELSE CASE event_id % 4 WHEN 0 THEN 'NONE' WHEN 1 THEN 'FEE' WHEN 2 THEN 'FREE' END END AS cancel,
-CASE event_id % 5 WHEN 0 THEN 15 WHEN 1 THEN 0 END AS checked_kg, round(value, 2) AS base_fare, CASE WHEN event_id % 3 = 0 THEN 200.0 WHEN event_id % 2 = 0 THEN 100.0 END AS taxes, CASE WHEN event_id % 7 <> 0 THEN 12.5 END AS udf FROM events""")
+CASE event_id % 5 WHEN 0 THEN 15 WHEN 1 THEN 0 END AS checked_kg, round(value, 2) AS base_fare, CASE WHEN event_id % 3 = 0 THEN 200.0::DOUBLE WHEN event_id % 2 = 0 THEN 100.0::DOUBLE END AS taxes, CASE WHEN event_id % 7 <> 0 THEN 12.5::DOUBLE END AS udf FROM events""")
 def i4_policy_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy, baggage and breakdown lines rendered from events and read back; lines that disagree are null."""
     lines = F.array(

@@ -119,7 +119,7 @@ def test_period_change_skips_empty_periods(spark):
 def test_fare_sheet_rejects(spark):
     from pricedex.sources.files import FARE_SHEET, judged_fare_sheet
 
-    good = {"travel_date": "2026-10-13", "source_id": "x", "origin": "DEL", "destination": "BOM", "carrier": "6E", "flight_number": "101", "departure_time": "06:05", "availability": "AVAILABLE", "payable_fare": "₹5,000.00"}
+    good = {"travel_date": "2026-10-13", "source_id": "x", "origin": "DEL", "destination": "BOM", "carrier": "6E", "flight_number": "101", "departure_time": "06:05", "availability": "AVAILABLE", "payable_fare": "₹5,000.00", "time_ist": "21:05", "stops": "0", "duration_minutes": "120", "fare_family_raw": "Saver", "checked_baggage_kg": "15", "change_permitted": "FEE", "cancellation_permitted": "FEE"}
     rows = [good, good | {"payable_fare": " "}, good | {"flight_number": "6E101"}, good | {"availability": "SOLD_OUT"}, good | {"base_fare": "abc"}, good | {"departure_time": "25:00"}]
     got = judged_fare_sheet(spark.createDataFrame([tuple(r.get(f.name) for f in FARE_SHEET) for r in rows], FARE_SHEET)).collect()
     assert [r.reject for r in got] == [None, "available without a fare", "flight_number", "sold out with a fare", "base_fare", "departure_time"]
