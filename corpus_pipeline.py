@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; each result is written as
 Parquet and read again.  Rows with a null doc_id cannot be told apart by later joins and always stay; where a
 doc_id repeats, a decision about it holds for all its rows.
+
+Cases, in every stage: an empty table gives an empty one with the same columns; null and empty texts have no words, so
+the quality rules reject them and later stages only see those with a null doc_id; ties of equal documents keep the least
+doc_id; long texts are read whole; columns beyond those of documents are dropped by no stage but the last.
 """
 
 from __future__ import annotations

@@ -578,3 +578,24 @@ def test_spelled_out_addresses_of_any_length(spark):
         ).collect()
     }
     assert found[1] == [f"{'a' * 90}.b [at] {'c' * 70} [dot] org"] and found[2] == ["joe [at] gmail.com"] and found[3] == []
+
+
+def test_pipeline_on_small_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda: prose(rng, rng.randint(60, 200)).capitalize() + "."
+    item = prose(rng, 30)
+    good = [(i, text()) for i in range(30)]
+    leaky = prose(rng, 40) + " " + item + " " + prose(rng, 40)
+    others = [(100, good[3][1]), (101, good[3][1].upper()), (102, "too short"), (103, None), (104, leaky), (105, ""), (None, text()), (None, None), (106, good[5][1] + " mail joe@example.org"), (30, text()), (30, text())]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    rows = [(i, t, None if i == 7 else "en", None if i == 8 else "s", len(t or "")) for i, t in good + others]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    found = corpus_pipeline.run(spark, f"{tmp_path}/sf").collect()
+    assert sorted(r.doc_id for r in found if r.doc_id is not None) == [*range(30), 30, 30]
+    assert sum(r.doc_id is None for r in found) == 2 and all(r.n_tokens >= 0 for r in found)
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
