@@ -100,9 +100,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.resampling import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, least_words=20, seed=42)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules,
-        op8_pii, op9_quality_mil, op10_toxicity
+        op8_pii, op9_quality_mil, op10_toxicity, op13_importance_resampling
     )
 }

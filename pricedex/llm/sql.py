@@ -65,4 +65,33 @@ reach AS (SELECT DISTINCT x, x AS y FROM links UNION SELECT r.x, l.y FROM reach
 least_id AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN least_id ON x = d.doc_id"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _url_filter(), "op3_decontamination": _DECONTAMINATION, "op4_jaccard_join": _JACCARD}
+_TOKENS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+
+def _crc(strings: str) -> str:
+    """Tables that give crc(s, code) of the distinct s in `strings`: the code is linear, so it is the xor of each byte's part by its distance from the end."""
+    return f"""shifts AS (SELECT b, b AS c, 0 AS k FROM range(256) AS r(b) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM shifts WHERE k < 8),
+bytes_of AS (SELECT b, c FROM shifts WHERE k = 8),
+keys AS (SELECT s, hex(encode(s)) AS x FROM ({strings}) GROUP BY s),
+longest AS (SELECT coalesce(max(length(x) // 2), 0) AS n FROM keys),
+parts AS (SELECT 0 AS k, b, c FROM bytes_of UNION ALL SELECT k + 1, parts.b, xor(parts.c // 256, t.c) FROM parts JOIN bytes_of t ON t.b = parts.c % 256 WHERE k < (SELECT n FROM longest)),
+blank AS (SELECT CAST(0 AS BIGINT) AS n, CAST(4294967295 AS BIGINT) AS c UNION ALL SELECT blank.n + 1, xor(blank.c // 256, t.c) FROM blank JOIN bytes_of t ON t.b = blank.c % 256 WHERE blank.n < (SELECT n FROM longest)),
+places AS (SELECT s, length(x) // 2 AS n, i, (instr('0123456789ABCDEF', substr(x, 2 * i - 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i, 1)) - 1 AS b FROM keys, unnest(range(1, length(x) // 2 + 1)) AS t(i)),
+sums AS (SELECT s, any_value(n) AS n, bit_xor(c) AS c FROM places JOIN parts ON parts.k = places.n - places.i AND parts.b = places.b GROUP BY s),
+crc AS (SELECT s, xor(xor(sums.c, blank.c), 4294967295) AS code FROM sums JOIN blank USING (n))"""
+
+
+_RESAMPLED = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents), b AS (SELECT {_TOKENS} AS w FROM benchmark),
+df AS (SELECT r, array_to_string(w[i:i + k - 1], ' ') AS s FROM d, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+bf AS (SELECT array_to_string(w[i:i + k - 1], ' ') AS s FROM b, unnest([1, 2, 3]) AS u(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+{_crc("SELECT s FROM df UNION ALL SELECT s FROM bf")},
+sc AS (SELECT code % 10000 AS bucket, count(*) AS n FROM df JOIN crc USING (s) GROUP BY 1), tc AS (SELECT code % 10000 AS bucket, count(*) AS n FROM bf JOIN crc USING (s) GROUP BY 1),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(tc.n, 0) AS DOUBLE) + 1) * (CAST((SELECT coalesce(sum(n), 0) FROM sc) AS DOUBLE) + 10000) / ((CAST(sc.n AS DOUBLE) + 1) * (CAST((SELECT coalesce(sum(n), 0) FROM tc) AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM sc LEFT JOIN tc USING (bucket)),
+sums_of AS (SELECT r, count(*) AS n, sum(gain) AS weight FROM df JOIN crc USING (s) JOIN gains ON bucket = code % 10000 GROUP BY r),
+digits AS (SELECT d.r, doc_id, len(w) AS n_words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM d LEFT JOIN sums_of ON sums_of.r = d.r),
+hashed AS (SELECT *, (SELECT sum((instr('0123456789abcdef', substr(x, CAST(i AS INT), 1)) - 1) * CAST(pow(16, 8 - i) AS BIGINT)) FROM unnest(range(1, 9)) AS t(i)) AS h FROM digits),
+scored AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM hashed),
+placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n) AS place, count(*) OVER () AS total FROM scored WHERE n_words >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN place <= floor(5 * total / 100) THEN place END AS rank FROM scored LEFT JOIN placed USING (r)"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _url_filter(), "op3_decontamination": _DECONTAMINATION, "op4_jaccard_join": _JACCARD, "op13_importance_resampling": _RESAMPLED}
