@@ -94,4 +94,21 @@ scored AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((CAST(h AS DOUBLE) + 0.5
 placed AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n) AS place, count(*) OVER () AS total FROM scored WHERE n_words >= 20)
 SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, score, CASE WHEN place <= floor(5 * total / 100) THEN place END AS rank FROM scored LEFT JOIN placed USING (r)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _url_filter(), "op3_decontamination": _DECONTAMINATION, "op4_jaccard_join": _JACCARD, "op13_importance_resampling": _RESAMPLED}
+#: A node is the set of rebuilt prefixes with one digest; sums over its subtree go over its members, each of which brings the nodes that it is the smallest member of.
+_TRIE = f"""WITH RECURSIVE t AS (SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, mark, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS nr FROM t),
+{_crc("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS s FROM t")},
+c AS (SELECT conv_id, count(*) AS own, any_value(code) % 4 AS h, conv_id - conv_id % 20 AS base FROM o JOIN crc ON s = CAST(conv_id AS VARCHAR) GROUP BY conv_id),
+k AS (SELECT c.*, least(c.h, coalesce(b.own, 0)) AS taken, least(c.h, coalesce(b.own, 0)) + greatest(c.own - c.h, 0) AS length FROM c LEFT JOIN c b ON b.conv_id = c.base),
+r AS (SELECT k.conv_id, nr AS d, mark, w FROM k JOIN o ON o.conv_id = base AND nr <= h UNION ALL SELECT k.conv_id, nr - h + taken, mark, w FROM k JOIN o ON o.conv_id = k.conv_id AND nr > h),
+p AS (SELECT conv_id, d, w, sha256(string_agg(mark, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS x FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM k),
+q AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY d) AS px FROM p),
+n AS (SELECT x, min(conv_id) AS c, any_value(d) AS d, any_value(px) AS px, any_value(w) AS w, count(*) AS n FROM q GROUP BY x),
+kids AS (SELECT px AS x, count(*) AS n_children FROM n WHERE px IS NOT NULL GROUP BY px),
+held AS (SELECT c, d, (n - 1) * w AS saved, n_children IS NULL AS leaf FROM n LEFT JOIN kids USING (x)),
+sub AS (SELECT x, sum(saved) AS saved, count(*) FILTER (leaf) AS n_leaves FROM p JOIN held ON c = conv_id AND held.d >= p.d GROUP BY x),
+ends AS (SELECT x, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM p JOIN k USING (conv_id) WHERE d = length GROUP BY x)
+SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n up ON up.x = n.px LEFT JOIN kids ON kids.x = n.x JOIN sub ON sub.x = n.x LEFT JOIN ends ON ends.x = n.x"""
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _url_filter(), "op3_decontamination": _DECONTAMINATION, "op4_jaccard_join": _JACCARD, "op13_importance_resampling": _RESAMPLED, "op11_conversation_trie": _TRIE}
