@@ -106,6 +106,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(table(spark, sf_dir, "conversations"), family=20, most=4)
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pricedex.llm.license_scan import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pricedex.llm.resampling import resample
 
@@ -115,6 +121,6 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_url_filter, op2_language_id, op3_decontamination, op4_jaccard_join, op5_token_counts, op6_bpe_roundtrip, op7_quality_rules,
-        op8_pii, op9_quality_mil, op10_toxicity, op11_conversation_trie, op13_importance_resampling
+        op8_pii, op9_quality_mil, op10_toxicity, op11_conversation_trie, op12_license_scan, op13_importance_resampling
     )
 }

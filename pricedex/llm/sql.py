@@ -111,4 +111,37 @@ ends AS (SELECT x, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS
 SELECT n.c AS conv_id, CAST(n.d AS BIGINT) AS depth, up.c AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM n LEFT JOIN n up ON up.x = n.px LEFT JOIN kids ON kids.x = n.x JOIN sub ON sub.x = n.x LEFT JOIN ends ON ends.x = n.x"""
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": _url_filter(), "op3_decontamination": _DECONTAMINATION, "op4_jaccard_join": _JACCARD, "op13_importance_resampling": _RESAMPLED, "op11_conversation_trie": _TRIE}
+def _license_scan() -> str:
+    """Base phrases at every place, and templates by their rarest words at one start with all key phrases verified."""
+    from pricedex.llm.license_scan import ANCHORS, BASE, TEMPLATES
+
+    values = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    places = values((k, t.label, q, w) for k, t in enumerate(TEMPLATES) for q, w in enumerate(t.text.split()))
+    phrases = values(
+        (k, m, (" " + t.text + " ").split(" " + p + " ")[0].count(" "), len(p.split()), p.split()[0], p) for k, t in enumerate(TEMPLATES) for m, p in enumerate(t.phrases)
+    )
+    base = values((p, p.split()[0], len(p.split()), label) for p, label in BASE.items())
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TOKENS} AS w FROM documents),
+tok AS (SELECT r, w, i - 1 AS i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+tp AS (SELECT * FROM (VALUES {places}) AS v(t, label, q, word)),
+ph AS (SELECT * FROM (VALUES {phrases}) AS v(t, m, q, n, word, phrase)),
+bp AS (SELECT * FROM (VALUES {base}) AS v(phrase, word, n, label)),
+bh AS (SELECT r, i, label FROM tok JOIN bp USING (word) WHERE array_to_string(w[i + 1:i + n], ' ') = phrase),
+bs AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word FROM bh GROUP BY r),
+df AS (SELECT word, count(DISTINCT r) AS n FROM tok WHERE word IN (SELECT word FROM tp) GROUP BY word),
+kinds AS (SELECT DISTINCT t, word, coalesce(n, 0) AS n FROM tp LEFT JOIN df USING (word)),
+anchors AS (SELECT t, word, CAST(floor(1000 * ln(CAST((SELECT count(*) FROM d) + 1 AS DOUBLE) / (n + 1))) AS BIGINT) + 1 AS weight FROM kinds QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, word) <= {ANCHORS}),
+alls AS (SELECT t, sum(weight) AS total FROM anchors GROUP BY t),
+hits AS (SELECT DISTINCT r, ph.t, i - q AS start, m FROM tok JOIN ph USING (word) WHERE array_to_string(w[i + 1:i + n], ' ') = phrase),
+full_hits AS (SELECT r, t, start FROM hits JOIN (SELECT t, count(*) AS needed FROM ph GROUP BY t) USING (t) GROUP BY r, t, start, needed HAVING count(*) = needed),
+votes AS (SELECT DISTINCT f.r, f.t, f.start, anchors.word, weight FROM full_hits f JOIN tp ON tp.t = f.t JOIN anchors ON anchors.t = tp.t AND anchors.word = tp.word JOIN tok ON tok.r = f.r AND tok.word = tp.word AND tok.i = f.start + tp.q),
+found AS (SELECT r, votes.t, start, sum(weight) AS matched FROM votes GROUP BY ALL),
+kept AS (SELECT r, (SELECT any_value(label) FROM tp WHERE tp.t = found.t) AS label, CAST(matched AS DOUBLE) / total AS share FROM found JOIN alls USING (t) WHERE 2 * matched >= total),
+own AS (SELECT r, max(share) AS share FROM kept GROUP BY r),
+bl AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM bh GROUP BY r),
+el AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM bh UNION ALL SELECT r, label FROM kept) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(bl.labels, '') AS base_labels, coalesce(el.labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
+FROM d LEFT JOIN bs USING (r) LEFT JOIN bl USING (r) LEFT JOIN el USING (r) LEFT JOIN own USING (r)"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": _url_filter(), "op3_decontamination": _DECONTAMINATION, "op4_jaccard_join": _JACCARD, "op13_importance_resampling": _RESAMPLED, "op11_conversation_trie": _TRIE, "op12_license_scan": _license_scan()}
