@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pricedex.config import COLLECTION_WINDOW
 from pricedex.functions.derive import fare_class, lead_bucket, lead_days, route
 
 
@@ -20,7 +21,7 @@ def with_reason(quotes: DataFrame, window: tuple[int, int] | None = None) -> Dat
         (missing("origin") | missing("destination") | missing("carrier"), "MISSING_REQUIRED_FIELD", F.lit("origin/destination/carrier")),
         (missing("flight_number"), "MISSING_REQUIRED_FIELD", F.lit("flight_number")),
         (missing("source_id"), "MISSING_REQUIRED_FIELD", F.lit("source_id")),
-        (F.col("payable_fare") <= 0, "NON_POSITIVE_FARE", F.lit("payable_fare")),
+        (F.coalesce("payable_fare", F.lit(0)) <= 0, "NON_POSITIVE_FARE", F.lit("payable_fare")),
         (F.col("availability") == "SOLD_OUT", "SOLD_OUT", F.lit("availability")),
         (lead_bucket().isNull(), "LEAD_TIME_MATCHES_NO_BUCKET", F.concat(F.lit("lead_time_days="), lead_days().cast("string"))),
     ]
@@ -57,3 +58,16 @@ def ranked_duplicates(quotes: DataFrame) -> DataFrame:
 
 def deduplicated(quotes: DataFrame) -> DataFrame:
     return ranked_duplicates(quotes).where("rank = 1").drop("rank", "winner")
+
+
+def admitted(quotes: DataFrame, window: tuple[int, int] | None = COLLECTION_WINDOW) -> DataFrame:
+    """What enters the index: admissible quotes, of each duplicate group the newest."""
+    return deduplicated(admissible(quotes, window))
+
+
+def left_out(quotes: DataFrame, window: tuple[int, int] | None = COLLECTION_WINDOW) -> DataFrame:
+    """(source_id, reason, quotes): what `admitted` leaves out, by the first failing rule or as a duplicate."""
+    judged = with_reason(quotes, window)
+    extra = ranked_duplicates(judged.where("reason is null")).where("rank > 1").withColumn("reason", F.lit("DUPLICATE"))
+    rows = judged.where("reason is not null").select("source_id", "reason").unionByName(extra.select("source_id", "reason"))
+    return rows.groupBy("source_id", "reason").agg(F.count(F.lit(1)).alias("quotes"))

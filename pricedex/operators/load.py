@@ -47,8 +47,8 @@ def off_frame_leads(leads: Column) -> Column:
 
 
 def basket_rules() -> dict[str, Column]:
-    """Invariants of a basket's route (origin, destination, weight, weight_source)."""
-    bad = lambda c: ~F.coalesce((F.length(c) == 3) & (F.upper(c) == F.col(c)), F.lit(False))
+    """Invariants of a basket's route (origin, destination, weight, weight_source); a code has three characters, a letter among them and none in lower case."""
+    bad = lambda c: ~F.coalesce((F.length(c) == 3) & (F.upper(c) == F.col(c)) & (F.lower(c) != F.col(c)), F.lit(False))
     return {
         "BAD_ORIGIN": bad("origin"), "BAD_DESTINATION": bad("destination"), "SAME_ENDS": F.col("origin") == F.col("destination"),
         "NOT_POSITIVE": F.col("weight") <= 0, "NO_WEIGHT_SOURCE": F.trim(F.coalesce("weight_source", F.lit(""))) == ""

@@ -5,33 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricedex.config import COLLECTION_WINDOW
 from pricedex.functions import derive
 from pricedex.operators import admit, chain, match, publish, relatives, series
 from pricedex.plans.registry import Registry, r6
-from pricedex.sources.adapters import EVENT_OFFERS_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, event_offers, event_quotes, table, trade_quotes
+from pricedex.sources.adapters import CLASS_SQL, DUPLICATE_KEY_SQL, EVENT_ADMITTED_SQL, EVENT_OFFERS_SQL, EVENT_QUOTES_SQL, REASON_SQL, TRADE_QUOTES_SQL, event_offers, event_quotes, table, trade_quotes
+from pricedex.sources.stored import stored
 
 REGISTRY = Registry()
 query = REGISTRY.query
 PRECEDENCE = ("S1", "S0")
-COLLECTION_WINDOW = (6 * 60, 22 * 60)
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_quotes(table(spark, sf_dir, "events"))
 
 
+def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quotes of the index."""
+    return admit.admitted(quotes(spark, sf_dir), COLLECTION_WINDOW)
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_offers(table(spark, sf_dir, "events"))
+    """Admitted quotes keyed for matching, written once for all readers of a query."""
+    return stored(event_offers(table(spark, sf_dir, "events")))
 
 
-_CLASS = "CASE WHEN baggage_kg = 0 THEN 'HAND_ONLY' WHEN change_permitted = 'FREE' AND cancellation_permitted IN ('FREE', 'FEE') THEN 'FLEX' ELSE 'STANDARD' END"
 _LEAD = "CASE WHEN travel_date - collection_date IN (1,3,7,15,30,45,60) THEN CAST(travel_date - collection_date AS VARCHAR) END"
 
 
 @query(f"""WITH {EVENT_QUOTES_SQL}
-SELECT observation_id, origin || '-' || destination AS route, CAST(travel_date - collection_date AS INT) AS lead_days, CAST({_LEAD} AS INT) AS lead_bucket, {_CLASS} AS fare_class, CAST(isodow(travel_date) AS INT) AS weekday, CAST(departure_min // 180 AS INT) AS hour_band,
-  concat_ws('|', origin || '-' || destination, carrier, CAST(isodow(travel_date) AS VARCHAR), {_LEAD}, {_CLASS}, channel) AS cell_id,
-  concat_ws('|', origin || '-' || destination, CAST(isodow(travel_date) AS VARCHAR), {_LEAD}, {_CLASS}, channel) AS parent_id,
+SELECT observation_id, origin || '-' || destination AS route, CAST(travel_date - collection_date AS INT) AS lead_days, CAST({_LEAD} AS INT) AS lead_bucket, {CLASS_SQL} AS fare_class, CAST(isodow(travel_date) AS INT) AS weekday, CAST(departure_min // 180 AS INT) AS hour_band,
+  concat_ws('|', origin || '-' || destination, carrier, CAST(isodow(travel_date) AS VARCHAR), {_LEAD}, {CLASS_SQL}, channel) AS cell_id,
+  concat_ws('|', origin || '-' || destination, CAST(isodow(travel_date) AS VARCHAR), {_LEAD}, {CLASS_SQL}, channel) AS parent_id,
   CASE CAST(observation_id AS BIGINT) % 3 + 1 WHEN 1 THEN carrier || '|' || flight_number WHEN 2 THEN carrier || '|' || CAST(departure_min // 180 AS VARCHAR) END AS item_id,
   isoyear(collection_date) || '-W' || lpad(CAST(week(collection_date) AS VARCHAR), 2, '0') AS iso_week, strftime(collection_date, '%Y-%m') AS month FROM quotes""")
 def b_quote_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,19 +52,14 @@ def b_quote_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_REASON_SQL = """CASE WHEN coalesce(origin, '') = '' OR coalesce(destination, '') = '' OR coalesce(carrier, '') = '' OR coalesce(flight_number, '') = '' OR coalesce(source_id, '') = '' THEN 'MISSING_REQUIRED_FIELD'
-  WHEN payable_fare <= 0 THEN 'NON_POSITIVE_FARE' WHEN availability = 'SOLD_OUT' THEN 'SOLD_OUT' WHEN travel_date - collection_date NOT IN (1,3,7,15,30,45,60) THEN 'LEAD_TIME_MATCHES_NO_BUCKET'
-  WHEN NOT (hour(observation_ts) * 60 + minute(observation_ts) >= 360 AND hour(observation_ts) * 60 + minute(observation_ts) < 1320) THEN 'OUTSIDE_COLLECTION_WINDOW' END"""
-
-
-@query(f"WITH {EVENT_QUOTES_SQL} SELECT observation_id, source_id, {_REASON_SQL} AS reason FROM quotes")
+@query(f"WITH {EVENT_QUOTES_SQL} SELECT observation_id, source_id, {REASON_SQL} AS reason FROM quotes")
 def c1_admissibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first failing rule of each quote."""
     return admit.with_reason(quotes(spark, sf_dir), COLLECTION_WINDOW).select("observation_id", "source_id", "reason")
 
 
 @query(
-    f"WITH {EVENT_QUOTES_SQL}, judged AS (SELECT source_id, {_REASON_SQL} AS reason FROM quotes) SELECT source_id, count(*) AS quotes, count(reason) "
+    f"WITH {EVENT_QUOTES_SQL}, judged AS (SELECT source_id, {REASON_SQL} AS reason FROM quotes) SELECT source_id, count(*) AS quotes, count(reason) "
     f"AS excluded, round(count(reason) * 1.0 / count(*), 6) AS rate FROM judged GROUP BY source_id"
 )
 def c3_exclusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,17 @@ def c3_exclusion_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("source_id", "quotes", "excluded", r6("rate"))
 
 
-_DUP = f"PARTITION BY collection_date, origin, destination, carrier, flight_number, channel, source_id, {_CLASS}"
+@query(
+    f"WITH {EVENT_QUOTES_SQL}, judged AS (SELECT *, {REASON_SQL} AS why FROM quotes), ranked AS (SELECT source_id, row_number() OVER (PARTITION BY {DUPLICATE_KEY_SQL} "
+    f"ORDER BY observation_ts DESC, observation_id DESC) AS n FROM judged WHERE why IS NULL), gone AS (SELECT source_id, why AS reason FROM judged WHERE why IS NOT NULL "
+    f"UNION ALL SELECT source_id, 'DUPLICATE' FROM ranked WHERE n > 1) SELECT source_id, reason, count(*) AS quotes FROM gone GROUP BY ALL"
+)
+def c3_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index leaves out, by source and reason."""
+    return admit.left_out(quotes(spark, sf_dir))
+
+
+_DUP = f"PARTITION BY collection_date, origin, destination, carrier, flight_number, channel, source_id, {CLASS_SQL}"
 
 
 @query(f"""WITH {EVENT_QUOTES_SQL}, q AS (SELECT * REPLACE (CAST(collection_date + 30 AS DATE) AS travel_date, (departure_min // 720) * 720 AS departure_min) FROM quotes)
@@ -98,28 +109,24 @@ _PARENT_SQL = _GATED_SQL.replace(
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.price_table(offers(spark, sf_dir))
-
+    """Prices of the admitted quotes, written once: a link reads them for both of its sides."""
+    return stored(match.price_table(event_offers(table(spark, sf_dir, "events"))))
 
-def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with both prices, at the source selected for the link."""
-    return match.matched_pairs(prices(spark, sf_dir), PRECEDENCE)
 
-
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(priced: DataFrame) -> DataFrame:
     """Selected pairs without source transitions: those of the relatives."""
-    return match.without_transitions(selected(spark, sf_dir))
+    return match.without_transitions(match.matched_pairs(priced, PRECEDENCE))
 
 
 def parent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pooled = offers(spark, sf_dir).withColumns({"stratum": F.col("parent"), "item_id": F.concat_ws("|", "carrier", "item_id")})
-    return match.without_transitions(match.matched_pairs(match.price_table(pooled), PRECEDENCE))
+    pooled = event_offers(table(spark, sf_dir, "events")).withColumns({"stratum": F.col("parent"), "item_id": F.concat_ws("|", "carrier", "item_id")})
+    return pairs(stored(match.price_table(pooled)))
 
 
 @query(f"WITH {_PRICES_SQL} SELECT collection_date, stratum, item_id, source_id, round(price_prior, 6) AS price_prior, round(price, 6) AS price, round(log_relative, 6) AS log_relative FROM pairs")
 def e1_matched_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with a price a week earlier from one common source, by source precedence."""
-    return pairs(spark, sf_dir).select(
+    return pairs(prices(spark, sf_dir)).select(
         "collection_date", "stratum", "item_id", "source_id", r6("price_prior"), r6("price"), r6("log_relative")
     )
 
@@ -135,7 +142,8 @@ def e2_no_common_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM selected p JOIN selected b ON b.stratum = p.stratum AND b.item_id = p.item_id AND b.collection_date + 7 = p.collection_date LEFT JOIN prices o ON o.collection_date = p.collection_date AND o.stratum = p.stratum AND o.item_id = p.item_id AND o.source_id = b.source_id WHERE p.source_id <> b.source_id""")
 def e3_source_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs whose source changed since the previous link."""
-    return match.transitions(selected(spark, sf_dir), prices(spark, sf_dir)).select(
+    priced = prices(spark, sf_dir)
+    return match.transitions(match.matched_pairs(priced, PRECEDENCE), priced).select(
         "collection_date", "stratum", "item_id", "source_before", "source_id", r6("price"), r6("price_old_source"), r6("log_gap")
     )
 
@@ -163,7 +171,7 @@ def due_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     all_offers = offers(spark, sf_dir)
     first = all_offers.agg(F.date_add(F.min("collection_date"), 7).alias("first"))
     due = all_offers.select("collection_date", "stratum").distinct().crossJoin(F.broadcast(first)).where("collection_date >= first").drop("first")
-    return relatives.relatives(pairs(spark, sf_dir), due)
+    return relatives.relatives(pairs(stored(match.price_table(all_offers))), due)
 
 
 @query(f"""WITH {_PARENT_SQL}, counts AS (SELECT collection_date, stratum, split_part(item_id, '|', 1) AS carrier, count(*) AS n FROM pairs GROUP BY ALL), conc AS (SELECT collection_date, stratum, count(*) AS carriers, max(n) * 1.0 / sum(n) AS concentration FROM counts GROUP BY ALL)
@@ -179,31 +187,31 @@ def e4_parent_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, seen AS (SELECT DISTINCT origin, carrier || '|' || flight_number AS k, isodow(travel_date) AS wd, collection_date FROM quotes),
+@query(f"""WITH {EVENT_ADMITTED_SQL}, seen AS (SELECT DISTINCT origin, carrier || '|' || flight_number AS k, isodow(travel_date) AS wd, collection_date FROM admitted),
 keys AS (SELECT DISTINCT origin, k, wd FROM seen), rec AS (SELECT DISTINCT a.origin, a.k, a.wd FROM seen a JOIN seen b ON a.origin = b.origin AND a.k = b.k AND a.wd = b.wd AND b.collection_date + 7 = a.collection_date)
 SELECT origin, count(*) AS keys, round(avg(CASE WHEN rec.k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS stability, CAST(CASE WHEN avg(CASE WHEN rec.k IS NULL THEN 0.0 ELSE 1.0 END) >= 0.7 THEN 1 WHEN avg(CASE WHEN rec.k IS NULL THEN 0.0 ELSE 1.0 END) >= 0.4 THEN 2 ELSE 3 END AS INT) AS tier FROM keys LEFT JOIN rec USING (origin, k, wd) GROUP BY origin""")
 def f9_identity_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """share of recurring flight keys of each origin and the matching tier it allows."""
-    return relatives.identity_stability(quotes(spark, sf_dir), ["origin"]).select("origin", "keys", r6("stability"), "tier")
+    return relatives.identity_stability(admitted(spark, sf_dir), ["origin"]).select("origin", "keys", r6("stability"), "tier")
 
 
 @query(
-    f"WITH {EVENT_QUOTES_SQL} SELECT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, source_id, count(*) AS quotes, "
+    f"WITH {EVENT_ADMITTED_SQL} SELECT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, source_id, count(*) AS quotes, "
     f"round(exp(avg(ln(payable_fare))), 6) AS band_price, round(CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(ln(payable_fare)) END, 6) AS "
-    f"dispersion FROM quotes GROUP BY ALL"
+    f"dispersion FROM admitted GROUP BY ALL"
 )
 def f5_band_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """geometric mean price and log dispersion of each hour band."""
-    return relatives.band_prices(quotes(spark, sf_dir)).select(
+    return relatives.band_prices(admitted(spark, sf_dir)).select(
         "collection_date", "origin", "carrier", "band", "source_id", "quotes", r6("band_price"), r6("dispersion")
     )
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, d AS (SELECT collection_date, origin, carrier, flight_number, CAST(event_day AS INT) AS event_day, min_by(payable_fare, observation_id) FILTER (channel = 'AIRLINE_DIRECT') AS direct, min_by(payable_fare, observation_id) FILTER (channel = 'AGGREGATOR') AS aggregator
- FROM (SELECT *, 0 AS event_day FROM quotes) GROUP BY ALL) SELECT collection_date, origin, carrier, flight_number, round(direct, 6) AS direct, round(aggregator, 6) AS aggregator, round(ln(aggregator) - ln(direct), 6) AS log_spread FROM d WHERE direct IS NOT NULL AND aggregator IS NOT NULL""")
+@query(f"""WITH {EVENT_ADMITTED_SQL}, d AS (SELECT collection_date, origin, carrier, flight_number, CAST(event_day AS INT) AS event_day, min_by(payable_fare, observation_id) FILTER (channel = 'AIRLINE_DIRECT') AS direct, min_by(payable_fare, observation_id) FILTER (channel = 'AGGREGATOR') AS aggregator
+ FROM (SELECT *, 0 AS event_day FROM admitted) GROUP BY ALL) SELECT collection_date, origin, carrier, flight_number, round(direct, 6) AS direct, round(aggregator, 6) AS aggregator, round(ln(aggregator) - ln(direct), 6) AS log_spread FROM d WHERE direct IS NOT NULL AND aggregator IS NOT NULL""")
 def e5_channel_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E5: log gap between channels for one flight of a day (one travel date a day)."""
-    q = quotes(spark, sf_dir).withColumn("travel_date", F.date_add("collection_date", 30))
+    q = admitted(spark, sf_dir).withColumn("travel_date", F.date_add("collection_date", 30))
     return match.channel_spread(q).select(
         "collection_date", "origin", "carrier", "flight_number", r6("direct"), r6("aggregator"), r6("log_spread")
     )
@@ -239,7 +247,7 @@ def plain_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = offers(spark, sf_dir).select(F.col("collection_date").alias("publication_date")).distinct()
+    dates = event_offers(table(spark, sf_dir, "events")).select(F.col("collection_date").alias("publication_date")).distinct()
     return publish.as_of_grid(plain_states(spark, sf_dir), dates)
 
 
@@ -263,9 +271,8 @@ def f23_freshness_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publish.freshness_distribution(publish.with_freshness(grid(spark, sf_dir)))
 
 
-def cell_levels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def cell_levels(o: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mean price of each (origin, carrier) and day over the carrier's first mean, as a level; weights by offers."""
-    o = offers(spark, sf_dir)
     daily = o.groupBy(
         "collection_date", F.col("origin").alias("route"), F.col("stratum").alias("cell_id")
     ).agg(F.avg("price").alias("mean"), F.count(F.lit(1)).alias("n"))
@@ -281,14 +288,14 @@ routes AS (SELECT collection_date, route, CASE WHEN live > 0 AND live * 1.0 / gr
 rw AS (SELECT origin AS route, count(*) * 1.0 AS weight FROM offers GROUP BY ALL)"""
 
 
-def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels, weights = cell_levels(spark, sf_dir)
+def routes(o: DataFrame) -> DataFrame:
+    levels, weights = cell_levels(o)
     expected = weights.groupBy(F.substring_index("cell_id", "|", 1).alias("route")).agg(F.count(F.lit(1)).alias("n"))
     return publish.route_levels(levels, weights, expected)
 
 
-def route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).groupBy(F.col("origin").alias("route")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def route_weights(o: DataFrame) -> DataFrame:
+    return o.groupBy(F.col("origin").alias("route")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 @query(
@@ -297,7 +304,7 @@ def route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g10_route_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted level of each route over its live cells, coverage and suppression."""
-    return routes(spark, sf_dir).select(
+    return routes(offers(spark, sf_dir)).select(
         "collection_date", "route", r6("level"), "live", "observed", "expected_cells", r6("coverage"), r6("suppressed_share"), "reason"
     )
 
@@ -309,7 +316,8 @@ def g10_route_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g11_national_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """National level over live routes."""
-    return publish.national_levels(routes(spark, sf_dir), route_weights(spark, sf_dir)).select(
+    o = offers(spark, sf_dir)
+    return publish.national_levels(routes(o), route_weights(o)).select(
         "collection_date", r6("level"), "live_routes", "routes", r6("suppressed_weight"), "published"
     )
 
@@ -321,9 +329,10 @@ def g11_national_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def g13_status_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight shares of cells by status."""
-    levels, weights = cell_levels(spark, sf_dir)
+    o = offers(spark, sf_dir)
+    levels, weights = cell_levels(o)
     cells = levels.join(weights, "cell_id").join(
-        route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route"
+        route_weights(o).withColumnRenamed("weight", "route_weight"), "route"
     ).withColumn("status", F.when(F.col("level").isNull(), "SUPPRESSED").otherwise("PUBLISHED"))
     return publish.weight_shares(cells, "status").select("collection_date", "status", r6("share"))
 
@@ -338,7 +347,7 @@ _SERIES_SQL = "SELECT period, round(level, 6) AS level, CAST(first_date AS DATE)
 )
 def s1_period_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly series of route levels with change against the last period that has a level."""
-    points = routes(spark, sf_dir).withColumnRenamed("route", "series")
+    points = routes(offers(spark, sf_dir)).withColumnRenamed("route", "series")
     return series.period_series(points, "week").select(
         "series", "period", r6("level"), "first_date", "last_date", "members", "contributing", r6("change_pct")
     )
@@ -355,9 +364,9 @@ m AS (SELECT period, a, b, sign(a - lag(a) OVER (ORDER BY period)) AS da, sign(b
 )
 def s6_benchmark_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Monthly geometric against arithmetic mean unit price."""
-    monthly = trade_quotes(spark, sf_dir).withColumn("period", derive.period_key(F.col("ship_date"), "month")).groupBy("period").agg(
+    monthly = stored(trade_quotes(spark, sf_dir).withColumn("period", derive.period_key(F.col("ship_date"), "month")).groupBy("period").agg(
         F.exp(F.avg(F.ln("price"))).alias("geometric"), F.avg("price").alias("arithmetic")
-    )
+    ))
     found = series.comparison(
         monthly.select("period", F.col("geometric").alias("level")), monthly.select("period", F.col("arithmetic").alias("level")),
         comparable=True
@@ -382,7 +391,7 @@ j AS (SELECT a.quarter, a.route, ln(a.price) - ln(b.price) AS lr FROM p a JOIN p
 SELECT quarter, route, count(*) AS matched, round(exp(avg(lr)), 6) AS relative FROM j GROUP BY ALL""")
 def e1_trade_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1, F1 at scale: quarterly relatives of unit prices matched by part and supplier on each region pair."""
-    p = trade_quotes(spark, sf_dir).groupBy("quarter", "route", "item_id", "source_id").agg(F.exp(F.avg(F.ln("price"))).alias("price"))
+    p = stored(trade_quotes(spark, sf_dir).groupBy("quarter", "route", "item_id", "source_id").agg(F.exp(F.avg(F.ln("price"))).alias("price")))
     earlier = p.select((F.col("quarter") + 1).alias("quarter"), "route", "item_id", "source_id", F.col("price").alias("price_prior"))
     joined = p.join(earlier, ["quarter", "route", "item_id", "source_id"])
     return joined.groupBy("quarter", "route").agg(
@@ -396,7 +405,7 @@ def e1_trade_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x5_unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declared unit value and dispersion of strata without items."""
-    return relatives.unit_values(offers(spark, sf_dir)).select("collection_date", "stratum", "quotes", r6("unit_value"), r6("dispersion"))
+    return relatives.unit_values(event_offers(table(spark, sf_dir, "events"))).select("collection_date", "stratum", "quotes", r6("unit_value"), r6("dispersion"))
 
 
 @query(
@@ -405,4 +414,4 @@ def x5_unit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def x8_naive_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The naive index of daily means."""
-    return relatives.naive_index(offers(spark, sf_dir)).select("collection_date", r6("mean_price"), r6("level"))
+    return relatives.naive_index(event_offers(table(spark, sf_dir, "events"))).select("collection_date", r6("mean_price"), r6("level"))

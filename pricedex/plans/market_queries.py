@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricedex.functions import derive, extract
-from pricedex.operators import collection, publish
+from pricedex.operators import admit, collection, publish
 from pricedex.plans.registry import Registry, r6
-from pricedex.sources.adapters import EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, event_quotes, table, trade_quotes
+from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, event_quotes, table, trade_quotes
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -124,11 +124,11 @@ def j9_batch_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUCKET = "CASE WHEN travel_date - collection_date IN (1,3,7,15,30,45,60) THEN CAST(travel_date - collection_date AS INT) END"
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, b AS (SELECT *, {_BUCKET} AS lead_bucket FROM quotes), p AS (SELECT lead_bucket, count(*) AS quotes, exp(avg(ln(payable_fare))) AS geomean, min(payable_fare) AS least, max(payable_fare) AS most, arg_min(observation_id, (payable_fare, observation_id)) AS least_id, arg_max(observation_id, (payable_fare, observation_id)) AS most_id FROM b WHERE lead_bucket IS NOT NULL GROUP BY ALL)
+@query(f"""WITH {EVENT_ADMITTED_SQL}, b AS (SELECT *, {_BUCKET} AS lead_bucket FROM admitted), p AS (SELECT lead_bucket, count(*) AS quotes, exp(avg(ln(payable_fare))) AS geomean, min(payable_fare) AS least, max(payable_fare) AS most, arg_min(observation_id, (payable_fare, observation_id)) AS least_id, arg_max(observation_id, (payable_fare, observation_id)) AS most_id FROM b WHERE lead_bucket IS NOT NULL GROUP BY ALL)
 SELECT lead_bucket, quotes, round(geomean, 6) AS geomean, round(least, 6) AS least, round(most, 6) AS most, least_id, most_id, round(100 * (most / least - 1), 6) AS spread_pct, round(geomean / (SELECT min_by(geomean, lead_bucket) FROM p), 6) AS ratio FROM p""")
 def f13_lead_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices by lead time with the quotes at the extremes."""
-    q = quotes(spark, sf_dir).withColumn("lead_bucket", derive.lead_bucket()).where("lead_bucket is not null")
+    q = admit.admitted(quotes(spark, sf_dir)).withColumn("lead_bucket", derive.lead_bucket())
     return collection.lead_profile(q).select(
         "lead_bucket", "quotes", r6("geomean"), r6("least"), r6("most"), "least_id", "most_id", r6("spread_pct"), r6("ratio")
     )

@@ -9,25 +9,26 @@ from pricedex.config import CONTRACT_BANDS, LEAD_BUCKETS
 from pricedex.functions import derive
 from pricedex.operators import audit, hedonic, index, match, panel, publish, relatives, series
 from pricedex.plans import publication_queries as published
-from pricedex.plans.index_queries import _LEVELS_SQL, PRECEDENCE, cell_levels, routes
+from pricedex.plans.index_queries import _LEVELS_SQL, PRECEDENCE, admitted, cell_levels, offers, routes
 from pricedex.plans.market_queries import quotes
 from pricedex.plans.registry import Registry, r6
-from pricedex.sources.adapters import EVENT_OFFERS_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, trade_quotes
+from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_OFFERS_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, trade_quotes
+from pricedex.sources.stored import stored
 
 REGISTRY = Registry()
 query = REGISTRY.query
 _LEADS = ",".join(map(str, LEAD_BUCKETS))
-_PANEL = EVENT_QUOTES_SQL + f""", pq AS (SELECT *, origin || '-' || destination AS route, CAST(travel_date - collection_date AS INT) AS lead_bucket, CAST(departure_min // 180 AS INT) AS band, CAST(isodow(travel_date) AS INT) AS weekday FROM quotes WHERE travel_date - collection_date IN ({_LEADS}))"""
+_PANEL = EVENT_ADMITTED_SQL + f""", pq AS (SELECT *, origin || '-' || destination AS route, CAST(travel_date - collection_date AS INT) AS lead_bucket, CAST(departure_min // 180 AS INT) AS band, CAST(isodow(travel_date) AS INT) AS weekday FROM admitted)"""
 
 
 def panel_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quotes(spark, sf_dir).withColumns(
+    """Admitted quotes with the panel's columns."""
+    return admitted(spark, sf_dir).withColumns(
         {
             "route": derive.route(), "lead_bucket": derive.lead_bucket(), "band": derive.hour_band(),
             "weekday": derive.travel_weekday().cast("int")
         }
     )
-    return rows.where("lead_bucket is not null")
 
 
 @query(
@@ -53,23 +54,22 @@ def f15_weekday_confound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.weekday_confound(panel_quotes(spark, sf_dir), ["collection_date", "route"])
 
 
-@query(f"""WITH {_PANEL}, t AS (SELECT * FROM pq WHERE CAST(observation_id AS BIGINT) % 9 = 0), f AS (SELECT collection_date, route, count(*) AS observations, list(DISTINCT lead_bucket) AS leads, list(DISTINCT band) AS bands FROM t GROUP BY ALL)
-SELECT collection_date, route, 35 AS slots, observations, round(100.0 * observations / 35, 6) AS completion_pct, 35 - observations AS unfilled, array_to_string(list_filter([{_LEADS}], lambda x: NOT list_contains(leads, x)), ',') AS missing_buckets, array_to_string(list_filter([{",".join(map(str, CONTRACT_BANDS))}], lambda x: NOT list_contains(bands, x)), ',') AS missing_bands FROM f""")
+@query(f"""WITH {_PANEL}, f AS (SELECT collection_date, route, carrier, count(*) AS observations, list(DISTINCT lead_bucket) AS leads, list(DISTINCT band) AS bands FROM pq GROUP BY ALL)
+SELECT collection_date, route, carrier, 35 AS slots, observations, round(100.0 * observations / 35, 6) AS completion_pct, 35 - observations AS unfilled, array_to_string(list_filter([{_LEADS}], lambda x: NOT list_contains(leads, x)), ',') AS missing_buckets, array_to_string(list_filter([{",".join(map(str, CONTRACT_BANDS))}], lambda x: NOT list_contains(bands, x)), ',') AS missing_bands FROM f""")
 def f16_plan_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: filled slots of each day's plan and the buckets and bands with nothing (every ninth quote stands for a plan's)."""
-    rows = panel_quotes(spark, sf_dir).where(F.col("observation_id").cast("bigint") % 9 == 0)
-    return panel.plan_completion(rows, ["collection_date", "route"]).withColumn("completion_pct", r6("completion_pct"))
+    """F16: quotes over the slots of each carrier's plan of a day, and the buckets and bands with nothing."""
+    return panel.plan_completion(panel_quotes(spark, sf_dir), ["collection_date", "route", "carrier"]).withColumn("completion_pct", r6("completion_pct"))
 
 
 @query(
-    f"WITH {_PANEL}, d AS (SELECT DISTINCT route, carrier, collection_date FROM pq WHERE CAST(observation_id AS BIGINT) % 25 = 0) SELECT a.route, "
+    f"WITH {_PANEL}, d AS (SELECT DISTINCT route, carrier, collection_date FROM pq) SELECT a.route, "
     f"a.carrier, count(*) AS waves, count(b.collection_date) AS matched_dates, count(b.collection_date) > 0 AS computable, "
     f"CAST(min(a.collection_date) + 7 AS DATE) AS next_unlocking FROM d a LEFT JOIN d b ON a.route = b.route AND a.carrier = b.carrier AND "
     f"b.collection_date + 7 = a.collection_date GROUP BY ALL"
 )
 def f17_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """waves of each route and carrier, those with a partner a week earlier, and the date that unlocks an index."""
-    return panel.feasibility(panel_quotes(spark, sf_dir).where(F.col("observation_id").cast("bigint") % 25 == 0), ["route", "carrier"])
+    return panel.feasibility(panel_quotes(spark, sf_dir), ["route", "carrier"])
 
 
 _BASED = TRADE_QUOTES_SQL + ", y AS (SELECT route || '/' || CAST(year(ship_date) // 3 AS VARCHAR) AS base_year, CAST(year(ship_date) AS INT) AS year, avg(price) AS index FROM trades GROUP BY ALL), e AS (SELECT base_year, count(*) AS points, min_by(index, year) AS f, max_by(index, year) AS l, min(year) AS y0, max(year) AS y1 FROM y GROUP BY ALL)"
@@ -96,23 +96,23 @@ def f7_band_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relatives.band_occupancy(quotes(spark, sf_dir))
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, b AS (SELECT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, count(*) AS n, count(DISTINCT flight_number) AS k, CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(ln(payable_fare)) END AS dispersion FROM quotes GROUP BY ALL), s AS (SELECT DISTINCT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, flight_number FROM quotes),
+@query(f"""WITH {EVENT_ADMITTED_SQL}, b AS (SELECT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, count(*) AS n, count(DISTINCT flight_number) AS k, CASE WHEN count(*) < 2 THEN 0.0 ELSE stddev_pop(ln(payable_fare)) END AS dispersion FROM admitted GROUP BY ALL), s AS (SELECT DISTINCT collection_date, origin, carrier, CAST(departure_min // 180 AS INT) AS band, flight_number FROM admitted),
 c AS (SELECT a.collection_date, a.origin, a.carrier, a.band, count(*) AS common FROM s a JOIN s b ON a.origin = b.origin AND a.carrier = b.carrier AND a.band = b.band AND a.flight_number = b.flight_number AND b.collection_date + 7 = a.collection_date GROUP BY ALL)
 SELECT a.collection_date, a.origin, a.carrier, a.band, a.n AS n_now, p.n AS n_prior, a.n - p.n AS delta, round(coalesce(common, 0) * 1.0 / greatest(a.k, p.k), 6) AS overlap, round(a.dispersion, 6) AS dispersion_now, round(p.dispersion, 6) AS dispersion_prior, coalesce(common, 0) = greatest(a.k, p.k) AS telescopes
 FROM b a JOIN b p ON p.origin = a.origin AND p.carrier = a.carrier AND p.band = a.band AND p.collection_date + 7 = a.collection_date LEFT JOIN c ON c.collection_date = a.collection_date AND c.origin = a.origin AND c.carrier = a.carrier AND c.band = a.band""")
 def f8_band_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of a band now and a week earlier, overlap, dispersions and telescoping."""
-    return relatives.band_diagnostics(quotes(spark, sf_dir)).select(
+    return relatives.band_diagnostics(admitted(spark, sf_dir)).select(
         "collection_date", "origin", "carrier", "band", "n_now", "n_prior", "delta", r6("overlap"), r6("dispersion_now"),
         r6("dispersion_prior"), "telescopes"
     )
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, seen AS (SELECT DISTINCT origin, carrier, carrier || '|' || flight_number AS k, isodow(travel_date) AS wd, collection_date FROM quotes), keys AS (SELECT DISTINCT origin, carrier, k, wd FROM seen), win AS (SELECT * FROM seen WHERE collection_date > DATE '2024-01-16'), rec AS (SELECT DISTINCT a.origin, a.carrier, a.k, a.wd FROM win a JOIN win b ON a.origin = b.origin AND a.k = b.k AND a.wd = b.wd AND b.collection_date + 7 = a.collection_date)
+@query(f"""WITH {EVENT_ADMITTED_SQL}, seen AS (SELECT DISTINCT origin, carrier, carrier || '|' || flight_number AS k, isodow(travel_date) AS wd, collection_date FROM admitted), keys AS (SELECT DISTINCT origin, carrier, k, wd FROM seen), win AS (SELECT * FROM seen WHERE collection_date > DATE '2024-01-16'), rec AS (SELECT DISTINCT a.origin, a.carrier, a.k, a.wd FROM win a JOIN win b ON a.origin = b.origin AND a.k = b.k AND a.wd = b.wd AND b.collection_date + 7 = a.collection_date)
 SELECT origin, carrier, count(*) AS keys, round(avg(CASE WHEN rec.k IS NULL THEN 0.0 ELSE 1.0 END), 6) AS stability FROM keys LEFT JOIN rec USING (origin, carrier, k, wd) GROUP BY ALL""")
 def f9_window_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """identity stability of each route and carrier with recurrences inside a window of dates only."""
-    q = quotes(spark, sf_dir)
+    q = stored(admitted(spark, sf_dir))
     window = q.select("collection_date").where("collection_date > '2024-01-16'").distinct()
     return relatives.identity_stability(q, ["origin", "carrier"], window=window).select("origin", "carrier", "keys", r6("stability"))
 
@@ -141,10 +141,10 @@ round((SELECT m FROM moved) * 1.0 / (SELECT count(*) FROM csel), 6) AS transitio
 def f24_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """measures of the whole frame: items and matches in a cell, viability, states, source transitions."""
     o = published.offers(spark, sf_dir)
-    prices = match.price_table(o)
+    prices = stored(match.price_table(o))
     selections = match.matched_pairs(prices, published.PRECEDENCE)
     found = panel.density(
-        o, relatives.relatives(index.selected_pairs(o, published.PRECEDENCE)), published.states(spark, sf_dir), selections,
+        o, relatives.relatives(index.selected_pairs(o, published.PRECEDENCE)), published.states(o), selections,
         match.transitions(selections, prices)
     )
     rounded = (
@@ -185,7 +185,7 @@ q AS (SELECT series, period, exp(avg(ln(level)) FILTER (level > 0)) AS level, co
 SELECT series, period, round(level, 6) AS level, dates, effective_n, CASE WHEN contributing = 0 THEN 'no computable level on any of ' || members || ' dates in this period' WHEN contributing < members THEN 'geometric mean of ' || contributing || ' of ' || members || ' dates' ELSE 'geometric mean of ' || contributing || ' dates' END AS coverage_note FROM q""")
 def s1_period_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly levels with their contributing dates, effective number and coverage note."""
-    points = routes(spark, sf_dir).select(F.col("route").alias("series"), "collection_date", "level", F.col("live").alias("effective_n"))
+    points = routes(offers(spark, sf_dir)).select(F.col("route").alias("series"), "collection_date", "level", F.col("live").alias("effective_n"))
     found = series.period_series(points, "week")
     return found.select(
         "series", "period", r6("level"), F.array_join(F.transform("contributing_dates", lambda d: d.cast("string")), ",").alias("dates"),
@@ -224,7 +224,7 @@ times AS (SELECT route, cell_id, draw, count(*) AS times FROM picks JOIN num USI
 g AS (SELECT *, 100 * (level / lag(level) OVER (PARTITION BY draw ORDER BY collection_date) - 1) AS growth FROM lv) SELECT collection_date, count(level) AS draws, round(quantile_cont(level, 0.025), 6) AS level_low, round(quantile_cont(level, 0.975), 6) AS level_high, round(quantile_cont(growth, 0.025), 6) AS growth_pct_low, round(quantile_cont(growth, 0.975), 6) AS growth_pct_high FROM g GROUP BY ALL""")
 def x3_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of each day's level and growth over 1000 resamples of cells; the seed is that of the reproducibility tuple."""
-    levels, weights = cell_levels(spark, sf_dir)
+    levels, weights = cell_levels(offers(spark, sf_dir))
     seed = audit.reproducible_seed(F.lit("snap|2.1|b1|w1|c1"))
     found = audit.bootstrap_levels(levels.join(weights, "cell_id"), 1000, seed)
     return found.select("collection_date", "draws", *(r6(c) for c in ("level_low", "level_high", "growth_pct_low", "growth_pct_high")))
@@ -255,8 +255,8 @@ def window_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily means over the first day's, in three windows of 14 days that overlap by seven."""
     from pyspark.sql import Window
 
-    o = published.offers(spark, sf_dir)
-    daily = quotes(spark, sf_dir).groupBy("collection_date").agg(F.avg("payable_fare").alias("mean"))
+    o = offers(spark, sf_dir)
+    daily = o.groupBy("collection_date").agg(F.avg("price").alias("mean"))
     spans = hedonic.windows(o.select("collection_date").distinct(), 14, 7)
     rows = hedonic.windowed(daily, spans)
     first = F.min_by("mean", "collection_date").over(Window.partitionBy("window"))
@@ -291,7 +291,7 @@ cur AS (SELECT collection_date, cell_id, arg_max(level, vintage) AS level, arg_m
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = cell_levels(spark, sf_dir)[0].where("level is not null").select("collection_date", "cell_id", "level")
+    levels = cell_levels(offers(spark, sf_dir))[0].where("level is not null").select("collection_date", "cell_id", "level")
     first = levels.select("*", F.lit("provisional").alias("status"), F.lit(1).alias("vintage"))
     second = levels.where("collection_date < '2024-01-28'").select(
         "collection_date", "cell_id", (F.col("level") * 1.01).alias("level"), F.lit("final").alias("status"), F.lit(2).alias("vintage")
@@ -299,10 +299,10 @@ def current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.current_vintage(first.unionByName(second), ["collection_date", "cell_id"])
 
 
-@query(f"WITH {_VINTAGES} SELECT collection_date, cell_id, round(level, 6) AS level, status, vintage, vintages FROM cur")
+@query(f"WITH {_VINTAGES} SELECT collection_date, cell_id, round(level, 8) AS level, status, vintage, vintages FROM cur")
 def x9_current_vintages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current view of appended vintages."""
-    return current(spark, sf_dir).select("collection_date", "cell_id", r6("level"), "status", "vintage", "vintages")
+    return current(spark, sf_dir).select("collection_date", "cell_id", F.round("level", 8).alias("level"), "status", "vintage", "vintages")
 
 
 @query(
@@ -315,11 +315,11 @@ def x9_final_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.period_series(finals, "week").select("series", "period", r6("level"), "members")
 
 
-@query(f"""WITH {EVENT_QUOTES_SQL}, n AS (SELECT *, coalesce(lead(availability) OVER w = 'SOLD_OUT', false) AS b, coalesce(lag(availability) OVER w = 'SOLD_OUT', false) AS a FROM quotes WINDOW w AS (PARTITION BY origin, carrier, flight_number ORDER BY observation_ts, observation_id))
+@query(f"""WITH {EVENT_QUOTES_SQL}, n AS (SELECT *, coalesce(lead(availability) OVER w = 'SOLD_OUT', false) AS b, coalesce(lag(availability) OVER w = 'SOLD_OUT', false) AS a FROM quotes WHERE payable_fare > 0 WINDOW w AS (PARTITION BY origin, carrier, flight_number ORDER BY observation_ts, observation_id))
 SELECT origin, carrier, count(*) FILTER (b) AS before_sold_out, count(*) FILTER (a) AS after_sold_out, count(*) AS quotes, round(avg(ln(payable_fare)) FILTER (b), 6) AS log_price_before, round(avg(ln(payable_fare)) FILTER (a), 6) AS log_price_after, round(avg(ln(payable_fare)) FILTER (NOT a AND NOT b), 6) AS log_price_other FROM n WHERE availability = 'AVAILABLE' GROUP BY ALL""")
 def x10_sold_out_association(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices just before and just after an item is sold out against others."""
-    found = audit.sold_out_association(quotes(spark, sf_dir), ["origin", "carrier"])
+    """Prices just before and just after an item is sold out against others; sold-out quotes stay, those without a price do not."""
+    found = audit.sold_out_association(quotes(spark, sf_dir).where("payable_fare > 0"), ["origin", "carrier"])
     return found.select(
         "origin", "carrier", "before_sold_out", "after_sold_out", "quotes", r6("log_price_before"), r6("log_price_after"),
         r6("log_price_other")
@@ -345,13 +345,17 @@ def a9_panel_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {_PANEL}, a AS (SELECT route, lead_bucket, count(*) AS n FROM pq GROUP BY ALL) SELECT route, lead_bucket, n, 'none' AS only_in FROM a WHERE false")
+@query(f"""WITH {_PANEL}, a AS (SELECT route, lead_bucket, count(*) AS n, round(exp(avg(ln(payable_fare))), 6) AS g FROM pq GROUP BY ALL),
+r AS (SELECT origin || '-' || destination AS route, CAST(travel_date - collection_date AS INT) AS lead_bucket, count(*) AS n, round(exp(avg(ln(payable_fare))), 6) AS g FROM quotes WHERE payable_fare > 0 AND travel_date - collection_date IN ({_LEADS}) GROUP BY ALL)
+SELECT 'unjudged' AS recomputed, route, lead_bucket, n, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM r) UNION ALL SELECT 'unjudged', route, lead_bucket, n, 'second' FROM (SELECT * FROM r EXCEPT SELECT * FROM a)""")
 def j10_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lead profile from the panel and, independently, from the store's rows must agree: no row is left."""
-    rows = panel_quotes(spark, sf_dir)
-    one = rows.groupBy("route", "lead_bucket").agg(F.count(F.lit(1)).alias("n"), F.round(panel.geomean(), 6).alias("g"))
+    """The lead profile against two recomputations: from the admitted rows by another plan, which must leave no row, and from unjudged rows, where each difference must appear."""
+    rows = stored(panel_quotes(spark, sf_dir))
+    one = stored(rows.groupBy("route", "lead_bucket").agg(F.count(F.lit(1)).alias("n"), F.round(panel.geomean(), 6).alias("g")))
     lead = F.datediff("travel_date", "collection_date")
-    again = quotes(spark, sf_dir).where(lead.isin(*LEAD_BUCKETS)).groupBy(F.concat_ws("-", "origin", "destination").alias("route"), lead.alias("lead_bucket")).agg(
+    profile = lambda q: q.groupBy(F.concat_ws("-", "origin", "destination").alias("route"), lead.alias("lead_bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.exp(F.sum(F.ln("payable_fare")) / F.count(F.lit(1))), 6).alias("g")
     )
-    return panel.disagreements(one, again).drop("g")
+    unjudged = quotes(spark, sf_dir).where(lead.isin(*LEAD_BUCKETS) & (F.col("payable_fare") > 0))
+    found = [panel.disagreements(one, profile(q)).withColumn("recomputed", F.lit(name)) for name, q in (("admitted", rows), ("unjudged", unjudged))]
+    return found[0].unionByName(found[1]).drop("g")

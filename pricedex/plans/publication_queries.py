@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pricedex.config import LEAD_BUCKETS
 from pricedex.functions import derive
-from pricedex.operators import index, match, publish, relatives
+from pricedex.operators import admit, index, publish
 from pricedex.plans.registry import Registry, r6
-from pricedex.sources.adapters import EVENT_QUOTES_SQL, event_quotes, table
+from pricedex.sources.adapters import EVENT_QUOTES_SQL, admitted_sql, event_quotes, table
+from pricedex.sources.stored import stored
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -32,42 +33,45 @@ def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.keyed_offers(quotes(spark, sf_dir))
+    """Admitted quotes on full cell keys, written once for all readers of a query."""
+    return stored(index.keyed_offers(admit.admitted(quotes(spark, sf_dir))))
 
 
 def shares(spark: SparkSession, values: dict[str, float], key: str, name: str) -> DataFrame:
     return spark.createDataFrame(list(values.items()), f"{key} string, {name} double")
 
 
-def weights(spark: SparkSession, sf_dir: str, lead_share: DataFrame | None = None) -> DataFrame:
+def weights(o: DataFrame, lead_share: DataFrame | None = None) -> DataFrame:
+    spark = o.sparkSession
     classes, channels = shares(spark, CLASS_SHARES, "fare_class", "class_share"), shares(spark, CHANNEL_SHARES, "channel", "channel_share")
-    return index.cell_weights(offers(spark, sf_dir), classes, channels, lead_share)
+    return index.cell_weights(o, classes, channels, lead_share)
 
 
-def route_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return offers(spark, sf_dir).groupBy("route").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def route_weights(o: DataFrame) -> DataFrame:
+    return o.groupBy("route").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def expected(o: DataFrame) -> DataFrame:
     """Declared denominators of all routes but one."""
-    cells = offers(spark, sf_dir).groupBy("route").agg(F.countDistinct("stratum").alias("n"))
+    cells = o.groupBy("route").agg(F.countDistinct("stratum").alias("n"))
     return cells.where("route <> 'R2-HUB'")
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.chain_states(offers(spark, sf_dir), PRECEDENCE, weights(spark, sf_dir))
+def states(o: DataFrame) -> DataFrame:
+    """States of all due cells; strata are folded once for all readers."""
+    return stored(index.chain_states(o, PRECEDENCE, weights(o)))
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dates = offers(spark, sf_dir).select(F.col("collection_date").alias("publication_date")).distinct()
-    return index.published_cells(states(spark, sf_dir), dates)
+def cells(o: DataFrame) -> DataFrame:
+    dates = o.select(F.col("collection_date").alias("publication_date")).distinct()
+    return index.published_cells(states(o), dates)
 
 
 _LEADS = ",".join(map(str, LEAD_BUCKETS))
-_DENSE = """, kq AS (SELECT * REPLACE (CAST(CAST(flight_number AS INT) % 5 AS VARCHAR) AS flight_number, CAST(collection_date + lead AS DATE) AS travel_date) FROM (SELECT *, CASE WHEN origin = 'R3' AND CAST(observation_id AS BIGINT) % 3 = 0 THEN 30 ELSE 7 END AS lead FROM quotes)),"""
-_KEYED = EVENT_QUOTES_SQL + _DENSE + """
+_DENSE = """, kq AS (SELECT * REPLACE (CAST(CAST(flight_number AS INT) % 5 AS VARCHAR) AS flight_number, CAST(collection_date + lead AS DATE) AS travel_date, 'AIRLINE_DIRECT' AS channel, 15 AS baggage_kg, 'FEE' AS change_permitted) FROM (SELECT *, CASE WHEN origin = 'R3' AND CAST(observation_id AS BIGINT) % 3 = 0 THEN 30 ELSE 7 END AS lead FROM quotes)),"""
+_KEYED = EVENT_QUOTES_SQL + _DENSE + admitted_sql("kq", "ka") + """,
 ko AS (SELECT observation_id, collection_date, origin || '-HUB' AS route, carrier, isodow(travel_date) AS wd, lead, departure_min, flight_number, source_id, payable_fare AS price,
-  concat_ws('|', origin || '-HUB', carrier, CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS cell_id, concat_ws('|', origin || '-HUB', CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS parent_id FROM kq)"""
+  concat_ws('|', origin || '-HUB', carrier, CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS cell_id, concat_ws('|', origin || '-HUB', CAST(isodow(travel_date) AS VARCHAR), CAST(lead AS VARCHAR), 'STANDARD', 'AIRLINE_DIRECT') AS parent_id FROM ka)"""
 
 
 def _relatives_sql(
@@ -140,7 +144,7 @@ def h11_due_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def h1_cell_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States of all due cells (chain, carry, entry, hold, suppression)."""
-    return states(spark, sf_dir).select(
+    return states(offers(spark, sf_dir)).select(
         "cell_id", "parent_id", "collection_date", r6("level"), "status", r6("last_relative"), "last_matched_date", "freshness_days",
         "suppression_reason"
     )
@@ -152,7 +156,8 @@ def h1_cell_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def h8_publication_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """National level of every day from the latest states of all cells, in one job."""
-    found = index.published_levels(cells(spark, sf_dir), weights(spark, sf_dir), route_weights(spark, sf_dir), expected(spark, sf_dir))
+    o = offers(spark, sf_dir)
+    found = index.published_levels(cells(o), weights(o), route_weights(o), expected(o))
     return found.select(
         "collection_date", r6("level"), "live_routes", "routes", F.coalesce(r6("suppressed_weight"), F.lit(0.0)).alias("suppressed_weight"),
         "published"
@@ -179,7 +184,7 @@ def tiered_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.where(derive.lead_bucket().isNotNull())
 
 
-_POOLED = f""", kq AS (SELECT * REPLACE (CAST(CASE length(carrier) % 3 WHEN 0 THEN CAST(flight_number AS INT) % 5 WHEN 1 THEN CAST(flight_number AS INT) % 60 ELSE CAST(observation_id AS INT) END AS VARCHAR) AS flight_number), CAST(travel_date - collection_date AS INT) AS lead FROM quotes WHERE travel_date - collection_date IN ({_LEADS})),"""
+_POOLED = f""", kq AS (SELECT * REPLACE (CAST(CASE length(carrier) % 3 WHEN 0 THEN CAST(flight_number AS INT) % 5 WHEN 1 THEN CAST(flight_number AS INT) % 60 ELSE CAST(observation_id AS INT) END AS VARCHAR) AS flight_number, 'AIRLINE_DIRECT' AS channel, 15 AS baggage_kg, 'FEE' AS change_permitted), CAST(travel_date - collection_date AS INT) AS lead FROM quotes WHERE travel_date - collection_date IN ({_LEADS})),"""
 _TIERED = _KEYED.replace(_DENSE, _POOLED) + _TIERS + """,
 kt AS (SELECT ko.*, tier, CASE tier WHEN 1 THEN carrier || '|' || flight_number WHEN 2 THEN carrier || '|' || CAST(departure_min // 180 AS VARCHAR) END AS tiered_item FROM ko JOIN tiers USING (route, carrier) WHERE tier < 3)"""
 
@@ -192,7 +197,7 @@ kt AS (SELECT ko.*, tier, CASE tier WHEN 1 THEN carrier || '|' || flight_number
 )
 def e1_tiered_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched pairs at the tier that identity stability allows; bands are priced by their geometric mean."""
-    q = index.with_tiers(tiered_quotes(spark, sf_dir))
+    q = index.with_tiers(stored(admit.admitted(tiered_quotes(spark, sf_dir))))
     pairs = index.selected_pairs(index.keyed_offers(q, F.col("tier")), PRECEDENCE, "parent")
     return pairs.select("collection_date", "stratum", "item_id", "source_id", r6("price_prior"), r6("price"), r6("log_relative"))
 
@@ -208,14 +213,15 @@ CASE WHEN level IS NULL THEN '' ELSE concat_ws(',', CASE WHEN suppressed_weight
 FROM nat JOIN qf USING (publication_date) LEFT JOIN qu USING (publication_date)""")
 def g14_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tier and status shares, imputation, freshness and the caveats of each day's level (a cell's lead time stands for its tier)."""
-    published = cells(spark, sf_dir).withColumnRenamed("publication_date", "collection_date")
-    own = weights(spark, sf_dir).select("cell_id", "weight")
-    routes = publish.route_levels(published, own, expected(spark, sf_dir))
+    o = offers(spark, sf_dir)
+    published = stored(cells(o).withColumnRenamed("publication_date", "collection_date"))
+    own, of_routes, declared = weights(o).select("cell_id", "weight"), route_weights(o), expected(o)
+    routes = publish.route_levels(published, own, declared)
     tier = (F.element_at(F.split("cell_id", "\\|"), 4).cast("int") % 3 + 1).alias("tier")
     weighed = published.join(own, "cell_id").join(
-        route_weights(spark, sf_dir).withColumnRenamed("weight", "route_weight"), "route"
+        of_routes.withColumnRenamed("weight", "route_weight"), "route"
     ).select("*", tier)
-    found = publish.quality(weighed, routes, route_weights(spark, sf_dir), expected(spark, sf_dir))
+    found = publish.quality(weighed, routes, of_routes, declared)
     plain = ("matched_items", "freshness_p90", "never_matched", "live_routes")
     rounded = ("level", "imputation_rate", "held_out_share", "carried_share", "tier1_share", "tier2_share", "tier3_share")
     return found.select(
@@ -227,7 +233,7 @@ def g14_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_STATES} SELECT cell_id, collection_date, status FROM states WHERE collection_date > DATE '2024-01-22'")
 def h9_future_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H9: states that must not enter a publication of 22 January."""
-    return publish.future_states(states(spark, sf_dir), F.lit("2024-01-22").cast("date")).select("cell_id", "collection_date", "status")
+    return publish.future_states(states(offers(spark, sf_dir)), F.lit("2024-01-22").cast("date")).select("cell_id", "collection_date", "status")
 
 
 _CURVE_SQL = "(VALUES ('equal', [1,1,1,1,1,1,1]), ('front', [7,6,5,4,3,2,1]), ('back', [1,2,3,4,5,6,7]), ('middle', [1,2,3,4,3,2,1])) AS c(curve, shares)"

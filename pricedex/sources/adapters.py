@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricedex.operators.admit import admitted
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,17 +55,34 @@ EVENT_QUOTES_SQL = """quotes AS (
   FROM events)"""
 
 
+#: Fixed rules of admission and the class by entitlements, in SQL.
+CLASS_SQL = "CASE WHEN baggage_kg = 0 THEN 'HAND_ONLY' WHEN change_permitted = 'FREE' AND cancellation_permitted IN ('FREE', 'FEE') THEN 'FLEX' ELSE 'STANDARD' END"
+REASON_SQL = """CASE WHEN coalesce(origin, '') = '' OR coalesce(destination, '') = '' OR coalesce(carrier, '') = '' OR coalesce(flight_number, '') = '' OR coalesce(source_id, '') = '' THEN 'MISSING_REQUIRED_FIELD'
+  WHEN coalesce(payable_fare, 0) <= 0 THEN 'NON_POSITIVE_FARE' WHEN availability = 'SOLD_OUT' THEN 'SOLD_OUT' WHEN travel_date - collection_date NOT IN (1,3,7,15,30,45,60) THEN 'LEAD_TIME_MATCHES_NO_BUCKET'
+  WHEN NOT (hour(observation_ts) * 60 + minute(observation_ts) >= 360 AND hour(observation_ts) * 60 + minute(observation_ts) < 1320) THEN 'OUTSIDE_COLLECTION_WINDOW' END"""
+DUPLICATE_KEY_SQL = f"collection_date, origin, destination, carrier, flight_number, travel_date, departure_min, channel, source_id, {CLASS_SQL}"
+
+
+def admitted_sql(source: str = "quotes", name: str = "admitted") -> str:
+    """SQL of the admissible rows of a table of quotes, of each duplicate group the newest."""
+    return f"""{name} AS (SELECT * FROM (SELECT * FROM {source} WHERE {REASON_SQL} IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY {DUPLICATE_KEY_SQL} ORDER BY observation_ts DESC, observation_id DESC) = 1)"""
+
+
+EVENT_ADMITTED_SQL = EVENT_QUOTES_SQL + ", " + admitted_sql()
+
+
 def event_offers(events: DataFrame) -> DataFrame:
-    """Quotes keyed for matching: stratum (origin and carrier), parent (origin), item, source, date, price."""
-    q = event_quotes(events)
+    """Admitted quotes keyed for matching: stratum (origin and carrier), parent (origin), item, source, date, price."""
+    q = admitted(event_quotes(events))
     return q.select(
         "observation_id", "collection_date", "origin", "carrier", F.concat_ws("|", "origin", "carrier").alias("stratum"),
         F.col("origin").alias("parent"), F.col("flight_number").alias("item_id"), "source_id", F.col("payable_fare").alias("price")
     )
 
 
-EVENT_OFFERS_SQL = EVENT_QUOTES_SQL + """, offers AS (
-  SELECT observation_id, collection_date, origin, carrier, origin || '|' || carrier AS stratum, origin AS parent, flight_number AS item_id, source_id, payable_fare AS price FROM quotes)"""
+EVENT_OFFERS_SQL = EVENT_ADMITTED_SQL + """, offers AS (
+  SELECT observation_id, collection_date, origin, carrier, origin || '|' || carrier AS stratum, origin AS parent, flight_number AS item_id, source_id, payable_fare AS price FROM admitted)"""
 
 
 def trade_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
