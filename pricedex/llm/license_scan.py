@@ -1,13 +1,12 @@
 """Licence scan: base phrases by place, and a positional index of the licences' rarest words.
 
 Templates are short licence notices without their variable parts.  Document frequencies of all template words are counted over the
-whole corpus; each template is looked up by its ANCHORS words of highest IDF.  A file's occurrences of such words meet the
-templates' postings; word place minus template place is the place where the template would begin, so votes of
-one template at one place are a match by relative position.  A template is found where all its mandatory key phrases
-stand at their places and the anchors there have at least half of the template's IDF weight.
+whole corpus.  Each template stands in the index under the word of highest IDF among its mandatory key phrases; a file looks
+up its occurrences of such words, and a template's postings are intersected with the words around by relative
+position.  It is found where all its key phrases stand word by word and the words of highest IDF (ANCHORS of them) at their places
+have at least half of their IDF weight.
 
-Every occurrence carries the few words around it, so phrases are verified without reading the text again, and votes are
-merged as bit masks: copies and repeated words add nothing, and no group is collected.
+Each occurrence is judged where its text is read, so only labels found are shuffled: copies and repeated words meet in no group.
 
 Cases: null and empty texts have no words and score 0; equal rows get equal results, repeated or null ids with different texts are
 told apart by the text; ties of document frequency go by the word; long texts are read whole; an empty table
@@ -110,51 +109,49 @@ def idf_weights(n_docs: int, counts: dict[str, int], vocabulary: Sequence[str])
     return {w: math.floor(1000 * math.log((n_docs + 1) / (counts.get(w, 0) + 1))) + 1 for w in vocabulary}
 
 
-def postings(docs: DataFrame, templates: Sequence[Template]) -> tuple[DataFrame, DataFrame]:
-    """(word, template, place, bit, phrase, lead) of the index, and (template, label, phrases, weights) of the templates.
+def index_of(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
+    """(word, place, template, label, length, anchors, phrases): each template under the rarest word of its key phrases, at that word's place.
 
-    An anchor has its bit and no phrase; a phrase has its own bit and stands at its rarest word, `lead` words after its start.
+    anchors: (word, weight, places) of its ANCHORS rarest words; phrases: (place, words).
     """
-    spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.text.split()})
     n_docs, counts = document_frequencies(docs, vocabulary)
     weights = idf_weights(n_docs, counts, vocabulary)
     rarity = lambda w: (counts.get(w, 0), w)
-    index, facts = [], []
+    rows = []
     for k, t in enumerate(templates):
         words = t.text.split()
-        anchors = sorted(set(words), key=rarity)[:ANCHORS]
-        index += [(w, k, place, anchors.index(w), None, None) for place, w in enumerate(words) if w in anchors]
-        for m, phrase in enumerate(t.phrases):
-            parts = phrase.split()
-            start = next(i for i in range(len(words)) if words[i : i + len(parts)] == parts)
-            pivot = min(range(len(parts)), key=lambda i: rarity(parts[i]))
-            index.append((parts[pivot], k, start + pivot, m, parts, pivot))
-        facts.append((k, t.label, len(t.phrases), [weights[w] for w in anchors]))
-    return (
-        spark.createDataFrame(index, "word string, template int, place int, bit int, phrase array<string>, lead int"),
-        spark.createDataFrame(facts, "template int, label string, phrases int, weights array<int>"),
-    )
+        parts = [p.split() for p in t.phrases]
+        starts = [next(i for i in range(len(words)) if words[i : i + len(p)] == p) for p in parts]
+        place = min((i for s, p in zip(starts, parts) for i in range(s, s + len(p))), key=lambda i: (rarity(words[i]), i))
+        anchors = [(w, weights[w], [i for i, x in enumerate(words) if x == w]) for w in sorted(set(words), key=rarity)[:ANCHORS]]
+        rows.append((words[place], place, k, t.label, len(words), anchors, list(zip(starts, parts))))
+    schema = "word string, place int, template int, label string, length int, anchors array<struct<word string, weight int, places array<int>>>, phrases array<struct<place int, words array<string>>>"
+    return docs.sparkSession.createDataFrame(rows, schema)
 
 
 def template_matches(docs: DataFrame, templates: Sequence[Template]) -> DataFrame:
-    """(key, label, share) of docs (key, text): templates found, with the matched share of their weight.  The index has a few rows for each template."""
-    index, facts = postings(docs, templates)
+    """(key, label, share) of docs (key, text): templates found, with the matched share of their weight.
+
+    Occurrences of the index's words come with the words around them, as many as the longest template has; words and
+    phrases of a template are then at fixed places of that list.  Nothing is shuffled.  The index has a row for each template.
+    """
+    index = index_of(docs, templates)
     lookups = sorted({r.word for r in index.select("word").collect()})
-    reach = max(len(p.split()) for t in templates for p in t.phrases) - 1
+    reach = max(len(t.text.split()) for t in templates) - 1
     pad = F.array_repeat(F.lit(""), reach)
-    near = lambda words: F.transform(
-        F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*lookups), i))), lambda i: F.struct(i.alias("at"), F.slice(F.concat(pad, words, pad), i + 1, 2 * reach + 1).alias("around"))
-    )
-    seen = docs.select("key", F.explode(let(word_list(F.col("text")), near)).alias("o")).select("key", "o.at", "o.around", F.col("o.around")[reach].alias("word"))
-    stands = F.col("phrase").isNull() | (F.slice("around", reach + 1 - F.coalesce("lead", F.lit(0)), F.size(F.coalesce("phrase", F.array(F.lit(""))))) == F.col("phrase"))
-    votes = seen.join(F.broadcast(index), "word").where(stands)
-    mask = lambda of_phrase: F.bit_or(F.when(F.col("phrase").isNotNull() == F.lit(of_phrase), F.expr("shiftleft(1, bit)")).otherwise(0))
-    placed = votes.groupBy("key", "template", (F.col("at") - F.col("place")).alias("start")).agg(mask(False).alias("anchors"), mask(True).alias("verified"))
+    places = lambda words: F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(*lookups), i)))
+    near = lambda words: F.transform(places(words), lambda i: F.slice(words, i + 1 - reach, 2 * reach + 1))
+    seen = docs.select("key", F.explode(let(F.concat(pad, word_list(F.col("text")), pad), near)).alias("around"))
+    hits = seen.withColumn("word", F.col("around")[reach]).join(F.broadcast(index), "word")
+    aligned = hits.withColumn("here", F.slice("around", reach + 1 - F.col("place"), F.col("length")))
+    stands = F.forall("phrases", lambda p: F.slice(F.col("here"), p["place"] + 1, F.size(p["words"])) == p["words"])
+    held = lambda a: F.exists(a["places"], lambda i: F.get(F.col("here"), i) == a["word"])
     total = lambda values: F.aggregate(values, F.lit(0), lambda a, x: a + x)
-    matched = total(F.transform("weights", lambda w, j: F.when(F.getbit("anchors", j) == 1, w).otherwise(0)))
-    judged = placed.where("verified > 0").join(F.broadcast(facts), "template").withColumns({"matched": matched, "all": total("weights")})
-    return judged.where("verified = shiftleft(1, phrases) - 1 and 2 * matched >= all").select("key", "label", (F.col("matched") / F.col("all")).alias("share"))
+    judged = aligned.where(stands).select(
+        "key", "label", total(F.transform("anchors", lambda a: F.when(held(a), a["weight"]).otherwise(0))).alias("matched"), total(F.col("anchors.weight")).alias("all")
+    )
+    return judged.where("2 * matched >= all").select("key", "label", (F.col("matched") / F.col("all")).alias("share"))
 
 
 def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, base: dict[str, str] = BASE) -> DataFrame:
