@@ -13,7 +13,8 @@ Rows of sources with fewer than LEAST rows in a language are judged by an estima
 of languages with fewer by one over all rows; large sources' rows take part in these wider estimates too.
 
 Cases: null, empty and blank texts have 0 words, fail the base rules and take no part in the estimates; null
-languages and sources form their own groups; repeated rows and ties are judged alike; empty tables give empty
+languages and sources form their own groups; repeated rows and ties are judged alike; rows whose id is null or that
+of other rows are judged like all others; empty tables give empty
 results; long texts are counted whole; columns of the same names as the statistics are not read.
 """
 
@@ -232,12 +233,15 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and far of each row."""
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and far of each row.
+
+    A row is judged by itself: its number in the stored statistics, not its id, leads its distance back to it.
+    """
     counted = docs.select(
-        F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), statistics(F.col(text_col)).alias("st")
     )
-    counted = stored(counted.select("id", "lang", "source", "st.w.*", "st.l.*", "st.s.*"))
+    counted = stored(counted.select("row", "id", "lang", "source", "st.w.*", "st.l.*", "st.s.*"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     base = counted.withColumn("base_failed", failed)
     # Documents that the base rules reject take no part in the estimates.
@@ -259,10 +263,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     vectors = able.join(
         F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]
-    ).select("id", "finest", F.explode("grps").alias("grp"), F.array(*_vector().values()).alias("v"))
+    ).select(F.col("row").alias("id"), "finest", F.explode("grps").alias("grp"), F.array(*_vector().values()).alias("v"))
     vectors = vectors.select("id", "grp", (F.col("grp") == F.col("finest")).alias("own"), "v")
-    far = outlier_scores(vectors).groupBy("id").agg(F.max("far").alias("far"))
-    joined = base.join(far, "id", "left")
+    far = outlier_scores(vectors).select(F.col("id").alias("row"), "far")
+    joined = base.join(far, "row", "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("far") > CUTOFF, F.lit(False))
     return joined.select(
         F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
