@@ -67,13 +67,17 @@ def found(text: bytes) -> list[bytes]:
 
 
 def letter_counts(texts: DataFrame) -> np.ndarray:
-    """Trigram counts of all documents' letters (a table of fixed size; each task sends one)."""
+    """Trigram counts of all documents' letters (a table of fixed size; each task sends one).
+
+    Two boundaries stand before each text and after the last, so every text gives as many trigrams as it has bytes and
+    two more, whichever texts are in a slice with it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**3, np.int64)
         for batch in batches:
-            for _, data, _ in slices(batch, "text"):
-                code = np.concatenate([[27, 27], _CODE[lower(data)], [27]])
+            for _, data, offsets in slices(batch, "text"):
+                code = np.append(np.insert(_CODE[lower(data)], np.repeat(offsets[:-1], 2), 27), [27, 27])
                 total += np.bincount((code[:-2] * ALPHABET + code[1:-1]) * ALPHABET + code[2:], minlength=len(total))
         kept = np.flatnonzero(total)
         yield pa.record_batch([pa.array(kept), pa.array(total[kept])], names=["g", "n"])
