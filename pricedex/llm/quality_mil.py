@@ -5,8 +5,9 @@ character classes and a few word statistics, encoded by a learned layer, weighte
 (softmax of w . (tanh(V e) * sigmoid(U e))) and the weighted mean is scored by a logistic output.  Only document
 labels teach; all parameters are learned together with Adam on the driver.
 
-Training rows are a bounded sample: PER_LABEL documents per label; of a document with more than BAG_MOST passages
-the sample takes that many, evenly spread from its first to its last.  Scoring reads all passages of all documents.
+Training rows are a bounded sample: PER_LABEL documents per label, whole, in the order of their ids' hashes as far as they
+have PASSAGES passages together; documents beyond, and those of more than LONGEST passages, are left out, not cut.  Gradients are summed over
+chunks of CHUNK passages.  Scoring reads all passages of all documents.
 
 Cases: null and empty texts are one empty passage and get a score; equal texts get equal scores; empty tables and
 missing labels give 0.5 throughout; labels of unknown documents are ignored; of rows with one id one text teaches;
@@ -19,15 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricedex.llm.sampling import sampled_texts, stratified
+from pricedex.llm.shared import stored
 from pricedex.llm.textkernel import slices, span_hashes, words
 
 PASSAGE = 64
 PER_LABEL = 1500
-BAG_MOST = 256
+#: Passages of the sample, 300 bytes each on the driver, and of one step's working arrays.
+PASSAGES, LONGEST, CHUNK = 250_000, 5_000, 8_192
 HIDDEN, GATES = 24, 12
 EPOCHS, RATE, DECAY = 300, 0.01, 3e-4
 
@@ -93,11 +96,6 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, counts
 
 
-def spread(bag: np.ndarray, most: int) -> np.ndarray:
-    """At most so many rows of a bag, evenly spread over all of them."""
-    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
-
-
 def forward(m: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Scores of bags of passages, with what the gradients need."""
     cut = np.cumsum(counts) - counts
@@ -112,6 +110,33 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict
     }
 
 
+def gradient(
+    m: dict[str, np.ndarray], fixed: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray
+) -> dict[str, np.ndarray]:
+    """Gradient of the weighted cross-entropy of some bags."""
+    f = forward(m | fixed, x, counts)
+    e, t, s, attention = f["e"], f["t"], f["s"], f["attention"]
+    d = (f["p"] - y) * weight
+    dz = np.repeat(d[:, None] * m["c"], counts, axis=0)
+    da = (dz * e).sum(axis=1)
+    dg = attention * (da - np.repeat(np.add.reduceat(attention * da, f["cut"]), counts))
+    dt, ds = dg[:, None] * m["w"] * s * (1 - t * t), dg[:, None] * m["w"] * t * s * (1 - s)
+    de = (attention[:, None] * dz + dt @ m["V"].T + ds @ m["U"].T) * (1 - e * e)
+    scaled = (x - fixed["mean"]) / fixed["scale"]
+    return {
+        "A": scaled.T @ de, "a": de.sum(axis=0), "V": e.T @ dt, "U": e.T @ ds, "w": (t * s).T @ dg, "c": f["z"].T @ d, "b": np.array([d.sum()])
+    }
+
+
+def chunks(counts: np.ndarray, most: int) -> Iterator[tuple[slice, slice]]:
+    """(bags, passages) of runs of whole bags with at most `most` passages, or one larger bag."""
+    ends, at, row = np.cumsum(counts), 0, 0
+    while at < len(counts):
+        stop = max(at + 1, int(np.searchsorted(ends, row + most, side="right")))
+        yield slice(at, stop), slice(row, int(ends[stop - 1]))
+        at, row = stop, int(ends[stop - 1])
+
+
 def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, prior: float) -> dict[str, np.ndarray]:
     """Learned parameters; the classes of the sample are weighted to the prior share of label 1."""
     rng = np.random.default_rng(7)
@@ -119,24 +144,16 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, prior: float) -> dict[
         "A": rng.normal(0, 0.15, (x.shape[1], HIDDEN)), "a": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATES)),
         "U": rng.normal(0, 0.3, (HIDDEN, GATES)), "w": rng.normal(0, 0.3, GATES), "c": rng.normal(0, 0.3, HIDDEN), "b": np.zeros(1)
     }
-    fixed = {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 0.02}
+    fixed = {"mean": x.mean(axis=0, dtype=np.float64), "scale": x.std(axis=0, dtype=np.float64) + 0.02}
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share)) / len(y)
-    scaled = (x - fixed["mean"]) / fixed["scale"]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items()}
+    pieces = list(chunks(counts, CHUNK))
     for step in range(1, EPOCHS + 1):
-        f = forward(m | fixed, x, counts)
-        e, t, s, attention = f["e"], f["t"], f["s"], f["attention"]
-        d = (f["p"] - y) * weight
-        dz = np.repeat(d[:, None] * m["c"], counts, axis=0)
-        da = (dz * e).sum(axis=1)
-        dg = attention * (da - np.repeat(np.add.reduceat(attention * da, f["cut"]), counts))
-        dt, ds = dg[:, None] * m["w"] * s * (1 - t * t), dg[:, None] * m["w"] * t * s * (1 - s)
-        de = (attention[:, None] * dz + dt @ m["V"].T + ds @ m["U"].T) * (1 - e * e)
-        grad = {
-            "A": scaled.T @ de, "a": de.sum(axis=0), "V": e.T @ dt, "U": e.T @ ds, "w": (t * s).T @ dg, "c": f["z"].T @ d,
-            "b": np.array([d.sum()])
-        }
+        grad = {k: np.zeros_like(v) for k, v in m.items()}
+        for bags, rows in pieces:
+            for k, v in gradient(m, fixed, x[rows], counts[bags], y[bags], weight[bags]).items():
+                grad[k] += v
         for k in m:
             g1, g2 = moments[k]
             g = grad[k] + DECAY * m[k] * (k not in "ab")
@@ -159,21 +176,22 @@ def score_quality(
                 x, counts = passages(data, offsets)
                 bags = np.split(x.astype(np.float16), np.cumsum(counts)[:-1])
                 yield pa.record_batch(
-                    [rows.column(0), rows.column(1), pa.array([spread(b, BAG_MOST).tobytes() for b in bags], pa.binary())],
-                    names=["id", "label", "bag"]
+                    [rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())],
+                    names=["id", "label", "n", "bag"]
                 )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     sample = sampled_texts(source, chosen.select(F.col(id_col).cast("bigint").alias("id"), "label"), "label")
-    got = sample.mapInArrow(describe, "id bigint, label int, bag binary").toArrow().sort_by(
-        [("id", "ascending"), ("label", "ascending"), ("bag", "ascending")]
-    )
+    described = stored(sample.mapInArrow(describe, "id bigint, label int, n bigint, bag binary")).where(F.col("n") <= LONGEST)
+    upto = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id"), "id", "label")  # rows of the sample
+    held = described.select("id", "label", F.sum("n").over(upto).alias("upto")).where(F.col("upto") <= PASSAGES).drop("upto")
+    got = described.drop("n").join(F.broadcast(held), ["id", "label"]).toArrow().sort_by([("id", "ascending"), ("label", "ascending")])
     y = got.column("label").to_numpy().astype(np.float64)
     if not len(y):
         return source.select(F.col("id").alias(id_col), F.lit(0.5).alias("score"))
     bags = [np.frombuffer(b, np.float16).reshape(-1, WIDTH) for b in got.column("bag").to_pylist()]
     learned = fit(
-        np.concatenate(bags).astype(np.float32), np.array([len(b) for b in bags]), y, shares.get(1, 0) / max(1, sum(shares.values()))
+        np.concatenate(bags), np.array([len(b) for b in bags]), y, shares.get(1, 0) / max(1, sum(shares.values()))
     )
     model = docs.sparkSession.sparkContext.broadcast({k: v.astype(np.float32) for k, v in learned.items()})
 
