@@ -12,6 +12,7 @@ BASE_LEVEL = 100.0
 MAX_FRESHNESS_DAYS = 13
 MAX_IMPUTATION = 0.40
 IMPUTATION_WINDOW_DAYS = 56
+FINAL_AFTER_DAYS = 3
 MIN_ROUTE_COVERAGE = 0.60
 SUPPRESSED_WEIGHT_CAVEAT = 0.15
 TIER3_WEIGHT_CAVEAT = 0.25

@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from pricedex.config import FINAL_AFTER_DAYS
 from pricedex.operators.admit import deduplicated, with_reason
-from pricedex.operators.chain import STATE_SCHEMA, chain_states
 
-FINAL_AFTER = "3 days"
+FINAL_AFTER = f"{FINAL_AFTER_DAYS} days"
 
 
 def watched(stream: DataFrame) -> DataFrame:
@@ -76,35 +76,10 @@ def exclusion_alarm(stream: DataFrame, threshold: float) -> DataFrame:
     return rates.select(F.to_date("window.start").alias("day"), "source_id", "quotes", "rate", (F.col("rate") > threshold).alias("alarm"))
 
 
-def late_flagged(stream: DataFrame, arrival: str) -> DataFrame:
-    """Quotes with `status`: provisional on their day, late after it (stored, not included), after final once the day is.
+def late_flagged(quotes: DataFrame, arrival: str) -> DataFrame:
+    """Quotes, streamed or not, with `status`: provisional on their day, late after it (stored, not included), after final once the day is.
 
-    The watermark lets state of later operators forget a day once it is final.
+    What follows from it, and when, is in stateful.streamed_vintages.
     """
     days = F.datediff(F.to_date(arrival), "collection_date")
-    rows = watched(stream) if stream.isStreaming else stream
-    return rows.withColumn("status", F.when(days <= 0, "PROVISIONAL").when(days <= 3, "LATE").otherwise("AFTER_FINAL"))
-
-
-def state_sink(links: DataFrame, weights: DataFrame, store: str, checkpoint: str) -> DataStreamWriter:
-    """Advances cell states by each batch of due links (cell_id, parent_id, collection_date, relative, undefined_reason, parent_relative).
-
-    A batch goes on from the states of its parent strata and appends its own under its number; a batch that runs again
-    replaces them.  All links of a date must come in one batch, dates in order.
-    """
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parents = batch.select("parent_id").distinct()
-        try:
-            earlier = spark.read.parquet(store).where(F.col("batch") < batch_id).drop("batch").join(parents, "parent_id", "left_semi")
-        except AnalysisException as e:
-            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            earlier = None
-        states = chain_states(
-            batch, weights, None if earlier is None else earlier.select(*(c.split()[0] for c in STATE_SCHEMA.split(", ")))
-        )
-        states.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-
-    return links.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return quotes.withColumn("status", F.when(days <= 0, "PROVISIONAL").when(days <= FINAL_AFTER_DAYS, "LATE").otherwise("AFTER_FINAL"))

@@ -257,22 +257,6 @@ def test_hedonic_agrees_with_least_squares(spark):
     assert [(r.reason, r["index"]) for r in rejected] == [("MIN_QUOTES_WINDOW", None)]
 
 
-def test_streamed_states_agree_with_batch(spark, tmp_path):
-    from pricedex.operators import chain
-    from pricedex.streaming import ingest
-
-    schema = "cell_id string, parent_id string, collection_date date, relative double, undefined_reason string, parent_relative double"
-    weeks = [[("a", "p", D0 + k * WEEK, 1.0 + k / 100, None, 1.01), ("b", "p", D0 + k * WEEK, None if k % 2 else 1.02, "NO_MATCHED_ITEMS" if k % 2 else None, 1.01)] for k in range(4)]
-    weights = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "cell_id string, weight double")
-    for k, rows in enumerate(weeks):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/links")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/links")
-        ingest.state_sink(stream, weights, f"{tmp_path}/states", f"{tmp_path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    states = lambda df: sorted((r.cell_id, r.collection_date, r.status, -1.0 if r.level is None else round(r.level, 9)) for r in df.collect())
-    batch = chain.chain_states(spark.createDataFrame([r for rows in weeks for r in rows], schema), weights)
-    assert states(spark.read.parquet(f"{tmp_path}/states")) == states(batch)
-
-
 def test_late_quotes_are_flagged(spark):
     from pricedex.streaming.ingest import late_flagged
 
