@@ -12,7 +12,7 @@ from pricedex.plans import publication_queries as published
 from pricedex.plans.index_queries import _LEVELS_SQL, PRECEDENCE, admitted, cell_levels, offers, routes
 from pricedex.plans.market_queries import quotes
 from pricedex.plans.registry import Registry, r6
-from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_OFFERS_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, trade_quotes
+from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_OFFERS_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, table, trade_quotes
 from pricedex.sources.stored import stored
 
 REGISTRY = Registry()
@@ -238,12 +238,45 @@ def hedonic_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HEDONIC = ("route", "carrier", "band", "lead_bucket", "fare_class", "channel", "source_group")
+
+
 @query()
 def x1_time_product_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Date effects of log prices in windows of 15 days with the guards; the characteristic that is often missing is dropped."""
-    rows = hedonic_quotes(spark, sf_dir)
-    spans = hedonic.windows(rows.select("collection_date").distinct(), 15, 8)
-    return hedonic.time_product_dummy(rows, spans, ("route", "carrier", "band", "lead_bucket", "fare_class", "channel", "source_group"))
+    """Date effects of log prices in windows of 15 days with the guards and errors clustered by route; the characteristic that is often missing is dropped."""
+    products = stored(hedonic.day_products(hedonic_quotes(spark, sf_dir), HEDONIC))
+    return hedonic.estimates(products, hedonic.windows(products.select("collection_date").distinct(), 15, 8), HEDONIC)
+
+
+@query()
+def x1_window_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spread of the spliced series over windows of 15, 21, 25 and 31 days, all from one table of day products."""
+    products = stored(hedonic.day_products(hedonic_quotes(spark, sf_dir), HEDONIC))
+    return hedonic.window_spread(hedonic.swept(products, products.select("collection_date").distinct(), HEDONIC, min_window=500))
+
+
+_DAILY = "lv AS (SELECT CAST(CAST(l_shipdate AS DATE) + CASE isodow(CAST(l_shipdate AS DATE)) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS DATE) AS d, avg(l_extendedprice / l_quantity) AS m FROM lineitem GROUP BY 1)"
+
+
+@query(f"""WITH {_DAILY}, e AS (SELECT min(d) AS d0, max(d) AS d1 FROM lv), sp AS (SELECT w, CAST(d0 + CAST(w AS INT) * 7 AS DATE) AS f, CAST(d0 + CAST(w AS INT) * 7 + 13 AS DATE) AS l, d1 FROM e, unnest(range(0, CAST(greatest(floor((d1 - d0 - 13) / 7), 0) AS BIGINT) + 1)) AS t(w)),
+nx AS (SELECT *, lead(f) OVER (ORDER BY w) AS nf FROM sp), far AS (SELECT d, lead(d, 6) OVER (ORDER BY d) AS reached FROM lv),
+ex AS (SELECT w, f, CASE WHEN nf IS NULL THEN l ELSE greatest(l, coalesce((SELECT min_by(coalesce(reached, DATE '9999-01-01'), d) FROM far WHERE d >= nf), d1)) END AS l0, d1 FROM nx), ext AS (SELECT w, f, CASE WHEN l0 = DATE '9999-01-01' THEN greatest(CAST(f + 13 AS DATE), d1) ELSE l0 END AS l FROM ex),
+iw AS (SELECT w, d, m / first_value(m) OVER (PARTITION BY w ORDER BY d) AS index FROM ext JOIN lv ON d BETWEEN f AND l), gap AS (SELECT b.w, count(*) AS overlap, avg(ln(a.index) - ln(b.index)) AS gap FROM iw a JOIN iw b ON b.w = a.w + 1 AND b.d = a.d GROUP BY ALL),
+lk AS (SELECT ext.w, sum(CASE WHEN ext.w = 0 THEN 0.0 WHEN overlap >= 7 THEN gap END) OVER (ORDER BY ext.w) AS g, max(CASE WHEN ext.w > 0 AND coalesce(overlap, 0) < 7 THEN 1 ELSE 0 END) OVER (ORDER BY ext.w) AS broken FROM ext LEFT JOIN gap ON gap.w = ext.w),
+v AS (SELECT d, iw.w, index * exp(g) AS index, row_number() OVER (PARTITION BY d ORDER BY iw.w) AS rn FROM iw JOIN lk ON lk.w = iw.w WHERE broken = 0) SELECT d AS collection_date, CAST(w AS INT) AS window, round(index, 6) AS index FROM v WHERE rn = 1""")
+def x2_extended_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 14 days on working days, of which neighbours share five: each is extended until seven are shared, and the series goes on."""
+    from pyspark.sql import Window
+
+    day = F.to_date("l_shipdate")
+    collected = F.date_add(day, F.when(F.weekday(day) == 5, 2).when(F.weekday(day) == 6, 1).otherwise(0))
+    lines = table(spark, sf_dir, "lineitem").groupBy(collected.alias("collection_date"))
+    daily = stored(lines.agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("mean")))
+    days = daily.select("collection_date")
+    rows = hedonic.windowed(daily, hedonic.extended(hedonic.windows(days, 14, 7), days))
+    first = F.min_by("mean", "collection_date").over(Window.partitionBy("window"))
+    series = hedonic.spliced(stored(rows.select("window", "collection_date", (F.col("mean") / first).alias("index"))))
+    return series.select("collection_date", "window", r6("index"))
 
 
 _WINDOWED = EVENT_OFFERS_SQL + """, lv AS (SELECT collection_date, avg(price) AS m FROM offers GROUP BY ALL), d0 AS (SELECT min(collection_date) AS d FROM lv),
