@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricedex.config import COLLECTOR_FAILURES, MARKET_FACTS, STOP_SIGNAL
+from pricedex.operators.distributed import with_interval
 
 
 def with_outcome_facts(attempts: DataFrame) -> DataFrame:
@@ -83,11 +84,10 @@ def breaker_audit(attempts: DataFrame, opens_after: int = 2) -> DataFrame:
 
 
 def block_of(values: DataFrame, blocks: DataFrame, value: str) -> DataFrame:
-    """The labelled block lo..hi that holds each value; a value outside all blocks is an error.  blocks is a small table."""
-    found = values.join(F.broadcast(blocks), F.col(value).between(F.col("lo"), F.col("hi")), "left")
-    return found.withColumn(
-        "label", F.when(F.assert_true(F.col("label").isNotNull(), F.lit("a value lies in no block")).isNull(), F.col("label"))
-    ).drop("lo", "hi")
+    """The labelled block lo..hi that holds each value, of any number of disjoint blocks; a value outside all of them is an error."""
+    found = with_interval(values, blocks, value)
+    covered = F.assert_true(F.col("interval").isNotNull(), F.lit("a value lies in no block")).isNull()
+    return found.withColumn("label", F.when(covered, F.col("interval.label"))).drop("interval")
 
 
 def lead_profile(quotes: DataFrame) -> DataFrame:

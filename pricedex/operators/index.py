@@ -46,7 +46,7 @@ def due_cells(offers: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
 
 def selected_pairs(offers: DataFrame, precedence: Sequence[str], stratum: str = "stratum") -> DataFrame:
     """Matched pairs of each stratum without those whose source has just changed."""
-    return match.without_transitions(match.matched_pairs(match.price_table(offers, stratum), precedence))
+    return match.without_transitions(match.matched_pairs(match.placed_by_item(match.price_table(offers, stratum)), precedence))
 
 
 def parent_relatives(offers: DataFrame, precedence: Sequence[str]) -> DataFrame:

@@ -44,6 +44,20 @@ def source_pairs(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
     return prices.join(earlier, ["collection_date", "stratum", "item_id", "source_id"])
 
 
+def lagged_pairs(prices: DataFrame, lag: int = LAG_DAYS) -> DataFrame:
+    """The same pairs from one reading of the prices: a source's dates of one residue modulo the lag are a window, in which the row before is a lag earlier or missing."""
+    residue = F.pmod(F.unix_date("collection_date"), F.lit(lag))
+    earlier = Window.partitionBy("stratum", "item_id", "source_id", residue).orderBy("collection_date")
+    was = prices.withColumn("was", F.lag(F.struct("collection_date", "price")).over(earlier))
+    held = was.where(F.datediff("collection_date", "was.collection_date") == lag)
+    return held.select("collection_date", "stratum", "item_id", "source_id", "price", F.col("was.price").alias("price_prior"))
+
+
+def placed_by_item(prices: DataFrame) -> DataFrame:
+    """Prices dealt by stratum and item: pairs, the choice of a source and transitions then need no further exchange."""
+    return prices.repartition("stratum", "item_id")
+
+
 def with_rank(pairs: DataFrame, precedence: Sequence[str]) -> DataFrame:
     """Sources in order of precedence; others after them by name."""
     rank = F.lit(UNLISTED_RANK)
@@ -55,7 +69,7 @@ def with_rank(pairs: DataFrame, precedence: Sequence[str]) -> DataFrame:
 def matched_pairs(prices: DataFrame, precedence: Sequence[str], lag: int = LAG_DAYS) -> DataFrame:
     """One pair for each item: that of the best source with both prices, whatever the prices are."""
     best = F.min_by(F.struct("source_id", "price_prior", "price"), F.struct("source_rank", "source_id"))
-    chosen = with_rank(source_pairs(prices, lag), precedence).groupBy("collection_date", "stratum", "item_id").agg(best.alias("b"))
+    chosen = with_rank(lagged_pairs(prices, lag), precedence).groupBy("collection_date", "stratum", "item_id").agg(best.alias("b"))
     pairs = chosen.select("collection_date", "stratum", "item_id", "b.*")
     return pairs.withColumn("log_relative", log_price(F.col("price")) - log_price(F.col("price_prior")))
 

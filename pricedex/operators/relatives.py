@@ -7,41 +7,51 @@ from pyspark.sql import functions as F
 
 from pricedex.config import LAG_DAYS, MAD_MULTIPLIER, MIN_MATCHED, MIN_OUTLIER_ITEMS, TIER1_STABILITY, TIER2_STABILITY
 from pricedex.functions.derive import hour_band
+from pricedex.operators.distributed import exact_mean, percentiles
+from pricedex.sources.stored import stored
 
 STRATUM = ["collection_date", "stratum"]
 
 
-def gated(pairs: DataFrame) -> DataFrame:
+def gated(pairs: DataFrame, wide: bool = False) -> DataFrame:
     """Pairs with n, median, mad and `outlier`: farther than five MADs, with five candidates or more and a MAD above zero.
 
     Two windows over one shuffle by stratum and date; a stratum's pairs of a date are its items, whose number the
-    method itself keeps small.
+    method itself keeps small.  wide: strata may be larger than a task can hold; the same medians come from ranks over range partitions.
     """
+    if wide:
+        return _gated_wide(pairs)
     stratum = Window.partitionBy(*STRATUM)
     placed = pairs.withColumns({"n": F.count(F.lit(1)).over(stratum), "median": F.median("log_relative").over(stratum)})
     placed = placed.withColumn(
         "deviation", F.abs(F.col("log_relative") - F.col("median"))
     ).withColumn("mad", F.median("deviation").over(stratum))
-    outlier = (F.col("n") >= MIN_OUTLIER_ITEMS) & (F.col("mad") > 0) & (F.col("deviation") > MAD_MULTIPLIER * F.col("mad"))
-    return placed.withColumn("outlier", outlier)
+    return placed.withColumn("outlier", _outlier())
 
 
-def ordered_mean(value: Column, key: Column) -> Column:
-    """Mean with a fixed order of summation: the same bits for any partitioning."""
-    listed = F.array_sort(F.collect_list(F.struct(key.alias("k"), value.alias("v"))))
-    return F.aggregate(listed, F.lit(0.0), lambda a, e: a + e["v"]) / F.size(listed)
+def _outlier() -> Column:
+    return (F.col("n") >= MIN_OUTLIER_ITEMS) & (F.col("mad") > 0) & (F.col("deviation") > MAD_MULTIPLIER * F.col("mad"))
 
 
-def relatives(pairs: DataFrame, due: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def _gated_wide(pairs: DataFrame) -> DataFrame:
+    """Counts, medians and MADs are a row for each stratum and date; pairs meet them in joins that adaptive execution can split."""
+    pairs = stored(pairs)
+    sizes = pairs.groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("n"))
+    centre = sizes.join(percentiles(pairs, STRATUM, "log_relative", {"median": 0.5}), STRATUM)
+    placed = stored(pairs.join(centre, STRATUM).withColumn("deviation", F.abs(F.col("log_relative") - F.col("median"))))
+    return placed.join(percentiles(placed, STRATUM, "deviation", {"mad": 0.5}), STRATUM).withColumn("outlier", _outlier())
+
+
+def relatives(pairs: DataFrame, due: DataFrame | None = None, strict: bool = False, wide: bool = False) -> DataFrame:
     """Geometric mean relative of each stratum and date, or the reason why there is none.
 
-    due: (collection_date, stratum) that must have a row even without pairs.
+    due: (collection_date, stratum) that must have a row even without pairs.  strict: the mean's bits do not depend on partitions.
+    wide: as in gated.
     """
     kept = ~F.col("outlier")
-    mean = ordered_mean(
-        F.when(kept, F.col("log_relative")).otherwise(0.0), F.col("item_id")
-    ) * F.count(F.lit(1)) / F.count_if(kept) if strict else F.avg(F.when(kept, F.col("log_relative")))
-    found = gated(pairs).groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("matched"), mean.alias("mean"))
+    value = F.when(kept, F.col("log_relative"))
+    mean = exact_mean(value) if strict else F.avg(value)
+    found = gated(pairs, wide).groupBy(*STRATUM).agg(F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("matched"), mean.alias("mean"))
     if due is not None:
         found = due.join(found, STRATUM, "left").fillna(0, ["candidates", "matched"])
     reason = F.when(F.col("matched") == 0, "NO_MATCHED_ITEMS").when(F.col("matched") < MIN_MATCHED, "BELOW_MIN_MATCHED_ITEMS")

@@ -115,7 +115,7 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pairs(priced: DataFrame) -> DataFrame:
     """Selected pairs without source transitions: those of the relatives."""
-    return match.without_transitions(match.matched_pairs(priced, PRECEDENCE))
+    return match.without_transitions(match.matched_pairs(match.placed_by_item(priced), PRECEDENCE))
 
 
 def parent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +156,23 @@ def f3_outlier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"WITH {_PARENT_SQL} SELECT collection_date, stratum, item_id, n, round(med, 6) AS median, round(mad, 6) AS mad, outlier FROM gated")
+def f3_wide_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the gate for strata of any size: medians by ranks over range partitions, no stratum in one task."""
+    return relatives.gated(parent_pairs(spark, sf_dir), wide=True).select(
+        "collection_date", "stratum", "item_id", "n", r6("median"), r6("mad"), "outlier"
+    )
+
+
+@query(
+    f"WITH {_PARENT_SQL} SELECT collection_date, stratum, candidates, matched, round(relative, 6) AS relative, undefined_reason FROM relatives"
+)
+def f1_exact_relatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relatives over pooled carriers from exact sums: the same bits however the pairs are partitioned, and strata of any size."""
+    found = relatives.relatives(parent_pairs(spark, sf_dir), strict=True, wide=True)
+    return found.select("collection_date", "stratum", "candidates", "matched", r6("relative"), "undefined_reason")
+
+
 @query(
     f"WITH {_GATED_SQL}, due AS (SELECT DISTINCT collection_date, stratum FROM offers WHERE collection_date >= (SELECT min(collection_date) FROM "
     f"offers) + 7) SELECT collection_date, stratum, CAST(coalesce(candidates, 0) AS BIGINT) AS candidates, CAST(coalesce(matched, 0) AS BIGINT) AS "

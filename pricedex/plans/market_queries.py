@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pricedex.functions import derive, extract
 from pricedex.operators import admit, collection, publish
+from pricedex.operators.distributed import percentiles
 from pricedex.plans.registry import Registry, r6
 from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_QUOTES_SQL, TRADE_QUOTES_SQL, event_quotes, table, trade_quotes
+from pricedex.sources.stored import stored
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -144,9 +146,18 @@ def f22_density_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {TRADE_QUOTES_SQL} SELECT route, round(quantile_cont(price, 0.1), 6) AS p10, round(quantile_cont(price, 0.5), 6) AS p50, round(quantile_cont(price, 0.9), 6) AS p90, round(quantile_disc(price, 0.9), 6) AS nearest_p90 FROM trades GROUP BY route""")
+def f22_price_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """interpolated and nearest-rank percentiles of all unit prices of a route, by ranks over range partitions."""
+    prices = stored(trade_quotes(spark, sf_dir).select("route", "price"))
+    cont = percentiles(prices, ["route"], "price", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    disc = percentiles(prices, ["route"], "price", {"nearest_p90": 0.9}, nearest=True)
+    return cont.join(disc, "route").select("route", r6("p10"), r6("p50"), r6("p90"), r6("nearest_p90"))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 25 THEN 'middle' ELSE 'large' END AS label FROM part")
 def e17_block_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Range join of each part's size with labelled blocks."""
+    """The labelled block that holds each part's size, by one sort of starts and sizes."""
     blocks = spark.sql("SELECT * FROM VALUES (0, 10, 'small'), (11, 25, 'middle'), (26, 1000000, 'large') AS t(lo, hi, label)")
     return collection.block_of(table(spark, sf_dir, "part").select("p_partkey", "p_size"), blocks, "p_size").select("p_partkey", "label")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,3 +315,20 @@ def register_table(spark: SparkSession, entries: list[dict[str, object]]) -> Dat
         raise ValueError("the configuration is empty")
     rows = [tuple(None if e.get(c) is None else str(e[c]) for c in columns) for e in entries]
     return spark.createDataFrame(rows, ", ".join(f"`{c}` string" for c in columns))
+
+
+def write_ordered(rows: DataFrame, path: str, keys: Sequence[str], partitions: int | None = None) -> None:
+    """Writes rows as JSON lines in the order of keys, ties by the row's text: the files, read by name, are one sequence.
+
+    Rows are dealt by ranges of the keys and sorted in their range, so the sequence does not depend on the number of files.
+    """
+    line = F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})
+    order = [F.asc_nulls_first(k) for k in keys]
+    sent = rows.withColumn("line", line)
+    dealt = sent.repartitionByRange(partitions, *order, "line") if partitions else sent.repartitionByRange(*order, "line")
+    dealt.sortWithinPartitions(*order, "line").select("line").write.mode("errorifexists").text(path)
+
+
+def write_bucketed(prices: DataFrame, name: str, buckets: int) -> None:
+    """A table of prices in buckets by stratum and item, sorted by date: pairs of a link are found without an exchange."""
+    prices.write.mode("errorifexists").bucketBy(buckets, "stratum", "item_id").sortBy("collection_date").saveAsTable(name)
