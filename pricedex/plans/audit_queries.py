@@ -48,7 +48,8 @@ def a7_payload_fares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def tile(k: int, card: int):
         gone = (n % 11 == 0) if (card, k) == (0, 1) else F.lit(False)
-        price = F.format_string('"%.2f"', F.round(F.round("value", 2) * (k + 1), 2))
+        amount = F.round(F.round("value", 2) * (k + 1), 2)
+        price = F.when(amount.isNull(), "null").otherwise(F.format_string('"%.2f"', amount))
         return obj(
             {
                 "family": text('"SAVER"' if k == 0 else '"FLEX"'), "price": F.when(~gone, price), "available": text("true"),

@@ -9,7 +9,7 @@ from pricedex.config import LEAD_BUCKETS
 from pricedex.functions import derive
 from pricedex.operators import admit, index, publish
 from pricedex.plans.registry import Registry, r6
-from pricedex.sources.adapters import EVENT_QUOTES_SQL, admitted_sql, event_quotes, table
+from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_QUOTES_SQL, admitted_sql, event_quotes, table
 from pricedex.sources.stored import stored
 
 REGISTRY = Registry()
@@ -240,27 +240,38 @@ _CURVE_SQL = "(VALUES ('equal', [1,1,1,1,1,1,1]), ('front', [7,6,5,4,3,2,1]), ('
 
 
 @query(
-    f"WITH u AS (SELECT curve, unnest([{_LEADS}]) AS lead_bucket, unnest(shares) AS s FROM {_CURVE_SQL}) SELECT curve, CAST(lead_bucket AS INT) AS "
-    f"lead_bucket, round(s * 1.0 / sum(s) OVER (PARTITION BY curve), 6) AS lead_share FROM u"
+    f"WITH {EVENT_ADMITTED_SQL}, u AS (SELECT curve, CAST(unnest([{_LEADS}]) AS INT) AS lead_bucket, unnest(shares) AS s FROM {_CURVE_SQL}), n AS (SELECT CAST(travel_date - collection_date AS INT) AS lead_bucket, "
+    f"count(*) AS quotes FROM admitted GROUP BY ALL) SELECT curve, lead_bucket, round(s * 1.0 / sum(s) OVER (PARTITION BY curve), 6) AS lead_share, coalesce(quotes, 0) AS quotes, "
+    f"round(s * 1.0 / sum(s) OVER (PARTITION BY curve) / (coalesce(quotes, 0) * 1.0 / (SELECT sum(quotes) FROM n)), 6) AS weight_of_quotes FROM u LEFT JOIN n USING (lead_bucket)"
 )
 def g6_lead_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The declared equal weights of the lead buckets and illustrative alternatives."""
-    return publish.lead_curves(spark).select("curve", "lead_bucket", r6("lead_share"))
-
-
-@query(f"""WITH {_KEYED}, u AS (SELECT curve, unnest([{_LEADS}]) AS lead, unnest(shares) AS s FROM {_CURVE_SQL}), m AS (SELECT collection_date, lead, exp(avg(ln(price))) AS level FROM ko GROUP BY ALL),
-lv AS (SELECT curve, collection_date, sum(s * level) / sum(s) AS level FROM m JOIN u USING (lead) GROUP BY ALL), g AS (SELECT curve, collection_date, ln(level) - ln(lag(level) OVER (PARTITION BY curve ORDER BY collection_date)) AS growth FROM lv)
+    """The declared equal weights of the lead buckets and illustrative alternatives, against the admitted quotes of each bucket: how much a bucket's share weighs over its share of quotes."""
+    collected = admit.admitted(event_quotes(table(spark, sf_dir, "events"))).groupBy(derive.lead_bucket().alias("lead_bucket")).agg(F.count(F.lit(1)).alias("quotes"))
+    whole = collected.agg(F.sum("quotes").alias("all"))
+    rows = publish.lead_curves(spark).join(collected, "lead_bucket", "left").fillna(0, ["quotes"]).crossJoin(F.broadcast(whole))
+    return rows.select("curve", "lead_bucket", r6("lead_share"), "quotes", F.round(F.try_divide("lead_share", F.col("quotes") / F.col("all")), 6).alias("weight_of_quotes"))
+
+
+@query(f"""WITH {_GRID}, u AS (SELECT curve, unnest([{_LEADS}]) AS lead, unnest(shares) AS s FROM {_CURVE_SQL}),
+cw AS (SELECT curve, cell_id, route, share * s / sum(share * s) OVER (PARTITION BY curve, route) AS weight FROM (SELECT DISTINCT cell_id, route, carrier, lead FROM ko) JOIN ks USING (route, carrier) JOIN u USING (lead)),
+crf AS (SELECT curve, publication_date, route, count(*) AS observed, count(level) AS live, sum(weight * level) / sum(weight) FILTER (level IS NOT NULL) AS wl FROM pub JOIN cw USING (cell_id, route) GROUP BY ALL),
+crl AS (SELECT curve, publication_date, route, CASE WHEN live > 0 AND live * 1.0 / greatest(coalesce(n, 0), observed) >= 0.6 THEN wl END AS level FROM crf LEFT JOIN want USING (route)),
+lv AS (SELECT curve, publication_date AS collection_date, sum(weight * level) / sum(weight) FILTER (level IS NOT NULL) AS level FROM crl JOIN rwt USING (route) GROUP BY ALL),
+g AS (SELECT curve, collection_date, ln(level) - ln(lag(level) OVER (PARTITION BY curve ORDER BY collection_date)) AS growth FROM lv)
 SELECT a.collection_date, round(max(abs(b.growth - a.growth)), 6) AS max_deviation FROM g a JOIN g b ON b.collection_date = a.collection_date AND b.curve <> 'equal' WHERE a.curve = 'equal' GROUP BY ALL""")
 def x4_sensitivity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each day's growth moves under other lead-time curves than the declared one."""
+    """How far the growth of the published national level moves under other lead-time curves than the declared one."""
     from pricedex.operators.audit import sensitivity_band
 
-    daily = offers(spark, sf_dir).groupBy("collection_date", "lead_bucket").agg(F.exp(F.avg(F.ln("price"))).alias("level"))
-    curves = publish.lead_curves(spark)
-    levels = daily.join(F.broadcast(curves), "lead_bucket").groupBy("curve", "collection_date").agg(
-        (F.sum(F.col("lead_share") * F.col("level")) / F.sum("lead_share")).alias("level")
-    )
-    return sensitivity_band(levels).select("collection_date", r6("max_deviation"))
+    o = offers(spark, sf_dir)
+    published, of_routes, declared = stored(cells(o)), route_weights(o), expected(o)
+    found = None
+    for curve in publish.LEAD_CURVES:  # a few declared curves
+        share = publish.lead_curves(spark).where(F.col("curve") == curve).drop("curve")
+        levels = index.published_levels(published, weights(o, share), of_routes, declared)
+        levels = levels.select(F.lit(curve).alias("curve"), "collection_date", "level")
+        found = levels if found is None else found.unionByName(levels)
+    return sensitivity_band(stored(found)).select("collection_date", r6("max_deviation"))
 
 
 @query("SELECT n_nationkey AS route, round(CAST((n_nationkey + 1) AS DECIMAL(20,6)) / sum(n_nationkey + 1) OVER (PARTITION BY n_regionkey), 12) AS weight FROM nation")
