@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pricedex.config import CONTRACT_BANDS, LEAD_BUCKETS
 from pricedex.functions import derive
-from pricedex.operators import audit, hedonic, index, match, panel, publish, relatives, series
+from pricedex.operators import audit, chain, hedonic, index, match, panel, publish, relatives, resample, series
 from pricedex.plans import publication_queries as published
 from pricedex.plans.index_queries import _LEVELS_SQL, PRECEDENCE, admitted, cell_levels, offers, routes
 from pricedex.plans.market_queries import quotes
@@ -230,6 +230,18 @@ def x3_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("collection_date", "draws", *(r6(c) for c in ("level_low", "level_high", "growth_pct_low", "growth_pct_high")))
 
 
+@query()
+def x3_rechained_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals of the published national level over 1000 resamples of cells, each draw chained anew: carried and entering cells follow what the draw's parents lend."""
+    o = published.offers(spark, sf_dir)
+    weights, links = published.weights(o), stored(index.due_links(o, published.PRECEDENCE))
+    states = stored(chain.chain_states(links, weights.select("cell_id", "weight")))
+    seed = spark.range(1).select(audit.reproducible_seed(F.lit("snap|2.1|b1|w1|c1"))).first()[0]
+    routes = resample.redrawn_routes(states, links, resample.parent_parts(o, published.PRECEDENCE), weights, o, 1000, seed)
+    found = resample.intervals(routes, published.route_weights(o))
+    return found.select("collection_date", "draws", *(r6(c) for c in ("level_low", "level_high", "growth_pct_low", "growth_pct_high")))
+
+
 def hedonic_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = panel_quotes(spark, sf_dir)
     return rows.select(
@@ -312,9 +324,9 @@ _METHODS = TRADE_QUOTES_SQL + ", a AS (SELECT strftime(ship_date, '%Y-%m') AS pe
 @query(f"WITH {_METHODS} SELECT period, round(ga, 6) AS own_growth_pct, round(gb, 6) AS other_growth_pct, round(ga - gb, 6) AS divergence_pp FROM g")
 def x7_method_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Growth of the geometric minus that of the arithmetic monthly mean, in percentage points."""
-    monthly = trade_quotes(spark, sf_dir).groupBy(derive.period_key(F.col("ship_date"), "month").alias("period")).agg(
+    monthly = stored(trade_quotes(spark, sf_dir).groupBy(derive.period_key(F.col("ship_date"), "month").alias("period")).agg(
         F.exp(F.avg(F.ln("price"))).alias("g"), F.avg("price").alias("m")
-    )
+    ))
     found = hedonic.divergence(monthly.select("period", F.col("g").alias("level")), monthly.select("period", F.col("m").alias("level")))
     return found.select("period", r6("own_growth_pct"), r6("other_growth_pct"), r6("divergence_pp"))
 
