@@ -85,6 +85,37 @@ def leaks(
     item_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """id, item id, start (first word, from 0), n_words and similarity (percent, rounded down) of each leak's best window."""
+    items, cut, pieces = _windows(docs, benchmark, percent, size, id_col, text_col, item_col, item_text_col)
+    of_item = items.select("item", "n", F.explode(_hashes(size)).alias("h"))
+    candidates = fingerprint_pairs(*_prints(cut, pieces, of_item)).where(F.col("distance") <= RADIUS).select("key", "item").distinct()
+    exact = stored(verified(candidates, pieces, of_item, percent))
+    found = cut.select("id", "key", "start", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
+    best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", "start", "n_words")).alias("b"))
+    counts = (F.col(f"b.{c}").cast("bigint").alias(c) for c in ("start", "n_words", "similarity"))
+    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), *counts)
+
+
+def selection(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
+    """One row, how much each step selects: distinct windows, pairs of a window and an item of its length, pairs that share a block, pairs within RADIUS, leaks."""
+    items, cut, pieces = _windows(docs, benchmark, percent, size, "doc_id", "text", "item_id", "text")
+    of_item = items.select("item", "n", F.explode(_hashes(size)).alias("h"))
+    prints, marks = _prints(cut, pieces, of_item)
+    lengths = prints.groupBy("n").agg(F.count(F.lit(1)).alias("windows")).join(marks.groupBy("n").agg(F.count(F.lit(1)).alias("items")), "n")
+    shared = stored(fingerprint_pairs(prints, marks).groupBy("key", "item").agg(F.min("distance").alias("distance")))
+    within = shared.where(F.col("distance") <= RADIUS).select("key", "item")
+    return lengths.agg(F.sum("windows").alias("windows"), F.sum(F.col("windows") * F.col("items")).alias("pairs_of_a_length")).crossJoin(
+        shared.agg(F.count(F.lit(1)).alias("sharing_a_block"), F.count_if(F.col("distance") <= RADIUS).alias("within_radius"))
+    ).crossJoin(verified(within, pieces, of_item, percent).agg(F.count(F.lit(1)).alias("leaks")))
+
+
+def _hashes(size: int) -> Column:
+    return F.when(F.size("w") >= size, shingles(F.col("w"), size)).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
+
+
+def _windows(
+    docs: DataFrame, benchmark: DataFrame, percent: int, size: int, id_col: str, text_col: str, item_col: str, item_text_col: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (item, item_id, n, w), windows (id, n, start, w, key) that could reach percent, and their shingles (key, h)."""
     worded = lambda df, i, t: df.select(F.col(i).alias("id"), words(ascii_lower(F.col(t).cast("string"))).alias("w"))
     items = worded(benchmark, item_col, item_text_col).where(F.size("w") > 0)
     items = stored(items.select(F.monotonically_increasing_id().alias("item"), F.col("id").alias("item_id"), F.size("w").alias("n"), "w"))
@@ -125,23 +156,26 @@ def leaks(
     cut = cut.select("id", "c.n", "c.start", F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("w"))
     cut = stored(cut.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
     distinct = cut.groupBy("key").agg(F.first("w").alias("w"))
-    hashes = F.when(F.size("w") >= size, shingles(F.col("w"), size)).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
-    pieces = stored(distinct.select("key", F.explode(hashes).alias("h")))
-    of_item = items.select("item", "n", F.explode(hashes).alias("h"))
+    return items, cut, stored(distinct.select("key", F.explode(_hashes(size)).alias("h")))
+
+
+def _prints(cut: DataFrame, pieces: DataFrame, of_item: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of windows (key, n, f) and of items (item, n, f)."""
+    return stored(_simhash(pieces, ["key"]).join(cut.select("key", "n").distinct(), "key")), _simhash(of_item, ["item", "n"])
 
-    # Fingerprints within RADIUS of each other, by blocks.
+
+def fingerprint_pairs(prints: DataFrame, marks: DataFrame) -> DataFrame:
+    """(key, item, distance) of windows and items of one length that are within RADIUS // BLOCKS bits in a block; all within RADIUS are among them."""
     near = F.array(*(F.lit(v) for v in _near_values()))
-    marks = _simhash(of_item, ["item", "n"])
     spread = marks.select(
         "item", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v")
     ).select("item", "n", F.col("f").alias("item_f"), "block", F.explode(near).alias("d"), "v").withColumn("v", F.col("v").bitwiseXOR(F.col("d"))).drop("d")
-    prints = stored(_simhash(pieces, ["key"]).join(cut.select("key", "n").distinct(), "key"))
     blocked = prints.select("key", "n", "f", F.posexplode(F.array(*(_block(F.col("f"), k) for k in range(BLOCKS)))).alias("block", "v"))
-    candidates = blocked.join(spread, ["n", "block", "v"]).where(
-        F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= RADIUS
-    ).select("key", "item").distinct()
+    return blocked.join(spread, ["n", "block", "v"]).select("key", "item", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))).alias("distance"))
+
 
-    # Exact similarity of candidates from the shingles' counts.
+def verified(candidates: DataFrame, pieces: DataFrame, of_item: DataFrame, percent: int) -> DataFrame:
+    """(key, item, similarity) of the candidates whose exact weighted shingle similarity reaches percent."""
     counts = lambda df, key: df.groupBy(key, "h").agg(F.count(F.lit(1)).alias(f"c_{key}"))
     mine, theirs = counts(pieces, "key"), counts(of_item, "item")
     both = candidates.join(mine, "key").join(theirs, ["item", "h"]).groupBy("key", "item").agg(
@@ -152,8 +186,4 @@ def leaks(
     exact = both.join(totals, "key").join(item_totals, "item").withColumn(
         "union", F.col("n_key") + F.col("n_item") - F.col("both")
     ).where(100 * F.col("both") >= percent * F.col("union"))
-    exact = stored(exact.select("key", "item", F.floor(100 * F.col("both") / F.col("union")).cast("bigint").alias("similarity")))
-    found = cut.select("id", "key", "start", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
-    best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", "start", "n_words")).alias("b"))
-    counts = (F.col(f"b.{c}").cast("bigint").alias(c) for c in ("start", "n_words", "similarity"))
-    return best.select(F.col("id").alias(id_col), F.col("item_id").alias(item_col), *counts)
+    return exact.select("key", "item", F.floor(100 * F.col("both") / F.col("union")).cast("bigint").alias("similarity"))
