@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pricedex.llm.columns import ascii_lower
 from pricedex.llm.shared import stored
 
+FREQUENT = 2000
 ORDER = 4
 CALIBRATION = 5
 SCALE = 1_000_000
@@ -110,12 +111,15 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     distinct = distinct.select(
         "scored", "n", "ruled", held.alias("held"), F.concat(F.lit(START * ORDER), "scored", F.lit(END)).alias("padded")
     )
-    grams = with_grams(distinct)
+    # A URL has some fifty n-grams: they are made in as many tasks as a shuffle has, not in the few that short rows would be put into.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grams = with_grams(distinct.repartition(parts, "scored"))
     counted = lambda side: F.sum(
         F.when((F.col("ruled") == side) & ~F.col("held"), F.col("n")).otherwise(0)
     ).alias(f"n_{side}")
-    weights = stored(model(stored(grams.groupBy("gram").agg(counted("allow"), counted("block")))))
-    scores = grams.join(weights, "gram").groupBy("scored").agg(
+    counts = stored(grams.groupBy("gram").agg(counted("allow"), counted("block"), F.count(F.lit(1)).alias("rows")))
+    weights = stored(model(counts.drop("rows")))
+    scores = weighed(grams, weights, counts).groupBy("scored").agg(
         F.floor(F.sum("weight") / F.count(F.lit(1))).cast("bigint").alias("score"), F.first("ruled").alias("ruled"),
         F.first("held").alias("held"), F.first("n").alias("n")
     )
@@ -128,6 +132,16 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     )
 
 
+def weighed(grams: DataFrame, weights: DataFrame, counts: DataFrame) -> DataFrame:
+    """grams with their weight.  n-grams in more than 1 / FREQUENT of all rows, such as a common beginning, are fewer than FREQUENT and
+    sent to all tasks; no other key holds more rows than that share."""
+    whole = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("all"))
+    often = counts.crossJoin(F.broadcast(whole)).where(F.col("rows") * FREQUENT > F.col("all")).select("gram")
+    marked = grams.join(F.broadcast(weights.join(F.broadcast(often), "gram").withColumnRenamed("weight", "known")), "gram", "left")
+    rare = marked.where("known is null").drop("known").join(weights, "gram")
+    return marked.where("known is not null").withColumnRenamed("known", "weight").unionByName(rare)
+
+
 def threshold(scores: DataFrame) -> int:
     """The score from which on URLs are accepted: the bin edge with the least sum of both sides' error rates.
 
