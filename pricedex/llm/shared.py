@@ -1,32 +1,11 @@
-"""Cutting lineage with tables in the cluster's shared folder, and connected components over links."""
+"""Connected components over links; cutting lineage with tables in the cluster's shared folder is that of the library."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Where that is unset, on one machine, a new temporary one, kept for the session; on a cluster that is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.pricedex.shared.dir", "")
-    if not found:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.pricedex.shared.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as a Parquet table in the shared folder and read back: survives lost executors, cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pricedex.sources.stored import release, shared_dir, stored  # noqa: F401
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
