@@ -10,7 +10,7 @@ Training rows are a bounded sample: PER_LANGUAGE rows of each language, SAMPLE_M
 kernel rows take at most 0.4 GB on the driver, however many languages there are.
 
 Cases: a null text, or one without a letter, is `und` with score 0; equal texts get equal results; rows with a
-null language teach nothing but are classified; an empty table, or one without training rows, gives `und`
+null language or a null id teach nothing but are classified; an id under two languages teaches each text under its own; an empty table, or one without training rows, gives `und`
 throughout; long texts are read whole; other columns are ignored.
 """
 
@@ -93,7 +93,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
                     [rows.column(0), rows.column(1), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "lang", "bits"]
                 )
 
-    known = taught.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = taught.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"))
     sample = sampled_texts(known, chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")), "lang")
     got = sample.mapInArrow(pack, "id bigint, lang string, bits binary").toArrow().sort_by(
         [("id", "ascending"), ("lang", "ascending"), ("bits", "ascending")]

@@ -9,8 +9,8 @@ SALTS, BUCKETS = 64, 1024
 
 
 def crc_part(id_col: str, parts: int):
-    """crc32 of the id as text, modulo parts."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+    """crc32 of the id as text, modulo parts; a null id counts as an empty text, so it is in part 0."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
 def stratified(labelled: DataFrame, label: str, per_label: int, most: int, id_col: str = "doc_id") -> DataFrame:
@@ -38,6 +38,9 @@ def stratified(labelled: DataFrame, label: str, per_label: int, most: int, id_co
 
 
 def sampled_texts(source: DataFrame, chosen: DataFrame, label: str) -> DataFrame:
-    """(id, label, text) of the chosen (id, label) in source (id, text), one row each: of repeated ids the least text."""
-    joined = source.join(F.broadcast(chosen), "id")
+    """(id, label, text) of the chosen (id, label) in source (id, text), one row each: of repeated ids the least text.
+
+    Where source has the label itself, only texts under that label count, so an id with two labels teaches each text under its own.
+    """
+    joined = source.join(F.broadcast(chosen), ["id", label] if label in source.columns else "id")
     return joined.groupBy("id", label).agg(F.min("text").alias("text"))

@@ -132,3 +132,16 @@ def test_quality_is_judged_by_row(spark):
     verdicts = sorted((-1 if r.doc_id is None else r.doc_id, r.kept) for r in got if r.doc_id in (None, 7, 1000))
     assert verdicts == [(-1, False), (-1, True), (7, False), (7, True), (1000, False), (1000, True)]
     assert sum(not r.kept for r in got) == 3
+
+
+def test_an_id_under_two_languages_teaches_each_text_under_its_own(spark):
+    from pyspark.sql import functions as F
+
+    from pricedex.llm.sampling import crc_part, sampled_texts, stratified
+
+    rows = [(1, "en", "one"), (1, "de", "eins"), (2, "en", "two"), (2, "en", "deux"), (None, "en", "null"), (3, None, "none")]
+    frame = spark.createDataFrame(rows, "id bigint, lang string, text string")
+    chosen = stratified(frame, "lang", 10, 100, "id")
+    found = sampled_texts(frame, chosen, "lang").collect()
+    assert sorted((r.id, r.lang, r.text) for r in found) == [(1, "de", "eins"), (1, "en", "one"), (2, "en", "deux")]
+    assert frame.select((crc_part("id", 3) == 1).alias("h")).where(F.col("h").isNull()).count() == 0
