@@ -63,12 +63,14 @@ def due_links(offers: DataFrame, precedence: Sequence[str]) -> DataFrame:
     return rows.withColumnsRenamed({"stratum": "cell_id", "parent": "parent_id"})
 
 
-def cell_weights(offers: DataFrame, class_share: DataFrame, channel_share: DataFrame, lead_share: DataFrame | None = None) -> DataFrame:
-    """(cell_id, route, weight) of all cells, carriers by their measured share of a route's offers."""
+def cell_weights(
+    offers: DataFrame, class_share: DataFrame, channel_share: DataFrame, lead_share: DataFrame | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """(cell_id, route, weight) of all cells, carriers by their measured share of a route's offers; by: columns of lead_share's variants."""
     cells = offers.select("route", "carrier", F.col("stratum").alias("cell_id"), "lead_bucket", "fare_class", "channel").distinct()
     counts = offers.groupBy("route", "carrier").agg(F.count(F.lit(1)).alias("n"))
     carrier_share = publish.normalised(counts.withColumnRenamed("n", "weight"), ["route"]).withColumnRenamed("weight", "carrier_share")
-    return publish.within_route_weights(cells, class_share, channel_share, lead_share, carrier_share)
+    return publish.within_route_weights(cells, class_share, channel_share, lead_share, carrier_share, by)
 
 
 def published_cells(states: DataFrame, dates: DataFrame) -> DataFrame:
@@ -80,12 +82,14 @@ def published_cells(states: DataFrame, dates: DataFrame) -> DataFrame:
     )
 
 
-def published_levels(cells: DataFrame, weights: DataFrame, route_weights: DataFrame, expected: DataFrame) -> DataFrame:
-    """National level of each publication date: cells to routes to the nation."""
+def published_levels(
+    cells: DataFrame, weights: DataFrame, route_weights: DataFrame, expected: DataFrame, by: Sequence[str] = ()
+) -> DataFrame:
+    """National level of each publication date (and variant of the weights): cells to routes to the nation."""
     of_routes = publish.route_levels(
-        cells.withColumnRenamed("publication_date", "collection_date"), weights.select("cell_id", "weight"), expected
+        cells.withColumnRenamed("publication_date", "collection_date"), weights.select("cell_id", *by, "weight"), expected, by
     )
-    return publish.national_levels(of_routes, route_weights)
+    return publish.national_levels(of_routes, route_weights, by)
 
 
 def chain_states(offers: DataFrame, precedence: Sequence[str], weights: DataFrame) -> DataFrame:

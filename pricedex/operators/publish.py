@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,14 +30,15 @@ def sums_to_one(weights: DataFrame, group: list[str]) -> DataFrame:
     return weights.groupBy(*group).agg((F.abs(F.sum("weight") - 1) <= TOLERANCE).alias("ok"))
 
 
-def route_levels(states: DataFrame, weights: DataFrame, expected: DataFrame) -> DataFrame:
+def route_levels(states: DataFrame, weights: DataFrame, expected: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Level, counts, coverage and status of each route and date.
 
     states: (collection_date, route, cell_id, level); weights: (cell_id, weight); expected: (route, n).  A live
     cell without a weight, no live cell, or coverage below the least suppresses the route.
+    by: columns of states and weights that tell variants apart, all computed in one pass.
     """
     live = F.col("level").isNotNull()
-    facts = states.join(weights, "cell_id", "left").groupBy("collection_date", "route").agg(
+    facts = states.join(weights, ["cell_id", *by], "left").groupBy(*by, "collection_date", "route").agg(
         F.count(F.lit(1)).alias("observed"), F.count_if(live).alias("live"), F.count_if(live & F.col("weight").isNull()).alias("unweighted"),
         F.sum(F.when(live, F.col("weight"))).alias("live_weight"), F.sum(
             F.when(live, F.col("weight") * F.col("level"))
@@ -48,21 +51,21 @@ def route_levels(states: DataFrame, weights: DataFrame, expected: DataFrame) ->
         F.col("coverage") < MIN_ROUTE_COVERAGE, "COVERAGE"
     ).when(F.col("unweighted") > 0, "MISSING_WEIGHT").when(F.col("live_weight") <= 0, "ZERO_WEIGHT")
     return facts.select(
-        "collection_date", "route", F.when(reason.isNull(), F.col("weighted") / F.col("live_weight")).alias("level"),
+        *by, "collection_date", "route", F.when(reason.isNull(), F.col("weighted") / F.col("live_weight")).alias("level"),
         F.col("live").cast("bigint"), F.col("observed").cast("bigint"), F.col("expected_cells").cast("bigint"), "coverage",
         F.coalesce(F.col("lost_weight") / F.col("all_weight"), F.lit(0.0)).alias("suppressed_share"), reason.alias("reason")
     )
 
 
-def national_levels(routes: DataFrame, route_weights: DataFrame) -> DataFrame:
-    """Weighted mean over the live routes of each date; null and unpublished if none is live."""
+def national_levels(routes: DataFrame, route_weights: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Weighted mean over the live routes of each date (and variant); null and unpublished if none is live."""
     live = F.col("level").isNotNull()
     weighed = routes.join(route_weights.withColumnRenamed("weight", "route_weight"), "route", "left")
     checked = F.when(
         F.assert_true(~live | F.col("route_weight").isNotNull(), F.lit("a live route has no weight")).isNull(), F.col("route_weight")
     )
     total = F.sum(F.when(live, checked))
-    return weighed.groupBy("collection_date").agg(
+    return weighed.groupBy(*by, "collection_date").agg(
         (F.sum(F.when(live, checked * F.col("level"))) / total).alias("level"), F.count_if(live).alias("live_routes"),
         F.count(F.lit(1)).alias("routes"), (F.sum(F.when(~live, F.col("route_weight"))) / F.sum("route_weight")).alias("suppressed_weight")
     ).withColumn("published", F.col("level").isNotNull())
@@ -177,11 +180,11 @@ def exact_weights(weights: DataFrame, group: list[str], scale: int = 18) -> Data
 
 def within_route_weights(
     cells: DataFrame, class_share: DataFrame, channel_share: DataFrame, lead_share: DataFrame | None = None,
-    carrier_share: DataFrame | None = None
+    carrier_share: DataFrame | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
     """Cell weights of each route: the product of the shares of lead bucket, class, channel and carrier, to sum 1 in a route.
 
-    lead_share: (lead_bucket, lead_share), equal where none is given; carrier_share: (route, carrier, carrier_share).
+    lead_share: (lead_bucket, lead_share), with columns `by` of its variants if it has several, equal where none is given; carrier_share: (route, carrier, carrier_share).
     A route of several carriers without carrier shares, and a class, channel, bucket or carrier without a share, are errors.
     """
     rows, product = cells, F.lit(1.0) / len(LEAD_BUCKETS)
@@ -200,7 +203,7 @@ def within_route_weights(
     for shares, key, name in tables:
         rows = rows.join(shares, key, "left")
         product = product * F.when(F.assert_true(F.col(name).isNotNull(), F.lit(f"no {name} declared")).isNull(), F.col(name))
-    return normalised(rows.withColumn("weight", product).drop(*(name for _, _, name in tables)), ["route"])
+    return normalised(rows.withColumn("weight", product).drop(*(name for _, _, name in tables)), ["route", *by])
 
 
 #: Illustrative alternatives to equal weights of the lead buckets, in their order.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricedex.config import LEAD_BUCKETS
 from pricedex.functions import derive
 from pricedex.operators import admit, index, publish
+from pricedex.operators.audit import sensitivity_band
 from pricedex.plans.registry import Registry, r6
 from pricedex.sources.adapters import EVENT_ADMITTED_SQL, EVENT_QUOTES_SQL, admitted_sql, event_quotes, table
 from pricedex.sources.stored import stored
@@ -41,10 +44,10 @@ def shares(spark: SparkSession, values: dict[str, float], key: str, name: str) -
     return spark.createDataFrame(list(values.items()), f"{key} string, {name} double")
 
 
-def weights(o: DataFrame, lead_share: DataFrame | None = None) -> DataFrame:
+def weights(o: DataFrame, lead_share: DataFrame | None = None, by: Sequence[str] = ()) -> DataFrame:
     spark = o.sparkSession
     classes, channels = shares(spark, CLASS_SHARES, "fare_class", "class_share"), shares(spark, CHANNEL_SHARES, "channel", "channel_share")
-    return index.cell_weights(o, classes, channels, lead_share)
+    return index.cell_weights(o, classes, channels, lead_share, by)
 
 
 def route_weights(o: DataFrame) -> DataFrame:
@@ -261,16 +264,9 @@ g AS (SELECT curve, collection_date, ln(level) - ln(lag(level) OVER (PARTITION B
 SELECT a.collection_date, round(max(abs(b.growth - a.growth)), 6) AS max_deviation FROM g a JOIN g b ON b.collection_date = a.collection_date AND b.curve <> 'equal' WHERE a.curve = 'equal' GROUP BY ALL""")
 def x4_sensitivity_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the growth of the published national level moves under other lead-time curves than the declared one."""
-    from pricedex.operators.audit import sensitivity_band
-
     o = offers(spark, sf_dir)
-    published, of_routes, declared = stored(cells(o)), route_weights(o), expected(o)
-    found = None
-    for curve in publish.LEAD_CURVES:  # a few declared curves
-        share = publish.lead_curves(spark).where(F.col("curve") == curve).drop("curve")
-        levels = index.published_levels(published, weights(o, share), of_routes, declared)
-        levels = levels.select(F.lit(curve).alias("curve"), "collection_date", "level")
-        found = levels if found is None else found.unionByName(levels)
+    published = cells(o).withColumn("curve", F.explode(F.array(*map(F.lit, publish.LEAD_CURVES))))  # a few declared curves
+    found = index.published_levels(published, weights(o, publish.lead_curves(spark), ["curve"]), route_weights(o), expected(o), ["curve"])
     return sensitivity_band(stored(found)).select("collection_date", r6("max_deviation"))
 
 

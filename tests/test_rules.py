@@ -231,6 +231,26 @@ def test_weights_need_shares(spark):
     assert got == pytest.approx({"6E": 0.75, "AI": 0.25})
 
 
+def test_levels_of_several_curves_in_one_pass(spark):
+    offers = [("r", c, f"r|{c}|{b}", b, "STANDARD", "X") for c in ("6E", "AI") for b in (7, 30)]
+    offers = spark.createDataFrame(offers, "route string, carrier string, stratum string, lead_bucket int, fare_class string, channel string")
+    classes, channels = spark.createDataFrame([("STANDARD", 1.0)], "fare_class string, class_share double"), spark.createDataFrame([("X", 1.0)], "channel string, channel_share double")
+    levels = {"r|6E|7": 100.0, "r|AI|7": 110.0, "r|6E|30": 130.0, "r|AI|30": None}
+    states = spark.createDataFrame([(D0, "r", c, v) for c, v in levels.items()], "publication_date date, route string, cell_id string, level double")
+    of_routes, expected = spark.createDataFrame([("r", 1.0)], "route string, weight double"), spark.createDataFrame([("r", 4)], "route string, n int")
+    curves = publish.lead_curves(spark)
+    both = states.withColumn("curve", F.explode(F.array(*map(F.lit, publish.LEAD_CURVES))))
+    once = index.published_levels(both, index.cell_weights(offers, classes, channels, curves, ["curve"]), of_routes, expected, ["curve"])
+    got = {r.curve: (r.level, r.live_routes) for r in once.collect()}
+    for curve in publish.LEAD_CURVES:
+        own = index.cell_weights(offers, classes, channels, curves.where(F.col("curve") == curve).drop("curve"))
+        alone = index.published_levels(states, own, of_routes, expected).first()
+        assert got[curve] == (pytest.approx(alone.level), alone.live_routes)
+    assert got["front"][0] == pytest.approx((5 * 100 + 5 * 110 + 3 * 130) / 13)
+    lost = index.published_levels(both, index.cell_weights(offers, classes, channels, curves.where("curve <> 'back'"), ["curve"]), of_routes, expected, ["curve"])
+    assert {r.curve: r.live_routes for r in lost.collect()} == {"equal": 1, "front": 1, "middle": 1, "back": 0}
+
+
 def test_national_level_needs_a_weight(spark):
     routes = spark.createDataFrame([(D0, "r", 100.0)], "collection_date date, route string, level double")
     with pytest.raises(Exception, match="no weight"):
