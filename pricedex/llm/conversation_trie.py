@@ -124,12 +124,15 @@ def xor(x: str, y: str) -> Column:
 
 
 def ranged_turns(conversations: DataFrame) -> DataFrame:
-    """(conv_id, range, local, mark, n_words): the turns' digests in order; `local` counts within one range partition of a conversation."""
+    """(conv_id, range, local, mark, n_words): the turns' digests in order; `local` counts within one range partition of a conversation.
+
+    Ranges are found by a sample of their rows: digests are stored before, so that texts are read once.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     mark = F.unhex(F.sha2(F.concat(F.length(role).cast("string"), F.lit(":"), role, text), 256))
-    turns = conversations.where("conv_id is not null").select(
+    turns = stored(conversations.where("conv_id is not null").select(
         F.col("conv_id").cast("bigint").alias("conv_id"), "turn", mark.alias("mark"), F.size(words(F.col("text"))).cast("bigint").alias("n_words")
-    )
+    ))
     order = [F.asc_nulls_first("turn"), F.asc("mark")]
     ranges = stored(turns.repartitionByRange("conv_id", *order).withColumn("range", F.spark_partition_id()))
     local = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*order))
