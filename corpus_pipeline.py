@@ -31,14 +31,14 @@ def by_row(docs: DataFrame) -> DataFrame:
     """docs with ROW, a number of its own for each row: that of its file, and its place in the file.
 
     Both come from the Parquet reader, so they are the same in every job, however files are split into tasks.  A frame that is
-    not read from files is written first.
+    not read from files is written first.  The files are numbered once for all readers of the rows.
     """
     place = [F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(INDEX)]
     try:
         rows = docs.select("*", *place)
     except AnalysisException:
         rows = stored(docs).select("*", *place)
-    files = rows.select(FILE).distinct().withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(FILE)))
+    files = stored(rows.select(FILE).distinct().withColumn("number", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(FILE))))
     near = F.broadcast if len(docs.inputFiles()) <= BROADCAST_FILES else (lambda df: df)
     return rows.join(near(files), FILE).withColumn(ROW, F.col("number").cast("bigint") * (1 << 40) + F.col(INDEX)).drop(FILE, INDEX, "number")
 

@@ -136,12 +136,12 @@ def _inverse(matrix: Column) -> Column:
 
 
 def _estimate(moments: DataFrame) -> DataFrame:
-    """grp, start, centre, precision and logdet from grp, start, centre and covariance (flat arrays); the floors are added to the variances."""
+    """grp, start, was, centre, precision and logdet from grp, start, was, centre and covariance (flat arrays); the floors are added to the variances."""
     p = len(VECTOR)
     floors = [f * f for f in VECTOR.values()]
     ridge = F.array(*(F.lit(floors[t // p] if t % (p + 1) == 0 else 0.0) for t in range(p * p)))
     solved = moments.select(
-        "grp", "start", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision")
+        "grp", "start", "was", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision")
     )
     return stored(solved.withColumn("logdet", F.get("precision", p * p)))
 
@@ -204,28 +204,25 @@ def outlier_scores(rows: DataFrame) -> DataFrame:
     few = rows.select("grp").distinct().count() <= BROADCAST_GROUPS
     sent = F.broadcast if few else (lambda table: table)
     binned = lambda estimate: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select(
-        "id", "grp", "start", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin")
+        "id", "grp", "start", "logdet", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin")
     )
-    active = _estimate(_starts(rows)).withColumn("logdet", F.lit(float("inf")))
+    active = _estimate(_starts(rows).withColumn("was", F.lit(None).cast("double"))).withColumn("logdet", F.lit(float("inf")))
     settled = None
     while not active.isEmpty():
         measured = binned(active)
         core = measured.join(sent(_core_bins(measured)), ["grp", "start"]).where("bin <= core")
         moments = core.groupBy("grp", "start").agg(
-            F.array(*map(F.avg, at)).alias("centre"),
+            F.first("logdet").alias("was"), F.array(*map(F.avg, at)).alias("centre"),
             F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance")
         )
         found = _estimate(moments)
         settled = found if settled is None else settled.unionByName(found)
-        active = stored(
-            found.join(
-                active.select("grp", "start", F.col("logdet").alias("was")), ["grp", "start"]
-            ).where(F.col("logdet") < F.col("was") - FALL).drop("was")
-        )
+        # Each estimate carries the determinant of the one it was made from, so a step needs no join with the last.
+        active = found.where(F.col("logdet") < F.col("was") - FALL)
     if settled is None:
         return rows.select("id", F.lit(None).cast("double").alias("far"))
     best = settled.groupBy("grp").agg(
-        F.min_by(F.struct("start", "centre", "precision"), F.struct("logdet", "start")).alias("b")
+        F.min_by(F.struct("start", "logdet", "centre", "precision"), F.struct("logdet", "start")).alias("b")
     ).select("grp", "b.*")
     measured = binned(stored(best))
     edges = _core_bins(measured).select("grp", F.greatest(F.exp((F.col("core") + 1) / 16.0), F.lit(CHI_CORE / 3)).alias("edge"))

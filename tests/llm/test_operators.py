@@ -589,3 +589,28 @@ def test_pipeline_on_small_and_empty_tables(spark, tmp_path):
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/empty/documents.parquet")
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_components_take_no_round_when_links_are_stars(spark, monkeypatch):
+    from pricedex.llm import shared
+
+    tables = []
+    kept = shared.stored
+    monkeypatch.setattr(shared, "stored", lambda df: tables.append(1) or kept(df))
+    find = lambda links: sorted(tuple(r) for r in shared.components(spark.createDataFrame(links, "a bigint, b bigint")).collect())
+    assert find([(1, 5), (7, 1), (1, 7), (3, 4), (9, 9), (None, 2)]) == [(1, 1), (3, 3), (4, 3), (5, 1), (7, 1)]
+    assert len(tables) == 1
+    assert find([]) == []
+    assert len(tables) == 2
+    chain = [(k, k + 1) for k in range(20)] + [(30, 31), (32, 31), (33, 32)]
+    assert find(chain) == [(k, 0) for k in range(21)] + [(k, 30) for k in range(30, 34)]
+
+
+def test_pipeline_numbers_files_once_for_all_readers(spark, tmp_path):
+    import corpus_pipeline
+
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 5).write.mode("append").parquet(f"{tmp_path}/t")
+    rows = corpus_pipeline.by_row(spark.read.parquet(f"{tmp_path}/t"))
+    assert "Window" not in rows._jdf.queryExecution().toString()
+    assert rows.select(corpus_pipeline.ROW).distinct().count() == 15
