@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricedex.llm.columns import ascii_lower, let, words
-from pricedex.llm.shared import stored
+from pricedex.llm.shared import stored, stored_counted
 
 RADIUS = 23
 BLOCKS = 8
@@ -53,20 +53,18 @@ def shingles(found: Column, size: int) -> Column:
     return F.when(F.size(found) < size, none).otherwise(let(F.transform(found, lambda w: F.xxhash64(w)), rolled))
 
 
-def _simhash(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and the 64-bit SimHash `f` of their rows' hashes h: bit i is set if more h have it than not."""
-    mixed = F.xxhash64("h", F.lit(17))
-    ones = [F.sum(F.shiftrightunsigned("m", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(BITS)]
-    summed = rows.withColumn("m", mixed).groupBy(*keys).agg(F.count(F.lit(1)).alias("all"), *ones)
-    bits = [
-        F.when(
-            2 * F.col(f"b{i}") > F.col("all"), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")
-        ).otherwise(F.lit(0).cast("bigint")) for i in range(BITS)
-    ]
-    f = bits[0]
-    for b in bits[1:]:
-        f = f.bitwiseOR(b)
-    return summed.select(*keys, f.alias("f"))
+def _simhash(hashes: Column) -> Column:
+    """The 64-bit SimHash of an array of hashes: bit i is set if more of them, mixed, have it than not."""
+
+    def majorities(mixed: Column) -> Column:
+        def with_bit(f: Column, i: Column) -> Column:
+            ones = F.size(F.filter(mixed, lambda m: F.call_function("shiftrightunsigned", m, i).bitwiseAND(F.lit(1)) == 1))
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), i)
+            return F.when(2 * ones > F.size(mixed), f.bitwiseOR(bit)).otherwise(f)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("bigint"), with_bit)
+
+    return let(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(17))), majorities)
 
 
 def _block(f: Column, k: int) -> Column:
@@ -86,9 +84,8 @@ def leaks(
 ) -> DataFrame:
     """id, item id, start (first word, from 0), n_words and similarity (percent, rounded down) of each leak's best window."""
     items, cut, pieces = _windows(docs, benchmark, percent, size, id_col, text_col, item_col, item_text_col)
-    of_item = items.select("item", "n", F.explode(_hashes(size)).alias("h"))
-    candidates = fingerprint_pairs(*_prints(cut, pieces, of_item)).where(F.col("distance") <= RADIUS).select("key", "item").distinct()
-    exact = stored(verified(candidates, pieces, of_item, percent))
+    candidates = fingerprint_pairs(*_prints(pieces, items)).where(F.col("distance") <= RADIUS).select("key", "item").distinct()
+    exact = stored(verified(candidates, pieces, items, percent))
     found = cut.select("id", "key", "start", F.size("w").alias("n_words")).join(exact, "key").join(items.select("item", "item_id"), "item")
     best = found.groupBy("id", "item_id").agg(F.max(F.struct("similarity", "start", "n_words")).alias("b"))
     counts = (F.col(f"b.{c}").cast("bigint").alias(c) for c in ("start", "n_words", "similarity"))
@@ -97,15 +94,14 @@ def leaks(
 
 def selection(docs: DataFrame, benchmark: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     """One row, how much each step selects: distinct windows, pairs of a window and an item of its length, pairs that share a block, pairs within RADIUS, leaks."""
-    items, cut, pieces = _windows(docs, benchmark, percent, size, "doc_id", "text", "item_id", "text")
-    of_item = items.select("item", "n", F.explode(_hashes(size)).alias("h"))
-    prints, marks = _prints(cut, pieces, of_item)
+    items, _, pieces = _windows(docs, benchmark, percent, size, "doc_id", "text", "item_id", "text")
+    prints, marks = _prints(pieces, items)
     lengths = prints.groupBy("n").agg(F.count(F.lit(1)).alias("windows")).join(marks.groupBy("n").agg(F.count(F.lit(1)).alias("items")), "n")
     shared = stored(fingerprint_pairs(prints, marks).groupBy("key", "item").agg(F.min("distance").alias("distance")))
     within = shared.where(F.col("distance") <= RADIUS).select("key", "item")
     return lengths.agg(F.sum("windows").alias("windows"), F.sum(F.col("windows") * F.col("items")).alias("pairs_of_a_length")).crossJoin(
         shared.agg(F.count(F.lit(1)).alias("sharing_a_block"), F.count_if(F.col("distance") <= RADIUS).alias("within_radius"))
-    ).crossJoin(verified(within, pieces, of_item, percent).agg(F.count(F.lit(1)).alias("leaks")))
+    ).crossJoin(verified(within, pieces, items, percent).agg(F.count(F.lit(1)).alias("leaks")))
 
 
 def _hashes(size: int) -> Column:
@@ -115,10 +111,10 @@ def _hashes(size: int) -> Column:
 def _windows(
     docs: DataFrame, benchmark: DataFrame, percent: int, size: int, id_col: str, text_col: str, item_col: str, item_text_col: str
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Items (item, item_id, n, w), windows (id, n, start, w, key) that could reach percent, and their shingles (key, h)."""
+    """Items (item, item_id, n, w, hs), windows (id, n, start, w, key) that could reach percent, and of each distinct one the items' lengths and shingles (key, lengths, hs)."""
     worded = lambda df, i, t: df.select(F.col(i).alias("id"), words(ascii_lower(F.col(t).cast("string"))).alias("w"))
     items = worded(benchmark, item_col, item_text_col).where(F.size("w") > 0)
-    items = stored(items.select(F.monotonically_increasing_id().alias("item"), F.col("id").alias("item_id"), F.size("w").alias("n"), "w"))
+    items = stored(items.select(F.monotonically_increasing_id().alias("item"), F.col("id").alias("item_id"), F.size("w").alias("n"), "w", _hashes(size).alias("hs")))
     texts = worded(docs, id_col, text_col)
 
     # Shingles of the benchmark; items shorter than a shingle have their whole sequence, told apart by its length.
@@ -129,8 +125,8 @@ def _windows(
         (F.col("s.g") == size) & (F.col("n") >= size) | (F.col("s.g") == F.col("n")) & (F.col("n") < size)
     )
     of_item = stored(of_item.select("item", "n", "s.g", F.posexplode("s.hs").alias("at", "h")))
-    known = of_item.select("g", "h", "n").distinct()
-    if known.count() <= BROADCAST_SHINGLES:
+    known, n = stored_counted(of_item.select("g", "h", "n").distinct())
+    if n <= BROADCAST_SHINGLES:
         known = F.broadcast(known)
 
     # Where documents have them, and the windows that start there or at the document's end.
@@ -155,13 +151,14 @@ def _windows(
     cut = cut.select("id", "w", F.explode("cuts").alias("c")).where(F.col("c.start") <= F.greatest(F.size("w") - F.col("c.n"), F.lit(0)))
     cut = cut.select("id", "c.n", "c.start", F.slice("w", F.col("c.start") + 1, F.col("c.n")).alias("w"))
     cut = stored(cut.withColumn("key", F.sha2(F.array_join("w", " "), 256)))
-    distinct = cut.groupBy("key").agg(F.first("w").alias("w"))
-    return items, cut, stored(distinct.select("key", F.explode(_hashes(size)).alias("h")))
+    distinct = cut.groupBy("key").agg(F.first("w").alias("w"), F.collect_set("n").alias("lengths"))
+    return items, cut, stored(distinct.select("key", "lengths", _hashes(size).alias("hs")))
 
 
-def _prints(cut: DataFrame, pieces: DataFrame, of_item: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _prints(pieces: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of windows (key, n, f) and of items (item, n, f)."""
-    return stored(_simhash(pieces, ["key"]).join(cut.select("key", "n").distinct(), "key")), _simhash(of_item, ["item", "n"])
+    prints = pieces.select("key", "lengths", _simhash(F.col("hs")).alias("f")).select("key", F.explode("lengths").alias("n"), "f")
+    return stored(prints), stored(items.select("item", "n", _simhash(F.col("hs")).alias("f")))
 
 
 def fingerprint_pairs(prints: DataFrame, marks: DataFrame) -> DataFrame:
@@ -174,16 +171,16 @@ def fingerprint_pairs(prints: DataFrame, marks: DataFrame) -> DataFrame:
     return blocked.join(spread, ["n", "block", "v"]).select("key", "item", F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))).alias("distance"))
 
 
-def verified(candidates: DataFrame, pieces: DataFrame, of_item: DataFrame, percent: int) -> DataFrame:
+def verified(candidates: DataFrame, pieces: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """(key, item, similarity) of the candidates whose exact weighted shingle similarity reaches percent."""
-    counts = lambda df, key: df.groupBy(key, "h").agg(F.count(F.lit(1)).alias(f"c_{key}"))
-    mine, theirs = counts(pieces, "key"), counts(of_item, "item")
-    both = candidates.join(mine, "key").join(theirs, ["item", "h"]).groupBy("key", "item").agg(
+    counts = lambda df, key: df.select(key, F.size("hs").alias(f"n_{key}"), F.explode("hs").alias("h")).groupBy(key, f"n_{key}", "h").agg(
+        F.count(F.lit(1)).alias(f"c_{key}")
+    )
+    mine, theirs = counts(pieces, "key"), counts(items, "item")
+    both = candidates.join(mine, "key").join(theirs, ["item", "h"]).groupBy("key", "item", "n_key", "n_item").agg(
         F.sum(F.least("c_key", "c_item")).alias("both")
     )
-    totals = pieces.groupBy("key").agg(F.count(F.lit(1)).alias("n_key"))
-    item_totals = of_item.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
-    exact = both.join(totals, "key").join(item_totals, "item").withColumn(
+    exact = both.withColumn(
         "union", F.col("n_key") + F.col("n_item") - F.col("both")
     ).where(100 * F.col("both") >= percent * F.col("union"))
     return exact.select("key", "item", F.floor(100 * F.col("both") / F.col("union")).cast("bigint").alias("similarity"))

@@ -20,11 +20,11 @@ results; long texts are counted whole; columns of the same names as the statisti
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricedex.llm.columns import SPACE, let, total, words
-from pricedex.llm.shared import stored
+from pricedex.llm.shared import stored, stored_counted
 
 WINDOW = 8
 LEAST_WORDS, REPEAT_PERCENT = 20, 30
@@ -35,6 +35,8 @@ FALL = 0.01
 #: gathered in one task; more are joined by a shuffle, where adaptive execution splits large groups.
 BROADCAST_GROUPS = 20_000
 CORE = 0.5
+#: Starts of each group's estimate.
+STARTS = 3
 CUTOFF = 120.0
 #: Least standard deviation of each transformed statistic: differences below are no reason to reject.
 VECTOR = {"log_words": 0.5, "log_length": 0.08, "symbols": 0.05, "repeats": 0.15, "lines": 0.15, "marks": 0.06, "capitals": 0.06}
@@ -135,33 +137,64 @@ def _inverse(matrix: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), F.concat(matrix.cast("array<double>"), F.array(F.lit(0.0))), step)
 
 
-def _estimate(moments: DataFrame) -> DataFrame:
-    """grp, start, was, centre, precision and logdet from grp, start, was, centre and covariance (flat arrays); the floors are added to the variances."""
+def _estimate(moments: DataFrame) -> tuple[DataFrame, int]:
+    """grp, start, was, centre, precision and logdet from grp, start, was, centre and covariance (flat arrays); the floors are added to the variances.
+
+    With it comes the number of rows whose determinant fell from `was`, or that have none.
+    """
     p = len(VECTOR)
     floors = [f * f for f in VECTOR.values()]
     ridge = F.array(*(F.lit(floors[t // p] if t % (p + 1) == 0 else 0.0) for t in range(p * p)))
     solved = moments.select(
         "grp", "start", "was", "centre", _inverse(F.zip_with("covariance", ridge, lambda x, y: F.coalesce(x, F.lit(0.0)) + y)).alias("precision")
     )
-    return stored(solved.withColumn("logdet", F.get("precision", p * p)))
+    return stored_counted(solved.withColumn("logdet", F.get("precision", p * p)), F.col("was").isNull() | _fell())
+
+
+def _fell() -> Column:
+    return F.col("logdet") < F.col("was") - FALL
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of a row's vector v with its group's centre and precision."""
+    """Squared Mahalanobis distance of a row whose vector is `off` away from its group's centre, with the group's precision."""
     p = len(VECTOR)
-    term = lambda off: lambda a, t: a + F.get("precision", t) * F.get(off, F.floor(t / p).cast("int")) * F.get(off, (t % p).cast("int"))
-    off = F.zip_with("v", "centre", lambda x, m: x - m)
-    return F.greatest(let(off, lambda o: F.aggregate(_cells(), F.lit(0.0), term(o))), F.lit(0.0))
+    term = lambda a, t: a + F.get("precision", t) * F.get("off", F.floor(t / p).cast("int")) * F.get("off", (t % p).cast("int"))
+    return F.greatest(F.aggregate(_cells(), F.lit(0.0), term), F.lit(0.0))
+
+
+def _upto(counts: DataFrame) -> DataFrame:
+    """counts (grp, start, bin, n) with `upto`, the rows of a group and start up to the bin, and `all` of them."""
+    upto = Window.partitionBy("grp", "start").orderBy("bin")
+    return counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start")))
 
 
 def _core_bins(rows: DataFrame) -> DataFrame:
     """grp, start and the distance bin up to which the CORE share of the rows lies."""
-    from pyspark.sql import Window
-
     counts = rows.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("grp", "start").orderBy("bin")
-    summed = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy("grp", "start")))
-    return summed.where(F.col("upto") >= CORE * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias("core"))
+    return _upto(counts).where(F.col("upto") >= CORE * F.col("all")).groupBy("grp", "start").agg(F.min("bin").alias("core"))
+
+
+def _core_moments(rows: DataFrame) -> DataFrame:
+    """grp, start, was, centre and covariance of the rows up to the core's bin.
+
+    Rows are summed by bin, as products of differences from the last centre, so one pass finds the core's bin and what lies below it.
+    """
+    p = len(VECTOR)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    off = [F.get("off", i) for i in range(p)]
+    kept = {"was": F.first("logdet")} | {f"c{i}": F.first(F.get("centre", i)) for i in range(p)}
+    sums = {f"s{i}": F.sum(off[i]) for i in range(p)} | {f"s{i}_{j}": F.sum(off[i] * off[j]) for i, j in pairs}
+    named = lambda found: [c.alias(name) for name, c in found.items()]
+    binned = rows.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"), *named(kept), *named(sums))
+    core = _upto(binned).where(F.col("upto") - F.col("n") < CORE * F.col("all")).groupBy("grp", "start").agg(
+        F.sum("n").alias("n"), *named({name: F.first(name) for name in kept}), *named({name: F.sum(name) for name in sums})
+    )
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    shared = lambda i, j: F.col(f"s{i}_{j}") / F.col("n") - mean(i) * mean(j)
+    return core.select(
+        "grp", "start", "was", F.array(*(F.col(f"c{i}") + mean(i) for i in range(p))).alias("centre"),
+        F.array(*(shared(min(t // p, t % p), max(t // p, t % p)) for t in range(p * p))).alias("covariance")
+    )
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -198,27 +231,20 @@ def _starts(rows: DataFrame) -> DataFrame:
 
 def outlier_scores(rows: DataFrame) -> DataFrame:
     """id and `far` of rows (id, grp, own, v) where own holds: the scaled squared distance from the group's robust centre."""
-    p = len(VECTOR)
-    at = [F.get("v", i) for i in range(p)]
     rows = stored(rows)
-    few = rows.select("grp").distinct().count() <= BROADCAST_GROUPS
+    active, n = _estimate(_starts(rows).withColumn("was", F.lit(None).cast("double")))
+    active = active.withColumn("logdet", F.lit(float("inf")))
+    few = n <= STARTS * BROADCAST_GROUPS
     sent = F.broadcast if few else (lambda table: table)
-    binned = lambda estimate: rows.join(sent(estimate), "grp").withColumn("d", _distance()).select(
-        "id", "grp", "start", "logdet", "own", "v", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin")
-    )
-    active = _estimate(_starts(rows).withColumn("was", F.lit(None).cast("double"))).withColumn("logdet", F.lit(float("inf")))
+    binned = lambda estimate: rows.join(sent(estimate), "grp").withColumn("off", F.zip_with("v", "centre", lambda x, m: x - m)).withColumn(
+        "d", _distance()
+    ).select("id", "grp", "start", "centre", "logdet", "own", "off", "d", F.floor(F.log(F.col("d") + 1e-3) * 16).cast("int").alias("bin"))
     settled = None
-    while not active.isEmpty():
-        measured = binned(active)
-        core = measured.join(sent(_core_bins(measured)), ["grp", "start"]).where("bin <= core")
-        moments = core.groupBy("grp", "start").agg(
-            F.first("logdet").alias("was"), F.array(*map(F.avg, at)).alias("centre"),
-            F.array(*(F.covar_pop(at[min(t // p, t % p)], at[max(t // p, t % p)]) for t in range(p * p))).alias("covariance")
-        )
-        found = _estimate(moments)
+    while n:
+        found, n = _estimate(_core_moments(binned(active)))
         settled = found if settled is None else settled.unionByName(found)
         # Each estimate carries the determinant of the one it was made from, so a step needs no join with the last.
-        active = found.where(F.col("logdet") < F.col("was") - FALL)
+        active = found.where(_fell())
     if settled is None:
         return rows.select("id", F.lit(None).cast("double").alias("far"))
     best = settled.groupBy("grp").agg(
@@ -248,18 +274,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     level = F.when(
         F.col("n_source") >= LEAST, F.concat(F.lit("s:"), F.to_json(F.array("lang", "source")))
     ).when(F.col("n_lang") >= LEAST, F.concat(F.lit("l:"), "lang")).otherwise("all")
-    levels = stored(sizes.join(langs, "lang").select("lang", "source", level.alias("grp")))
+    levels, small = stored_counted(sizes.join(langs, "lang").select("lang", "source", level.alias("grp")), F.col("grp") == "all")
     # Each row takes part in the estimates of all groups that hold it and that some row is judged by.
     wide = levels.where("grp not like 's:%'").groupBy("lang").agg(F.max(F.col("grp").like("l:%")).alias("wide"))
-    small = bool(levels.where("grp = 'all'").limit(1).count())
     holders = F.array_compact(
         F.array(F.col("grp"), F.when(F.col("wide"), F.concat(F.lit("l:"), "lang")), F.lit("all" if small else None).cast("string"))
     )
-    groups = stored(
+    groups, n = stored_counted(
         levels.join(wide, "lang", "left").select("lang", "source", F.col("grp").alias("finest"), F.array_distinct(holders).alias("grps"))
     )
     vectors = able.join(
-        F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, ["lang", "source"]
+        F.broadcast(groups) if n <= BROADCAST_GROUPS else groups, ["lang", "source"]
     ).select(F.col("row").alias("id"), "finest", F.explode("grps").alias("grp"), F.array(*_vector().values()).alias("v"))
     vectors = vectors.select("id", "grp", (F.col("grp") == F.col("finest")).alias("own"), "v")
     far = outlier_scores(vectors).select(F.col("id").alias("row"), "far")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricedex.sources.stored import release, shared_dir, stored  # noqa: F401
+from pricedex.sources.stored import release, shared_dir, stored, stored_counted  # noqa: F401
 
 
 def _is_stars(edges: DataFrame) -> bool:

@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricedex.llm.shared import components, stored
+from pricedex.llm.shared import components, stored, stored_counted
 from pricedex.llm.textkernel import mix, shingle_sets, slices
 
 ORDER_GROUPS = 1 << 16
@@ -328,24 +328,24 @@ def with_partners(rows: DataFrame, percent: int) -> DataFrame:
     return _grouped(rows.select(*MEMBER, "point")).mapInArrow(run, MEMBER_SCHEMA)
 
 
-def _of(rows: DataFrame, given: DataFrame) -> DataFrame:
-    """The given rows whose id is among those of `rows`; a small set of ids is sent to where they are."""
+def _of(rows: DataFrame, n: int, given: DataFrame) -> DataFrame:
+    """The given rows whose id is among those of `rows`, at most n; a small set of ids is sent to where they are."""
     needed = rows.select("id").distinct()
-    return given.join(F.broadcast(needed), "id", "left_semi") if needed.count() <= BROADCAST_IDS else given
+    return given.join(F.broadcast(needed), "id", "left_semi") if n <= BROADCAST_IDS or needed.count() <= BROADCAST_IDS else given
 
 
 def candidates(rows: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The rows (MEMBER) that may have a link by their points, then by their finer ones; points: (id, a, point, fine)."""
     for column in ("point", "fine"):
-        rows = stored(rows)
-        rows = with_partners(rows.join(_of(rows, points).select("id", "a", F.col(column).alias("point")), ["id", "a"]), percent)
+        rows, n = stored_counted(rows)
+        rows = with_partners(rows.join(_of(rows, n, points).select("id", "a", F.col(column).alias("point")), ["id", "a"]), percent)
     return rows
 
 
 def verified(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """(u, v): a spanning forest of the links of each group of rows (MEMBER), by whole sets."""
-    rows = stored(rows)
-    told = rows.join(_of(rows, texts), "id").select(*MEMBER, "text")
+    rows, n = stored_counted(rows)
+    told = rows.join(_of(rows, n, texts), "id").select(*MEMBER, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, bounds in _whole_groups(batches, len(GROUP)):
@@ -479,8 +479,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, size: int = 5, id_col
     links = verified(candidates(first_groups(members, sizes), points, percent), known, size, percent)
     links = stored(links.unionByName(repeated.select("u", F.col("id").alias("v"))))
     joined = stored(components(links, "u", "v"))
-    more = stored(verified(candidates(open_groups(members, sizes, joined, percent), points, percent), known, size, percent))
-    if not more.isEmpty():
+    more, n = stored_counted(verified(candidates(open_groups(members, sizes, joined, percent), points, percent), known, size, percent))
+    if n:
         joined = stored(components(links.unionByName(more), "u", "v"))
 
     found = member.join(

@@ -614,3 +614,64 @@ def test_pipeline_numbers_files_once_for_all_readers(spark, tmp_path):
     rows = corpus_pipeline.by_row(spark.read.parquet(f"{tmp_path}/t"))
     assert "Window" not in rows._jdf.queryExecution().toString()
     assert rows.select(corpus_pipeline.ROW).distinct().count() == 15
+
+
+def test_pipeline_steps_take_few_jobs(spark, docs, tmp_path):
+    """The driver's memory grows with jobs, broadcasts and plans; rows are counted while they are written, and a step of the estimates is one pass."""
+    from pricedex.llm import decontamination, quality_rules, similarity_join
+
+    items = spark.createDataFrame([(1, prose(random.Random(3), 40)), (2, None)], "item_id bigint, text string")
+    leaky = docs.withColumn("text", F.concat_ws(" ", "text", F.lit(items.first().text)))
+
+    def jobs(group: str, found) -> int:
+        spark.sparkContext.setJobGroup(group, group)
+        try:
+            found().write.parquet(f"{tmp_path}/{group}")
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    taken = {
+        "leaks": jobs("leaks", lambda: decontamination.leaks(leaky, items)), "rules": jobs("rules", lambda: quality_rules.judge(docs)),
+        "links": jobs("links", lambda: similarity_join.jaccard_components(docs))
+    }
+    assert all(taken[k] <= most for k, most in {"leaks": 32, "rules": 50, "links": 75}.items()), taken
+
+
+def test_core_moments_in_one_pass_are_those_of_the_core(spark):
+    import numpy as np
+
+    from pricedex.llm import quality_rules
+
+    p, rng = len(quality_rules.VECTOR), np.random.default_rng(8)
+    v = rng.normal(size=(60, p)) * 0.1 + 3
+    v[:, 1] = 1000.0
+    centre = v[0].tolist()
+    bins = (np.arange(60) // 7).tolist()
+    rows = spark.createDataFrame(
+        [("g", 0, b, 2.5, centre, (x - v[0]).tolist()) for b, x in zip(bins, v)],
+        "grp string, start int, bin int, logdet double, centre array<double>, off array<double>"
+    )
+    found = quality_rules._core_moments(rows).first()
+    core = v[:35]  # half of 60 rows is reached within the fifth bin of seven
+    assert found.was == 2.5 and np.allclose(found.centre, core.mean(axis=0), rtol=1e-12)
+    assert np.allclose(np.array(found.covariance).reshape(p, p), np.cov(core.T, bias=True), atol=1e-12)
+
+
+def test_simhash_of_an_array_is_the_majority_of_bits(spark):
+    from pricedex.llm import decontamination
+
+    frame = spark.createDataFrame([([5, -9, 5, 7],), ([3],), ([1, 2],)], "hs array<bigint>")
+    rows = frame.select("hs", decontamination._simhash(F.col("hs")).alias("f"), F.transform("hs", lambda h: F.xxhash64(h, F.lit(17))).alias("m")).collect()
+    for r in rows:
+        bits = sum(1 << i for i in range(64) if 2 * sum((m >> i) & 1 for m in r.m) > len(r.m))
+        assert r.f % (1 << 64) == bits
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    from pricedex.sources.stored import stored_counted
+
+    table, n = stored_counted(spark.range(25), F.col("id") % 5 == 0)
+    assert (n, table.count()) == (5, 25)
+    empty, n = stored_counted(spark.range(5).where("id > 7").join(spark.range(3), "id").distinct())
+    assert n == 0 and empty.columns == ["id"] and empty.isEmpty()
